@@ -17,24 +17,25 @@ def seeded_hash(*parts: Column, seed: int = 0) -> Column:
 
 
 def hash_row_number(df: DataFrame, keys: list[str], seed: int = 0, within: list[str] | None = None,
-                    out: str = "row_no") -> DataFrame:
+                    order: list[str] | None = None, out: str = "row_no") -> DataFrame:
     """Dense 0-based row number in seeded-hash order of the unique `keys`, optionally per `within` group.
 
-    The hash cuts each group into 4096 equal buckets. Numbers run inside a bucket and are shifted by the
-    sizes of the buckets before, so even a group with most of the rows is numbered by many tasks.
-    `row_total` is the size of the group.
+    `order` names columns of few distinct non-NULL values that are sorted by first. The hash cuts each group
+    into 4096 equal buckets. Numbers run inside a bucket and are shifted by the sizes of the buckets before, so
+    even a group with most of the rows is numbered by many tasks. `row_total` is the size of the group.
     """
-    within = within or []
+    within, order = within or [], order or []
     hashed = df.withColumn("_h", seeded_hash(*[F.col(k) for k in keys], seed=seed)).withColumn(
         "_bucket", F.shiftright("_h", HASH_BITS - BUCKET_BITS))
-    sizes = hashed.groupBy(*within, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    place = [*within, *order, "_bucket"]
+    sizes = hashed.groupBy(*place).agg(F.count(F.lit(1)).alias("_size"))
     group = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-    before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = group.orderBy(*order, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        *within, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
+        *place, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
         F.sum("_size").over(group).alias("row_total"))
-    inside = Window.partitionBy(*within, "_bucket").orderBy("_h", *keys)
-    return (hashed.join(offsets, [*within, "_bucket"])
+    inside = Window.partitionBy(*place).orderBy("_h", *keys)
+    return (hashed.join(offsets, place)
             .withColumn(out, F.row_number().over(inside) - 1 + F.col("_offset"))
             .drop("_h", "_bucket", "_offset"))
 

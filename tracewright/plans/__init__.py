@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["outcomes", "collection", "trajectories"]
+MODULES = ["outcomes", "collection", "trajectories", "evaluation", "controls", "streams"]
 
 
 def load() -> None:

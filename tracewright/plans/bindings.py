@@ -87,15 +87,16 @@ def token_traces(spark, sf_dir) -> DataFrame:
     return docs.join(labels, "qid")
 
 
-def api_responses(spark, sf_dir) -> DataFrame:
+def api_responses(spark, sf_dir, turns: DataFrame | None = None) -> DataFrame:
     """Chat turns as stored completion responses."""
+    turns = table(spark, sf_dir, "conversations") if turns is None else turns
     message = F.struct(
         F.when(F.col("role") == "assistant", F.col("text")).alias("content"),
         F.when(F.col("role") == "user", F.col("text")).alias("reasoning_content"),
         F.lit(None).cast("string").alias("reasoning"))
     choice = F.struct(message.alias("message"), F.when(F.length("text") > 500, "length").otherwise("stop")
                       .alias("finish_reason"))
-    return table(spark, sf_dir, "conversations").select(
+    return turns.select(
         F.col("conv_id").alias("qid"), F.col("turn").cast("int").alias("sample_idx"), F.lit("chat").alias("model"),
         F.element_at(F.array(*[F.lit(s) for s in (200, 429, 503, 401)]), (F.col("turn") % 4 + 1).cast("int"))
         .alias("status"),

@@ -22,12 +22,11 @@ def _wrong_states(spark, sf_dir):
 
 # -- row-local features --------------------------------------------------------------------------
 
-@query("early_trace_features", with_(W_SINGLE, W_LAYERS, body="""
-, stats AS (SELECT qid, sample_idx, dim, avg(x) AS m, stddev_pop(x) AS s, max(x) AS t FROM w_layers
-            WHERE layer < 2 GROUP BY 1, 2, 3)
+@query("early_trace_features", with_(W_SINGLE, W_LAYERS, """stats AS (SELECT qid, sample_idx, dim, avg(x) AS m, stddev_pop(x) AS s, max(x) AS t FROM w_layers
+            WHERE layer < 2 GROUP BY 1, 2, 3)""", body="""
 SELECT qid, sample_idx, list_concat(list(round(m, 6) + 0.0 ORDER BY dim), list(round(s, 6) + 0.0 ORDER BY dim),
        list(round(t, 6) + 0.0 ORDER BY dim), list_transform(range(10), lambda i: 0.0::DOUBLE)) AS features
-FROM stats GROUP BY 1, 2""").replace("\n\n,", ","))
+FROM stats GROUP BY 1, 2"""))
 def early_trace_features(spark, sf_dir):
     return rounded(FE.early_trace_features(B.w_single(spark, sf_dir)).select("qid", "sample_idx", "features"))
 
@@ -182,13 +181,13 @@ def dyn_linear(spark, sf_dir):
     return rounded(D.linear_metrics(B.decode_states(spark, sf_dir)).drop("sample_idx"))
 
 
-@query("dyn_selfsim", with_(W_DECODE, STEPS, ELEMS, NORMS, body=""", sims AS (
+@query("dyn_selfsim", with_(W_DECODE, STEPS, ELEMS, NORMS, """sims AS (
   SELECT a.qid, a.layer, a.pos AS i, b.pos AS j, any_value(a.n_steps) AS n, sum(a.x * b.x) AS dot
   FROM elems a JOIN elems b ON (a.qid, a.layer, a.dim) = (b.qid, b.layer, b.dim)
-   AND b.pos - a.pos >= greatest(1, floor(a.n_steps * 0.25)) GROUP BY 1, 2, 3, 4)
+   AND b.pos - a.pos >= greatest(1, floor(a.n_steps * 0.25)) GROUP BY 1, 2, 3, 4)""", body="""
 SELECT s.qid, s.layer, round(avg(dot / (a.norm * b.norm)), 6) + 0.0 AS longrange_selfsim
 FROM sims s JOIN norms a ON (a.qid, a.layer, a.pos) = (s.qid, s.layer, s.i)
-JOIN norms b ON (b.qid, b.layer, b.pos) = (s.qid, s.layer, s.j) GROUP BY 1, 2""").replace("\n, sims", ", sims"))
+JOIN norms b ON (b.qid, b.layer, b.pos) = (s.qid, s.layer, s.j) GROUP BY 1, 2"""))
 def dyn_selfsim(spark, sf_dir):
     return rounded(D.long_range_similarity(B.decode_states(spark, sf_dir)).drop("sample_idx"))
 
