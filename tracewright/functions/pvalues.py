@@ -6,7 +6,8 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
 
 # The exact U distribution has n1 * n2 + 1 entries; beyond this it is numerically normal.
 EXACT_LIMIT = 50_000_000
@@ -80,16 +81,22 @@ def mann_whitney_two_sided(u: float, n1: float, n2: float, tie_term: float) -> f
 
 
 def _nullable(values) -> pd.Series:
-    return pd.Series([None if v is None or math.isnan(v) else v for v in values], dtype="object")
+    return pd.Series([None if math.isnan(v) else v for v in values], dtype="object")
 
 
-@F.pandas_udf("double")
-def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
+def _t_batch(t: pd.Series, df: pd.Series) -> pd.Series:
     return _nullable(t_two_sided(float(a), float(b)) if pd.notna(a) and pd.notna(b) else math.nan
                      for a, b in zip(t, df))
 
 
-@F.pandas_udf("double")
-def mann_whitney_p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Series:
+def _mann_whitney_batch(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Series:
     return _nullable(mann_whitney_two_sided(float(a), b, c, float(d)) if pd.notna(a) else math.nan
                      for a, b, c, d in zip(u, n1, n2, ties))
+
+
+def t_p_value(t: Column | str, df: Column | str) -> Column:
+    return F.pandas_udf(_t_batch, DoubleType())(t, df)
+
+
+def mann_whitney_p(u: Column | str, n1: Column | str, n2: Column | str, tie_term: Column | str) -> Column:
+    return F.pandas_udf(_mann_whitney_batch, DoubleType())(u, n1, n2, tie_term)

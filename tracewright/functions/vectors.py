@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and hand it to `use`.
+
+    A column that is read inside a lambda is otherwise recomputed for every element once the optimizer has
+    merged the projections.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def doubles(vec: Column) -> Column:
     return vec.cast("array<double>")
 
@@ -47,8 +56,13 @@ def literal_matrix(rows: Sequence[Sequence[float]]) -> Column:
 
 def project(vec: Column, mean: Sequence[float], components: Sequence[Sequence[float]]) -> Column:
     """Scores (vec - mean) . component for each component."""
-    centred = subtract(vec, literal_vector(mean))
-    return F.transform(literal_matrix(components), lambda c: dot(centred, c))
+    return let(subtract(vec, literal_vector(mean)),
+               lambda centred: F.transform(literal_matrix(components), lambda c: dot(centred, c)))
+
+
+def unit(vec: Column) -> Column:
+    """Vector of length one; a zero vector stays zero."""
+    return let(norm(vec), lambda n: F.transform(vec, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0))))
 
 
 def element(values: Column, index: Column) -> Column:
@@ -58,15 +72,14 @@ def element(values: Column, index: Column) -> Column:
 
 def entropy_of_logits(logits: Column) -> Column:
     """Shannon entropy (nats) of softmax(logits), shifted by the maximum so that nothing overflows."""
-    def pick(m: Column) -> Column:
-        # sum(e) and sum(e * (l - m)) in one pass
-        sums = F.aggregate(
+    def sums(top: Column) -> Column:
+        # sum(e) and sum(e * (l - top)) in one pass
+        return F.aggregate(
             logits, F.struct(F.lit(0.0).alias("z"), F.lit(0.0).alias("zl")),
-            lambda s, x: F.struct((s["z"] + F.exp(x - m)).alias("z"),
-                                  (s["zl"] + F.exp(x - m) * (x - m)).alias("zl")),
+            lambda s, x: let(F.exp(x - top), lambda e: F.struct(
+                (s["z"] + e).alias("z"), (s["zl"] + e * (x - top)).alias("zl"))),
             lambda s: F.ln(s["z"]) - s["zl"] / s["z"])
-        return sums
-    return F.transform(F.array(F.array_max(logits)), pick)[0]
+    return let(F.array_max(logits), sums)
 
 
 def logit_gap(logits: Column, answer_token: Column) -> Column:

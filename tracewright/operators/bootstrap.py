@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut_lineage
 from .ranking import bucket_of, hash_row_number, score_counts, score_edges, wins_from_buckets
 
 # One md5 yields four 32-bit draws, or two 60-bit draws where 32 bits would be too coarse.
 WIDE_FROM = 1 << 20
+# Four small columns per row: at most about 40 MB travel to each executor.
+BROADCAST_ROWS = 1 << 20
 
 
 def draws(spark, n_rows: int, replicates: int, seed: int = 0) -> DataFrame:
@@ -31,15 +34,18 @@ def replicate_aucs(rows: DataFrame, keys: list[str], score: str, label: str, rep
     Cost and memory follow the draws: they are generated in parallel, looked up by row number, and summed
     to counts per distinct score before anything is ordered.
     """
-    usable = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    n_rows = usable.count()
-    one = usable.select(*keys, F.col(score).cast("double").alias("score"), F.col(label).alias("label"),
-                        F.lit(0).alias("_all"))
+    one = cut_lineage(rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(
+        *keys, F.col(score).cast("double").alias("score"), F.col(label).alias("label"), F.lit(0).alias("_all")))
+    n_rows = one.count()
     edges = score_edges(score_counts(one, ["_all"], "score", "label"), ["_all"], buckets)
     numbered = hash_row_number(one, keys, seed).join(edges, "_all").select(
         "row_no", "score", "label", bucket_of(F.col("score"), F.col("_edges")).alias("_bucket"))
-    counts = draws(rows.sparkSession, n_rows, replicates, seed).join(numbered, "row_no").groupBy(
-        "rep", "_bucket", "score").agg(
+    # the size is known here; otherwise the planner might ship the draws instead
+    numbered = F.broadcast(numbered) if n_rows <= BROADCAST_ROWS else numbered.hint("merge")
+    # one shuffle by replicate, all equally large; every later step keeps this placement
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = draws(rows.sparkSession, n_rows, replicates, seed).join(numbered, "row_no").repartition(parts, "rep")
+    counts = drawn.groupBy("rep", "_bucket", "score").agg(
         F.sum((F.col("label") == 1).cast("long")).alias("pos"), F.sum((F.col("label") != 1).cast("long")).alias("neg"))
     return wins_from_buckets(counts, ["rep"]).where((F.col("n_pos") > 0) & (F.col("n_neg") > 0)).select(
         "rep", (F.col("wins") / (F.col("n_pos").cast("double") * F.col("n_neg"))).alias("auc"))

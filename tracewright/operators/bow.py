@@ -19,8 +19,11 @@ def explode_tokens(traces: DataFrame, column: str = "tokens") -> DataFrame:
 
 
 def document_frequency(counts: DataFrame, min_df: int = 3) -> DataFrame:
-    """Tokens of at least `min_df` questions; counts already hold one row per question and token."""
-    return counts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
+    """Tokens of at least `min_df` questions; counts hold one row per question and token.
+
+    Reading `n` keeps the input identical to its other uses, so its shuffle is done once.
+    """
+    return counts.groupBy("token").agg(F.count_if(F.col("n") > 0).alias("df")).where(F.col("df") >= min_df)
 
 
 def vocabulary(counts: DataFrame, min_df: int = 3) -> DataFrame:

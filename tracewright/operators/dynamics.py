@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.vectors import cosine, distance, dot, norm, subtract
+from ..functions.arrow import matrix, one_row
+from ..functions.vectors import cosine, distance, dot, norm, subtract, unit
 from ..schemas import TRAJECTORY
+from ..session import cut_lineage
 from .pairwise import pairwise_metrics
 from .ranking import pair_wins
-from .states import BLOCK_ROWS, block_of, spread_over_blocks, with_halo
+from .states import BLOCK_ROWS, block_of, spread, spread_over_blocks, with_halo
 
 METRICS = ["mean_step_norm", "tortuosity", "mean_consec_cos", "longrange_selfsim", "settle_frac", "spread",
            "nearest_revisit", "intrinsic_dim"]
@@ -65,16 +67,15 @@ def linear_metrics(states: DataFrame, settle_cosine: float = 0.9, rows: int = BL
         F.when(long_enough, F.try_divide("off", "mean_norm")).alias("spread"))
 
 
-def _lagged_sums(group: pd.DataFrame, rows: int) -> tuple[float, np.ndarray, np.ndarray, float]:
-    """Within one block: the sum of u_source . u_target over pairs, both vector sums, the target count."""
-    group = group.sort_values("at", kind="stable")
-    unit = np.stack(group["unit"].to_numpy())
-    is_target = group["is_target"].to_numpy(dtype=bool)
-    at = group["at"].to_numpy() % rows
-    running = np.cumsum(unit[~is_target], axis=0)
-    targets = unit[is_target]
-    within = float((targets * running[at[is_target]]).sum()) if len(targets) else 0.0
-    return within, unit[~is_target].sum(axis=0), targets.sum(axis=0), float(len(targets))
+def _lagged_sums(at: np.ndarray, is_target: np.ndarray, unit: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Within one block: the sum of u_source . u_target over pairs at <= at, and both vector sums."""
+    source_at, target_at = at[~is_target], at[is_target]
+    order = np.argsort(source_at)
+    sources, targets = unit[~is_target][order], unit[is_target]
+    running = np.cumsum(sources, axis=0)
+    # sources are dense, so the sample at offset k is the k-th of its block
+    within = float((targets * running[target_at - source_at[order[0]]]).sum()) if len(targets) else 0.0
+    return within, sources.sum(axis=0), targets.sum(axis=0)
 
 
 def long_range_similarity(states: DataFrame, lag_fraction: float = 0.25, rows: int = BLOCK_ROWS) -> DataFrame:
@@ -86,9 +87,8 @@ def long_range_similarity(states: DataFrame, lag_fraction: float = 0.25, rows: i
     """
     lag = F.greatest(F.lit(1), F.floor(F.col("n_steps") * F.lit(float(lag_fraction)))).cast("int")
     units = states.where(F.col("n_steps") >= 3).select(
-        *TRAJECTORY, "pos", "n_steps", lag.alias("lag"), norm(F.col("vec")).alias("norm"), "vec").select(
-        *TRAJECTORY, "pos", "n_steps", "lag", (F.col("norm") == 0).alias("null_vec"),
-        F.transform("vec", lambda x: F.coalesce(F.try_divide(x, F.col("norm")), F.lit(0.0))).alias("unit"))
+        *TRAJECTORY, "pos", "n_steps", lag.alias("lag"), F.forall("vec", lambda x: x == 0).alias("null_vec"),
+        unit(F.col("vec")).alias("unit"))
     source = F.struct(F.col("pos").alias("at"), F.lit(False).alias("is_target"))
     target = F.struct((F.col("pos") - F.col("lag")).alias("at"), F.lit(True).alias("is_target"))
     roles = F.when(F.col("pos") >= F.col("lag"), F.array(source, target)).otherwise(F.array(source))
@@ -96,23 +96,34 @@ def long_range_similarity(states: DataFrame, lag_fraction: float = 0.25, rows: i
         *TRAJECTORY, "n_steps", "null_vec", "unit", "role.at", "role.is_target").withColumn(
         "block", block_of("at", rows))
 
-    def block_sums(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        within, src, tgt, n_targets = _lagged_sums(group, rows)
-        return pd.DataFrame([[*key, int(group["n_steps"].iloc[0]), bool(group["null_vec"].any()), within,
-                              float((group["at"][group["is_target"]] + 1).sum()), src, tgt]],
-                            columns=[*TRAJECTORY, "block", "n_steps", "null_vec", "within", "pairs", "src", "tgt"])
-
     id_type = states.schema["qid"].dataType.simpleString()
-    blocks = placed.groupBy(*TRAJECTORY, "block").applyInPandas(
-        block_sums, f"qid {id_type}, sample_idx int, layer int, block int, n_steps int, null_vec boolean, "
-                    "within double, pairs double, src array<double>, tgt array<double>")
-    earlier = Window.partitionBy(*TRAJECTORY, "dim").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    across = blocks.where(F.col("n_steps") > rows).select(
-        *TRAJECTORY, "block", F.posexplode(F.arrays_zip("src", "tgt")).alias("dim", "v")).select(
-        *TRAJECTORY, (F.col("v.tgt") * F.coalesce(F.sum("v.src").over(earlier), F.lit(0.0))).alias("term"))
-    parts = blocks.select(*TRAJECTORY, "within", "pairs", "null_vec").unionByName(
-        across.select(*TRAJECTORY, F.col("term").alias("within"), F.lit(0.0).alias("pairs"),
-                      F.lit(False).alias("null_vec")))
+    names = [*TRAJECTORY, "block", "null_vec", "within", "pairs", "src", "tgt"]
+    floats = pa.list_(pa.float64())
+
+    def block_sums(key: tuple, group: pa.Table) -> pa.Table:
+        at = group.column("at").to_numpy()
+        is_target = group.column("is_target").to_numpy(zero_copy_only=False).astype(bool)
+        within, src, tgt = _lagged_sums(at, is_target, matrix(group.column("unit")))
+        null_vec = bool(group.column("null_vec").to_numpy(zero_copy_only=False).any())
+        return one_row(key, names, [pa.bool_(), pa.float64(), pa.float64(), floats, floats],
+                       [null_vec, within, float((at[is_target] + 1).sum()), src, tgt])
+
+    def blocks(part: DataFrame) -> DataFrame:
+        keys = [*TRAJECTORY, "block"]
+        return spread(part, keys).groupBy(*keys).applyInArrow(
+            block_sums, f"qid {id_type}, sample_idx int, layer int, block int, null_vec boolean, within double, "
+                        "pairs double, src array<double>, tgt array<double>")
+
+    sums = ["within", "pairs", "null_vec"]
+    parts = blocks(placed.where(F.col("n_steps") <= rows)).select(*TRAJECTORY, *sums)
+    if not states.where(F.col("n_steps") > rows).select("n_steps").isEmpty():
+        # one row per block from here on
+        long = cut_lineage(blocks(placed.where(F.col("n_steps") > rows)))
+        earlier = Window.partitionBy(*TRAJECTORY, "dim").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        across = long.select(*TRAJECTORY, "block", F.posexplode(F.arrays_zip("src", "tgt")).alias("dim", "v")).select(
+            *TRAJECTORY, (F.col("v.tgt") * F.coalesce(F.sum("v.src").over(earlier), F.lit(0.0))).alias("within"),
+            F.lit(0.0).alias("pairs"), F.lit(False).alias("null_vec"))
+        parts = parts.unionByName(long.select(*TRAJECTORY, *sums)).unionByName(across)
     return parts.groupBy(*TRAJECTORY).agg(
         F.sum("within").alias("s"), F.sum("pairs").alias("p"), F.max("null_vec").alias("z")).select(
         *TRAJECTORY, F.when(~F.col("z"), F.try_divide("s", "p")).alias("longrange_selfsim"))

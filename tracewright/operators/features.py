@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.vectors import let
 from .states import prefix
 
 
@@ -15,25 +18,26 @@ def early_trace_features(traces: DataFrame, fraction: float = 0.25, pca_slots: i
     The last `pca_slots` entries are zero: the mean of centred component scores vanishes, the slots only
     keep the feature width. Row-local, hence no shuffle.
     """
-    rows = traces.withColumn("_layers", F.col("hidden_all_layers").cast("array<array<double>>")).where(
-        F.size("_layers") > 0)
-    rows = rows.withColumn(
-        "_keep", F.greatest(F.lit(1), F.floor(F.size("_layers") * F.lit(float(fraction)))).cast("int"))
-    rows = rows.withColumn("_early", F.expr("slice(_layers, 1, _keep)")).withColumn(
-        "_dims", F.expr("sequence(0, size(_layers[0]) - 1)"))
-    early, keep = F.col("_early"), F.col("_keep")
-
-    def total(j: Column) -> Column:
-        return F.aggregate(early, F.lit(0.0), lambda s, v: s + v[j])
-
-    rows = rows.withColumn("_mean", F.transform("_dims", lambda j: total(j) / keep))
-    squares = lambda j: F.aggregate(
-        early, F.lit(0.0), lambda s, v: s + (v[j] - F.col("_mean")[j]) * (v[j] - F.col("_mean")[j]))
-    rows = rows.withColumn("_std", F.transform("_dims", lambda j: F.sqrt(squares(j) / keep))).withColumn(
-        "_max", F.transform("_dims", lambda j: F.array_max(F.transform(early, lambda v: v[j]))))
-    pad = F.array_repeat(F.lit(0.0), pca_slots)
-    return rows.withColumn("features", F.concat("_mean", "_std", "_max", pad)).drop(
-        "_layers", "_keep", "_early", "_dims", "_mean", "_std", "_max", "hidden_all_layers")
+    rows = traces.where(F.size("hidden_all_layers") > 0)
+    keep = F.greatest(F.lit(1), F.floor(F.size("hidden_all_layers") * F.lit(float(fraction)))).cast("int")
+    first = F.slice(F.col("hidden_all_layers"), F.lit(1), keep).cast("array<array<double>>")
+
+    def per_element(early: Column, fn: Callable[[Column], Column]) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(early[0]) - 1), fn)
+
+    def total(early: Column, term: Callable[[Column], Column]) -> Column:
+        return F.aggregate(early, F.lit(0.0), lambda s, v: s + term(v))
+
+    def features(early: Column) -> Column:
+        n = F.size(early)
+        mean = per_element(early, lambda j: total(early, lambda v: v[j]) / n)
+        return let(mean, lambda m: F.concat(
+            m,
+            per_element(early, lambda j: F.sqrt(total(early, lambda v: (v[j] - m[j]) * (v[j] - m[j])) / n)),
+            per_element(early, lambda j: F.array_max(F.transform(early, lambda v: v[j]))),
+            F.array_repeat(F.lit(0.0), pca_slots)))
+
+    return rows.withColumn("features", let(first, features)).drop("hidden_all_layers")
 
 
 def mean_pool(states: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:

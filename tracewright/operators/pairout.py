@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.arrow import matrix, one_row
+from .states import spread
+
 # A cell's rows meet in one task, n^2 / 4 fits each: an estimator for small samples. Larger ones: cv_sweep.
 MAX_CELL_VALUES = 32 << 20
 PAIRS_PER_TASK = 128
@@ -85,27 +88,29 @@ def pair_out_auc(rows: DataFrame, cells: list[str], row_keys: list[str], label:
     counts = rows.groupBy(*cells).agg(
         F.count_if(F.col(label) == 1).alias("n_pos"), F.count_if(F.col(label) == 0).alias("n_neg"),
         (F.count(F.lit(1)) * F.max(F.size("vec"))).alias("n_values"))
-    largest = counts.agg(F.max("n_values")).first()[0]
-    if largest is not None and largest > MAX_CELL_VALUES:
-        raise ValueError(f"a cell holds {largest} values, more than {MAX_CELL_VALUES}: use the k-fold sweep")
     usable = (F.col("n_pos") >= 2) & (F.col("n_neg") >= 2)
-    last_block = F.expr(f"cast((n_pos * n_neg - 1) div {int(pairs_per_task)} as int)")
-    spread = rows.join(counts.where(usable), cells).withColumn(
+    # refused before any row is copied
+    too_large = F.raise_error(F.concat(
+        F.lit("a cell holds "), F.col("n_values").cast("string"),
+        F.lit(f" values, more than {MAX_CELL_VALUES}: use the k-fold sweep"))).cast("int")
+    last_block = F.when(F.col("n_values") > MAX_CELL_VALUES, too_large).otherwise(
+        F.expr(f"cast((n_pos * n_neg - 1) div {int(pairs_per_task)} as int)"))
+    copies = rows.join(counts.where(usable), cells).withColumn(
         "_block", F.explode(F.sequence(F.lit(0), last_block))).select(
         *cells, "_block", *row_keys, F.col(label).cast("int").alias("label"), "vec")
 
-    def block_wins(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(row_keys, kind="stable")
-        x, y = np.stack(group["vec"].to_numpy()), group["label"].to_numpy().astype(float)
+    def block_wins(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by([(k, "ascending") for k in row_keys])
+        x, y = matrix(group.column("vec")), group.column("label").to_numpy().astype(float)
         pos, neg = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-        first = int(key[-1]) * pairs_per_task
+        first = key[-1].as_py() * pairs_per_task
         number = np.arange(first, min(first + pairs_per_task, len(pos) * len(neg)))
         pairs = np.stack([pos[number // len(neg)], neg[number % len(neg)]], axis=1)
-        return pd.DataFrame([[*key[:-1], pair_out_wins(x, y, pairs, c)]], columns=[*cells, "wins"])
+        return one_row(key[:-1], [*cells, "wins"], [pa.float64()], [pair_out_wins(x, y, pairs, c)])
 
     types = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in cells)
-    wins = spread.groupBy(*cells, "_block").applyInPandas(block_wins, f"{types}, wins double").groupBy(*cells).agg(
-        F.sum("wins").alias("wins"))
+    wins = spread(copies, [*cells, "_block"]).groupBy(*cells, "_block").applyInArrow(
+        block_wins, f"{types}, wins double").groupBy(*cells).agg(F.sum("wins").alias("wins"))
     return counts.join(wins, cells, "left").select(
         *cells, "n_pos", "n_neg", (F.col("wins") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 

@@ -9,11 +9,13 @@ over a shrinking range.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.arrow import keyed_rows, matrix, one_row
 from ..schemas import TRAJECTORY
 from ..session import cut_lineage
+from .states import spread
 
 TILE_ROWS = 1024
 BINS = 1024
@@ -53,9 +55,10 @@ def _finish(r1: np.ndarray, r2: np.ndarray, median: float) -> tuple[float | None
 
 
 def _short(states: DataFrame, theiler: int) -> DataFrame:
-    def whole(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        pos = group["pos"].to_numpy()
-        vec = np.stack(group["vec"].to_numpy())
+    names = [*TRAJECTORY, "nearest_revisit", "intrinsic_dim"]
+
+    def whole(key: tuple, group: pa.Table) -> pa.Table:
+        pos, vec = group.column("pos").to_numpy(), matrix(group.column("vec"))
         d = _far_tile(pos, vec, pos, vec, theiler)
         upper = d[pos[:, None] < pos[None, :]]
         upper = upper[np.isfinite(upper)]
@@ -63,10 +66,10 @@ def _short(states: DataFrame, theiler: int) -> DataFrame:
         if upper.size:
             two = _two_smallest(d)
             revisit, dim = _finish(two[:, 0], two[:, 1], float(np.median(upper)))
-        return pd.DataFrame([[*key, revisit, dim]], columns=[*TRAJECTORY, "nearest_revisit", "intrinsic_dim"])
+        return one_row(key, names, [pa.float64(), pa.float64()], [revisit, dim])
 
-    return states.select(*TRAJECTORY, "pos", "vec").groupBy(*TRAJECTORY).applyInPandas(whole, _ids(states) +
-                                                           ", nearest_revisit double, intrinsic_dim double")
+    return spread(states.select(*TRAJECTORY, "pos", "vec"), TRAJECTORY).groupBy(*TRAJECTORY).applyInArrow(
+        whole, _ids(states) + ", nearest_revisit double, intrinsic_dim double")
 
 
 def _ids(states: DataFrame) -> str:
@@ -81,17 +84,15 @@ def _tiles(states: DataFrame, rows: int) -> DataFrame:
         *TRAJECTORY, "pos", "vec", F.least("mine", "other").alias("ta"), F.greatest("mine", "other").alias("tb"))
 
 
-def _split(group: pd.DataFrame, ta: int, rows: int):
-    pos = group["pos"].to_numpy()
-    vec = np.stack(group["vec"].to_numpy())
-    left = pos // rows == ta
-    return pos, vec, left
+def _split(group: pa.Table, ta: int, rows: int):
+    pos, vec = group.column("pos").to_numpy(), matrix(group.column("vec"))
+    return pos, vec, pos // rows == ta
 
 
 def _neighbours(tiles: DataFrame, ids: str, theiler: int, rows: int) -> DataFrame:
     """Two smallest distances of each step, merged over its tiles."""
-    def nearest(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        ta, tb = int(key[-2]), int(key[-1])
+    def nearest(key: tuple, group: pa.Table) -> pa.Table:
+        ta, tb = key[-2].as_py(), key[-1].as_py()
         pos, vec, left = _split(group, ta, rows)
         if ta == tb:
             two = _two_smallest(_far_tile(pos, vec, pos, vec, theiler))
@@ -100,12 +101,10 @@ def _neighbours(tiles: DataFrame, ids: str, theiler: int, rows: int) -> DataFram
             d = _far_tile(pos[left], vec[left], pos[~left], vec[~left], theiler)
             two = np.vstack([_two_smallest(d), _two_smallest(d.T)])
             where = np.concatenate([pos[left], pos[~left]])
-        out = pd.DataFrame({"pos": where, "r1": two[:, 0], "r2": two[:, 1]})
-        for name, value in zip(TRAJECTORY, key):
-            out[name] = value
-        return out[[*TRAJECTORY, "pos", "r1", "r2"]]
+        return keyed_rows(key[:-2], TRAJECTORY, {"pos": where, "r1": two[:, 0], "r2": two[:, 1]})
 
-    found = tiles.groupBy(*TRAJECTORY, "ta", "tb").applyInPandas(nearest, ids + ", pos int, r1 double, r2 double")
+    found = spread(tiles, [*TRAJECTORY, "ta", "tb"]).groupBy(*TRAJECTORY, "ta", "tb").applyInArrow(
+        nearest, ids + ", pos int, r1 double, r2 double")
     best = F.array_sort(F.flatten(F.collect_list(F.array("r1", "r2"))))
     return found.groupBy(*TRAJECTORY, "pos").agg(best.alias("r")).select(
         *TRAJECTORY, "pos", F.col("r")[0].alias("r1"), F.col("r")[1].alias("r2"))
@@ -113,8 +112,8 @@ def _neighbours(tiles: DataFrame, ids: str, theiler: int, rows: int) -> DataFram
 
 def _histogram(tiles: DataFrame, ranges: DataFrame, ids: str, theiler: int, rows: int) -> DataFrame:
     """Counts, minima and maxima of the distances in BINS slices of each wanted range."""
-    def count(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        ta, tb = int(key[-2]), int(key[-1])
+    def count(key: tuple, group: pa.Table) -> pa.Table:
+        ta, tb = key[-2].as_py(), key[-1].as_py()
         pos, vec, left = _split(group, ta, rows)
         if ta == tb:
             d = _far_tile(pos, vec, pos, vec, theiler)
@@ -122,31 +121,32 @@ def _histogram(tiles: DataFrame, ranges: DataFrame, ids: str, theiler: int, rows
         else:
             values = _far_tile(pos[left], vec[left], pos[~left], vec[~left], theiler).ravel()
         values = np.sort(values[np.isfinite(values)])
-        frames = []
-        for target, lo, hi in group["wanted"].iloc[0]:
+        out = {"target": [], "bin": [], "n": [], "low": [], "high": []}
+        for want in group.column("wanted")[0].as_py():
+            lo, hi = want["lo"], want["hi"]
             inside = values[np.searchsorted(values, lo, "left"):np.searchsorted(values, hi, "right")]
             if not inside.size:
                 continue
             width = (hi - lo) / BINS
-            bins = np.minimum(((inside - lo) / width).astype(int), BINS - 1) if width > 0 else np.zeros(inside.size, int)
+            bins = np.minimum(((inside - lo) / width).astype(np.int32), BINS - 1) if width > 0 else \
+                np.zeros(inside.size, np.int32)
             starts = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
             ends = np.r_[starts[1:], inside.size]
-            frames.append(pd.DataFrame({"target": target, "bin": bins[starts], "n": ends - starts,
-                                        "low": inside[starts], "high": inside[ends - 1]}))
-        columns = ["target", "bin", "n", "low", "high"]
-        out = pd.concat(frames) if frames else pd.DataFrame(columns=columns)
-        for i, (name, value) in enumerate(zip(TRAJECTORY, key)):
-            out.insert(i, name, value)
-        return out
+            for name, part in zip(out, (np.full(len(starts), want["target"], np.int32), bins[starts],
+                                        (ends - starts).astype(np.int64), inside[starts], inside[ends - 1])):
+                out[name].append(part)
+        types = (np.int32, np.int32, np.int64, np.float64, np.float64)
+        return keyed_rows(key[:-2], TRAJECTORY, {
+            name: np.concatenate(parts) if parts else np.zeros(0, t) for (name, parts), t in zip(out.items(), types)})
 
     schema = ids + ", target int, bin int, n long, low double, high double"
-    return tiles.join(ranges, TRAJECTORY).groupBy(*TRAJECTORY, "ta", "tb").applyInPandas(count, schema).groupBy(
+    return spread(tiles.join(ranges, TRAJECTORY), [*TRAJECTORY, "ta", "tb"]).groupBy(
+        *TRAJECTORY, "ta", "tb").applyInArrow(count, schema).groupBy(
         *TRAJECTORY, "target", "bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def _exact_median(tiles: DataFrame, states: DataFrame, ids: str, theiler: int, rows: int) -> DataFrame:
     """Median of all far distances per trajectory, by narrowing the range around the middle ranks."""
-    from pyspark.sql import Window
     n = F.col("n_steps").cast("long") - theiler
     pairs = F.expr(f"(n_steps - {theiler}) * (n_steps - {theiler} - 1) div 2")
     # no distance exceeds twice the largest vector length

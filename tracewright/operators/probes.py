@@ -28,8 +28,8 @@ MOMENT_BYTES = 256 << 20
 def probe_predictions(rows: DataFrame, keys: list[str], label: str = "label", group: str = "qid",
                       fraction: float = 0.2, c: float = 1.0, seed: int = 42) -> DataFrame:
     """Fit on the training groups and return the test rows with `y_pred_prob`, keys attached."""
-    split = group_split(rows, group, fraction, seed, keys).select(
-        *keys, label, "is_test", array_to_vector(F.col("features")).alias("features"))
+    split = cut_lineage(group_split(rows, group, fraction, seed, keys).select(
+        *keys, label, "is_test", array_to_vector(F.col("features")).alias("features")))
     train = split.where(~F.col("is_test"))
     n_train = train.count()
     model = LogisticRegression(featuresCol="features", labelCol=label, regParam=1.0 / (c * n_train),

@@ -129,6 +129,14 @@ def nearest_positions(states: DataFrame, n_positions: int) -> DataFrame:
     return states.withColumn("grid_pos", F.explode(hits))
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-partition for a Python group function over all shuffle partitions.
+
+    The adaptive planner sizes partitions by bytes and would put many small but expensive groups in one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def block_of(pos: str = "pos", rows: int = BLOCK_ROWS) -> Column:
     return F.expr(f"cast({pos} div {int(rows)} as int)")
 

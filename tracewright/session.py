@@ -50,6 +50,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` reliably, so that later stages neither recompute nor resample it."""
-    scratch_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` once to the shared folder and read it back.
+
+    Later stages neither recompute nor resample it, and a lost executor costs nothing.
+    """
+    path = fresh_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
