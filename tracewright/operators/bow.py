@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .ranking import ordered_index
 
 
+MAX_WIDTH = 1 << 20
+
+
 def token_counts(tokens: DataFrame) -> DataFrame:
     """(qid, token) -> count."""
     return tokens.groupBy("qid", "token").agg(F.count(F.lit(1)).alias("n"))
@@ -55,6 +58,8 @@ def _densify(width: int):
 
 def dense_rows(questions: DataFrame, weights: DataFrame, width: int) -> DataFrame:
     """One vocabulary-wide vector per question; a question without vocabulary tokens gets zeros."""
+    if width > MAX_WIDTH:
+        raise ValueError(f"{width} tokens are too many for dense rows: raise the minimum document frequency")
     sparse = weights.groupBy("qid").agg(F.collect_list(F.struct("idx", "weight")).alias("_e"))
     none: Column = F.array().cast("array<struct<idx:bigint,weight:double>>")
     joined = questions.join(sparse, "qid", "left").withColumn("_e", F.coalesce("_e", none))

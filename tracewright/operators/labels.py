@@ -99,3 +99,12 @@ def sample_gates(labelled: DataFrame, min_rows: int = 30, min_cell: int = 10) ->
               .when(F.least("n_shared", "n_salvageable") < min_cell, "small_cell")
               .otherwise("ok"))
     return counted.withColumn("status", status)
+
+
+def require_samples(labelled: DataFrame, min_rows: int = 30) -> None:
+    """Stop an evaluation that has too few wrong traces or only one outcome."""
+    gate = sample_gates(labelled, min_rows).first()
+    if gate["status"] == "too_few_rows":
+        raise RuntimeError(f"too few wrong traces: {gate['n']} < {min_rows}")
+    if gate["status"] == "one_class":
+        raise RuntimeError("only one outcome among the wrong traces, no probe can be trained")

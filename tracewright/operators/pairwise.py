@@ -202,4 +202,5 @@ def pairwise_metrics(states: DataFrame, theiler: int = 5, rows: int = TILE_ROWS)
     long = usable.where(F.col("n_steps") > rows)
     if long.select("n_steps").isEmpty():
         return out
-    return out.unionByName(_long(long, theiler, rows))
+    # the median search reads these rows several times
+    return out.unionByName(_long(cut_lineage(long), theiler, rows))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
@@ -43,10 +45,10 @@ def basis_frame(spark: SparkSession, basis: dict) -> DataFrame:
 
 
 def read_basis(spark: SparkSession, path: str, layer: int | None = None, source: str | None = None) -> dict:
-    """A stored basis; refuses one that was fitted for another layer or axis."""
+    """A stored basis. Scores along a basis of another layer or axis mean nothing, hence the warning."""
     basis = spark.read.schema(PCA_BASIS).json(path).first().asDict()
     if layer is not None and basis["layer"] != layer:
-        raise ValueError(f"basis is for layer {basis['layer']}, not {layer}")
+        warnings.warn(f"basis is for layer {basis['layer']}, not {layer}", stacklevel=2)
     if source is not None and (basis["source"] or "prefill") != source:
-        raise ValueError(f"basis is for {basis['source']} states, not {source}")
+        warnings.warn(f"basis is for {basis['source'] or 'prefill'} states, not {source}", stacklevel=2)
     return basis

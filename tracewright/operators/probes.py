@@ -207,9 +207,16 @@ def cv_sweep(states: DataFrame, labels: DataFrame, keys: list[str], label: str =
 
     The folds are dealt once over the rows and shared by all layers. One pass sums the moments of all
     (layer, fold) parts, training parts being differences of those sums; a second pass projects; then every
-    Newton iteration is one job for all cells. Nothing but width-sized sums reaches a single task.
+    Newton iteration is one job for all cells. Nothing but width-sized sums reaches a single task. `keys` must
+    be unique in `labels`. Labels of one class give NULL.
     """
     spark = states.sparkSession
+    classes = [r["count"] for r in labels.groupBy(label).count().limit(3).collect()]
+    if len(classes) < 2:
+        return states.select("layer").distinct().withColumn("auc", F.lit(None).cast("double")).withColumn(
+            "n_folds", F.lit(0).cast("long"))
+    if min(classes) < 2:
+        raise ValueError("every class needs at least two rows")
     assigned = stratified_folds(labels, keys, label, folds, seed).withColumnRenamed(label, "label")
     rows = states.join(assigned, keys).select(
         "layer", "fold", F.col("label").cast("int").alias("label"), "vec")
@@ -223,6 +230,8 @@ def cv_sweep(states: DataFrame, labels: DataFrame, keys: list[str], label: str =
     for chunk in _chunks([(r["layer"], r["bytes"]) for r in sizes]):
         part = _sweep_chunk(spark, rows.where(F.col("layer").isin(chunk)), solved.where(F.col("layer").isin(chunk)), c)
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("states and labels have no keys in common")
     return out
 
 

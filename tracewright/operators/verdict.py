@@ -24,6 +24,17 @@ def isolated(spark: SparkSession, step: Callable[[], DataFrame], schema: str) ->
         return spark.createDataFrame([tuple(None for _ in fields)], schema).withColumn("error", F.lit(str(e)[:500]))
 
 
+def not_run(spark: SparkSession, schema: str) -> DataFrame:
+    """The row of a step that an earlier failure made pointless."""
+    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+    return spark.createDataFrame([tuple("not_run" if n == "status" else None for n in names)], schema)
+
+
+def has_signal(core: DataFrame) -> bool:
+    row = core.first()
+    return row["error"] is None and row["auc"] is not None and row["auc"] > 0.5
+
+
 def go_no_go(core: DataFrame, control: DataFrame, precedence: DataFrame, min_margin: float = 0.05) -> DataFrame:
     """One row. An undefined AUC is no signal, so it can never lead to GO."""
     def named(df: DataFrame, prefix: str) -> DataFrame:

@@ -34,17 +34,19 @@ def w_decode(spark, sf_dir) -> DataFrame:
     ).select("qid", F.lit(0).alias("sample_idx"), "correct", "n_steps", F.lit(61).alias("n_new_tokens"))
 
 
-def decode_steps(spark, sf_dir) -> DataFrame:
-    """Captured steps with all layers of a step in one row."""
+def decode_steps(spark, sf_dir, only_wrong: bool = False) -> DataFrame:
+    """Captured steps with all layers of a step in one row, and the outcome of their trace."""
     steps = table(spark, sf_dir, "embeddings").select(
         F.expr("vec_id div 20").alias("qid"), F.lit(0).alias("sample_idx"),
         (F.col("vec_id") % 20).cast("int").alias("pos"), F.col("embedding"), _layers().alias("layers"))
-    lengths = w_decode(spark, sf_dir).select("qid", "n_steps", "n_new_tokens")
-    return steps.join(lengths, "qid").withColumn("step_index", F.col("pos") * 3)
+    traces = w_decode(spark, sf_dir).select("qid", "n_steps", "n_new_tokens", "correct")
+    if only_wrong:
+        traces = traces.where("correct = 0")
+    return steps.join(traces, "qid").withColumn("step_index", F.col("pos") * 3)
 
 
-def decode_states(spark, sf_dir) -> DataFrame:
-    return decode_steps(spark, sf_dir).select(
+def decode_states(spark, sf_dir, only_wrong: bool = False) -> DataFrame:
+    return decode_steps(spark, sf_dir, only_wrong).select(
         "qid", "sample_idx", "pos", "step_index", "n_steps", "n_new_tokens",
         F.posexplode("layers").alias("layer", "raw")).select(
         "qid", "sample_idx", "layer", "pos", "step_index", "n_steps", "n_new_tokens", doubles(F.col("raw")).alias("vec"))
@@ -105,7 +107,6 @@ def api_responses(spark, sf_dir, turns: DataFrame | None = None) -> DataFrame:
 
 def logits(spark, sf_dir) -> DataFrame:
     """Per-step logits: the raw vector of a step over a vocabulary of 64 entries."""
-    steps = decode_steps(spark, sf_dir).select(
-        "qid", "sample_idx", F.col("pos").alias("step"), "n_steps", doubles(F.col("embedding")).alias("logits"),
+    return decode_steps(spark, sf_dir).select(
+        "qid", "sample_idx", F.col("pos").alias("step"), "n_steps", "correct", doubles(F.col("embedding")).alias("logits"),
         (F.col("qid") % 64).cast("int").alias("answer_token_id"))
-    return steps.join(w_decode(spark, sf_dir).select("qid", "correct"), "qid")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from dataclasses import replace
 
-from ..operators import difficulty as DI, precedence as P, probes, verdict as V
+from ..operators import difficulty as DI, precedence as P
+from ..params import DEFAULTS
 from . import bindings as B
-from .evaluation import KEYS, SINGLE_BASE, predictions, single_norms
+from .evaluate import evaluate
+from .evaluation import KEYS, SINGLE_BASE, single_norms
 from .registry import query, rounded
 from .sql_parts import W_DECODE, W_SINGLE, with_
 
@@ -168,12 +170,8 @@ def trace_sample(spark, sf_dir):
 
 @query("verdict")
 def verdict(spark, sf_dir):
-    """Probe, both controls and the decision, each step isolated."""
-    scored = predictions(spark, sf_dir).persist()
-    core = V.isolated(spark, lambda: probes.probe_summary(scored).select("auc"), V.CORE)
-    control = V.isolated(spark, lambda: DI.with_t_test(DI.paired_comparison(DI.bin_aucs(DI.stratify(
-        scored, DI.pass_at_k(_attempts(spark, sf_dir)), KEYS)))).select("status", "delta_auc", "significant", "p_val"), V.CONTROL)
-    checks = V.isolated(spark, lambda: P.precedence_verdict(
-        P.check_traces(B.logits(spark, sf_dir).where("correct = 0"), GAP)).select("status", "verdict"), V.PRECEDENCE)
-    scored.unpersist()
-    return rounded(V.go_no_go(core, control, checks))
+    """Probe, both controls and the decision. All wrong traces are checked for precedence."""
+    params = replace(DEFAULTS, emergence_gap=GAP, trace_cap=0)
+    run = evaluate(B.w_single(spark, sf_dir), B.s_samples(spark, sf_dir), B.logits(spark, sf_dir), params, interval=False)
+    return rounded(run.verdict)
+

@@ -16,8 +16,7 @@ def _decode_labels(spark, sf_dir, missing_s="shared_hard"):
 
 
 def _wrong_states(spark, sf_dir):
-    wrong = B.w_decode(spark, sf_dir).where("correct = 0").select("qid")
-    return B.decode_states(spark, sf_dir).join(wrong, "qid", "left_semi")
+    return B.decode_states(spark, sf_dir, only_wrong=True)
 
 
 # -- row-local features --------------------------------------------------------------------------
@@ -272,8 +271,7 @@ def pca_variance(spark, sf_dir):
 
 @query("pca_projection")
 def pca_projection(spark, sf_dir):
-    states = B.decode_states(spark, sf_dir).where("layer = 7").persist()
-    basis = pca.fit_basis(states, layer=7, n_components=2, source="decode")
-    series = T.component_series(states.join(
-        B.w_decode(spark, sf_dir).where("correct = 0").select("qid"), "qid", "left_semi"), basis, 2)
+    """Group curves of the first two components; the basis is fitted on right and wrong traces alike."""
+    basis = pca.fit_basis(B.decode_states(spark, sf_dir), layer=7, n_components=2, source="decode")
+    series = T.component_series(_wrong_states(spark, sf_dir).where("layer = 7"), basis, 2)
     return T.group_curves(T.resample(series, 20, axis="step"), _decode_labels(spark, sf_dir))

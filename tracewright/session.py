@@ -13,6 +13,8 @@ SESSION_CONF = {
     # A hot question id is split at run time even if that costs one more exchange.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Vector sums per trajectory: hash this many groups per task before sorting the input instead.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "1024",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
 }
