@@ -72,14 +72,13 @@ def element(values: Column, index: Column) -> Column:
 
 def entropy_of_logits(logits: Column) -> Column:
     """Shannon entropy (nats) of softmax(logits), shifted by the maximum so that nothing overflows."""
-    def sums(top: Column) -> Column:
-        # sum(e) and sum(e * (l - top)) in one pass
-        return F.aggregate(
-            logits, F.struct(F.lit(0.0).alias("z"), F.lit(0.0).alias("zl")),
-            lambda s, x: let(F.exp(x - top), lambda e: F.struct(
-                (s["z"] + e).alias("z"), (s["zl"] + e * (x - top)).alias("zl"))),
-            lambda s: F.ln(s["z"]) - s["zl"] / s["z"])
-    return let(F.array_max(logits), sums)
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+
+    # ln(sum e) - sum(e * (l - top)) / sum(e) with e = exp(l - top)
+    return let(F.array_max(logits), lambda top: let(
+        F.transform(logits, lambda x: F.exp(x - top)), lambda e: let(
+            total(e), lambda z: F.ln(z) - total(F.zip_with(e, logits, lambda p, x: p * (x - top))) / z)))
 
 
 def logit_gap(logits: Column, answer_token: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.vectors import entropy_of_logits, logit_gap
+from ..session import cut_lineage
 from .curation import require_columns
 from .ranking import seeded_hash
 
@@ -72,14 +73,17 @@ def failure_lock(rolling: DataFrame, factor: float = 0.5, rows: int = BLOCK_STEP
     copies = limits.select(*TRACE, "limit", F.explode(
         F.expr(f"sequence(0, cast((n_steps - 1) div {int(rows)} as int))")).alias("block"))
     above = rolling.withColumn("block", F.expr(f"cast(step div {int(rows)} as int)")).join(
-        copies, [*TRACE, "block"]).where(F.col("rolling") > F.col("limit"))
+        copies, [*TRACE, "block"]).where((F.col("rolling") > F.col("limit")) & (F.col("step") < F.col("n_steps")))
     return above.groupBy(*TRACE).agg(F.min(F.struct("step", "rolling")).alias("_l")).select(
         *TRACE, F.col("_l.step").alias("lock_step"), F.col("_l.rolling").alias("divergence"))
 
 
 def check_traces(steps: DataFrame, gap: float = 1.0, factor: float = 0.5) -> DataFrame:
-    """Lock step, emergence step and check result of every trace."""
-    scalars = step_scalars(steps)
+    """Lock step, emergence step and check result of every trace.
+
+    The two numbers per step are written out once: reading the logits again for each use would cost far more.
+    """
+    scalars = cut_lineage(step_scalars(steps))
     joined = answer_emergence(scalars, gap).join(
         failure_lock(rolling_entropy(scalars), factor), TRACE, "left")
     lock, emerged = F.col("lock_step"), F.col("emergence_step")

@@ -68,9 +68,13 @@ def score_counts(df: DataFrame, cells: list[str], score: str, label: str, weight
 
 
 def score_edges(counts: DataFrame, cells: list[str], buckets: int = 64) -> DataFrame:
-    """Approximate score quantiles per cell. They only balance the work: any edges give exact results."""
+    """Approximate score quantiles per cell. They only balance the work: any edges give exact results.
+
+    Reading both counts keeps the input identical to its other use, so it is aggregated and shuffled once.
+    """
     cuts = [F.lit(i / buckets) for i in range(1, buckets)]
-    return counts.groupBy(*cells).agg(F.percentile_approx("score", F.array(*cuts), F.lit(1000)).alias("_edges"))
+    score = F.when(F.col("pos") + F.col("neg") > 0, F.col("score"))
+    return counts.groupBy(*cells).agg(F.percentile_approx(score, F.array(*cuts), F.lit(1000)).alias("_edges"))
 
 
 def bucket_of(score: Column, edges: Column) -> Column:
