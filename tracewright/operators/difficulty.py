@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut_lineage
 from .ranking import auc, hash_row_number
 
 ESTIMATORS = ("capped", "unbiased", "mean")
@@ -40,7 +41,7 @@ def stratify(test: DataFrame, stats: DataFrame, keys: list[str], n_bins: int = 5
     distinct difficulties) bins whose right-closed edge 1 + (n-1) i/q is not below r, in whole numbers.
     Fewer than two difficulties give the single bin 0, an unknown difficulty gives no bin.
     """
-    joined = test.join(stats.select("qid", "pass_at_1", "difficulty"), "qid", "left")
+    joined = cut_lineage(test.join(stats.select("qid", "pass_at_1", "difficulty"), "qid", "left"))
     known = joined.where(F.col("difficulty").isNotNull())
     levels = known.agg(F.least(F.lit(n_bins), F.count_distinct("difficulty")).cast("long").alias("q")).scalar()
     ranked = hash_row_number(known, keys, seed, order=["difficulty"]).withColumn("_q", levels)

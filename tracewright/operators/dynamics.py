@@ -153,7 +153,8 @@ def group_tests(long: DataFrame, labels: DataFrame, on: list[str] | None = None)
     """
     on = on or ["qid", "sample_idx"]
     cells = ["layer", "metric"]
-    joined = long.join(labels.select(*on, "label"), on)
+    # a few numbers per trajectory; both uses below would otherwise repeat the passes over the vectors
+    joined = cut_lineage(long.join(labels.select(*on, "label"), on).select(*cells, "value", "label"))
     medians = joined.groupBy(*cells).agg(
         F.median(F.when(F.col("label") == 1, F.col("value"))).alias("shared_hard_median"),
         F.median(F.when(F.col("label") == 0, F.col("value"))).alias("salvageable_median"))

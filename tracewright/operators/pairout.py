@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.arrow import matrix, one_row
+from ..session import cut_lineage
 from .states import spread
 
 # A cell's rows meet in one task, n^2 / 4 fits each: an estimator for small samples. Larger ones: cv_sweep.
@@ -85,8 +86,10 @@ def pair_out_auc(rows: DataFrame, cells: list[str], row_keys: list[str], label:
     The pairs of a cell are shared by as many tasks as they fill blocks; each task enumerates its own pairs.
     Cells whose matrix is too large for a task are refused, not shortened.
     """
+    # small by the limit below, but usually pooled from a large table that should be read once
+    rows = cut_lineage(rows.select(*cells, *row_keys, F.col(label).cast("int").alias("label"), "vec"))
     counts = rows.groupBy(*cells).agg(
-        F.count_if(F.col(label) == 1).alias("n_pos"), F.count_if(F.col(label) == 0).alias("n_neg"),
+        F.count_if(F.col("label") == 1).alias("n_pos"), F.count_if(F.col("label") == 0).alias("n_neg"),
         (F.count(F.lit(1)) * F.max(F.size("vec"))).alias("n_values"))
     usable = (F.col("n_pos") >= 2) & (F.col("n_neg") >= 2)
     # refused before any row is copied
@@ -97,7 +100,7 @@ def pair_out_auc(rows: DataFrame, cells: list[str], row_keys: list[str], label:
         F.expr(f"cast((n_pos * n_neg - 1) div {int(pairs_per_task)} as int)"))
     copies = rows.join(counts.where(usable), cells).withColumn(
         "_block", F.explode(F.sequence(F.lit(0), last_block))).select(
-        *cells, "_block", *row_keys, F.col(label).cast("int").alias("label"), "vec")
+        *cells, "_block", *row_keys, "label", "vec")
 
     def block_wins(key: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by([(k, "ascending") for k in row_keys])

@@ -217,7 +217,7 @@ def cv_sweep(states: DataFrame, labels: DataFrame, keys: list[str], label: str =
             "n_folds", F.lit(0).cast("long"))
     if min(classes) < 2:
         raise ValueError("every class needs at least two rows")
-    assigned = stratified_folds(labels, keys, label, folds, seed).withColumnRenamed(label, "label")
+    assigned = cut_lineage(stratified_folds(labels, keys, label, folds, seed).withColumnRenamed(label, "label"))
     rows = states.join(assigned, keys).select(
         "layer", "fold", F.col("label").cast("int").alias("label"), "vec")
     moments = rows.mapInArrow(_moment_parts, "layer int, fold int, i int, g array<double>").groupBy(
