@@ -17,7 +17,7 @@ def test_auc_with_ties_and_a_hot_cell(spark, levels):
     cell = np.where(rng.random(n) < 0.6, 0, rng.integers(1, 5, n))
     score, y = rng.integers(0, levels, n) / 7.0, rng.integers(0, 2, n)
     df = spark.createDataFrame([(int(c), float(s), int(v)) for c, s, v in zip(cell, score, y)], "c int, s double, y int")
-    got = {r["c"]: r for r in R.auc(df, ["c"], "s", "y", buckets=8).collect()}
+    got = {r["c"]: r for r in R.auc(df, ["c"], "s", "y", fan=3).collect()}
     for c in range(5):
         assert got[c]["auc"] == pytest.approx(brute_auc(score[cell == c], y[cell == c]), abs=1e-12)
     assert R.auc(df, [], "s", "y").first()["auc"] == pytest.approx(brute_auc(score, y), abs=1e-12)

@@ -28,7 +28,7 @@ def draws(spark, n_rows: int, replicates: int, seed: int = 0) -> DataFrame:
 
 
 def replicate_aucs(rows: DataFrame, keys: list[str], score: str, label: str, replicates: int = 10_000,
-                   seed: int = 0, buckets: int = 64) -> DataFrame:
+                   seed: int = 0) -> DataFrame:
     """(rep, auc) of every replicate that drew both classes.
 
     Cost and memory follow the draws: they are generated in parallel, looked up by row number, and summed
@@ -37,9 +37,9 @@ def replicate_aucs(rows: DataFrame, keys: list[str], score: str, label: str, rep
     one = cut_lineage(rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(
         *keys, F.col(score).cast("double").alias("score"), F.col(label).alias("label"), F.lit(0).alias("_all")))
     n_rows = one.count()
-    edges = score_edges(score_counts(one, ["_all"], "score", "label"), ["_all"], buckets)
+    edges = F.broadcast(score_edges(score_counts(one, ["_all"], "score", "label"), ["_all"]))  # one row
     numbered = hash_row_number(one, keys, seed).join(edges, "_all").select(
-        "row_no", "score", "label", bucket_of(F.col("score"), F.col("_edges")).alias("_bucket"))
+        "row_no", "score", "label", bucket_of(F.col("score"), F.col("_edges"), F.col("_coarse")).alias("_bucket"))
     # the size is known here; otherwise the planner might ship the draws instead
     numbered = F.broadcast(numbered) if n_rows <= BROADCAST_ROWS else numbered.hint("merge")
     # one shuffle by replicate, all equally large; every later step keeps this placement

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.vectors import let
 from ..session import cut_lineage
 
 HASH_BITS = 32
 BUCKET_BITS = 12
+SALTS = 32
 
 
 def seeded_hash(*parts: Column, seed: int = 0) -> Column:
@@ -67,18 +69,23 @@ def score_counts(df: DataFrame, cells: list[str], score: str, label: str, weight
         F.sum(F.when(F.col(label) == 1, zero).otherwise(weight)).alias("neg"))
 
 
-def score_edges(counts: DataFrame, cells: list[str], buckets: int = 64) -> DataFrame:
-    """Approximate score quantiles per cell. They only balance the work: any edges give exact results.
+def score_edges(counts: DataFrame, cells: list[str], fan: int = 8) -> DataFrame:
+    """Approximate score quantiles that cut each cell into fan^2 buckets, and every fan-th of them.
 
-    Reading both counts keeps the input identical to its other use, so it is aggregated and shuffled once.
+    They only balance the work: any edges give exact results. Reading both counts keeps the input identical to
+    its other use, so it is aggregated and shuffled once.
     """
-    cuts = [F.lit(i / buckets) for i in range(1, buckets)]
+    cuts = [F.lit(i / fan ** 2) for i in range(1, fan ** 2)]
     score = F.when(F.col("pos") + F.col("neg") > 0, F.col("score"))
-    return counts.groupBy(*cells).agg(F.percentile_approx(score, F.array(*cuts), F.lit(1000)).alias("_edges"))
+    edges = counts.groupBy(*cells).agg(F.percentile_approx(score, F.array(*cuts), F.lit(1000)).alias("_edges"))
+    return edges.withColumn("_coarse", F.array(*[F.col("_edges")[fan * i - 1] for i in range(1, fan)]))
 
 
-def bucket_of(score: Column, edges: Column) -> Column:
-    return F.size(F.filter(edges, lambda e: e < score))
+def bucket_of(score: Column, edges: Column, coarse: Column, fan: int = 8) -> Column:
+    """Number of edges below the score, found in two steps of `fan` comparisons."""
+    def below(some: Column) -> Column:
+        return F.size(F.filter(some, lambda e: e < score))
+    return let(below(coarse), lambda c: c * fan + below(F.slice(edges, c * fan + 1, F.lit(fan - 1))))
 
 
 def wins_from_buckets(counts: DataFrame, cells: list[str]) -> DataFrame:
@@ -105,19 +112,24 @@ def wins_from_buckets(counts: DataFrame, cells: list[str]) -> DataFrame:
 
 
 def pair_wins(df: DataFrame, cells: list[str], score: str, label: str, weight: Column | None = None,
-              buckets: int = 64) -> DataFrame:
+              fan: int = 8) -> DataFrame:
     """Per cell: class sizes, the number of (positive, negative) pairs ranked right, and the tie term."""
     keys = cells or ["_all"]
     source = df if cells else df.withColumn("_all", F.lit(0))
     counts = score_counts(source, keys, score, label, weight)
-    placed = counts.join(score_edges(counts, keys, buckets), keys).withColumn(
-        "_bucket", bucket_of(F.col("score"), F.col("_edges"))).drop("_edges")
+    # salted: a plain join on the cell would gather a hot cell, and the windows would keep that placement
+    edges = score_edges(counts, keys, fan).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # never NULL, so that no inferred filter makes this branch differ from the one below the edges
+    salt = F.coalesce(F.pmod(F.xxhash64("score"), F.lit(SALTS)).cast("int"), F.lit(0))
+    salted = counts.withColumn("_salt", salt)
+    placed = salted.join(edges, [*keys, "_salt"]).withColumn(
+        "_bucket", bucket_of(F.col("score"), F.col("_edges"), F.col("_coarse"), fan)).drop("_edges", "_coarse", "_salt")
     out = wins_from_buckets(placed, keys)
     return out if cells else out.drop("_all")
 
 
-def auc(df: DataFrame, cells: list[str], score: str, label: str, buckets: int = 64) -> DataFrame:
+def auc(df: DataFrame, cells: list[str], score: str, label: str, fan: int = 8) -> DataFrame:
     """ROC AUC per cell with half credit for ties; NULL where a class is missing."""
-    return pair_wins(df, cells, score, label, buckets=buckets).withColumn(
+    return pair_wins(df, cells, score, label, fan=fan).withColumn(
         "auc", F.try_divide(F.col("wins"), F.col("n_pos").cast("double") * F.col("n_neg"))) \
         .drop("wins", "tie_term")
