@@ -27,7 +27,9 @@ class Evaluation:
 def labelled_features(traces: DataFrame, s_samples: DataFrame, params: EvalParams = DEFAULTS,
                       missing_s: str = "shared_hard") -> DataFrame:
     """Early-layer features of the wrong traces with their outcome label."""
-    labelled = L.label_outcomes(traces, L.pass_stats(s_samples), missing_s, threshold=params.pass_threshold)
+    # as a table the rates have a measured size: the planner need not shuffle the wide traces to learn it
+    stats = cut_lineage(L.pass_stats(s_samples))
+    labelled = L.label_outcomes(traces, stats, missing_s, threshold=params.pass_threshold)
     L.require_samples(labelled.select("label"), params.min_w_wrong_samples)
     return FE.early_trace_features(labelled, params.prefix_fraction)
 
