@@ -21,14 +21,14 @@ def test_blobs(spark, tmp_path):
     ds = tmp_path / "results" / "bench" / "aime"
     write(ds / "m one" / "20240101.json", [record(1, 0.0)])
     write(ds / "m one" / "20250101.json", [record(1, 1.0), record(2, 0.5, prompt="", origin_query="orig"), record(3, None)])
-    write(ds / "m2" / "20240101.json", [record(1, 0.6, prompt="other")])
+    write(ds / "m2+b" / "20240101.json", [record(1, 0.6, prompt="other")])
     (ds / "empty").mkdir()
     where = blobs.find_dataset_dir(spark, str(tmp_path), "aime")
     dirs = blobs.find_model_dirs(spark, where)
-    assert [d.rsplit("/", 1)[1] for d in dirs] == ["m one", "m2"]
+    assert [d.rsplit("/", 1)[1] for d in dirs] == ["m one", "m2+b"]
     pool = C.pool_records(blobs.read_latest_records(spark, dirs))
-    got = {(r["model"].replace("%20", " "), r["qid"], r["query"], r["correct"]) for r in pool.collect()}
-    assert got == {("m one", "q1", "p1", 1), ("m one", "q2", "orig", 0), ("m2", "q1", "other", 1)}
+    got = {(r["model"], r["qid"], r["query"], r["correct"]) for r in pool.collect()}
+    assert got == {("m one", "q1", "p1", 1), ("m one", "q2", "orig", 0), ("m2+b", "q1", "other", 1)}
     assert {r["qid"]: r["query"] for r in C.pool_questions(pool).collect()} == {"q1": "p1", "q2": "orig"}
     with pytest.raises(FileNotFoundError, match="aime"):
         blobs.find_dataset_dir(spark, str(tmp_path), "nope")
@@ -118,6 +118,15 @@ def test_repeated_batch_replaces_itself(spark, tmp_path):
     assert spark.read.json(I.side_car(out)).count() == 1
 
 
+def test_usable_answer_wins_within_a_batch(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    answers(spark, src, [("q0", 0, 503, ""), ("q0", 0, 200, "(B)"), ("q0", 0, 200, "(C)"), ("q1", 0, 503, "")])
+    questions = spark.createDataFrame([("q0", "", "B"), ("q1", "", "B")], schemas.QUESTIONS)
+    I.score_batch(spark.read.parquet(src), questions, out, "r", 0)
+    assert [(r["qid"], r["correct"]) for r in spark.read.parquet(out).collect()] == [("q0", 1)]
+    assert [r["qid"] for r in spark.read.json(I.side_car(out)).collect()] == ["q1"]
+
+
 def test_late_repeats(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.sql("select 'q' qid, 0 sample_idx, timestamp'2024-01-01 00:00:00' ts union all "

@@ -73,5 +73,7 @@ def read_latest_records(spark: SparkSession, model_dirs: list[str]) -> DataFrame
     # one path per model folder; the folders were listed by the driver already
     chosen = [r["path"] for r in latest_per_model(listed.withColumn("model", model)).collect()]
     blobs = spark.read.schema(RESULT_BLOB).option("multiLine", "true").json(chosen)
-    return blobs.select(F.col("_metadata.file_path").alias("path"), F.explode("records").alias("r")).select(
+    # the scan reports its files as URIs; a plus sign is no blank in a path
+    plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return blobs.select(plain.alias("path"), F.explode("records").alias("r")).select(
         model.alias("model"), "r.*")

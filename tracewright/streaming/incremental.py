@@ -40,15 +40,19 @@ def score_batch(batch: DataFrame, questions: DataFrame, out: str, run: str, batc
     """Score what is new in one batch; results and failures go to folders of this run and batch.
 
     A batch that is repeated after a failure replaces its own folders, so nothing is written twice. Keys of
-    other batches and of earlier runs are skipped; failed keys stay open and are tried again.
+    other batches and of earlier runs are skipped; failed keys stay open and are tried again. Of several answers
+    to one key in a batch a usable one is taken, always the same.
     """
     spark = batch.sparkSession
     place = f"run={run}/batch_id={batch_id}"
-    fresh = batch.dropDuplicates(list(keys))
+    parsed = parse_responses(batch)
+    rank = F.struct(F.col("error").isNotNull(), F.coalesce("raw_generation", "error"))
+    others = [c for c in parsed.columns if c not in keys]
+    fresh = parsed.groupBy(*keys).agg(F.min_by(F.struct(*others), rank).alias("_r")).select(*keys, "_r.*")
     if _exists(spark, out):
-        others = spark.read.parquet(out).where((F.col("run") != run) | (F.col("batch_id") != batch_id))
-        fresh = fresh.join(others.select(*keys), list(keys), "left_anti")
-    attempts = score_responses(parse_responses(fresh), questions, answer_type).persist()
+        done = spark.read.parquet(out).where((F.col("run") != run) | (F.col("batch_id") != batch_id))
+        fresh = fresh.join(done.select(*keys), list(keys), "left_anti")
+    attempts = score_responses(fresh, questions, answer_type).persist()
     try:
         results, errors = split_errors(attempts)
         results.write.mode("overwrite").parquet(f"{out.rstrip('/')}/{place}")
