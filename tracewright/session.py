@@ -37,7 +37,7 @@ def scratch_root(spark: SparkSession) -> str:
     would lose the data together with its machine.
     """
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if root:
         return root
     if not sc.master.startswith("local"):
