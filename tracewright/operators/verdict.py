@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 CORE = "auc double"
 CONTROL = "status string, delta_auc double, significant boolean, p_val double"
@@ -35,8 +35,19 @@ def has_signal(core: DataFrame) -> bool:
     return row["error"] is None and row["auc"] is not None and row["auc"] > 0.5
 
 
+def verdict_of(auc: Column, core_error: Column, control_error: Column, significant: Column, delta: Column,
+               precedence: Column, min_margin: float = 0.05) -> Column:
+    """The decision rule. An undefined AUC is no signal, so it can never lead to GO."""
+    beats = F.coalesce(significant & (delta >= min_margin), F.lit(False))
+    return (F.when(core_error.isNotNull() | auc.isNull() | F.isnan(auc) | (auc <= 0.5), "NO-GO")
+            .when(control_error.isNotNull(), "BLOCKED")
+            .when(~beats, "NO-GO (difficulty only)")
+            .when(precedence == "suspicious", "CONDITIONAL")
+            .otherwise("GO"))
+
+
 def go_no_go(core: DataFrame, control: DataFrame, precedence: DataFrame, min_margin: float = 0.05) -> DataFrame:
-    """One row. An undefined AUC is no signal, so it can never lead to GO."""
+    """One row with the state of each step and the decision."""
     def named(df: DataFrame, prefix: str) -> DataFrame:
         present = df if "error" in df.columns else df.withColumn("error", F.lit(None).cast("string"))
         return present.select(*[F.col(c).alias(f"{prefix}_{c}") for c in present.columns])
@@ -45,13 +56,8 @@ def go_no_go(core: DataFrame, control: DataFrame, precedence: DataFrame, min_mar
     stacked = named(core, "core").unionByName(named(control, "control"), allowMissingColumns=True).unionByName(
         named(precedence, "precedence"), allowMissingColumns=True)
     row = stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
-    beats = F.coalesce(F.col("control_significant") & (F.col("control_delta_auc") >= min_margin), F.lit(False))
-    verdict = (F.when(F.col("core_error").isNotNull() | F.col("core_auc").isNull() | F.isnan("core_auc")
-                      | (F.col("core_auc") <= 0.5), "NO-GO")
-               .when(F.col("control_error").isNotNull(), "BLOCKED")
-               .when(~beats, "NO-GO (difficulty only)")
-               .when(F.col("precedence_verdict") == "suspicious", "CONDITIONAL")
-               .otherwise("GO"))
+    verdict = verdict_of(F.col("core_auc"), F.col("core_error"), F.col("control_error"), F.col("control_significant"),
+                         F.col("control_delta_auc"), F.col("precedence_verdict"), min_margin)
     status = (F.when(F.col("core_error").isNotNull(), "error").when(F.col("core_auc").isNull() | F.isnan("core_auc"), "undefined")
               .when(F.col("core_auc") <= 0.5, "fail").otherwise("pass"))
     return row.select(status.alias("core_status"), "core_auc", "control_status", "control_delta_auc", "control_significant",

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from ..operators import difficulty as DI, precedence as P
+from pyspark.sql import functions as F
+
+from ..operators import difficulty as DI, precedence as P, verdict as V
 from ..params import DEFAULTS
 from . import bindings as B
 from .evaluate import evaluate
@@ -175,3 +177,22 @@ def verdict(spark, sf_dir):
     run = evaluate(B.w_single(spark, sf_dir), B.s_samples(spark, sf_dir), B.logits(spark, sf_dir), params, interval=False)
     return rounded(run.verdict)
 
+
+@query("verdict_rule", """
+WITH runs AS (
+  SELECT user_id AS run, avg(value) / 100 + 0.2 AS auc, count(*) FILTER (WHERE event_type = 'error') AS n_error,
+         avg(event_id % 2) > 0.45 AS significant, min(value) / 20 AS delta,
+         CASE WHEN max(event_id) % 2 = 0 THEN 'suspicious' ELSE 'pass' END AS leak FROM events GROUP BY 1)
+SELECT run, CASE WHEN auc <= 0.5 THEN 'NO-GO' WHEN n_error % 7 = 0 THEN 'BLOCKED'
+                 WHEN NOT (significant AND delta >= 0.05) THEN 'NO-GO (difficulty only)'
+                 WHEN leak = 'suspicious' THEN 'CONDITIONAL' ELSE 'GO' END AS verdict FROM runs""")
+def verdict_rule(spark, sf_dir):
+    """The decision rule over a table of runs, here one per user."""
+    runs = B.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run")).agg(
+        (F.avg("value") / 100 + 0.2).alias("auc"), F.count_if(F.col("event_type") == "error").alias("n_error"),
+        (F.avg(F.col("event_id") % 2) > 0.45).alias("significant"), (F.min("value") / 20).alias("delta"),
+        F.when(F.max("event_id") % 2 == 0, "suspicious").otherwise("pass").alias("leak"))
+    none = F.lit(None).cast("string")
+    blocked = F.when(F.col("n_error") % 7 == 0, "failed")
+    return runs.select("run", V.verdict_of(
+        F.col("auc"), none, blocked, F.col("significant"), F.col("delta"), F.col("leak")).alias("verdict"))

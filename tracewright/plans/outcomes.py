@@ -94,3 +94,19 @@ def cohort_cells(spark, sf_dir):
         F.col("qid") < w.agg(half.alias("half")).scalar(), "first").otherwise("second").alias("cohort"))
     labelled = L.label_outcomes(w, L.pass_stats(B.s_samples(spark, sf_dir, 25)))
     return labelled.join(cohorts, "qid").groupBy("cohort", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("null_policies", with_("""w AS (
+  SELECT vec_id // 5 AS qid, CASE WHEN label <> 3 THEN CAST(label >= 7 AS INTEGER) END AS correct FROM embeddings)""",
+                              s_rate(), body="""
+SELECT p.policy, CASE WHEN s.pass_rate > 0.5 THEN 0 ELSE 1 END AS label, count(*) AS n
+FROM w CROSS JOIN (VALUES ('drop', NULL), ('wrong', 0), ('right', 1)) p(policy, stand_in) LEFT JOIN s_rate s USING (qid)
+WHERE coalesce(w.correct, p.stand_in) = 0 GROUP BY 1, 2"""))
+def null_policies(spark, sf_dir):
+    """Outcome cells when traces without a score are dropped, counted as wrong, or counted as right."""
+    stats = L.pass_stats(B.s_samples(spark, sf_dir))
+    w = B.table(spark, sf_dir, "embeddings").select(
+        F.expr("vec_id div 5").alias("qid"), F.when(F.col("label") != 3, (F.col("label") >= 7).cast("int")).alias("correct"))
+    parts = [L.outcome_cells(L.label_outcomes(w, stats, null_policy=p)).withColumn("policy", F.lit(p))
+             for p in L.NULL_POLICIES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
