@@ -14,7 +14,7 @@ from ..schemas import TRAJECTORY
 from ..session import cut_lineage
 from .pairwise import pairwise_metrics
 from .ranking import pair_wins
-from .states import BLOCK_ROWS, block_of, spread, spread_over_blocks, with_halo
+from .states import BLOCK_ROWS, GROUP_ROWS, block_of, spread, spread_over_blocks, with_halo
 
 METRICS = ["mean_step_norm", "tortuosity", "mean_consec_cos", "longrange_selfsim", "settle_frac", "spread",
            "nearest_revisit", "intrinsic_dim"]
@@ -78,7 +78,7 @@ def _lagged_sums(at: np.ndarray, is_target: np.ndarray, unit: np.ndarray) -> tup
     return within, sources.sum(axis=0), targets.sum(axis=0)
 
 
-def long_range_similarity(states: DataFrame, lag_fraction: float = 0.25, rows: int = BLOCK_ROWS) -> DataFrame:
+def long_range_similarity(states: DataFrame, lag_fraction: float = 0.25, rows: int = GROUP_ROWS) -> DataFrame:
     """Mean cosine over all step pairs at least max(1, floor(n * lag_fraction)) apart, without the pairs.
 
     The sum over i <= j - lag of u_i . u_j is u_j . P(j - lag) with P the running sum of unit vectors. Sample
@@ -132,7 +132,7 @@ def long_range_similarity(states: DataFrame, lag_fraction: float = 0.25, rows: i
 def trajectory_metrics(states: DataFrame, theiler: int = 5, rows: int = BLOCK_ROWS) -> DataFrame:
     """All eight metrics, one row per trajectory. The input is read by three passes: persist it if costly."""
     return (linear_metrics(states, rows=rows)
-            .join(long_range_similarity(states, rows=rows), TRAJECTORY, "left")
+            .join(long_range_similarity(states, rows=min(rows, GROUP_ROWS)), TRAJECTORY, "left")
             .join(pairwise_metrics(states, theiler), TRAJECTORY, "left")
             .select(*TRAJECTORY, "n_steps", *METRICS))
 

@@ -15,9 +15,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.arrow import keyed_rows, matrix, one_row
 from ..schemas import TRAJECTORY
 from ..session import cut_lineage
-from .states import spread
+from .states import GROUP_ROWS, spread
 
-TILE_ROWS = 1024
 BINS = 1024
 
 
@@ -193,7 +192,7 @@ def _long(states: DataFrame, theiler: int, rows: int) -> DataFrame:
         *TRAJECTORY, F.try_divide("near", "median").alias("nearest_revisit"), "intrinsic_dim")
 
 
-def pairwise_metrics(states: DataFrame, theiler: int = 5, rows: int = TILE_ROWS) -> DataFrame:
+def pairwise_metrics(states: DataFrame, theiler: int = 5, rows: int = GROUP_ROWS) -> DataFrame:
     """`nearest_revisit` and `intrinsic_dim` per trajectory; NULL when no two steps are far enough apart."""
     if theiler < 1:
         raise ValueError("the window must exclude at least the step itself and its neighbours")

@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.vectors import doubles
 from ..schemas import TRAJECTORY
 
-# Upper bound on the rows of one trajectory that meet in one task.
+# Upper bound on the rows of one trajectory that meet in one task: in a window, which spills, and in a Python
+# group, which is held in memory (1,024 samples of width 2,560 are 21 MB).
 BLOCK_ROWS = 4096
+GROUP_ROWS = 1024
 
 
 def absolute_layers(captured: Column, n_layers: Column) -> Column:
