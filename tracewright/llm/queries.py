@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, pieces
+from . import langid, mixing, pieces, simhash
 from .common import doc_hash_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(sql: str | None = None):
+    def register(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
+    return register
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +31,7 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return str(public_tokenizers.path(name))
 
 
-@query
+@query()
 def op6_language_id(spark, sf_dir):
     docs = documents(spark, sf_dir)
     held_out = doc_hash_remainder(4) == 2
@@ -35,10 +39,20 @@ def op6_language_id(spark, sf_dir):
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-@query
+@query()
 def op10_sentencepiece(spark, sf_dir):
     found = pieces.encode(documents(spark, sf_dir), tokenizer_path(), ["doc_id"])
     return found.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query()
+def op2_simhash(spark, sf_dir):
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@query(mixing.ORACLE)
+def op9_mix(spark, sf_dir):
+    return mixing.mixed(mixing.sized(documents(spark, sf_dir)))
