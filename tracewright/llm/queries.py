@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, mixing, pieces, simhash
+from . import langid, mixing, pieces, simhash, suffixes
 from .common import doc_hash_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,9 @@ def op2_simhash(spark, sf_dir):
 @query(mixing.ORACLE)
 def op9_mix(spark, sf_dir):
     return mixing.mixed(mixing.sized(documents(spark, sf_dir)))
+
+
+@query()
+def op8_suffix_dedup(spark, sf_dir):
+    return suffixes.cut(documents(spark, sf_dir), ["doc_id"]).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
