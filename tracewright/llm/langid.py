@@ -103,17 +103,19 @@ def best_language(model: LanguageModel, text: str | None) -> tuple[str, float]:
     return model.languages[top], float(1.0 / np.exp(scores - scores[top]).sum())
 
 
-def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:
-    """`keep` columns (all if not given) with `lang_pred` and `score`; these replace columns of the same name."""
+def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None,
+             names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """`keep` columns (all if not given) with the language and its score; these replace columns of the same name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(block):
         found = [best_language(shared.value, t) for t in block.column("text").to_pylist()]
         return [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
     return add_columns(docs, docs.columns if keep is None else keep,
-                       [StructField("lang_pred", StringType()), StructField("score", DoubleType())], predict)
+                       [StructField(names[0], StringType()), StructField(names[1], DoubleType())], predict)
 
 
-def accepted(min_score: float = 0.5) -> Column:
-    """Documents that have a language: some letter, and a posterior of at least `min_score`."""
-    return (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)
+def accepted(docs: DataFrame, model: LanguageModel, min_score: float = 0.5) -> DataFrame:
+    """The rows of `docs` that have a language: some letter, and a posterior of at least `min_score`."""
+    found = identify(docs, model, names=("_lang_pred", "_lang_score"))
+    return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= min_score)).select(*docs.columns)

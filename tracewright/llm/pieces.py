@@ -82,7 +82,7 @@ class Encoder:
         self.size = [1 if b else len(p.piece.encode()) for p, b in zip(proto.pieces, self.byte_piece)]
         self.by_word = (not self.map.units and self.spec.add_dummy_prefix and self.spec.escape_whitespaces
                         and not self.spec.remove_extra_whitespaces and not self.suffix
-                        and proto.trainer_spec.byte_fallback
+                        and proto.trainer_spec.byte_fallback and any(p.piece == SPACE for p in proto.pieces)
                         and not any(SPACE in p.piece.lstrip(SPACE) or " " in p.piece or p.type == p.USER_DEFINED
                                     for p in proto.pieces))
         self.cache: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -157,7 +157,8 @@ class Encoder:
         """Ids and ends of a word that begins with a blank, counted from the word's start in the source."""
         hit = self.cache.get(word)
         if hit is None:
-            ids = self.library.encode(word[1:])  # the library puts the first blank back
+            # The library puts the first blank back, but not on an empty text.
+            ids = self.library.encode(word[1:]) if word != SPACE else [self.library.piece_to_id(SPACE)]
             normal = word.encode()
             sizes = np.fromiter((self.size[i] for i in ids), np.int64, len(ids))
             cuts = np.cumsum(sizes)
