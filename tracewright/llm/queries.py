@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, mixing, pieces, simhash, suffixes
+from . import langid, licenses, mixing, pieces, simhash, suffixes
 from .common import doc_hash_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,8 @@ def op9_mix(spark, sf_dir):
 def op8_suffix_dedup(spark, sf_dir):
     return suffixes.cut(documents(spark, sf_dir), ["doc_id"]).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query()
+def op3_license_scan(spark, sf_dir):
+    return licenses.labelled(documents(spark, sf_dir))
