@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, licenses, mixing, pieces, simhash, suffixes
+from . import digest, hamming, langid, licenses, mixing, pieces, simhash, suffixes
 from .common import doc_hash_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,14 @@ def op8_suffix_dedup(spark, sf_dir):
 @query()
 def op3_license_scan(spark, sf_dir):
     return licenses.labelled(documents(spark, sf_dir))
+
+
+@query()
+def op4_digest(spark, sf_dir):
+    return digest.with_next(documents(spark, sf_dir))
+
+
+@query(hamming.ORACLE)
+def op7_hamming_top_k(spark, sf_dir):
+    rows = hamming.codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return hamming.top_k(rows, rows.where("vec_id % 20 = 0"))
