@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import digest, hamming, langid, licenses, mixing, pieces, simhash, suffixes
+from . import digest, hamming, hmm, langid, licenses, mixing, pieces, simhash, suffixes
 from .common import doc_hash_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,8 @@ def op4_digest(spark, sf_dir):
 def op7_hamming_top_k(spark, sf_dir):
     rows = hamming.codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return hamming.top_k(rows, rows.where("vec_id % 20 = 0"))
+
+
+@query()
+def op5_hmm_score(spark, sf_dir):
+    return hmm.score(documents(spark, sf_dir))
