@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import digest, hamming, hmm, langid, licenses, mixing, pieces, simhash, suffixes
+from . import digest, hamming, hmm, langid, licenses, mixing, pieces, quality, simhash, suffixes
 from .common import doc_hash_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def op7_hamming_top_k(spark, sf_dir):
 @query()
 def op5_hmm_score(spark, sf_dir):
     return hmm.score(documents(spark, sf_dir))
+
+
+@query()
+def op1_quality(spark, sf_dir):
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
