@@ -37,14 +37,14 @@ def texts_of(block: pa.RecordBatch, column: str = "text") -> list[str]:
 
 
 def add_columns(docs: DataFrame, keep: list[str], fields: list[StructField],
-                fn: Callable[[pa.RecordBatch], list], limit: int = BLOCK_BYTES) -> DataFrame:
-    """`keep` columns and those that `fn` computes from blocks of rows with `text`.
+                fn: Callable[[pa.RecordBatch], list], limit: int = BLOCK_BYTES, also: tuple[str, ...] = ()) -> DataFrame:
+    """`keep` columns and those that `fn` computes from blocks of rows with `text` and `also`.
 
     A new column takes the place of a kept one of the same name.
     """
     names = {f.name for f in fields}
     keep = [c for c in dict.fromkeys(keep) if c not in names]
-    read = docs.select(*dict.fromkeys([*keep, "text"]))
+    read = docs.select(*dict.fromkeys([*keep, "text", *also]))
     schema = StructType([*(read.schema[c] for c in keep), *fields])
 
     def run(batches):

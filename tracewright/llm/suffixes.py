@@ -183,18 +183,19 @@ def compared(rows: DataFrame) -> DataFrame:
 
 def _spans(rows: DataFrame) -> DataFrame:
     """Per document its (s, n) pairs, each in one number."""
-    return rows.groupBy("id").agg(F.collect_list(F.shiftleft(F.col("s").cast("long"), 32) + F.col("n")).alias("spans"))
+    return rows.groupBy(F.col("id").alias("_id")).agg(
+        F.collect_list(F.shiftleft(F.col("s").cast("long"), 32) + F.col("n")).alias("_spans"))
 
 
 def _with_spans(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    return docs.withColumn("id", _id()).join(_spans(rows), "id", how)
+    return docs.withColumn("_id", _id()).join(_spans(rows), "_id", how)
 
 
 def windows(docs: DataFrame, rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """(a, b, id, s): two hashes of the bytes of every window of `rows`."""
     def run(batches):
         for block in blocks(batches, limit=BLOCK):
-            for i, text, spans in zip(*(block.column(c).to_pylist() for c in ("id", "text", "spans"))):
+            for i, text, spans in zip(*(block.column(c).to_pylist() for c in ("_id", "text", "_spans"))):
                 data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
                 if len(data) < length:
                     continue
@@ -205,7 +206,7 @@ def windows(docs: DataFrame, rows: DataFrame, length: int = LENGTH) -> DataFrame
                 a, b = (rolling(data, length, f)[at].view(np.int64) for f in (0, 1))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(a), pa.array(b), pa.array(np.full(len(at), i)), pa.array(at.astype(np.int32))], ["a", "b", "id", "s"])
-    return _with_spans(docs.select("doc_id", "text"), rows, "inner").select("id", "text", "spans").mapInArrow(
+    return _with_spans(docs.select("doc_id", "text"), rows, "inner").select("_id", "text", "_spans").mapInArrow(
         run, "a long, b long, id long, s int")
 
 
@@ -260,12 +261,11 @@ def cut(docs: DataFrame, keep: list[str] | None = None, length: int = LENGTH) ->
     """
     keep = docs.columns if keep is None else keep
     read = docs.select(*dict.fromkeys([*keep, "doc_id", "text"]))
-    spanned = _with_spans(read.withColumnRenamed("spans", "_spans"), repeated(docs, length), "left") if "spans" in read.columns \
-        else _with_spans(read, repeated(docs, length), "left")
+    spanned = _with_spans(read, repeated(docs, length), "left")
 
     def run(block):
         out = [[], [], [], [], []]
-        for text, spans in zip(block.column("text").to_pylist(), block.column("spans").to_pylist()):
+        for text, spans in zip(block.column("text").to_pylist(), block.column("_spans").to_pylist()):
             data = (text or "").encode("utf-8", "surrogatepass")
             left, runs = data, 0
             if spans:
@@ -282,5 +282,4 @@ def cut(docs: DataFrame, keep: list[str] | None = None, length: int = LENGTH) ->
         return [*(pa.array(c, pa.int64()) for c in out[:3]), *(pa.array(c, pa.string()) for c in out[3:])]
     fields = [*(StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")),
               StructField("kept_sha256", StringType()), StructField("kept_text", StringType())]
-    kept = add_columns(spanned, [*keep, "spans"], fields, run)
-    return kept.drop("spans")
+    return add_columns(spanned, keep, fields, run, also=("_spans",))
