@@ -4,7 +4,7 @@ Normalisation takes, at every place, the longest prefix that the model's compile
 each normalised byte the source byte it came from. The pieces' lengths in normalised bytes then give, through that
 alignment, each piece's end in the source. Piece ids are those of the sentencepiece library.
 
-Texts repeat words, so where the model allows it a text is cut at word starts and every distinct word of a task is
+Texts repeat words, so where the model allows it a text is cut at word starts and every distinct word of a block is
 encoded once. It allows it if it has no character map, keeps all blanks, and has no piece with a word start inside:
 then no merge can reach over such a cut, and the ids are the same as those of the whole text (tests compare both).
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,6 @@ from .common import add_columns, texts_of
 SPACE = "▁"
 _BLANK = SPACE.encode()
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-CACHE_WORDS = 200_000  # distinct words a task remembers at a time; only speed depends on it
-CACHE_BYTES = 256  # longer words are encoded each time
 
 
 class CharacterMap:
@@ -85,7 +84,8 @@ class Encoder:
                         and proto.trainer_spec.byte_fallback and any(p.piece == SPACE for p in proto.pieces)
                         and not any(SPACE in p.piece.lstrip(SPACE) or " " in p.piece or p.type == p.USER_DEFINED
                                     for p in proto.pieces))
-        self.cache: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.sizes = np.array(self.size, np.int64)
+        self.blank = self.library.piece_to_id(SPACE)
 
     def normalise(self, text: str) -> tuple[bytes, list[int]]:
         """Normalised bytes, and for each of them (and the end) the place in the source where it begins."""
@@ -153,42 +153,52 @@ class Encoder:
             at += 1
         return at
 
-    def _word(self, word: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and ends of a word that begins with a blank, counted from the word's start in the source."""
-        hit = self.cache.get(word)
-        if hit is None:
-            # The library puts the first blank back, but not on an empty text.
-            ids = self.library.encode(word[1:]) if word != SPACE else [self.library.piece_to_id(SPACE)]
-            normal = word.encode()
-            sizes = np.fromiter((self.size[i] for i in ids), np.int64, len(ids))
-            cuts = np.cumsum(sizes)
-            lost = np.zeros(len(normal) + 1, np.int64)  # a blank has three normalised bytes and one in the source
-            blanks = len(word) - len(word.lstrip(SPACE))
-            for b in range(blanks):
-                lost[3 * b + 1:] += 1
-                lost[3 * b + 2:] += 1
-            hit = np.array(ids, np.int32), (cuts - lost[cuts]).astype(np.int32)
-            if len(word) <= CACHE_BYTES:
-                if len(self.cache) >= CACHE_WORDS:
-                    self.cache.clear()
-                self.cache[word] = hit
-        return hit
-
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        if not text:
-            return np.zeros(0, np.int32), np.zeros(0, np.int32)
-        if not self.by_word or SPACE in text:
-            return self.encode_whole(text)
-        words = _WORDS.findall(SPACE + text.replace(" ", SPACE))
-        parts = [self._word(w) for w in words]
-        ids = np.concatenate([p[0] for p in parts])
-        last = np.fromiter((p[1][-1] for p in parts), np.int64, len(parts))
-        starts = np.repeat(np.cumsum(last) - last, [len(p[0]) for p in parts])
-        ends = np.concatenate([p[1] for p in parts]) + starts - 1  # the first blank is not in the source
-        return ids, np.maximum(ends, 0).astype(np.int32)
-
-    def decode(self, ids: np.ndarray) -> str:
-        return self.library.decode(ids.tolist()) if len(ids) else ""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of pieces of every text, and all ids and ends one after the other."""
+        whole = [not self.by_word or SPACE in t for t in texts]
+        counts, ids, ends = self._by_words([t for t, w in zip(texts, whole) if not w])
+        if not any(whole):
+            return counts, ids, ends
+        cuts = np.cumsum(counts)[:-1]
+        words = iter(zip(np.split(ids, cuts), np.split(ends, cuts)))
+        parts = [self.encode_whole(t) if w else next(words) for t, w in zip(texts, whole)]
+        return np.array([len(p[0]) for p in parts]), *(np.concatenate([p[i] for p in parts]) for i in (0, 1))
+
+    def _by_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        known: dict[str, int] = {}
+        number, codes, n_words = known.setdefault, [], []
+        for text in texts:
+            words = _WORDS.findall(SPACE + text.replace(" ", SPACE)) if text else []
+            codes += [number(w, len(known)) for w in words]
+            n_words.append(len(words))
+        if not codes:
+            return np.zeros(len(texts), np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        # Distinct words: their ids, and the ends of their pieces counted from the word's start in the source. The
+        # library puts the first blank back, but not on an empty text. A blank is three bytes there, one in the source.
+        coded = [ids or [self.blank] for ids in self.library.encode([w[1:] for w in known], num_threads=1)]
+        pieces = np.fromiter(map(len, coded), np.int64, len(coded))
+        flat = np.fromiter(chain.from_iterable(coded), np.int32, int(pieces.sum()))
+        starts = np.cumsum(pieces) - pieces
+        cut = np.cumsum(self.sizes[flat])
+        cut -= np.repeat(cut[starts] - self.sizes[flat[starts]], pieces)
+        blanks = np.fromiter((len(w) - len(w.lstrip(SPACE)) for w in known), np.int64, len(known))
+        cut -= 2 * np.minimum(np.repeat(blanks, pieces), cut // 3)
+        length = cut[starts + pieces - 1]
+        # Words in their order in the texts.
+        codes, n_words = np.array(codes), np.array(n_words)
+        n = pieces[codes]
+        before = np.cumsum(length[codes]) - length[codes]
+        heads = np.repeat((np.cumsum(n_words) - n_words), n_words)
+        before -= before[heads] + 1  # the first blank of a text is not in the source
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - starts[codes], n)
+        of_text = np.repeat(np.arange(len(texts)), n_words)
+        counts = np.bincount(of_text, n, minlength=len(texts)).astype(np.int64)
+        return counts, flat[at], np.maximum(cut[at] + np.repeat(before, n), 0).astype(np.int32)
+
+    def decode(self, counts: np.ndarray, ids: np.ndarray) -> list[str]:
+        """The text of every run of ids."""
+        flat, ends = ids.tolist(), np.cumsum(counts).tolist()
+        return [self.library.decode(flat[e - n:e]) if n else "" for n, e in zip(counts.tolist(), ends)]
 
 
 @lru_cache(maxsize=2)
@@ -207,12 +217,10 @@ def encode(docs: DataFrame, model_path: str, keep: list[str] | None = None) -> D
 
     def run(block):
         encoder = _loaded(shared.value)
-        found = [encoder.encode(t) for t in texts_of(block)]
-        offsets = np.cumsum([0, *(len(f[0]) for f in found)], dtype=np.int32)
-        flat = [np.concatenate([f[i] for f in found]) for i in (0, 1)]
-        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[0])),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[1])),
-                pa.array([encoder.decode(f[0]) for f in found], pa.string())]
+        counts, ids, ends = encoder.encode(texts_of(block))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+        return [pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(ends)),
+                pa.array(encoder.decode(counts, ids), pa.string())]
     whole = ArrayType(IntegerType())
     return add_columns(docs, docs.columns if keep is None else keep,
                        [StructField("ids", whole), StructField("ends", whole), StructField("decoded", StringType())], run)
