@@ -282,8 +282,10 @@ def test_suffixes_odd(odd, nothing):
     assert set(odd.columns) <= set(kept.columns) and {r.spans for r in kept.collect()} == {"clash"}
 
 
-def test_suffixes_adversarial(spark):
-    """Few letters, periodic texts, passages in changing surroundings, many buckets."""
+@pytest.mark.parametrize("hot", [20_000, 5])
+def test_suffixes_adversarial(spark, monkeypatch, hot):
+    """Few letters, periodic texts, passages in changing surroundings, many buckets; with and without hot anchors."""
+    monkeypatch.setattr(suffixes, "HOT", hot)
     rng = np.random.default_rng(8)
     word = lambda n, letters="ab": "".join(rng.choice(list(letters), n))
     passage = word(260, "abcdefgh ")

@@ -5,17 +5,18 @@ document). Sorting a suffix for every byte would shuffle a hundred times the tex
 the 24-byte grams in a window of `length` bytes the one with the least hash is the window's anchor. Windows with equal
 bytes have equal anchors at equal places, so nothing is lost, and about one suffix in forty is left.
 
-1. Each anchor's suffix goes, with its leading bytes, the hash of its gram and the hash of the bytes that its windows
-   cover, through a range partitioning by leading bytes. Spark samples the splitters; id and place are the last part of
-   the key, so a passage that is in a third of all documents is spread over many tasks. Buckets are sorted locally, and
-   neighbours compared. A suffix that covers the same bytes as the one before it repeats it in all its windows. One
+1. Each anchor's suffix goes through a range partitioning by its leading bytes: two of them, then a fingerprint of the
+   gram, then the hash of the bytes that its windows cover. Spark samples the splitters; id and place are the last part
+   of the key, so a passage that is in a third of all documents is spread over many tasks. Buckets are sorted locally,
+   and neighbours compared. A suffix that covers the same bytes as the one before it repeats it in all its windows. One
    that shares the anchor but not all bytes, and every suffix at the edge of a bucket, goes to step 2.
-2. The windows of those are sorted in the same way by 128 bits of their bytes, and compared with neighbours and across
-   the edges of buckets.
-3. The repeated windows of a document are laid over its bytes.
+2. The covered bytes of those are gathered by anchor, and equal windows found among them by 128 bits of their bytes. An
+   anchor with more than `HOT` different surroundings does not go to one task: its windows are range-partitioned like
+   the suffixes, and compared with neighbours and across the edges of buckets.
+3. The repeated windows of a document are laid over its bytes. Texts are shuffled compressed.
 
 Whole texts are read; windows never reach over documents. Spark's local sort stands where a multikey quicksort would:
-the key's columns (leading bytes, gram, covered bytes, place) are compared one after the other.
+the key's columns (leading bytes with the gram, covered bytes, place) are compared one after the other.
 
 Defined cases: a null text is empty; a text shorter than `length` bytes loses nothing; a null doc_id counts as the
 smallest; rows that repeat a doc_id are the same document (they should have the same text; repeated rows are not
@@ -29,16 +30,19 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import LongType, StringType, StructField
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from ..session import cut_lineage
-from .common import add_columns, blocks
+from .common import blocks
 
 LENGTH = 100
 GRAM = 24
 BLOCK = 2 << 20
+HOT = 20_000  # contexts of one anchor that a task may get
+ROWS = 256  # texts unpacked at a time
 NO_ID = -(1 << 63)
 _BYTES = np.random.default_rng(20).integers(1, 1 << 64, (2, 256), np.uint64, endpoint=False) | np.uint64(1)
 _FACTORS = np.random.default_rng(21).integers(1, 1 << 64, (2, 64), np.uint64, endpoint=False) | np.uint64(1)
@@ -108,15 +112,13 @@ def _anchor_rows(block: pa.RecordBatch, length: int, gram: int):
     s, at, doc = start[first], at[first], doc[first]
     view, digest = memoryview(data), xxhash.xxh3_64_intdigest
     covered = np.fromiter((digest(view[a:b]) for a, b in zip(s.tolist(), (s + n - 1 + length).tolist())), np.uint64, len(s))
-    lead = np.zeros(len(s), np.uint64)
-    for i in range(8):
-        lead = lead << np.uint64(8) | codes[at + i]
-    lead ^= np.uint64(1 << 63)  # the order of signed numbers is then that of the bytes
-    return [lead.view(np.int64), h[at].view(np.int64), covered.view(np.int64),
-            block.column("id").to_numpy()[doc], (s - bounds[doc]).astype(np.int32), n.astype(np.int32)]
+    key = codes[at].astype(np.uint64) << np.uint64(56) | codes[at + 1].astype(np.uint64) << np.uint64(48) | h[at] >> np.uint64(16)
+    key ^= np.uint64(1 << 63)  # the order of signed numbers is then that of the bytes
+    return [key.view(np.int64), covered.view(np.int64), block.column("id").to_numpy()[doc], (s - bounds[doc]).astype(np.int32),
+            n.astype(np.int32)]
 
 
-PLACES = ["lead", "gram", "covered", "id", "s", "n"]
+PLACES = ["key", "covered", "id", "s", "n"]
 
 
 def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -127,7 +129,7 @@ def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
             if rows is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], PLACES)
     return docs.select(_id().alias("id"), "text").mapInArrow(
-        run, "lead long, gram long, covered long, id long, s int, n int")
+        run, "key long, covered long, id long, s int, n int")
 
 
 def _sorted_rows(rows: DataFrame, *keys: str) -> DataFrame:
@@ -142,72 +144,130 @@ def _columns(batches, names):
 
 
 def compared(rows: DataFrame) -> DataFrame:
-    """(id, s, n, repeats): rows that repeat all windows of an earlier one, and those to be compared by window."""
+    """(key, id, s, n, repeats): rows that repeat all windows of an earlier one, and those to be compared by window."""
+    names = ["key", "id", "s", "n", "repeats"]
+
     def run(batches):
-        pending: list[np.ndarray] | None = None  # the first row of the last run, until the next run's gram is known
-        last = None  # the row before, and whether the run before the pending one had the same gram
+        pending: list[np.ndarray] | None = None  # the first row of the last run, until the next run's key is known
+        last = None
         for cols in _columns(batches, PLACES):
-            lead, gram, covered, ids, s, n = cols
+            key, covered, ids, s, n = cols
             if last is None:
-                same = np.array([False])
-                gram_same = np.array([True])  # what comes before the bucket is not known
-                new_place = np.array([True])
+                key_same, same, new_place = True, False, True  # what comes before the bucket is not known
             else:
-                same = np.array([lead[0] == last[0] and gram[0] == last[1] and covered[0] == last[2]])
-                gram_same = np.array([lead[0] == last[0] and gram[0] == last[1]])
-                new_place = np.array([not (same[0] and ids[0] == last[3] and s[0] == last[4])])
-            g = np.concatenate([gram_same, (lead[1:] == lead[:-1]) & (gram[1:] == gram[:-1])])
-            e = np.concatenate([same, g[1:] & (covered[1:] == covered[:-1])])
-            p = np.concatenate([new_place, ~(e[1:] & (ids[1:] == ids[:-1]) & (s[1:] == s[:-1]))])
+                key_same = key[0] == last[0]
+                same = key_same and covered[0] == last[1]
+                new_place = not (same and ids[0] == last[2] and s[0] == last[3])
+            g = np.concatenate([[key_same], key[1:] == key[:-1]])
+            e = np.concatenate([[same], g[1:] & (covered[1:] == covered[:-1])])
+            p = np.concatenate([[new_place], ~(e[1:] & (ids[1:] == ids[:-1]) & (s[1:] == s[:-1]))])
             last = [c[-1] for c in cols]
-            repeat = np.flatnonzero(e & p)
-            heads = np.flatnonzero(~e)
-            out_ids, out_s, out_n = [ids[repeat]], [s[repeat]], [n[repeat]]
-            flags = [np.ones(len(repeat), bool)]
+            repeat, heads = np.flatnonzero(e & p), np.flatnonzero(~e)
+            out, flags = [[c[repeat] for c in (key, ids, s, n)]], [np.ones(len(repeat), bool)]
             if len(heads):
-                if pending is not None and (pending[3] or g[heads[0]]):
-                    out_ids.append(pending[0]), out_s.append(pending[1]), out_n.append(pending[2])
+                if pending is not None and (pending[4] or g[heads[0]]):
+                    out.append(pending[:4])
                     flags.append(np.zeros(1, bool))
                 inner = heads[:-1][g[heads[:-1]] | g[heads[1:]]]
-                out_ids.append(ids[inner]), out_s.append(s[inner]), out_n.append(n[inner])
+                out.append([c[inner] for c in (key, ids, s, n)])
                 flags.append(np.zeros(len(inner), bool))
                 k = heads[-1]
-                pending = [ids[k:k + 1], s[k:k + 1], n[k:k + 1], bool(g[k])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_ids, out_s, out_n, flags)],
-                                             ["id", "s", "n", "repeats"])
+                pending = [*(c[k:k + 1] for c in (key, ids, s, n)), bool(g[k])]
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in zip(*out)), pa.array(np.concatenate(flags))], names)
         if pending is not None:  # its run may go on in the next bucket
-            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in pending[:3]), pa.array([False])],
-                                             ["id", "s", "n", "repeats"])
-    return _sorted_rows(rows, *PLACES[:5]).mapInArrow(run, "id long, s int, n int, repeats boolean")
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in pending[:4]), pa.array([False])], names)
+    return _sorted_rows(rows, *PLACES[:4]).mapInArrow(run, "key long, id long, s int, n int, repeats boolean")
 
 
-def _spans(rows: DataFrame) -> DataFrame:
-    """Per document its (s, n) pairs, each in one number."""
-    return rows.groupBy(F.col("id").alias("_id")).agg(
-        F.collect_list(F.shiftleft(F.col("s").cast("long"), 32) + F.col("n")).alias("_spans"))
+def packed(docs: DataFrame) -> DataFrame:
+    """The rows with `_id`, and with `_zip`, the compressed bytes, in place of `text`."""
+    read = docs.withColumn("_id", _id())
+    schema = StructType([*(f for f in read.schema if f.name != "text"), StructField("_zip", BinaryType())])
 
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for block in blocks(batches):
+            zipped = [None if t is None else pack(t.encode("utf-8", "surrogatepass")) for t in block.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*(block.column(c) for c in schema.names[:-1]), pa.array(zipped, pa.binary())], names=schema.names)
+    return read.mapInArrow(run, schema)
 
-def _with_spans(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    return docs.withColumn("_id", _id()).join(_spans(rows), "_id", how)
 
+def contexts(docs: DataFrame, rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(key, id, s, bytes): what the windows of `rows` cover."""
+    wanted = rows.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("key", "s", "n")).alias("_spans"))
 
-def windows(docs: DataFrame, rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(a, b, id, s): two hashes of the bytes of every window of `rows`."""
     def run(batches):
-        for block in blocks(batches, limit=BLOCK):
-            for i, text, spans in zip(*(block.column(c).to_pylist() for c in ("_id", "text", "_spans"))):
-                data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-                if len(data) < length:
-                    continue
-                spans = np.array(spans, np.int64)
-                s, n = spans >> 32, spans & 0xFFFFFFFF
-                at = np.unique(np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-                at = at[at <= len(data) - length]
-                a, b = (rolling(data, length, f)[at].view(np.int64) for f in (0, 1))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a), pa.array(b), pa.array(np.full(len(at), i)), pa.array(at.astype(np.int32))], ["a", "b", "id", "s"])
-    return _with_spans(docs.select("doc_id", "text"), rows, "inner").select("_id", "text", "_spans").mapInArrow(
-        run, "a long, b long, id long, s int")
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for i, zipped, spans in zip(batch.column("_id").to_pylist(), batch.column("_zip").to_pylist(), batch.column("_spans")):
+                data = unpack(zipped) if zipped else b""
+                keys, s, n = (spans.values.field(f).to_numpy() for f in ("key", "s", "n"))
+                inside = s + length <= len(data)
+                keys, s, n = keys[inside], s[inside], n[inside]
+                cut_ = [data[a:a + m - 1 + length] for a, m in zip(s.tolist(), n.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(s), i)), pa.array(s), pa.array(cut_, pa.binary())],
+                                                 ["key", "id", "s", "bytes"])
+    return packed(docs.select("doc_id", "text")).join(wanted, "_id").select("_id", "_zip", "_spans").mapInArrow(
+        run, "key long, id long, s int, bytes binary")
+
+
+def _hashed(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of every window of the parts, the part it is in, and its place there."""
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    left = sizes - length + 1
+    part = np.repeat(np.arange(len(parts)), left)
+    place = np.arange(left.sum()) - np.repeat(np.cumsum(left) - left, left)
+    at = place + np.repeat(np.cumsum(sizes) - sizes, left)
+    return rolling(data, length, 0)[at].view(np.int64), rolling(data, length, 1)[at].view(np.int64), part, place
+
+
+def repeats_by_anchor(found: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(id, s, n) of windows that repeat an earlier one of the same anchor; anchors are worked on many at a time."""
+    def some(keys, ids, s, parts):
+        keys, ids, s = np.array(keys), np.array(ids), np.array(s)
+        other = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]) | (s[1:] != s[:-1])]))
+        ids, s, parts = ids[other], s[other], [parts[i] for i in other.tolist()]
+        a, b, part, place = _hashed(parts, length)
+        order = np.lexsort((b, a))  # stable: of equal windows the earliest comes first
+        a, b = a[order], b[order]
+        again = np.zeros(len(a), bool)
+        again[order[1:]] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+        at = np.flatnonzero(again)
+        first = np.concatenate([[True], (np.diff(at) > 1) | (part[at[1:]] != part[at[:-1]])])[:len(at)]
+        heads = np.flatnonzero(first)
+        n = np.diff(np.append(heads, len(at)))
+        at = at[heads]
+        return pa.RecordBatch.from_arrays([pa.array(ids[part[at]]), pa.array((s[part[at]] + place[at]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                                          ["id", "s", "n"])
+
+    def run(batches):
+        held, size = [[], [], [], []], 0
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if size > BLOCK and row[0] != held[0][-1]:
+                    yield some(*held)
+                    held, size = [[], [], [], []], 0
+                for column, value in zip(held, row):
+                    column.append(value)
+                size += len(row[3])
+        if held[0]:
+            yield some(*held)
+    order = ["key", "id", "s"]
+    return found.select(*order, "bytes").repartition("key").sortWithinPartitions(*order).mapInArrow(run, "id long, s int, n int")
+
+
+def windows(found: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(a, b, id, s): two hashes of the bytes of every window."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b, part, place = _hashed(batch.column("bytes").to_pylist(), length)
+                ids, s = batch.column("id").to_numpy(), batch.column("s").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(ids[part]), pa.array((s[part] + place).astype(np.int32))],
+                                                 ["a", "b", "id", "s"])
+    return found.select("id", "s", "bytes").mapInArrow(run, "a long, b long, id long, s int")
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
@@ -250,8 +310,12 @@ def _marked(part, edge, a, b, ids, s):
 def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, s, n): runs of window starts whose bytes start earlier; id is doc_id, or the smallest long for null."""
     found = cut_lineage(compared(anchors(docs, length)))
-    by_window = repeated_windows(windows(docs, found.where("not repeats"), length))
-    return found.where("repeats").select("id", "s", "n").union(by_window)
+    unsure = found.where("not repeats")
+    hot = cut_lineage(unsure.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"))
+    covered = cut_lineage(contexts(docs, unsure, length))
+    by_anchor = repeats_by_anchor(covered.join(hot, "key", "left_anti"), length)
+    by_window = repeated_windows(windows(covered.join(hot, "key", "left_semi"), length))
+    return found.where("repeats").select("id", "s", "n").union(by_anchor).union(by_window)
 
 
 def cut(docs: DataFrame, keep: list[str] | None = None, length: int = LENGTH) -> DataFrame:
@@ -260,16 +324,29 @@ def cut(docs: DataFrame, keep: list[str] | None = None, length: int = LENGTH) ->
     A cut can split a character; the text leaves out what is left of it, the digest is that of all bytes left.
     """
     keep = docs.columns if keep is None else keep
+    fields = [*(StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")),
+              StructField("kept_sha256", StringType()), StructField("kept_text", StringType())]
+    names = {f.name for f in fields}
+    keep = [c for c in dict.fromkeys(keep) if c not in names]
     read = docs.select(*dict.fromkeys([*keep, "doc_id", "text"]))
-    spanned = _with_spans(read, repeated(docs, length), "left")
+    spans = repeated(docs, length).groupBy(F.col("id").alias("_id")).agg(
+        F.collect_list(F.shiftleft(F.col("s").cast("long"), 32) + F.col("n")).alias("_spans"))
+    schema = StructType([*(read.schema[c] for c in keep), *fields])
 
-    def run(block):
-        out = [[], [], [], [], []]
-        for text, spans in zip(block.column("text").to_pylist(), block.column("_spans").to_pylist()):
-            data = (text or "").encode("utf-8", "surrogatepass")
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS):
+                yield piece(batch.slice(i, ROWS), unpack)
+
+    def piece(batch, unpack):
+        texts, out = [], [[], [], [], [], []]
+        for zipped, spans in zip(batch.column("_zip").to_pylist(), batch.column("_spans")):
+            data = unpack(zipped) if zipped else b""
+            texts.append(None if zipped is None else data.decode("utf-8", "surrogatepass"))
             left, runs = data, 0
-            if spans:
-                at = np.array(spans, np.int64)
+            if spans.is_valid:
+                at = spans.values.to_numpy()
                 s, n = at >> 32, at & 0xFFFFFFFF
                 s, e = np.minimum(s, len(data)), np.minimum(s + n - 1 + length, len(data))
                 depth = np.cumsum(np.bincount(s, minlength=len(data) + 1) - np.bincount(e, minlength=len(data) + 1))[:-1]
@@ -279,7 +356,8 @@ def cut(docs: DataFrame, keep: list[str] | None = None, length: int = LENGTH) ->
             for column, value in zip(out, (len(data), len(data) - len(left), runs, hashlib.sha256(left).hexdigest(),
                                            left.decode("utf-8", "ignore"))):
                 column.append(value)
-        return [*(pa.array(c, pa.int64()) for c in out[:3]), *(pa.array(c, pa.string()) for c in out[3:])]
-    fields = [*(StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")),
-              StructField("kept_sha256", StringType()), StructField("kept_text", StringType())]
-    return add_columns(spanned, keep, fields, run, also=("_spans",))
+        made = [*(pa.array(c, pa.int64()) for c in out[:3]), *(pa.array(c, pa.string()) for c in out[3:])]
+        kept = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in keep]
+        return pa.RecordBatch.from_arrays([*kept, *made], names=schema.names)
+    columns = [c for c in keep if c != "text"]
+    return packed(read).join(spans, "_id", "left").select(*columns, "_zip", "_spans").mapInArrow(run, schema)
