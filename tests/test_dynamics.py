@@ -131,5 +131,23 @@ def test_p_values():
     assert PV.mann_whitney_two_sided(8, 4, 4, 0) == pytest.approx(1.0)
     # exact and normal meet for larger groups
     assert PV.mann_whitney_two_sided(230, 8, 40, 0) == pytest.approx(PV.mann_whitney_two_sided(230, 8, 40, 6.0), abs=0.01)
-    counts = PV._u_counts(2, 3) * 10
+    counts = np.diff([0, *(PV.u_share(u, 2, 3) for u in range(7))]) * 10
     assert counts == pytest.approx([1, 1, 2, 2, 2, 1, 1])
+
+
+def test_exact_shares_for_any_group_size():
+    """Against the full polynomial, and beyond the counts that are kept."""
+    for k, m in ((1, 5), (3, 9), (8, 12)):
+        poly = np.zeros(k * m + 1)
+        poly[0] = 1
+        for i in range(1, k + 1):
+            shifted = poly.copy()
+            if m + i <= k * m:
+                shifted[m + i:] -= poly[:poly.size - m - i]
+            for r in range(i):
+                shifted[r::i] = np.cumsum(shifted[r::i])
+            poly = shifted
+        want = np.cumsum(poly) / poly.sum()
+        assert [PV.u_share(u, k, m) for u in range(k * m + 1)] == pytest.approx(want, abs=1e-12)
+    assert PV.u_share(10_000_000, 2, 20_000_000) == pytest.approx(0.125, abs=1e-6)
+    assert PV.mann_whitney_two_sided(4e7 * 8 / 2, 8, 40_000_000, 0) == pytest.approx(1.0, abs=1e-6)

@@ -68,3 +68,10 @@ def test_work_and_shards(spark):
     assert len(set().union(*parts)) == 23
     with pytest.raises(ValueError):
         C.shard(q, ["qid"], 4, 4)
+
+
+def test_pass_at_k_of_unscored_questions(spark):
+    from tracewright.operators import difficulty as DI
+    rows = spark.createDataFrame([("a", None), ("a", None), ("b", 1), ("b", None)], "qid string, correct int")
+    got = {r["qid"]: (r["total_samples"], r["pass_at_1"], r["difficulty"]) for r in DI.pass_at_k(rows).collect()}
+    assert got == {"a": (0, 0.0, 1.0), "b": (1, 1.0, 0.0)}

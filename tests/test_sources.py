@@ -68,7 +68,9 @@ def test_tables_and_documents(spark, tmp_path):
     assert json.loads(doc.first()["document"]) == {"layer": 1, "auc": 0.5}
     sinks.write_result(doc, str(tmp_path / "doc"))
     states = spark.createDataFrame([("q", 0, k, 0, 0, 1, 1, [1.0]) for k in range(3)], schemas.STATES)
-    sinks.write_states(states, str(tmp_path / "states"))
+    sinks.write_states(states, str(tmp_path / "states"), "decode")
+    sinks.write_states(states, str(tmp_path / "states"), "prefill")
+    assert tables.read_states(spark, str(tmp_path / "states"), "decode", [1, 2]).count() == 2
     plan = spark.read.parquet(str(tmp_path / "states")).where("layer = 2")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(layer" in plan
     assert tables.model_path("traces_{model}.parquet", "w") == "traces_w.parquet"
@@ -147,3 +149,21 @@ def test_running_rates(spark, tmp_path):
     I.update_counts(I.running_pass_rates(stream), str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
     got = {r["model"]: (r["n"], r["n_correct"]) for r in I.current_counts(spark, str(tmp_path / "o")).collect()}
     assert got == {"a": (3, 2), "b": (1, 0)}
+
+
+def test_scores_of_every_kind(spark, tmp_path):
+    folder = tmp_path / "d" / "mA" / "run1"
+    folder.mkdir(parents=True)
+    (folder / "x.json").write_text(json.dumps({"records": [
+        record(1, True), record(2, "1.0"), record(3, 0.2), record(4, False), record(5, "good"), record(6, None), {"index": None, "score": 1}]}))
+    dirs = blobs.find_model_dirs(spark, str(tmp_path / "d"), layout="models")
+    rows = blobs.read_latest_records(spark, dirs)
+    assert {r["qid"]: r["correct"] for r in C.pool_records(rows).collect()} == {"q1": 1, "q2": 1, "q3": 0, "q4": 0}
+    assert C.unusable_records(rows).first().asDict() == {"model": "mA", "n": 7, "no_qid": 1, "no_query": 1, "no_score": 2}
+    with pytest.raises(ValueError):
+        blobs.find_model_dirs(spark, str(tmp_path / "d"), layout="flat")
+
+
+def test_last_file_of_repeated_keys(spark):
+    rows = spark.createDataFrame([("a", 0, [1.0]), ("a", 1, [2.0]), ("a", 1, [2.0]), ("b", 0, [3.0])], "qid string, file_rank int, v array<double>")
+    assert {r["qid"]: r["v"] for r in tables.last_per_key(rows, ["qid"]).collect()} == {"a": [2.0], "b": [3.0]}

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
+from functools import lru_cache
+from itertools import accumulate, combinations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DoubleType
 
-# The exact U distribution has n1 * n2 + 1 entries; beyond this it is numerically normal.
-EXACT_LIMIT = 50_000_000
+# Up to so many values in the smaller group, and without ties, the exact distribution is used.
+EXACT_GROUP = 8
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -50,19 +52,42 @@ def t_two_sided(t: float, df: float) -> float:
     return _beta_inc(df / 2.0, 0.5, df / (df + t * t))
 
 
-def _u_counts(n1: int, n2: int) -> np.ndarray:
-    """Number of rank arrangements with each value of U, as floats scaled to sum to one."""
-    poly = np.zeros(n1 * n2 + 1)
-    poly[0] = 1.0
-    for i in range(1, n1 + 1):
-        # multiply by (1 - x^(n2+i)), divide by (1 - x^i)
-        shifted = poly.copy()
-        if n2 + i <= n1 * n2:
-            shifted[n2 + i:] -= poly[: poly.size - (n2 + i)]
-        for r in range(i):
-            shifted[r::i] = np.cumsum(shifted[r::i])
-        poly = shifted
-    return poly / poly.sum()
+@lru_cache(maxsize=EXACT_GROUP)
+def _partition_sums(k: int) -> tuple[int, list[int]]:
+    """Period of the counts, and for small m the number of partitions of 0..m into parts of at most k."""
+    period = math.lcm(*range(1, k + 1))
+    counts = [1] + [0] * (period * (k + 2) - 1)
+    for part in range(1, k + 1):
+        for m in range(part, len(counts)):
+            counts[m] += counts[m - part]
+    return period, list(accumulate(counts))
+
+
+def _partitions_up_to(m: int, k: int) -> int:
+    """Within a residue of the period the count is a polynomial of degree k, so k + 1 values give all others."""
+    period, known = _partition_sums(k)
+    if m < 0:
+        return 0
+    if m < len(known):
+        return known[m]
+    x, total = m // period, Fraction(0)
+    values = [known[m % period + period * j] for j in range(k + 1)]
+    for j, v in enumerate(values):
+        weight = Fraction(v)
+        for i in range(k + 1):
+            if i != j:
+                weight *= Fraction(x - i, j - i)
+        total += weight
+    return int(total)
+
+
+def u_share(u: int, n1: int, n2: int) -> float:
+    """Exact share of rank arrangements with a statistic of at most u; n1 is the smaller, small group."""
+    total = 0
+    for r in range(n1 + 1):
+        for chosen in combinations(range(1, n1 + 1), r):
+            total += (-1) ** r * _partitions_up_to(u - sum(chosen) - r * n2, n1)
+    return float(Fraction(total, math.comb(n1 + n2, n1)))
 
 
 def mann_whitney_two_sided(u: float, n1: float, n2: float, tie_term: float) -> float:
@@ -71,8 +96,8 @@ def mann_whitney_two_sided(u: float, n1: float, n2: float, tie_term: float) -> f
         return math.nan
     n1, n2 = int(n1), int(n2)
     top = max(u, n1 * n2 - u)
-    if min(n1, n2) <= 8 and tie_term == 0 and n1 * n2 <= EXACT_LIMIT:
-        return min(1.0, 2.0 * float(_u_counts(min(n1, n2), max(n1, n2))[int(math.ceil(top)):].sum()))
+    if min(n1, n2) <= EXACT_GROUP and tie_term == 0:
+        return min(1.0, 2.0 * u_share(math.floor(n1 * n2 - top), min(n1, n2), max(n1, n2)))
     n = n1 + n2
     sd = math.sqrt(n1 * n2 / 12.0 * ((n + 1) - tie_term / (n * (n - 1.0))))
     if sd == 0:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .vectors import let
+
 # The answer formats a scorer must recognise.
 # A standalone choice letter A-J without I (which is also the English pronoun). The classes are spelled
 # out because engines disagree on whether \b treats accented letters as word characters.
@@ -43,6 +45,21 @@ def score_letter(text: Column, truth: Column) -> Column:
     return F.coalesce((choice_letter(text) == wanted).cast("int"), F.lit(0))
 
 
+def extracted(text: Column, truth: Column, answer_type: str = "letter") -> Column:
+    """Struct of the answer and its score; the text is searched once."""
+    if answer_type not in ("numeric", "letter"):
+        raise ValueError(f"unknown answer type {answer_type!r}")
+    numeric = answer_type == "numeric"
+
+    def pair(answer: Column) -> Column:
+        if numeric:
+            same = as_integer(answer) == as_integer(truth)
+        else:
+            same = answer == F.nullif(F.substring(F.upper(F.trim(truth)), 1, 1), F.lit(""))
+        return F.struct(answer.alias("answer"), F.coalesce(same.cast("int"), F.lit(0)).alias("correct"))
+    return let(numeric_answer(text) if numeric else choice_letter(text), pair)
+
+
 def score_answer(text: Column, truth: Column, answer_type: str = "letter") -> Column:
     if answer_type == "numeric":
         return score_numeric(text, truth)

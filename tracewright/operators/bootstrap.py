@@ -7,24 +7,23 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import cut_lineage
 from .ranking import bucket_of, hash_row_number, score_counts, score_edges, wins_from_buckets
 
-# One md5 yields four 32-bit draws, or two 60-bit draws where 32 bits would be too coarse.
-WIDE_FROM = 1 << 20
+# One md5 yields two 60-bit draws.
+PER_HASH, DIGITS = 2, 15
 # Four small columns per row: at most about 40 MB travel to each executor.
 BROADCAST_ROWS = 1 << 20
 
 
 def draws(spark, n_rows: int, replicates: int, seed: int = 0) -> DataFrame:
     """(rep, row_no): n_rows draws with replacement for every replicate, generated where they are used."""
-    per_hash, digits = (4, 8) if n_rows < WIDE_FROM else (2, 15)
-    hashes = -(-n_rows // per_hash)
+    hashes = -(-n_rows // PER_HASH)
     base = spark.range(replicates * hashes).select(
         F.expr(f"id div {hashes}").alias("rep"), (F.col("id") % hashes).alias("_q"))
     digest = F.md5(F.concat_ws(":", F.col("rep").cast("string"), F.col("_q").cast("string"), F.lit(str(seed))))
-    pieces = F.array(*[F.conv(F.substring(F.col("_d"), 1 + digits * i, digits), 16, 10).cast("long")
-                       for i in range(per_hash)])
+    pieces = F.array(*[F.conv(F.substring(F.col("_d"), 1 + DIGITS * i, DIGITS), 16, 10).cast("long")
+                       for i in range(PER_HASH)])
     return base.withColumn("_d", digest).select(
         "rep", "_q", F.posexplode(pieces).alias("_i", "_v")).where(
-        F.col("_q") * per_hash + F.col("_i") < n_rows).select("rep", (F.col("_v") % n_rows).alias("row_no"))
+        F.col("_q") * PER_HASH + F.col("_i") < n_rows).select("rep", (F.col("_v") % n_rows).alias("row_no"))
 
 
 def replicate_aucs(rows: DataFrame, keys: list[str], score: str, label: str, replicates: int = 10_000,

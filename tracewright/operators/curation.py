@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import as_integer, non_empty
 from .ranking import hash_row_number
@@ -26,13 +26,30 @@ def curate_raw_questions(raw: DataFrame, limit: int | None = None, prefix: str =
         F.col("problem").alias("query"), answer.alias("ground_truth"))
 
 
-def pool_records(records: DataFrame) -> DataFrame:
-    """Usable benchmark records with the prompt fallback and a 0/1 score."""
+def as_score(score: Column) -> Column:
+    """A stored score as a number: numbers, numbers as text, and truth values count; anything else is NULL."""
+    text = F.lower(F.trim(score.cast("string")))
+    return F.when(text == "true", 1.0).when(text == "false", 0.0).otherwise(text.try_cast("double"))
+
+
+def _pool_fields(records: DataFrame) -> DataFrame:
     return records.select(
         "model", F.col("index").alias("qid"),
         F.coalesce(non_empty(F.col("prompt")), F.col("origin_query")).alias("query"),
-        "ground_truth", (F.col("score") > 0.5).cast("int").alias("correct"), "score",
-    ).where(F.col("qid").isNotNull() & F.col("query").isNotNull() & F.col("score").isNotNull()).drop("score")
+        "ground_truth", as_score(F.col("score")).alias("score"))
+
+
+def pool_records(records: DataFrame) -> DataFrame:
+    """Usable benchmark records with the prompt fallback and a 0/1 score."""
+    usable = F.col("qid").isNotNull() & F.col("query").isNotNull() & F.col("score").isNotNull()
+    return _pool_fields(records).where(usable).select(
+        "model", "qid", "query", "ground_truth", (F.col("score") > 0.5).cast("int").alias("correct"))
+
+
+def unusable_records(records: DataFrame) -> DataFrame:
+    """Per model: all records, and those left out for want of a key, a question or a score."""
+    lost = [F.count_if(F.col(c).isNull()).alias(f"no_{c}") for c in ("qid", "query", "score")]
+    return _pool_fields(records).groupBy("model").agg(F.count(F.lit(1)).alias("n"), *lost)
 
 
 def pool_questions(records: DataFrame) -> DataFrame:
@@ -91,11 +108,15 @@ def select_work(questions: DataFrame, wanted: DataFrame | None = None, n_shards:
     return out if done is None else skip_keys(out, done)
 
 
-def run_counters(attempts: DataFrame) -> DataFrame:
-    """Succeeded, failed, truncated and processed attempts of a collection run."""
+def run_counters(attempts: DataFrame, done: DataFrame | None = None, keys: tuple[str, ...] = ("qid", "sample_idx")) -> DataFrame:
+    """Succeeded, failed, truncated and processed attempts of a collection run, and those skipped as done before."""
     ok = F.col("error").isNull()
+    skipped = F.lit(0).cast("long")
+    if done is not None:
+        skipped = attempts.join(done.select(*keys), list(keys), "left_semi").agg(F.count(F.lit(1)).alias("n")).scalar()
+        attempts = skip_keys(attempts, done.select(*keys), list(keys))
     return attempts.agg(
         F.count(F.lit(1)).alias("processed"),
         F.count_if(ok).alias("succeeded"),
         F.count_if(~ok).alias("failed"),
-        F.count_if(ok & (F.col("finish_reason") == "length")).alias("truncated"))
+        F.count_if(ok & (F.col("finish_reason") == "length")).alias("truncated")).withColumn("skipped", skipped)

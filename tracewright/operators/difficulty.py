@@ -14,11 +14,12 @@ def pass_at_k(traces: DataFrame, ks: tuple[int, ...] = (1,), estimator: str = "c
     """Attempts, successes, pass@k and difficulty = 1 - pass@1 per question.
 
     "capped" is min(successes, k) / k; "unbiased" is 1 - C(n-c, k) / C(n, k); "mean" is the success rate.
+    Unscored attempts are no successes and are not counted; a question with only such attempts has pass@k 0.
     """
     if estimator not in ESTIMATORS:
         raise ValueError(f"estimator must be one of {ESTIMATORS}")
     stats = traces.groupBy("qid").agg(
-        F.count("correct").alias("total_samples"), F.sum("correct").cast("long").alias("successes"))
+        F.count("correct").alias("total_samples"), F.coalesce(F.sum("correct"), F.lit(0)).cast("long").alias("successes"))
     n, s = F.col("total_samples"), F.col("successes")
     for k in sorted(set(ks) | {1}):
         if estimator == "capped":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 MISSING_S = ("shared_hard", "salvageable", "error", "drop")
 NULL_POLICIES = ("drop", "wrong", "right")
@@ -24,7 +24,7 @@ def one_model(samples: DataFrame, model: str | None, require_name: bool = False)
     """Narrow a table to one model, only if it has a model column with several values."""
     if "model" not in samples.columns:
         return samples
-    found = [r["model"] for r in samples.select("model").distinct().orderBy("model").limit(50).collect()]
+    found = [r["model"] for r in samples.select("model").distinct().orderBy("model").collect()]
     if len(found) <= 1:
         return samples
     if model is None and require_name:
@@ -90,7 +90,7 @@ def outcome_cube(all_outcomes: DataFrame) -> DataFrame:
 
 
 def sample_gates(labelled: DataFrame, min_rows: int = 30, min_cell: int = 10) -> DataFrame:
-    """One row: do the labelled traces suffice to train a probe?"""
+    """One row: do the labelled traces suffice to train a probe? A small cell is a warning, the others stop a run."""
     n1 = F.coalesce(F.sum(F.col("label")).cast("long"), F.lit(0).cast("long"))
     counted = labelled.agg(F.count(F.lit(1)).alias("n"), n1.alias("n_shared"),
                            (F.count(F.lit(1)) - n1).alias("n_salvageable"))
@@ -101,10 +101,11 @@ def sample_gates(labelled: DataFrame, min_rows: int = 30, min_cell: int = 10) ->
     return counted.withColumn("status", status)
 
 
-def require_samples(labelled: DataFrame, min_rows: int = 30) -> None:
-    """Stop an evaluation that has too few wrong traces or only one outcome."""
-    gate = sample_gates(labelled, min_rows).first()
+def require_samples(labelled: DataFrame, min_rows: int = 30, min_cell: int = 10) -> Row:
+    """Stop an evaluation that has too few wrong traces or only one outcome; otherwise the gate's row."""
+    gate = sample_gates(labelled, min_rows, min_cell).first()
     if gate["status"] == "too_few_rows":
         raise RuntimeError(f"too few wrong traces: {gate['n']} < {min_rows}")
     if gate["status"] == "one_class":
         raise RuntimeError("only one outcome among the wrong traces, no probe can be trained")
+    return gate

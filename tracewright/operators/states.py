@@ -47,27 +47,24 @@ def explode_single(traces: DataFrame) -> DataFrame:
 def explode_positions(traces: DataFrame) -> DataFrame:
     """Several stored prompt positions: (position, layer) -> vector."""
     by_pos = traces.select(
-        "qid", _sample_idx(traces), "available_token_positions",
-        F.size("hidden_states_by_position").alias("n_steps"),
-        F.posexplode("hidden_states_by_position").alias("pos", "layers"))
-    return by_pos.select(
-        "qid", "sample_idx", "pos", "n_steps",
-        F.col("available_token_positions")[F.col("pos")].alias("step_index"),
-        F.posexplode("layers").alias("layer", "raw"),
+        "qid", _sample_idx(traces), F.size("hidden_states_by_position").alias("n_steps"),
+        F.posexplode(F.arrays_zip("available_token_positions", "hidden_states_by_position")).alias("pos", "at"))
+    return by_pos.where(F.col("pos") < F.col("n_steps")).select(
+        "qid", "sample_idx", "pos", "n_steps", F.col("at.available_token_positions").alias("step_index"),
+        F.posexplode("at.hidden_states_by_position").alias("layer", "raw"),
     ).select(*TRAJECTORY, "pos", "step_index", "n_steps", doubles(F.col("raw")).alias("vec"))
 
 
 def explode_decode(traces: DataFrame) -> DataFrame:
     """Generation steps: (step, captured layer) -> vector, with true layer numbers."""
     by_step = traces.select(
-        "qid", _sample_idx(traces), "decode_step_indices", "n_new_tokens",
+        "qid", _sample_idx(traces), "n_new_tokens",
         absolute_layers(F.col("decode_layers_captured"), F.col("num_layers_incl_embed")).alias("layers"),
         F.size("decode_hidden_states_by_step").alias("n_steps"),
-        F.posexplode("decode_hidden_states_by_step").alias("pos", "by_layer"))
-    return by_step.select(
-        "qid", "sample_idx", "pos", "n_steps", "n_new_tokens", "layers",
-        F.col("decode_step_indices")[F.col("pos")].alias("step_index"),
-        F.posexplode("by_layer").alias("slot", "raw"),
+        F.posexplode(F.arrays_zip("decode_step_indices", "decode_hidden_states_by_step")).alias("pos", "at"))
+    return by_step.where(F.col("pos") < F.col("n_steps")).select(
+        "qid", "sample_idx", "pos", "n_steps", "n_new_tokens", "layers", F.col("at.decode_step_indices").alias("step_index"),
+        F.posexplode("at.decode_hidden_states_by_step").alias("slot", "raw"),
     ).select("qid", "sample_idx", F.col("layers")[F.col("slot")].alias("layer"), "pos", "step_index",
              "n_steps", "n_new_tokens", doubles(F.col("raw")).alias("vec"))
 

@@ -7,21 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 CORE = "auc double"
+CORE_MORE = {"core_ci_low": "double", "core_ci_high": "double", "core_gate": "string", "core_few_shared_test_rows": "boolean"}
 CONTROL = "status string, delta_auc double, significant boolean, p_val double"
 PRECEDENCE = "status string, verdict string"
 
 
 def isolated(spark: SparkSession, step: Callable[[], DataFrame], schema: str) -> DataFrame:
-    """Run one step; an error becomes a status row instead of ending the whole evaluation."""
+    """Run one step; what its checks refuse becomes a status row instead of ending the whole evaluation."""
     try:
         frame = step()
         rows = frame.limit(2).collect()
         if len(rows) != 1:
             raise ValueError(f"a step must yield one row, got {'none' if not rows else 'several'}")
         return spark.createDataFrame(rows, frame.schema).withColumn("error", F.lit(None).cast("string"))
-    except Exception as e:  # noqa: BLE001 - the message is the result
+    except (ValueError, RuntimeError) as e:  # the step's own checks; anything else ends the run
         fields = [f.strip().split(" ")[0] for f in schema.split(",")]
-        return spark.createDataFrame([tuple(None for _ in fields)], schema).withColumn("error", F.lit(str(e)[:500]))
+        return spark.createDataFrame([tuple(None for _ in fields)], schema).withColumn("error", F.lit(str(e)))
 
 
 def not_run(spark: SparkSession, schema: str) -> DataFrame:
@@ -60,5 +61,6 @@ def go_no_go(core: DataFrame, control: DataFrame, precedence: DataFrame, min_mar
                          F.col("control_delta_auc"), F.col("precedence_verdict"), min_margin)
     status = (F.when(F.col("core_error").isNotNull(), "error").when(F.col("core_auc").isNull() | F.isnan("core_auc"), "undefined")
               .when(F.col("core_auc") <= 0.5, "fail").otherwise("pass"))
-    return row.select(status.alias("core_status"), "core_auc", "control_status", "control_delta_auc", "control_significant",
+    more = [F.col(c) if c in row.columns else F.lit(None).cast(t).alias(c) for c, t in CORE_MORE.items()]
+    return row.select(status.alias("core_status"), "core_auc", *more, "control_status", "control_delta_auc", "control_significant",
                       "precedence_verdict", verdict.alias("verdict"))

@@ -20,19 +20,15 @@ class EvalParams:
     emergence_gap: float = 1.0
     lock_factor: float = 0.5
     suspicious_rate: float = 0.1
-    trace_cap: int = 100
-    resample_points: int = 20
+    trace_cap: int = 0  # 0: all traces; a number checks a seeded sample
     theiler_window: int = 5
     long_range_lag: float = 0.25
     settle_cosine: float = 0.9
     pair_out_c: float = 0.01
-    grid_positions: int = 20
     min_document_frequency: int = 3
-    cv_components: int = 50
     cv_folds: int = 5
     cv_seed: int = 3407
     cv_c: float = 1.0
-    samples_per_question: int = 8
 
 
 DEFAULTS = EvalParams()

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["outcomes", "collection", "trajectories", "evaluation", "controls", "streams"]
+MODULES = ["outcomes", "collection", "trajectories", "evaluation", "controls", "streams", "files"]
 
 
 def load() -> None:

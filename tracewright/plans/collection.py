@@ -24,8 +24,7 @@ WITH found AS (SELECT doc_id AS qid, {LETTER_SQL} AS answer, substring('ABCDEFGH
 SELECT qid, answer, coalesce(CAST(answer = truth AS INTEGER), 0) AS correct FROM found""")
 def score_letter(spark, sf_dir):
     return B.responses(spark, sf_dir).select(
-        "qid", X.choice_letter(F.col("raw_generation")).alias("answer"),
-        X.score_answer(F.col("raw_generation"), F.col("truth_letter")).alias("correct"))
+        "qid", X.extracted(F.col("raw_generation"), F.col("truth_letter")).alias("x")).select("qid", "x.answer", "x.correct")
 
 
 @query("score_numeric", f"""
@@ -33,8 +32,8 @@ WITH found AS (SELECT doc_id AS qid, {NUMBER_SQL} AS answer, doc_id % 10 AS trut
 SELECT qid, answer, coalesce(CAST(TRY_CAST(answer AS DECIMAL(38, 0)) = truth AS INTEGER), 0) AS correct FROM found""")
 def score_numeric(spark, sf_dir):
     return B.responses(spark, sf_dir).select(
-        "qid", X.numeric_answer(F.col("raw_generation")).alias("answer"),
-        X.score_answer(F.col("raw_generation"), F.col("truth_number"), "numeric").alias("correct"))
+        "qid", X.extracted(F.col("raw_generation"), F.col("truth_number"), "numeric").alias("x")).select(
+        "qid", "x.answer", "x.correct")
 
 
 @query("truncation_summary", """
@@ -78,9 +77,14 @@ def response_status(spark, sf_dir):
 @query("run_counters", f"""WITH {API_SQL}
 SELECT count(*) AS processed, count(*) FILTER (WHERE error IS NULL) AS succeeded,
        count(*) FILTER (WHERE error IS NOT NULL) AS failed,
-       count(*) FILTER (WHERE error IS NULL AND finish_reason = 'length') AS truncated FROM parsed""")
+       count(*) FILTER (WHERE error IS NULL AND finish_reason = 'length') AS truncated,
+       (SELECT count(*) FROM parsed d, (VALUES (4)) s(n) WHERE d.sample_idx % s.n = 1) AS skipped
+FROM parsed WHERE sample_idx % 4 <> 1""")
 def run_counters(spark, sf_dir):
-    return C.run_counters(R.parse_responses(B.api_responses(spark, sf_dir)))
+    """Counters of a run that finds every fourth turn done already."""
+    turns = R.parse_responses(B.api_responses(spark, sf_dir))
+    done = turns.where("sample_idx % 4 = 1").select("qid", "sample_idx")
+    return C.run_counters(turns, done)
 
 
 @query("error_side_car", f"WITH {API_SQL} SELECT qid, sample_idx, error FROM parsed WHERE error IS NOT NULL")
@@ -115,9 +119,16 @@ def latest_blob_records(spark, sf_dir):
 
 
 @query("pool_labels", f"""WITH {RECORDS_SQL}
+SELECT model, qid, CAST(score > 0.5 AS INTEGER) AS correct FROM records WHERE qid IS NOT NULL""")
+def pool_labels(spark, sf_dir):
+    return C.pool_records(_records(spark, sf_dir)).select("model", "qid", "correct")
+
+
+@query("pool_labels_first_keys", f"""WITH {RECORDS_SQL}
 SELECT model, qid, CAST(score > 0.5 AS INTEGER) AS correct FROM records WHERE qid IN
   (SELECT DISTINCT qid FROM records WHERE qid IS NOT NULL ORDER BY qid LIMIT 40)""")
-def pool_labels(spark, sf_dir):
+def pool_labels_first_keys(spark, sf_dir):
+    """The limit is the operator here: labels of the first 40 questions."""
     records = C.pool_records(_records(spark, sf_dir))
     return C.keep_keys(records, C.first_keys(records, 40)).select("model", "qid", "correct")
 
@@ -129,29 +140,41 @@ def curated_questions(spark, sf_dir):
     return C.pool_questions(C.pool_records(_records(spark, sf_dir)))
 
 
-@query("integer_answer_questions", r"""
-WITH raw AS (SELECT item_id AS id, text AS problem,
-                    CASE WHEN item_id % 3 = 0 THEN ' ' || item_id || ' ' WHEN item_id % 3 = 1 THEN item_id || '.5'
-                         ELSE '-' || item_id END AS answer FROM benchmark ORDER BY item_id LIMIT 25)
+RAW_SQL = r"""WITH raw AS (
+  SELECT item_id AS id, text AS problem,
+         CASE WHEN item_id % 3 = 0 THEN ' ' || item_id || ' ' WHEN item_id % 3 = 1 THEN item_id || '.5'
+              ELSE '-' || item_id END AS answer FROM benchmark {limit})
 SELECT 'aime_' || id AS qid, problem AS query, trim(answer) AS ground_truth FROM raw
-WHERE regexp_full_match(trim(answer), '[+-]?\d+')""")
-def integer_answer_questions(spark, sf_dir):
+WHERE regexp_full_match(trim(answer), '[+-]?\d+')"""
+
+
+def _raw_questions(spark, sf_dir):
     sid = F.col("item_id").cast("string")
-    raw = B.table(spark, sf_dir, "benchmark").select(
+    return B.table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("id"), F.col("text").alias("problem"),
         F.when(F.col("item_id") % 3 == 0, F.concat(F.lit(" "), sid, F.lit(" ")))
         .when(F.col("item_id") % 3 == 1, F.concat(sid, F.lit(".5")))
         .otherwise(F.concat(F.lit("-"), sid)).alias("answer"))
-    return C.curate_raw_questions(raw, limit=25)
+
+
+@query("integer_answer_questions", RAW_SQL.replace("{limit}", ""))
+def integer_answer_questions(spark, sf_dir):
+    return C.curate_raw_questions(_raw_questions(spark, sf_dir))
+
+
+@query("integer_answer_questions_limited", RAW_SQL.replace("{limit}", "ORDER BY item_id LIMIT 25"))
+def integer_answer_questions_limited(spark, sf_dir):
+    """The limit is taken before the answer filter."""
+    return C.curate_raw_questions(_raw_questions(spark, sf_dir), limit=25)
 
 
 QUESTIONS_SQL = """questions AS (SELECT 'item_' || item_id AS qid, item_id FROM benchmark),
 done AS (SELECT DISTINCT 'item_' || (user_id % 40) AS qid, CAST(event_id % 8 AS INTEGER) AS sample_idx FROM events
-         WHERE event_type = 'view')"""
+         WHERE event_type = 'view' AND user_id % 3 > 0 AND event_id % 5 < 2)"""
 
 
 def _done(spark, sf_dir):
-    return B.table(spark, sf_dir, "events").where(F.col("event_type") == "view").select(
+    return B.table(spark, sf_dir, "events").where("event_type = 'view' and user_id % 3 > 0 and event_id % 5 < 2").select(
         F.concat(F.lit("item_"), (F.col("user_id") % 40).cast("string")).alias("qid"),
         (F.col("event_id") % 8).cast("int").alias("sample_idx"))
 

@@ -20,9 +20,9 @@ def _attempts(spark, sf_dir):
 
 
 PASS_AT_K = """pass_stats AS (
-  SELECT qid, count(correct) AS total_samples, CAST(sum(correct) AS BIGINT) AS successes,
-         least(sum(correct), 1)::DOUBLE AS pass_at_1, least(sum(correct), 3) / 3.0 AS pass_at_3,
-         1.0 - least(sum(correct), 1)::DOUBLE AS difficulty
+  SELECT qid, count(correct) AS total_samples, CAST(coalesce(sum(correct), 0) AS BIGINT) AS successes,
+         least(coalesce(sum(correct), 0), 1)::DOUBLE AS pass_at_1, least(coalesce(sum(correct), 0), 3) / 3.0 AS pass_at_3,
+         1.0 - least(coalesce(sum(correct), 0), 1)::DOUBLE AS difficulty
   FROM w_single GROUP BY qid)"""
 
 
@@ -32,6 +32,18 @@ def pass_at_k(spark, sf_dir):
     return rounded(DI.pass_at_k(_attempts(spark, sf_dir), (1, 3)))
 
 
+@query("pass_at_k_unscored", with_("""w_single AS (
+  SELECT vec_id // 5 AS qid, CASE WHEN label % 3 > 0 AND (vec_id // 5) % 4 > 0 THEN CAST(label >= 7 AS INTEGER) END AS correct
+  FROM embeddings)""", PASS_AT_K, body="""
+SELECT qid, total_samples, successes, pass_at_1, round(pass_at_3, 6) AS pass_at_3, difficulty FROM pass_stats"""))
+def pass_at_k_unscored(spark, sf_dir):
+    """A third of the attempts and every fourth question have no score."""
+    scored = (F.col("label") % 3 > 0) & (F.expr("vec_id div 5") % 4 > 0)
+    rows = B.table(spark, sf_dir, "embeddings").select(
+        F.expr("vec_id div 5").alias("qid"), F.when(scored, (F.col("label") >= 7).cast("int")).alias("correct"))
+    return rounded(DI.pass_at_k(rows, (1, 3)))
+
+
 @query("pass_at_k_unbiased", with_(W_SINGLE, """s AS (
   SELECT qid, count(correct) AS n, CAST(sum(correct) AS BIGINT) AS c FROM w_single GROUP BY qid)""", body="""
 SELECT qid, n AS total_samples, c AS successes, round(c / n, 6) AS pass_at_1,
@@ -92,9 +104,24 @@ def paired_t(spark, sf_dir):
     return rounded(DI.paired_comparison(_bins(spark, sf_dir)))
 
 
-@query("paired_t_p_value")
+# The t distribution in closed form for up to four degrees of freedom (there are at most five bins).
+T_TEST = """t_test AS (
+  SELECT n, n - 1 AS df, mp - mb AS delta, m / (sd / sqrt(n)) AS t, abs(m / (sd / sqrt(n))) AS a
+  FROM (SELECT count(*) AS n, avg(probe_auc) AS mp, avg(baseline_auc) AS mb, avg(probe_auc - baseline_auc) AS m,
+               stddev_samp(probe_auc - baseline_auc) AS sd FROM bins WHERE probe_auc IS NOT NULL AND baseline_auc IS NOT NULL)),
+t_p AS (
+  SELECT *, CASE df WHEN 1 THEN 1 - 2 / pi() * atan(a) WHEN 2 THEN 1 - a / sqrt(2 + a * a)
+    WHEN 3 THEN 1 - 2 / pi() * (atan(a / sqrt(3)) + a / sqrt(3) / (1 + a * a / 3))
+    WHEN 4 THEN 1 - 0.75 * a / sqrt(1 + a * a / 4) * (1 - a * a / (12 * (1 + a * a / 4))) END AS p FROM t_test)"""
+
+
+@query("paired_t_p_value", with_(*SINGLE_BASE, PASS_AT_K, BINS, T_TEST, body="""
+SELECT CASE WHEN n >= 2 THEN 'ok' ELSE 'insufficient_bins' END AS status, n AS usable_bins,
+       CASE WHEN n >= 2 THEN round(delta, 6) + 0.0 END AS delta_auc, CASE WHEN n >= 2 THEN round(t, 6) + 0.0 END AS t_stat,
+       CASE WHEN n >= 2 THEN round(p, 6) END AS p_val, coalesce(n >= 2 AND p < 0.05, false) AS significant FROM t_p"""))
 def paired_t_p_value(spark, sf_dir):
-    return DI.with_t_test(DI.paired_comparison(_bins(spark, sf_dir)))
+    tested = DI.with_t_test(DI.paired_comparison(_bins(spark, sf_dir)))
+    return rounded(tested.select("status", "usable_bins", "delta_auc", "t_stat", "p_val", "significant"))
 
 
 # -- precedence ------------------------------------------------------------------------------------
@@ -172,9 +199,9 @@ def trace_sample(spark, sf_dir):
 
 @query("verdict")
 def verdict(spark, sf_dir):
-    """Probe, both controls and the decision. All wrong traces are checked for precedence."""
-    params = replace(DEFAULTS, emergence_gap=GAP, trace_cap=0)
-    run = evaluate(B.w_single(spark, sf_dir), B.s_samples(spark, sf_dir), B.logits(spark, sf_dir), params, interval=False)
+    """Probe with its bootstrap interval, both controls and the decision. All wrong traces are checked for precedence."""
+    params = replace(DEFAULTS, emergence_gap=GAP)
+    run = evaluate(B.w_single(spark, sf_dir), B.s_samples(spark, sf_dir), B.logits(spark, sf_dir), params)
     return rounded(run.verdict)
 
 

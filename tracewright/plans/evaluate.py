@@ -25,13 +25,13 @@ class Evaluation:
 
 
 def labelled_features(traces: DataFrame, s_samples: DataFrame, params: EvalParams = DEFAULTS,
-                      missing_s: str = "shared_hard") -> DataFrame:
-    """Early-layer features of the wrong traces with their outcome label."""
+                      missing_s: str = "shared_hard") -> tuple[DataFrame, str]:
+    """Early-layer features of the wrong traces with their outcome label, and the state of the sample-size gate."""
     # as a table the rates have a measured size: the planner need not shuffle the wide traces to learn it
     stats = cut_lineage(L.pass_stats(s_samples))
     labelled = L.label_outcomes(traces, stats, missing_s, threshold=params.pass_threshold)
-    L.require_samples(labelled.select("label"), params.min_w_wrong_samples)
-    return FE.early_trace_features(labelled, params.prefix_fraction)
+    gate = L.require_samples(labelled.select("label"), params.min_w_wrong_samples, params.min_cell_size)
+    return FE.early_trace_features(labelled, params.prefix_fraction), gate["status"]
 
 
 def evaluate(traces: DataFrame, s_samples: DataFrame, logit_steps: DataFrame | None = None,
@@ -45,18 +45,19 @@ def evaluate(traces: DataFrame, s_samples: DataFrame, logit_steps: DataFrame | N
     held: dict[str, DataFrame] = {}
 
     def core_step() -> DataFrame:
-        features = labelled_features(traces, s_samples, params, missing_s)
+        features, gate = labelled_features(traces, s_samples, params, missing_s)
         held["predictions"] = cut_lineage(probes.probe_predictions(
             features, KEYS, fraction=params.test_fraction, seed=params.seed))
-        summary = probes.probe_summary(held["predictions"])
+        summary = probes.probe_summary(held["predictions"]).withColumn("gate", F.lit(gate)).withColumn(
+            "few_shared_test_rows", F.col("n_shared_test") < params.min_shared_cell)
         if not interval:
-            return summary
+            return summary.withColumn("ci_low", F.lit(None).cast("double")).withColumn("ci_high", F.lit(None).cast("double"))
         ci = bootstrap.auc_interval(held["predictions"], KEYS, "y_pred_prob", "label", params.ci_resamples, params.seed)
         low, high = ci.first()[:2]
         return summary.withColumn("ci_low", F.lit(low).cast("double")).withColumn("ci_high", F.lit(high).cast("double"))
 
     def control_step() -> DataFrame:
-        stats = DI.pass_at_k(traces, params.pass_at_k)
+        stats = DI.pass_at_k(L.resolve_null_correct(traces), params.pass_at_k)
         held["bins"] = cut_lineage(DI.bin_aucs(DI.stratify(
             held["predictions"], stats, KEYS, params.difficulty_bins, params.seed)))
         return DI.with_t_test(DI.paired_comparison(held["bins"]))

@@ -98,9 +98,9 @@ def stratified_folds(spark, sf_dir):
   FROM norm_scores JOIN sides USING (qid) WHERE layer = 1 AND is_test),
 hashes AS (
   SELECT r AS rep, q, n, md5(concat_ws(':', r, q, '7')) AS d
-  FROM range(10000) a(r), (SELECT any_value(n) AS n FROM base) m, range(CAST(ceil(n / 4.0) AS BIGINT)) b(q)),
+  FROM range(10000) a(r), (SELECT any_value(n) AS n FROM base) m, range(CAST(ceil(n / 2.0) AS BIGINT)) b(q)),
 draws AS (
-  SELECT rep, ('0x' || substr(d, CAST(1 + 8 * i AS INTEGER), 8))::BIGINT % n AS row_no FROM hashes, range(4) t(i) WHERE 4 * q + i < n),
+  SELECT rep, ('0x' || substr(d, CAST(1 + 15 * i AS INTEGER), 15))::BIGINT % n AS row_no FROM hashes, range(2) t(i) WHERE 2 * q + i < n),
 counted AS (
   SELECT rep, score, sum(label)::DOUBLE AS pos, sum(1 - label)::DOUBLE AS neg FROM draws JOIN base USING (row_no) GROUP BY 1, 2),
 won AS (

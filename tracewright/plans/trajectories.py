@@ -180,17 +180,6 @@ def dyn_linear(spark, sf_dir):
     return rounded(D.linear_metrics(B.decode_states(spark, sf_dir)).drop("sample_idx"))
 
 
-@query("dyn_selfsim", with_(W_DECODE, STEPS, ELEMS, NORMS, """sims AS (
-  SELECT a.qid, a.layer, a.pos AS i, b.pos AS j, any_value(a.n_steps) AS n, sum(a.x * b.x) AS dot
-  FROM elems a JOIN elems b ON (a.qid, a.layer, a.dim) = (b.qid, b.layer, b.dim)
-   AND b.pos - a.pos >= greatest(1, floor(a.n_steps * 0.25)) GROUP BY 1, 2, 3, 4)""", body="""
-SELECT s.qid, s.layer, round(avg(dot / (a.norm * b.norm)), 6) + 0.0 AS longrange_selfsim
-FROM sims s JOIN norms a ON (a.qid, a.layer, a.pos) = (s.qid, s.layer, s.i)
-JOIN norms b ON (b.qid, b.layer, b.pos) = (s.qid, s.layer, s.j) GROUP BY 1, 2"""))
-def dyn_selfsim(spark, sf_dir):
-    return rounded(D.long_range_similarity(B.decode_states(spark, sf_dir)).drop("sample_idx"))
-
-
 DYN_PAIRS = """dist AS (
   SELECT a.qid, a.layer, a.pos AS i, b.pos AS j, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d
   FROM elems a JOIN elems b ON (a.qid, a.layer, a.dim) = (b.qid, b.layer, b.dim) AND abs(a.pos - b.pos) > 5
@@ -212,10 +201,31 @@ def dyn_pairwise(spark, sf_dir):
     return rounded(D.pairwise_metrics(B.decode_states(spark, sf_dir)).drop("sample_idx"))
 
 
+SELFSIM = """sims AS (
+  SELECT a.qid, a.layer, a.pos AS i, b.pos AS j, any_value(a.n_steps) AS n, sum(a.x * b.x) AS dot
+  FROM elems a JOIN elems b ON (a.qid, a.layer, a.dim) = (b.qid, b.layer, b.dim)
+   AND b.pos - a.pos >= greatest(1, floor(a.n_steps * 0.25)) GROUP BY 1, 2, 3, 4),
+selfsim AS (
+  SELECT s.qid, s.layer, avg(dot / (a.norm * b.norm)) AS longrange_selfsim
+  FROM sims s JOIN norms a ON (a.qid, a.layer, a.pos) = (s.qid, s.layer, s.i)
+  JOIN norms b ON (b.qid, b.layer, b.pos) = (s.qid, s.layer, s.j) GROUP BY 1, 2)"""
+
+@query("dyn_selfsim", with_(W_DECODE, STEPS, ELEMS, NORMS, SELFSIM, body="""
+SELECT qid, layer, round(longrange_selfsim, 6) + 0.0 AS longrange_selfsim FROM selfsim"""))
+def dyn_selfsim(spark, sf_dir):
+    return rounded(D.long_range_similarity(B.decode_states(spark, sf_dir)).drop("sample_idx"))
+
+
+ALL_METRICS = """all_metrics AS (
+  SELECT m.*, s.longrange_selfsim, p.nearest_revisit, p.intrinsic_dim
+  FROM metrics m LEFT JOIN selfsim s USING (qid, layer) LEFT JOIN pairwise p USING (qid, layer))"""
+
 MWU_TAIL = """long AS (
-  SELECT m.layer, u.metric, u.value AS score, l.label FROM metrics m JOIN labelled l USING (qid),
+  SELECT m.layer, u.metric, u.value AS score, l.label FROM all_metrics m JOIN labelled l USING (qid),
     LATERAL (VALUES ('mean_step_norm', m.mean_step_norm), ('tortuosity', m.tortuosity),
-      ('mean_consec_cos', m.mean_consec_cos), ('settle_frac', m.settle_frac), ('spread', m.spread)) u(metric, value)
+      ('mean_consec_cos', m.mean_consec_cos), ('settle_frac', m.settle_frac), ('spread', m.spread),
+      ('longrange_selfsim', m.longrange_selfsim), ('nearest_revisit', m.nearest_revisit),
+      ('intrinsic_dim', m.intrinsic_dim)) u(metric, value)
   WHERE u.value IS NOT NULL),
 scored AS (SELECT * FROM long),
 ranked AS (
@@ -233,29 +243,60 @@ tests AS (
   FROM sums JOIN ties USING (layer, metric))"""
 
 
-@query("mwu_by_metric", with_(W_DECODE, s_rate(25), DECODE_LABELS, STEPS, ELEMS, NORMS, DYN_LINEAR, MWU_TAIL, body="""
+MWU = (W_DECODE, s_rate(25), DECODE_LABELS, STEPS, ELEMS, NORMS, DYN_LINEAR, SELFSIM, DYN_PAIRS, ALL_METRICS, MWU_TAIL)
+# Two-sided p: exact for up to eight values in the smaller group without ties (all its choices of ranks are listed), else
+# the normal tail with continuity correction, by the series of the error function.
+P_VALUES = """sizes AS (
+  SELECT DISTINCT least(n1, n0) AS k, n1 + n0 AS m FROM tests WHERE defined AND least(n1, n0) <= 8 AND tie_term = 0),
+RECURSIVE_PLACEHOLDER
+arrangements AS (SELECT k, m, sum_ - k * (k + 1) // 2 AS u, count(*)::DOUBLE AS ways FROM chosen WHERE used = k GROUP BY 1, 2, 3),
+tops AS (SELECT *, greatest(u, n1 * n0 - u) AS top,
+                sqrt(n1 * n0 / 12.0 * ((n + 1) - tie_term / (n * (n - 1)))) AS sd FROM tests),
+tails AS (SELECT *, (top - n1 * n0 / 2.0 - 0.5) / sd / sqrt(2.0) AS x FROM tops),
+p_values AS (
+  SELECT *, CASE WHEN NOT defined THEN NULL
+    WHEN least(n1, n0) <= 8 AND tie_term = 0 THEN least(1.0, 2 * (SELECT sum(CASE WHEN a.u <= n1 * n0 - top THEN ways ELSE 0 END) / sum(ways)
+      FROM arrangements a WHERE a.k = least(n1, n0) AND a.m = n1 + n0))
+    WHEN sd = 0 THEN NULL WHEN x <= 0 THEN 1.0
+    ELSE 1 - 2 / sqrt(pi()) * exp(-x * x) * list_sum([exp(i * ln(2 * x * x) + ln(x) - lgamma(2.0 * i + 2) + i * ln(2) + lgamma(i + 1.0))
+                                                       FOR i IN range(100)]) END AS p_value FROM tails)"""
+P_VALUES = P_VALUES.replace("RECURSIVE_PLACEHOLDER", """chosen(k, m, used, last_, sum_) AS (
+  SELECT k, m, 0, 0, 0 FROM sizes
+  UNION ALL SELECT c.k, c.m, used + 1, j, sum_ + j FROM chosen c, range(1, 40) r(j) WHERE used < c.k AND j > last_ AND j <= c.m),""")
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query("mwu_by_metric", with_(*MWU, body="""
 SELECT layer, metric, n1 AS n_shared_hard, n0 AS n_salvageable, CASE WHEN defined THEN round(u, 6) END AS mannwhitney_u,
        CASE WHEN defined THEN round((u - n1 * n0 / 2.0) / sqrt(n1 * n0 / 12.0 * ((n + 1) - tie_term / (n * (n - 1)))), 6) + 0.0 END AS z,
        CASE WHEN defined THEN round(m1, 6) + 0.0 END AS shared_hard_median,
        CASE WHEN defined THEN round(m0, 6) + 0.0 END AS salvageable_median
 FROM tests"""))
 def mwu_by_metric(spark, sf_dir):
-    metrics = D.linear_metrics(_wrong_states(spark, sf_dir))
+    metrics = D.trajectory_metrics(_wrong_states(spark, sf_dir))
     tests = D.group_tests(D.metrics_long(metrics), _decode_labels(spark, sf_dir))
     return rounded(tests.drop("tie_term"))
 
 
-@query("dynamics_tests")
+@query("dynamics_tests", _recursive(with_(*MWU, P_VALUES, body="""
+SELECT layer, metric, n1 AS n_shared_hard, n0 AS n_salvageable, CASE WHEN defined THEN round(u, 6) END AS mannwhitney_u,
+       tie_term, CASE WHEN defined THEN round(m1, 6) + 0.0 END AS shared_hard_median,
+       CASE WHEN defined THEN round(m0, 6) + 0.0 END AS salvageable_median, round(p_value, 6) AS p_value FROM p_values""")))
 def dynamics_tests(spark, sf_dir):
     """All eight metrics per layer with p-values."""
     metrics = D.trajectory_metrics(_wrong_states(spark, sf_dir))
     tests = D.group_tests(D.metrics_long(metrics), _decode_labels(spark, sf_dir))
-    return D.with_p_values(tests)
+    return rounded(D.with_p_values(tests).drop("z"))
 
 
-@query("dynamics_chance_summary")
+@query("dynamics_chance_summary", _recursive(with_(*MWU, P_VALUES, body="""
+SELECT count(*) FILTER (WHERE p_value < 0.05) AS n_significant, count(*) AS n_tests, count(*) * 0.05::DOUBLE AS expected_by_chance
+FROM p_values""")))
 def dynamics_chance_summary(spark, sf_dir):
-    metrics = D.linear_metrics(_wrong_states(spark, sf_dir))
+    metrics = D.trajectory_metrics(_wrong_states(spark, sf_dir))
     tests = D.group_tests(D.metrics_long(metrics), _decode_labels(spark, sf_dir))
     return D.chance_summary(D.with_p_values(tests))
 

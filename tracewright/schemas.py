@@ -20,7 +20,7 @@ RESULT_BLOB = T.StructType([
         T.StructField("prompt", T.StringType()),
         T.StructField("origin_query", T.StringType()),
         T.StructField("ground_truth", T.StringType()),
-        T.StructField("score", T.DoubleType()),
+        T.StructField("score", T.StringType()),  # numbers, numbers as text, and truth values occur
     ]))),
 ])
 

@@ -32,9 +32,17 @@ def find_dataset_dir(spark: SparkSession, root: str, dataset: str) -> str:
     raise FileNotFoundError(f"dataset {dataset!r} not found below {root}; available: {seen}")
 
 
-def find_model_dirs(spark: SparkSession, dataset_dir: str, split: str | None = None) -> list[str]:
-    """Model folders of a dataset, with or without a split level. Lists folders only, never data."""
+def find_model_dirs(spark: SparkSession, dataset_dir: str, split: str | None = None, layout: str = "auto") -> list[str]:
+    """Model folders of a dataset, with or without a split level. Lists folders only, never data.
+
+    Layout "auto": folders with JSON files directly inside are models, else the level is one of splits. "models": every
+    folder is a model, whose files may lie in folders of their own (one per run).
+    """
+    if layout not in ("auto", "models"):
+        raise ValueError(f"unknown layout {layout!r}")
     folders = [name for name, is_dir in _children(spark, dataset_dir) if is_dir]
+    if layout == "models":
+        return [f"{dataset_dir}/{name}" for name in folders]
 
     def holds_json(name: str) -> bool:
         return any(n.endswith(".json") and not d for n, d in _children(spark, f"{dataset_dir}/{name}"))

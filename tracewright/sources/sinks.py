@@ -10,9 +10,12 @@ def append_table(df: DataFrame, path: str, partition_by: list[str] | None = None
     df.write.mode("append").partitionBy(*(partition_by or [])).parquet(path)
 
 
-def write_states(states: DataFrame, path: str) -> None:
-    """The canonical vector table; a layer filter later prunes whole folders."""
-    states.write.mode("append").partitionBy("layer").parquet(path)
+def write_states(states: DataFrame, path: str, source: str) -> None:
+    """The canonical vector table; a source and layer filter later prunes whole folders.
+
+    Prompt and generation states (`source` "prefill" and "decode") follow different distributions and stay apart.
+    """
+    states.withColumn("source", F.lit(source)).write.mode("append").partitionBy("source", "layer").parquet(path)
 
 
 def append_errors(errors: DataFrame, out_path: str) -> str:

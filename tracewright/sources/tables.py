@@ -18,9 +18,16 @@ def read_traces(spark: SparkSession, *paths: str, schema: StructType | None = No
 
 
 def last_per_key(df: DataFrame, keys: list[str], rank: str = "file_rank") -> DataFrame:
-    """Of repeated keys the row of the last file wins. Heavy columns travel once, in the winner."""
+    """Of repeated keys the row of the last file wins (of equal ranks one). Only keys and ranks are compared."""
+    wins = df.groupBy(*keys).agg(F.max(rank).alias(rank))
     rest = [c for c in df.columns if c not in keys and c != rank]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("_row")).select(*keys, "_row.*")
+    return df.join(wins, [*keys, rank], "left_semi").dropDuplicates(keys).select(*keys, *rest)
+
+
+def read_states(spark: SparkSession, path: str, source: str, layers: list[int] | None = None) -> DataFrame:
+    """States of one source, and of some layers; other folders are not read."""
+    rows = spark.read.parquet(path).where(F.col("source") == source)
+    return rows if layers is None else rows.where(F.col("layer").isin(layers))
 
 
 def model_path(template: str, model: str) -> str:
