@@ -51,7 +51,7 @@ def _by_segment(df: DataFrame, parts, flips: int | None) -> DataFrame:
         own = _part(F.col("code"), first, width)
         if flips is None:
             return F.array(own)
-        masks = F.array(*[F.lit(m).cast("long") for m in _flips(width, flips)]) if flips <= width else F.array().cast("array<long>")
+        masks = F.expr(f"cast(array({', '.join(map(str, _flips(width, flips)))}) as array<long>)")
         return F.transform(masks, lambda m: own.bitwiseXOR(m))
     keyed = df.withColumn("by", F.explode(F.array(*[F.struct(F.lit(j).alias("seg"), values(*p).alias("values"))
                                                     for j, p in enumerate(parts)])))
@@ -70,7 +70,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     stored = _by_segment(index.select("code", F.col("ids")[0].alias("first")), parts, None).withColumnRenamed("code", "found")
     while True:
         probes = _by_segment(open_, parts, radius)
-        hits = probes.join(stored, ["seg", "value"])
+        hits = probes.hint("merge").join(stored, ["seg", "value"])  # the planner takes flips for a small table
         gap = F.col("code").bitwiseXOR(F.col("found"))
         apart = [F.bit_count(_part(gap, *p)) for p in parts]
         # Seen in an earlier round, or in this one by an earlier segment: counted once.
