@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from __spark_entry__ import oracle_sql, queries  # noqa: E402
 from tests.compare import compare, duck  # noqa: E402
-from tracewright.session import build_session  # noqa: E402
+from tracewright.session import build_session, drop_scratch  # noqa: E402
 
 if __name__ == "__main__":
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
@@ -38,4 +38,5 @@ if __name__ == "__main__":
         print(f"{'ok ' if problem is None else 'BAD'} {name} {time.time() - t:.1f}s"
               f"{'' if name in sql else ' (rows only)'} {problem or ''}", flush=True)
     print(f"{len(names) - bad} of {len(names)} good")
+    drop_scratch(spark)
     spark.stop()

@@ -95,3 +95,23 @@ def test_bootstrap_one_class(spark):
     df = spark.createDataFrame([(i, float(i), 1) for i in range(5)], "id int, s double, y int")
     row = bootstrap.auc_interval(df, ["id"], "s", "y", 20).first()
     assert row["n_replicates"] == 0 and row["ci_low"] is None
+
+
+def test_bootstrap_ways_agree(spark, monkeypatch):
+    df = spark.createDataFrame([(i, float(i % 7), i % 3 % 2) for i in range(31)], "id int, s double, y int")
+    here = {r["rep"]: r["auc"] for r in bootstrap.replicate_aucs(df, ["id"], "s", "y", 60, seed=4).collect()}
+    monkeypatch.setattr(bootstrap, "BROADCAST_ROWS", 0)
+    assert {r["rep"]: r["auc"] for r in bootstrap.replicate_aucs(df, ["id"], "s", "y", 60, seed=4).collect()} == pytest.approx(here)
+
+
+def test_exact_medians(spark):
+    rng = np.random.default_rng(9)
+    rows = [("big", float(v)) for v in np.round(rng.normal(size=30_001), 3)] + [("even", float(v)) for v in rng.normal(size=2000)]
+    rows += [("ties", 1.0)] * 50 + [("ties", 2.0)] * 50 + [("one", 5.0), ("none", None), ("two", 1.0), ("two", 4.0)]
+    df = spark.createDataFrame(rows, "cell string, v double")
+    got = {r["cell"]: r["median"] for r in R.exact_medians(df, ["cell"], "v").collect()}
+    by = {}
+    for c, v in rows:
+        if v is not None:
+            by.setdefault(c, []).append(v)
+    assert got == {c: pytest.approx(float(np.median(v))) for c, v in by.items()}

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
@@ -26,21 +30,50 @@ def draws(spark, n_rows: int, replicates: int, seed: int = 0) -> DataFrame:
         F.col("_q") * PER_HASH + F.col("_i") < n_rows).select("rep", (F.col("_v") % n_rows).alias("row_no"))
 
 
+def _replicates_in_tasks(numbered: DataFrame, n_rows: int, replicates: int, seed: int) -> DataFrame:
+    spark = numbered.sparkSession
+    base = numbered.select("row_no", "score", "label").toArrow()
+    row, score, label = (base[c].to_numpy() for c in ("row_no", "score", "label"))
+    usable = ~np.isnan(score)
+    order = np.argsort(score[usable], kind="stable")
+    row, score, label = row[usable][order], score[usable][order], label[usable][order] == 1
+    starts = np.flatnonzero(np.concatenate([[True], score[1:] != score[:-1]])[:len(score)])
+    shared = spark.sparkContext.broadcast((row, label, starts))
+
+    def run(batches):
+        row, label, starts = shared.value
+        for batch in batches:
+            out = []
+            for rep in batch.column("id").to_pylist() if len(starts) else []:
+                digests = (md5(f"{rep}:{q}:{seed}".encode()).hexdigest() for q in range(-(-n_rows // PER_HASH)))
+                values = [int(d[i * DIGITS:(i + 1) * DIGITS], 16) % n_rows for d in digests for i in range(PER_HASH)]
+                times = np.bincount(values[:n_rows], minlength=n_rows)[row]
+                pos, neg = (np.add.reduceat(times * side, starts).astype(float) for side in (label, ~label))
+                if pos.sum() and neg.sum():
+                    out.append((rep, float((pos * (np.cumsum(neg) - neg / 2)).sum() / (pos.sum() * neg.sum()))))
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([a for _, a in out], pa.float64())], ["rep", "auc"])
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return spark.range(0, replicates, 1, parts).mapInArrow(run, "rep long, auc double")
+
+
 def replicate_aucs(rows: DataFrame, keys: list[str], score: str, label: str, replicates: int = 10_000,
                    seed: int = 0) -> DataFrame:
     """(rep, auc) of every replicate that drew both classes.
 
-    Cost and memory follow the draws: they are generated in parallel, looked up by row number, and summed
-    to counts per distinct score before anything is ordered.
+    Up to `BROADCAST_ROWS` rows travel to the tasks, and each replicate is drawn and summed where it is made. Beyond,
+    draws are looked up by row number and summed to counts per distinct score before anything is ordered. Both ways
+    use the same draws.
     """
     one = cut_lineage(rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(
         *keys, F.col(score).cast("double").alias("score"), F.col(label).alias("label"), F.lit(0).alias("_all")))
     n_rows = one.count()
+    if n_rows <= BROADCAST_ROWS:
+        return _replicates_in_tasks(hash_row_number(one, keys, seed), n_rows, replicates, seed)
     edges = F.broadcast(score_edges(score_counts(one, ["_all"], "score", "label"), ["_all"]))  # one row
     numbered = hash_row_number(one, keys, seed).join(edges, "_all").select(
         "row_no", "score", "label", bucket_of(F.col("score"), F.col("_edges"), F.col("_coarse")).alias("_bucket"))
     # the size is known here; otherwise the planner might ship the draws instead
-    numbered = F.broadcast(numbered) if n_rows <= BROADCAST_ROWS else numbered.hint("merge")
+    numbered = numbered.hint("merge")
     # one shuffle by replicate, all equally large; every later step keeps this placement
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     drawn = draws(rows.sparkSession, n_rows, replicates, seed).join(numbered, "row_no").repartition(parts, "rep")

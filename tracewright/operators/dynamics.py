@@ -13,7 +13,7 @@ from ..functions.vectors import cosine, distance, dot, norm, subtract, unit
 from ..schemas import TRAJECTORY
 from ..session import cut_lineage
 from .pairwise import pairwise_metrics
-from .ranking import pair_wins
+from .ranking import exact_medians, pair_wins
 from .states import BLOCK_ROWS, GROUP_ROWS, block_of, spread, spread_over_blocks, with_halo
 
 METRICS = ["mean_step_norm", "tortuosity", "mean_consec_cos", "longrange_selfsim", "settle_frac", "spread",
@@ -116,14 +116,13 @@ def long_range_similarity(states: DataFrame, lag_fraction: float = 0.25, rows: i
 
     sums = ["within", "pairs", "null_vec"]
     parts = blocks(placed.where(F.col("n_steps") <= rows)).select(*TRAJECTORY, *sums)
-    if not states.where(F.col("n_steps") > rows).select("n_steps").isEmpty():
-        # one row per block from here on
-        long = cut_lineage(blocks(placed.where(F.col("n_steps") > rows)))
-        earlier = Window.partitionBy(*TRAJECTORY, "dim").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-        across = long.select(*TRAJECTORY, "block", F.posexplode(F.arrays_zip("src", "tgt")).alias("dim", "v")).select(
-            *TRAJECTORY, (F.col("v.tgt") * F.coalesce(F.sum("v.src").over(earlier), F.lit(0.0))).alias("within"),
-            F.lit(0.0).alias("pairs"), F.lit(False).alias("null_vec"))
-        parts = parts.unionByName(long.select(*TRAJECTORY, *sums)).unionByName(across)
+    # one row per block from here on; planned in any case, as looking for long trajectories would read the input once more
+    long = blocks(placed.where(F.col("n_steps") > rows))
+    earlier = Window.partitionBy(*TRAJECTORY, "dim").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    across = long.select(*TRAJECTORY, "block", F.posexplode(F.arrays_zip("src", "tgt")).alias("dim", "v")).select(
+        *TRAJECTORY, (F.col("v.tgt") * F.coalesce(F.sum("v.src").over(earlier), F.lit(0.0))).alias("within"),
+        F.lit(0.0).alias("pairs"), F.lit(False).alias("null_vec"))
+    parts = parts.unionByName(long.select(*TRAJECTORY, *sums)).unionByName(across)
     return parts.groupBy(*TRAJECTORY).agg(
         F.sum("within").alias("s"), F.sum("pairs").alias("p"), F.max("null_vec").alias("z")).select(
         *TRAJECTORY, F.when(~F.col("z"), F.try_divide("s", "p")).alias("longrange_selfsim"))
@@ -155,9 +154,9 @@ def group_tests(long: DataFrame, labels: DataFrame, on: list[str] | None = None)
     cells = ["layer", "metric"]
     # a few numbers per trajectory; both uses below would otherwise repeat the passes over the vectors
     joined = cut_lineage(long.join(labels.select(*on, "label"), on).select(*cells, "value", "label"))
-    medians = joined.groupBy(*cells).agg(
-        F.median(F.when(F.col("label") == 1, F.col("value"))).alias("shared_hard_median"),
-        F.median(F.when(F.col("label") == 0, F.col("value"))).alias("salvageable_median"))
+    medians = exact_medians(joined.where(F.col("label").isNotNull()), [*cells, "label"], "value").groupBy(*cells).agg(
+        F.max(F.when(F.col("label") == 1, F.col("median"))).alias("shared_hard_median"),
+        F.max(F.when(F.col("label") == 0, F.col("median"))).alias("salvageable_median"))
     stats = pair_wins(joined, cells, "value", "label")
     n1, n0 = F.col("n_pos").cast("double"), F.col("n_neg").cast("double")
     n = n1 + n0

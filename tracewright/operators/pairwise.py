@@ -57,7 +57,7 @@ def _short(states: DataFrame, theiler: int) -> DataFrame:
     names = [*TRAJECTORY, "nearest_revisit", "intrinsic_dim"]
 
     def whole(key: tuple, group: pa.Table) -> pa.Table:
-        pos, vec = group.column("pos").to_numpy(), matrix(group.column("vec"))
+        pos, vec = _ordered(group)
         d = _far_tile(pos, vec, pos, vec, theiler)
         upper = d[pos[:, None] < pos[None, :]]
         upper = upper[np.isfinite(upper)]
@@ -83,8 +83,15 @@ def _tiles(states: DataFrame, rows: int) -> DataFrame:
         *TRAJECTORY, "pos", "vec", F.least("mine", "other").alias("ta"), F.greatest("mine", "other").alias("tb"))
 
 
+def _ordered(group: pa.Table):
+    """Rows by position: a product's rounding depends on their order, and rounds of a search must agree to the bit."""
+    pos = group.column("pos").to_numpy()
+    order = np.argsort(pos, kind="stable")
+    return pos[order], matrix(group.column("vec"))[order]
+
+
 def _split(group: pa.Table, ta: int, rows: int):
-    pos, vec = group.column("pos").to_numpy(), matrix(group.column("vec"))
+    pos, vec = _ordered(group)
     return pos, vec, pos // rows == ta
 
 
@@ -167,12 +174,14 @@ def _exact_median(tiles: DataFrame, states: DataFrame, ids: str, theiler: int, r
             (F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n")))
         hit = cut_lineage(hit.select(*TRAJECTORY, "target", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"),
                                      F.col("low").alias("lo"), F.col("high").alias("hi"), "n"))
+        if hit.count() != todo.count():
+            raise RuntimeError("a middle distance was lost between two rounds of the search")
         # the bin's ends are its smallest and largest member
         ends = F.when(F.col("rank") == 1, F.col("lo")).when(F.col("rank") == F.col("n"), F.col("hi")).when(
             F.col("lo") == F.col("hi"), F.col("lo"))
         done = hit.select(*TRAJECTORY, "target", ends.alias("value")).where("value is not null")
         found = done if found is None else found.unionByName(done)
-        todo = hit.where(ends.isNull()).drop("n")
+        todo = hit.where(ends.isNull()).select(*TRAJECTORY, "target", "rank", "lo", "hi")
     found = found if found is not None else todo.select(*TRAJECTORY, "target", F.col("lo").alias("value"))
     return found.groupBy(*TRAJECTORY).agg(F.avg("value").alias("median"))
 

@@ -111,6 +111,27 @@ def wins_from_buckets(counts: DataFrame, cells: list[str]) -> DataFrame:
                              F.sum("won").alias("wins"), F.sum("tied").alias("tie_term"))
 
 
+def exact_medians(df: DataFrame, cells: list[str], value: str) -> DataFrame:
+    """(cells, median) without gathering a cell in one task.
+
+    A mergeable sketch gives a bracket that is sure to hold the middle ranks (its rank error is a tenth of the
+    bracket's margin). What lies below is only counted; the distinct values inside are ordered by running counts.
+    """
+    usable = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*cells, F.col(value).cast("double").alias("v"))
+    ends = F.percentile_approx("v", F.array(F.lit(0.499), F.lit(0.501)), F.lit(10_000))
+    brackets = usable.groupBy(*cells).agg(ends.alias("ends"), F.count(F.lit(1)).alias("n"))
+    placed = usable.join(brackets, cells).select(
+        *cells, "n", (F.col("v") < F.col("ends")[0]).alias("below"),
+        F.when(F.col("v") >= F.col("ends")[0], F.col("v")).alias("v"), F.col("ends")[1].alias("high")).where(
+        F.col("below") | (F.col("v") <= F.col("high")))
+    counts = placed.groupBy(*cells, "n", "v").agg(F.count(F.lit(1)).alias("c"))  # the row without v: all that lies below
+    upto = F.sum("c").over(Window.partitionBy(*cells).orderBy(F.col("v").asc_nulls_first()))
+    ranked = counts.withColumn("upto", upto)
+    held = [(F.col("upto") >= r) & (F.col("upto") - F.col("c") < r) for r in (F.expr("(n + 1) div 2"), F.expr("(n + 2) div 2"))]
+    return ranked.groupBy(*cells).agg(
+        ((F.max(F.when(held[0], F.col("v"))) + F.max(F.when(held[1], F.col("v")))) / 2).alias("median"))
+
+
 def pair_wins(df: DataFrame, cells: list[str], score: str, label: str, weight: Column | None = None,
               fan: int = 8) -> DataFrame:
     """Per cell: class sizes, the number of (positive, negative) pairs ranked right, and the tie term."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -42,13 +44,25 @@ def scratch_root(spark: SparkSession) -> str:
         return root
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tracewright-"))
+    own = tempfile.mkdtemp(prefix="tracewright-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)  # a folder of our own ends with the process
+    sc.setCheckpointDir(own)
     return sc.getCheckpointDir()
 
 
+def run_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark).rstrip('/')}/tracewright-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the scratch folder."""
-    return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new, unused path below this application's folder in the scratch folder."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written to the scratch folder; its lazy results can't be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
