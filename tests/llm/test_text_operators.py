@@ -282,7 +282,7 @@ def test_suffixes_odd(odd, nothing):
     assert set(odd.columns) <= set(kept.columns) and {r.spans for r in kept.collect()} == {"clash"}
 
 
-@pytest.mark.parametrize("hot", [20_000, 5])
+@pytest.mark.parametrize("hot", [2_000, 5])
 def test_suffixes_adversarial(spark, monkeypatch, hot):
     """Few letters, periodic texts, passages in changing surroundings, many buckets; with and without hot anchors."""
     monkeypatch.setattr(suffixes, "HOT", hot)

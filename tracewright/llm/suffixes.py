@@ -41,7 +41,7 @@ from .common import blocks
 LENGTH = 100
 GRAM = 24
 BLOCK = 2 << 20
-HOT = 20_000  # contexts of one anchor that a task may get
+HOT = 2_000  # contexts of one anchor that a task may get
 ROWS = 256  # texts unpacked at a time
 NO_ID = -(1 << 63)
 _BYTES = np.random.default_rng(20).integers(1, 1 << 64, (2, 256), np.uint64, endpoint=False) | np.uint64(1)
