@@ -48,10 +48,9 @@ def test_pair_out(spark, n, d):
 
 
 def test_pair_out_refuses_huge_cells(spark, monkeypatch):
-    monkeypatch.setattr(pairout, "MAX_CELL_VALUES", 10)
     df = spark.createDataFrame([("a", i, i % 2, [0.0] * 3) for i in range(6)], "cell string, id int, label int, vec array<double>")
     with pytest.raises(Exception, match="use the k-fold sweep"):
-        pairout.pair_out_auc(df, ["cell"], ["id"]).collect()
+        pairout.pair_out_auc(df, ["cell"], ["id"], max_rows=3).collect()
 
 
 @pytest.mark.parametrize("components", [2, 50])

@@ -10,8 +10,8 @@ from ..functions.arrow import matrix, one_row
 from ..session import cut_lineage
 from .states import spread
 
-# A cell's rows meet in one task, n^2 / 4 fits each: an estimator for small samples. Larger ones: cv_sweep.
-MAX_CELL_VALUES = 32 << 20
+# Labelled rows of a cell: n^2 / 4 fits each, an estimator for small samples. Larger ones: cv_sweep.
+MAX_ROWS = 4096
 PAIRS_PER_TASK = 128
 BATCH_BYTES = 64 << 20
 
@@ -80,34 +80,37 @@ def pair_out_wins(x: np.ndarray, y: np.ndarray, pairs: np.ndarray, c: float) ->
 
 
 def pair_out_auc(rows: DataFrame, cells: list[str], row_keys: list[str], label: str = "label", c: float = 0.01,
-                 pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
+                 pairs_per_task: int = PAIRS_PER_TASK, max_rows: int = MAX_ROWS) -> DataFrame:
     """AUC per cell over rows (cells, row_keys, label, vec); NULL unless each class has two rows.
 
-    The pairs of a cell are shared by as many tasks as they fill blocks; each task enumerates its own pairs.
-    Cells whose matrix is too large for a task are refused, not shortened.
+    The pairs of a cell are shared by at most twice as many tasks as there are cores for a cell, each with a copy of the
+    cell's rows and one stretch of its pairs. `max_rows` bounds the labelled rows of a cell; a larger cell is refused,
+    not shortened.
     """
     # small by the limit below, but usually pooled from a large table that should be read once
     rows = cut_lineage(rows.select(*cells, *row_keys, F.col(label).cast("int").alias("label"), "vec"))
     counts = rows.groupBy(*cells).agg(
-        F.count_if(F.col("label") == 1).alias("n_pos"), F.count_if(F.col("label") == 0).alias("n_neg"),
-        (F.count(F.lit(1)) * F.max(F.size("vec"))).alias("n_values"))
+        F.count_if(F.col("label") == 1).alias("n_pos"), F.count_if(F.col("label") == 0).alias("n_neg"))
+    slots = max(1, -(-2 * rows.sparkSession.sparkContext.defaultParallelism // max(1, counts.count())))
+    n_rows = F.col("n_pos") + F.col("n_neg")
     usable = (F.col("n_pos") >= 2) & (F.col("n_neg") >= 2)
     # refused before any row is copied
     too_large = F.raise_error(F.concat(
-        F.lit("a cell holds "), F.col("n_values").cast("string"),
-        F.lit(f" values, more than {MAX_CELL_VALUES}: use the k-fold sweep"))).cast("int")
-    last_block = F.when(F.col("n_values") > MAX_CELL_VALUES, too_large).otherwise(
-        F.expr(f"cast((n_pos * n_neg - 1) div {int(pairs_per_task)} as int)"))
-    copies = rows.join(counts.where(usable), cells).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), last_block))).select(
-        *cells, "_block", *row_keys, "label", "vec")
+        F.lit("a cell holds "), n_rows.cast("string"),
+        F.lit(f" rows, more than {max_rows}: use the k-fold sweep"))).cast("int")
+    tasks = F.when(n_rows > max_rows, too_large).otherwise(
+        F.least(F.lit(slots), F.expr(f"cast((n_pos * n_neg - 1) div {int(pairs_per_task)} as int) + 1")))
+    copies = rows.join(counts.where(usable).withColumn("_tasks", tasks), cells).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0), F.col("_tasks") - 1))).select(
+        *cells, "_block", "_tasks", *row_keys, "label", "vec")
 
     def block_wins(key: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by([(k, "ascending") for k in row_keys])
         x, y = matrix(group.column("vec")), group.column("label").to_numpy().astype(float)
         pos, neg = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-        first = key[-1].as_py() * pairs_per_task
-        number = np.arange(first, min(first + pairs_per_task, len(pos) * len(neg)))
+        share, n_pairs = group.column("_tasks")[0].as_py(), len(pos) * len(neg)
+        first, last = (n_pairs * (key[-1].as_py() + i) // share for i in (0, 1))
+        number = np.arange(first, last)
         pairs = np.stack([pos[number // len(neg)], neg[number % len(neg)]], axis=1)
         return one_row(key[:-1], [*cells, "wins"], [pa.float64()], [pair_out_wins(x, y, pairs, c)])
 

@@ -19,8 +19,6 @@ from .splits import group_split, stratified_folds
 
 # Projections of a chunk of layers travel to every task; a sweep is cut into chunks that stay below this.
 BASIS_BYTES = 256 << 20
-# A task hands on its partial moments before they exceed this.
-MOMENT_BYTES = 256 << 20
 
 
 # -- one held-out probe ----------------------------------------------------------------------------
@@ -47,7 +45,7 @@ def probe_summary(predictions: DataFrame, label: str = "label") -> DataFrame:
 # -- cross-validated sweep -------------------------------------------------------------------------
 
 def _moment_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial sums of [1, x] outer products per (layer, fold), one output row per matrix row."""
+    """Sums of [1, x] outer products per (layer, fold), one output row per matrix row; input sorted by (layer, fold)."""
     sums: dict[tuple[int, int], np.ndarray] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -67,9 +65,9 @@ def _moment_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for layer, fold in np.unique(cell, axis=0):
             part = x[(cell[:, 0] == layer) & (cell[:, 1] == fold)]
             key = (int(layer), int(fold))
-            sums[key] = sums.get(key, 0.0) + part.T @ part
-            if len(sums) * x.shape[1] ** 2 * 8 > MOMENT_BYTES:
+            if sums and key not in sums:
                 yield from flush()
+            sums[key] = sums.get(key, 0.0) + part.T @ part
     yield from flush()
 
 
@@ -220,7 +218,12 @@ def cv_sweep(states: DataFrame, labels: DataFrame, keys: list[str], label: str =
     assigned = cut_lineage(stratified_folds(labels, keys, label, folds, seed).withColumnRenamed(label, "label"))
     rows = states.join(assigned, keys).select(
         "layer", "fold", F.col("label").cast("int").alias("label"), "vec")
-    moments = rows.mapInArrow(_moment_parts, "layer int, fold int, i int, g array<double>").groupBy(
+    # a task gets rows of few cells, so about one matrix leaves it; one cell is shared by several tasks if there are few
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = states.select("layer").distinct().count() * folds
+    salt = F.pmod(F.xxhash64("vec"), F.lit(-(-parts // max(cells, 1))))
+    dealt = rows.repartition(parts, "layer", "fold", salt).sortWithinPartitions("layer", "fold")
+    moments = dealt.mapInArrow(_moment_parts, "layer int, fold int, i int, g array<double>").groupBy(
         "layer", "fold", "i").agg(Summarizer.sum(array_to_vector(F.col("g"))).alias("s")).select(
         "layer", "fold", "i", vector_to_array("s").alias("g"))
     solved = cut_lineage(moments.groupBy("layer").applyInPandas(
@@ -248,23 +251,24 @@ def _chunks(sizes: list[tuple[int, int]]) -> Iterator[list[int]]:
 
 
 def _sweep_chunk(spark, rows: DataFrame, solved: DataFrame, c: float) -> DataFrame:
-    bases: dict[tuple[int, int], list] = {}
-    for r in solved.orderBy("layer", "fold", "j").collect():
-        bases.setdefault((r["layer"], r["fold"]), []).append(r["p"])
-    bases = {k: np.array(v) for k, v in bases.items()}
+    fetched = solved.orderBy("layer", "fold", "j").toArrow().combine_chunks()
+    at = np.stack([fetched["layer"].to_numpy(), fetched["fold"].to_numpy()], axis=1)
+    bases = {}
+    for layer, fold in np.unique(at, axis=0):
+        own = np.flatnonzero((at[:, 0] == layer) & (at[:, 1] == fold))
+        bases[int(layer), int(fold)] = np.stack([fetched["p"][int(i)].values.to_numpy() for i in own])
     shared = spark.sparkContext.broadcast(bases)
     z = rows.mapInArrow(_project(shared),
                         "label int, layer int, fold int, held_out boolean, z array<double>").persist()
-    weights = _fit_cells(z.where(~F.col("held_out")), {k: len(v) for k, v in bases.items()}, c)
-    fitted = spark.sparkContext.broadcast(weights)
-    scores = z.where("held_out").mapInArrow(_held_out_scores(fitted), "layer int, fold int, label int, score double")
-    per_fold = auc(scores, ["layer", "fold"], "score", "label")
-    result = cut_lineage(per_fold.groupBy("layer").agg(
-        F.avg("auc").alias("auc"), F.count("auc").alias("n_folds")))
-    z.unpersist()
-    shared.unpersist()
-    fitted.unpersist()
-    return result
+    try:
+        weights = _fit_cells(z.where(~F.col("held_out")), {k: len(v) for k, v in bases.items()}, c)
+        fitted = spark.sparkContext.broadcast(weights)
+        scores = z.where("held_out").mapInArrow(_held_out_scores(fitted), "layer int, fold int, label int, score double")
+        per_fold = auc(scores, ["layer", "fold"], "score", "label")
+        return cut_lineage(per_fold.groupBy("layer").agg(F.avg("auc").alias("auc"), F.count("auc").alias("n_folds")))
+    finally:
+        z.unpersist()
+        shared.unpersist()
 
 
 def best_cell(results: DataFrame, cell: str = "layer", value: str = "auc") -> DataFrame:

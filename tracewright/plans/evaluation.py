@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import norm
 from ..operators import bootstrap, bow, features as FE, labels as L, pairout, probes, splits, states as S
 from ..operators.ranking import auc
+from ..params import DEFAULTS
 from . import bindings as B
 from .registry import query, rounded
 from .sql_parts import (AUC_VALUE, SINGLE_LABELS, W_LAYERS, W_SINGLE, auc_sql, s_rate, with_)
@@ -157,7 +158,7 @@ def layer_features(spark, sf_dir, early: bool):
 def lpo_layer_scan(spark, sf_dir):
     labels = _decode_labels(spark, sf_dir, "salvageable").select("qid", "label")
     both = layer_features(spark, sf_dir, False).unionByName(layer_features(spark, sf_dir, True))
-    return rounded(pairout.pair_out_auc(both.join(labels, "qid"), ["layer", "pool"], ["qid"]))
+    return rounded(pairout.pair_out_auc(both.join(labels, "qid"), ["layer", "pool"], ["qid"], c=DEFAULTS.pair_out_c, max_rows=DEFAULTS.pair_out_rows))
 
 
 def position_features(spark, sf_dir, n_positions: int = 20):
@@ -169,7 +170,7 @@ def position_features(spark, sf_dir, n_positions: int = 20):
 def lpo_position_grid(spark, sf_dir):
     labels = _decode_labels(spark, sf_dir, "salvageable").select("qid", "label")
     rows = position_features(spark, sf_dir).join(labels, "qid")
-    return rounded(pairout.pair_out_auc(rows, ["layer", "grid_pos"], ["qid"]))
+    return rounded(pairout.pair_out_auc(rows, ["layer", "grid_pos"], ["qid"], c=DEFAULTS.pair_out_c, max_rows=DEFAULTS.pair_out_rows))
 
 
 @query("cohort_confirmation")
@@ -179,7 +180,7 @@ def cohort_confirmation(spark, sf_dir):
     half = B.w_decode(spark, sf_dir).agg(((F.max("qid") + 1) / 2).alias("h")).scalar()
     rows = layer_features(spark, sf_dir, False).join(labels, "qid").withColumn(
         "cohort", F.when(F.col("qid") < half, "first").otherwise("second"))
-    scan = pairout.pair_out_auc(rows, ["cohort", "layer"], ["qid"])
+    scan = pairout.pair_out_auc(rows, ["cohort", "layer"], ["qid"], c=DEFAULTS.pair_out_c, max_rows=DEFAULTS.pair_out_rows)
     return pairout.compare_cohorts(scan.where("cohort = 'first'"), scan.where("cohort = 'second'"), ["layer"])
 
 
@@ -218,6 +219,6 @@ def bow_vs_layer0(spark, sf_dir):
         F.lit("bag_of_words").alias("features"), "qid", "label", "vec")
     layer0 = FE.mean_pool(_wrong_states(spark, sf_dir).where("layer = 0"), ["qid"]).join(labels, "qid").select(
         F.lit("layer_0").alias("features"), "qid", "label", "vec")
-    fitted = pairout.pair_out_auc(words.unionByName(layer0), ["features"], ["qid"])
+    fitted = pairout.pair_out_auc(words.unionByName(layer0), ["features"], ["qid"], c=DEFAULTS.pair_out_c, max_rows=DEFAULTS.pair_out_rows)
     lengths = counts.groupBy("qid").agg(F.sum("n").alias("length")).join(labels, "qid")
     return rounded(fitted.unionByName(auc(lengths, [], "length", "label").withColumn("features", F.lit("length"))))
