@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .ranking import ordered_index
 
@@ -37,9 +37,9 @@ def vocabulary(counts: DataFrame, min_df: int = 3) -> DataFrame:
 def log_counts(counts: DataFrame, kept: DataFrame) -> DataFrame:
     """(qid, token, weight): log(1 + n) of vocabulary tokens, scaled to unit length per question."""
     weighted = counts.join(kept, "token").withColumn("raw", F.log1p(F.col("n").cast("double")))
-    norms = weighted.groupBy("qid").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("qid")))
     extra = [c for c in ("idx",) if c in kept.columns]
-    return weighted.join(norms, "qid").select(
+    return weighted.withColumn("norm", norm).select(
         "qid", "token", *extra, F.coalesce(F.try_divide("raw", "norm"), F.lit(0.0)).alias("weight"))
 
 

@@ -10,7 +10,8 @@ from ..operators.ranking import auc
 from ..params import DEFAULTS
 from . import bindings as B
 from .registry import query, rounded
-from .sql_parts import (AUC_VALUE, SINGLE_LABELS, W_LAYERS, W_SINGLE, auc_sql, s_rate, with_)
+from .sql_parts import (AUC_VALUE, DECODE_LABELS, ELEMS, NORMS, SINGLE_LABELS, STEPS, W_DECODE, W_LAYERS, W_SINGLE, auc_sql,
+                        s_rate, with_)
 from .trajectories import _decode_labels, _wrong_states
 
 KEYS = ["qid", "sample_idx"]
@@ -222,3 +223,67 @@ def bow_vs_layer0(spark, sf_dir):
     fitted = pairout.pair_out_auc(words.unionByName(layer0), ["features"], ["qid"], c=DEFAULTS.pair_out_c, max_rows=DEFAULTS.pair_out_rows)
     lengths = counts.groupBy("qid").agg(F.sum("n").alias("length")).join(labels, "qid")
     return rounded(fitted.unionByName(auc(lengths, [], "length", "label").withColumn("features", F.lit("length"))))
+
+
+# -- scalar twins of the fitted operators -----------------------------------------------------------
+# With one number per row a ridge-logistic fit with a free intercept ranks rows by that number, upwards if label and
+# number vary together in the training rows and downwards if not. That is all an AUC sees, and SQL can say it.
+
+def _scalar(rows):
+    return rows.withColumn("vec", F.array("score")).drop("score")
+
+
+@query("probe_auc_norm", with_(*SINGLE_BASE, GROUP_SPLIT, """parted AS (
+  SELECT n.*, is_test FROM norm_scores n JOIN sides USING (qid) WHERE layer = 7),
+way AS (SELECT sign(covar_pop(score, label)) AS s FROM parted WHERE NOT is_test),
+scored AS (SELECT s * score AS score, label FROM parted, way WHERE is_test)""", auc_sql(""), body=f"""
+SELECT round({AUC_VALUE}, 6) AS auc, n_pos + n_neg AS n_test, n_pos AS n_shared_test FROM sums"""))
+def probe_auc_norm(spark, sf_dir):
+    rows = single_norms(spark, sf_dir).where("layer = 7").withColumn("features", F.array("score"))
+    return rounded(probes.probe_summary(probes.probe_predictions(rows, KEYS)))
+
+
+CV_NORM = """held AS (
+  SELECT n.layer, f.fold, n.score, n.label FROM norm_scores n JOIN folds f USING (qid, sample_idx)),
+ways AS (
+  SELECT t.layer, o.fold, sign(covar_pop(t.score, t.label)) AS s
+  FROM held t, (SELECT DISTINCT fold FROM held) o WHERE t.fold <> o.fold GROUP BY 1, 2),
+scored AS (SELECT h.layer, h.fold, s * h.score AS score, h.label FROM held h JOIN ways USING (layer, fold))"""
+CV_NORM_AUCS = f"""fold_aucs AS (SELECT layer, fold, {AUC_VALUE} AS auc FROM sums),
+sweep AS (SELECT layer, avg(auc) AS auc, count(auc) AS n_folds FROM fold_aucs GROUP BY layer)"""
+
+
+def _norm_sweep(spark, sf_dir):
+    rows = _scalar(single_norms(spark, sf_dir).drop("label"))
+    return probes.cv_sweep(rows, _single_labels(spark, sf_dir), KEYS)
+
+
+@query("cv_norm_sweep", with_(*SINGLE_BASE, FOLDS, CV_NORM, auc_sql("layer, fold"), CV_NORM_AUCS, body="""
+SELECT layer, round(auc, 6) AS auc, n_folds FROM sweep"""))
+def cv_norm_sweep(spark, sf_dir):
+    return rounded(_norm_sweep(spark, sf_dir))
+
+
+@query("best_layer_cv_norm", with_(*SINGLE_BASE, FOLDS, CV_NORM, auc_sql("layer, fold"), CV_NORM_AUCS, body="""
+SELECT layer AS best_layer, round(auc, 6) AS best_auc FROM sweep WHERE auc IS NOT NULL ORDER BY round(auc, 9) DESC, layer LIMIT 1"""))
+def best_layer_cv_norm(spark, sf_dir):
+    """Best layer of a fitted sweep."""
+    return rounded(probes.best_cell(_norm_sweep(spark, sf_dir).withColumn("auc", F.round("auc", 9))))
+
+
+@query("lpo_norm", with_(W_DECODE, s_rate(25), DECODE_LABELS, STEPS, ELEMS, NORMS, """firsts AS (
+  SELECT n.layer, n.qid, n.norm AS x, l.label AS y FROM norms n JOIN labelled l USING (qid) WHERE n.pos = 0),
+totals AS (SELECT layer, count(*)::DOUBLE AS n, sum(x) AS sx, sum(y)::DOUBLE AS sy, sum(x * y) AS sxy FROM firsts GROUP BY layer),
+pairs AS (
+  SELECT layer, p.x - q.x AS gap,
+         sign((sxy - p.x) - (sx - p.x - q.x) * (sy - 1) / (n - 2)) AS way
+  FROM firsts p JOIN firsts q USING (layer) JOIN totals USING (layer) WHERE p.y = 1 AND q.y = 0)""", body="""
+SELECT t.layer, CAST(sy AS BIGINT) AS n_pos, CAST(n - sy AS BIGINT) AS n_neg,
+       CASE WHEN sy >= 2 AND n - sy >= 2 THEN round(avg(CASE WHEN way * gap > 0 THEN 1.0 WHEN way * gap = 0 THEN 0.5 ELSE 0.0 END), 6) END AS auc
+FROM totals t LEFT JOIN pairs USING (layer) GROUP BY t.layer, sy, n"""))
+def lpo_norm(spark, sf_dir):
+    """Every pair of a shared-hard and a salvageable trace left out once, on the norm of the first step."""
+    rows = _wrong_states(spark, sf_dir).where("pos = 0").select("qid", "layer", norm(F.col("vec")).alias("score"))
+    labels = _decode_labels(spark, sf_dir).select("qid", "label")
+    return rounded(pairout.pair_out_auc(_scalar(rows.join(labels, "qid")), ["layer"], ["qid"], c=DEFAULTS.pair_out_c,
+                                        max_rows=DEFAULTS.pair_out_rows))
