@@ -48,6 +48,25 @@ class Model:
     emit: np.ndarray  # class x state
 
 
+_PACKED = pa.schema([("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())),
+                     ("ids", pa.list_(pa.int32())), ("classes", pa.list_(pa.int32()))])
+
+
+def _pack(*columns) -> bytes:
+    """A block's numbers as one compressed Arrow batch of one row."""
+    row = pa.RecordBatch.from_arrays([pa.array([c], t.type) for c, t in zip(columns, _PACKED)], schema=_PACKED)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _PACKED, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(row)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(packed: pa.Scalar) -> dict[str, np.ndarray]:
+    row = next(iter(pa.ipc.open_stream(packed.as_buffer())))
+    return {c: row.column(c)[0].values.to_numpy(zero_copy_only=False) if c != "doc_ids" else row.column(c)[0].values
+            for c in _PACKED.names}
+
+
 def word_blocks(docs: DataFrame, classes: int = CLASSES, parts: int = 5, left_out: int = 1) -> DataFrame:
     """One row per block of texts, written once; word 0 of a block is the end token."""
     read = docs.select("doc_id", "text", (doc_hash_remainder(parts) == left_out).alias("held_out"))
@@ -66,27 +85,21 @@ def word_blocks(docs: DataFrame, classes: int = CLASSES, parts: int = 5, left_ou
             ids = np.array(ids, np.int32)
             held = block.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             counts = np.bincount(ids[np.repeat(~held, sizes)], minlength=len(words))
-            of = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words)) % np.uint64(classes)
-            one = lambda values, kind: pa.array([values], pa.list_(kind))
+            of = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words)).view(np.int64) % classes
+            packed = _pack(block.column("doc_id").to_pylist(), held, sizes, ids, of.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part << 32 | n]), one(block.column("doc_id").to_pylist(), pa.int64()), one(held, pa.bool_()),
-                 one(sizes, pa.int32()), one(ids, pa.int32()), one(list(words), pa.binary()), one(counts, pa.int64()),
-                 one(of.astype(np.int32), pa.int32())], ["block", "doc_ids", "held", "sizes", "ids", "words", "counts", "classes"])
+                [pa.array([part << 32 | n]), pa.array([packed], pa.binary()), pa.array([list(words)], pa.list_(pa.binary())),
+                 pa.array([counts], pa.list_(pa.int64()))], ["block", "packed", "words", "counts"])
             n += 1
-    return cut_lineage(read.mapInArrow(
-        run, "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, ids array<int>, words array<binary>, "
-             "counts array<long>, classes array<int>"))
+    return cut_lineage(read.mapInArrow(run, "block long, packed binary, words array<binary>, counts array<long>"))
 
 
-def vocabulary(table: DataFrame) -> DataFrame:
+def vocabulary(table: DataFrame, classes: int = CLASSES) -> DataFrame:
     """(word, class, c): training words with their counts."""
-    listed = table.select(F.explode(F.arrays_zip("words", "counts", "classes")).alias("w")).select(
-        F.col("w.words").alias("word"), F.col("w.counts").alias("n"), F.col("w.classes").alias("class")).where("n > 0")
-    return listed.groupBy("word", "class").agg(F.sum("n").alias("c"))
-
-
-def _list(batch: pa.RecordBatch, name: str, i: int) -> np.ndarray:
-    return batch.column(name)[i].values.to_numpy(zero_copy_only=False)
+    listed = table.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select(
+        F.col("w.words").alias("word"), F.col("w.counts").alias("n")).where("n > 0")
+    return listed.groupBy("word").agg(F.sum("n").alias("c")).select(
+        "word", F.pmod(F.xxhash64("word"), F.lit(classes)).cast("int").alias("class"), "c")
 
 
 class Lockstep:
@@ -170,10 +183,10 @@ def iterate(table: DataFrame, model: Model, share: np.ndarray) -> Model:
         m = shared.value
         begins, moves, emits = np.zeros((2, states)), np.zeros((states, states)), np.zeros((n, states))
         for batch in batches:
-            for i in range(batch.num_rows):
-                sizes, held = _list(batch, "sizes", i).astype(np.int64), _list(batch, "held", i).astype(bool)
-                own = np.repeat(~held, sizes)
-                symbols, sizes = _list(batch, "classes", i)[_list(batch, "ids", i)[own]], sizes[~held]
+            for packed in batch.column("packed"):
+                b = _unpack(packed)
+                sizes, held = b["sizes"].astype(np.int64), b["held"].astype(bool)
+                symbols, sizes = b["classes"][b["ids"][np.repeat(~held, sizes)]], sizes[~held]
                 if not len(sizes):
                     continue
                 sizes, heads = _runs(sizes)
@@ -186,7 +199,7 @@ def iterate(table: DataFrame, model: Model, share: np.ndarray) -> Model:
         full = np.concatenate([begins, moves * m.move, emits])
         at = np.flatnonzero(full)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(np.round(full.ravel()[at] * STEP).astype(np.int64))], ["i", "n"])
-    sums = table.select("held", "sizes", "ids", "classes").mapInArrow(run, "i long, n long").groupBy("i").agg(
+    sums = table.select("packed").mapInArrow(run, "i long, n long").groupBy("i").agg(
         F.sum("n").alias("n")).toArrow()
     full = np.zeros((2 + states + n) * states)
     full[sums["i"].to_numpy()] = sums["n"].to_numpy() / STEP
@@ -206,7 +219,7 @@ def train(table: DataFrame, share: np.ndarray, states: int = STATES, iterations:
 def score(docs: DataFrame, states: int = STATES, classes: int = CLASSES, iterations: int = ITERATIONS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of `docs`."""
     table = word_blocks(docs, classes)
-    words = cut_lineage(vocabulary(table))
+    words = cut_lineage(vocabulary(table, classes))
     per = words.groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).toArrow()  # a row per class
     total, kinds = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
     total[per["class"].to_numpy()], kinds[per["class"].to_numpy()] = per["c"].to_numpy(), per["v"].to_numpy()
@@ -225,8 +238,8 @@ def score(docs: DataFrame, states: int = STATES, classes: int = CLASSES, iterati
         m, log_within = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
-                sizes, ids, of = (_list(batch, c, i) for c in ("sizes", "ids", "classes"))
-                sizes = sizes.astype(np.int64)
+                b = _unpack(batch.column("packed")[i])
+                sizes, ids, of = b["sizes"].astype(np.int64), b["ids"], b["classes"]
                 c = np.zeros(len(of), np.int64)
                 if batch.column("known")[i].is_valid:
                     known = batch.column("known")[i].values
@@ -236,9 +249,9 @@ def score(docs: DataFrame, states: int = STATES, classes: int = CLASSES, iterati
                 add = lambda values: np.bincount(doc, values[ids], minlength=len(sizes))
                 likely = Lockstep(of[ids].astype(np.int64), sizes).log10(m.start, m.move, m.emit)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_ids")[i].values, batch.column("held")[i].values, pa.array(sizes),
+                    [b["doc_ids"], pa.array(b["held"].astype(bool)), pa.array(sizes),
                      pa.array(add(known.astype(float)).astype(np.int64)), pa.array(np.full(len(sizes), train_tokens)),
                      pa.array(add(rest) - base * sizes), pa.array(likely + add(rest - log_within[of]))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-    return table.select("block", "doc_ids", "held", "sizes", "ids", "classes").join(counted, "block", "left").mapInArrow(
+    return table.select("block", "packed").join(counted, "block", "left").mapInArrow(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
