@@ -1,10 +1,11 @@
 """Exact top-k search of binary codes by incremental multi-index hashing.
 
-A code of 64 bits is cut into segments of about log2(number of codes) bits, and every segment is an index. A round
-with segment radius s probes, for each unanswered query, the index entries exactly s bits away in some segment. After
-it every code within `segments * (s + 1) - 1` bits has been seen: one further away in all segments by s + 1 or more
-cannot be nearer. A query is answered when its kth verified distance lies within that bound. Equal codes are one index
-entry that carries its k smallest ids, so copies neither swell an entry nor a result.
+A code of 64 bits is cut into segments of at most log2(number of codes) bits, and every segment is an index. After a
+first round over equal segments, a round probes one segment j for the entries exactly s bits away, for each unanswered
+query: s = 1 for one segment after the other, then s = 2, and so on. After it every code within `segments * s + j` bits
+has been seen: one not seen is s + 1 or more away in segments 0 to j and s or more in the others. A query is answered
+when its kth verified distance lies within that bound. Equal codes are one index entry that carries its k smallest ids,
+so copies neither swell an entry nor a result.
 
 Defined cases: a row without a vector (null or empty) has no code: it is not found and as a query gets no rows; ties
 in distance go to the smaller id; fewer than k rows in all give as many; rows that repeat an id count as rows each.
@@ -32,7 +33,7 @@ def codes(vectors: DataFrame) -> DataFrame:
 
 def segments(n_codes: int) -> list[tuple[int, int]]:
     """(first bit, width) of every segment."""
-    m = min(16, max(3, round(BITS / max(1.0, math.log2(max(n_codes, 2))))))
+    m = min(16, max(3, math.ceil(BITS / max(1.0, math.log2(max(n_codes, 2))))))
     cuts = [BITS * i // m for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
@@ -45,8 +46,8 @@ def _flips(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in c) for c in combinations(range(width), radius)]
 
 
-def _by_segment(df: DataFrame, parts, flips: int | None) -> DataFrame:
-    """One row per segment, and for queries per flip of `flips` bits; `seg` and `value` are the index key."""
+def _by_segment(df: DataFrame, parts, flips: int | None, only: range) -> DataFrame:
+    """One row per segment of `only`, and for queries per flip of `flips` bits; `seg` and `value` are the index key."""
     def values(first, width):
         own = _part(F.col("code"), first, width)
         if flips is None:
@@ -54,7 +55,7 @@ def _by_segment(df: DataFrame, parts, flips: int | None) -> DataFrame:
         masks = F.expr(f"cast(array({', '.join(map(str, _flips(width, flips)))}) as array<long>)")
         return F.transform(masks, lambda m: own.bitwiseXOR(m))
     keyed = df.withColumn("by", F.explode(F.array(*[F.struct(F.lit(j).alias("seg"), values(*p).alias("values"))
-                                                    for j, p in enumerate(parts)])))
+                                                    for j, p in enumerate(parts) if j in only])))
     return keyed.select("code", *[c for c in df.columns if c != "code"], F.col("by.seg").alias("seg"),
                         F.explode("by.values").alias("value"))
 
@@ -66,10 +67,12 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     index = cut_lineage(few.groupBy("code").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))  # k ids at most
     n = index.count()
     asked = cut_lineage(queries.select("code").distinct())
-    parts, open_, best, radius = segments(n), asked, None, 0
-    stored = _by_segment(index.select("code", F.col("ids")[0].alias("first")), parts, None).withColumnRenamed("code", "found")
-    while True:
-        probes = _by_segment(open_, parts, radius)
+    parts, open_, best = segments(n), asked, None
+    every = range(len(parts))
+    stored = _by_segment(index.select("code", F.col("ids")[0].alias("first")), parts, None, every).withColumnRenamed("code", "found")
+    rounds = [(0, every), *((s, range(j, j + 1)) for s in range(1, max(w for _, w in parts) + 1) for j in every if s <= parts[j][1])]
+    for radius, only in rounds:
+        probes = _by_segment(open_, parts, radius, only)
         hits = probes.hint("merge").join(stored, ["seg", "value"])  # the planner takes flips for a small table
         gap = F.col("code").bitwiseXOR(F.col("found"))
         apart = [F.bit_count(_part(gap, *p)) for p in parts]
@@ -83,12 +86,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         nearest = Window.partitionBy("code").orderBy("distance", "first")
         now = hits.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= k).drop("nth")
         now = cut_lineage(now if best is None else now.unionByName(best.join(open_, "code", "left_anti")))
-        seen = len(parts) * (radius + 1) - 1
+        seen = len(parts) * radius + only[-1]
         done = now.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("kth")).where(
             (F.col("n") >= min(k, n)) & (F.col("kth") <= seen))
         best, open_ = now, cut_lineage(open_.join(done, "code", "left_anti"))
-        radius += 1
-        if radius > max(w for _, w in parts) or open_.isEmpty():
+        if open_.isEmpty():
             break
     found = best.join(index.withColumnRenamed("code", "found"), "found").select("code", "distance", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("code").orderBy("distance", "vec_id")
