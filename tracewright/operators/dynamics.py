@@ -16,6 +16,7 @@ from .pairwise import pairwise_metrics
 from .ranking import exact_medians, pair_wins
 from .states import BLOCK_ROWS, GROUP_ROWS, block_of, spread, spread_over_blocks, with_halo
 
+# The names of the metrics.
 METRICS = ["mean_step_norm", "tortuosity", "mean_consec_cos", "longrange_selfsim", "settle_frac", "spread",
            "nearest_revisit", "intrinsic_dim"]
 

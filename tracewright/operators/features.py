@@ -12,6 +12,12 @@ from ..functions.vectors import let
 from .states import prefix
 
 
+def unusable_rows(traces: DataFrame) -> DataFrame:
+    """One row: all traces, and those that the feature operators leave out because their matrix is missing or empty."""
+    return traces.agg(F.count(F.lit(1)).alias("n"),
+                      F.count_if(F.coalesce(F.size("hidden_all_layers"), F.lit(0)) <= 0).alias("n_unusable"))
+
+
 def early_trace_features(traces: DataFrame, fraction: float = 0.25, pca_slots: int = 10) -> DataFrame:
     """Mean, population std and max over the first layers of each row's matrix, as one vector.
 

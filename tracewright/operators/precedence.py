@@ -11,7 +11,6 @@ from .ranking import seeded_hash
 
 TRACE = ["qid", "sample_idx"]
 BLOCK_STEPS = 65_536
-RESULTS = ["not_applicable", "no_lock", "no_emergence", "pass", "suspicious"]
 
 
 def explode_logits(traces: DataFrame) -> DataFrame:
@@ -87,6 +86,7 @@ def check_traces(steps: DataFrame, gap: float = 1.0, factor: float = 0.5) -> Dat
     joined = answer_emergence(scalars, gap).join(
         failure_lock(rolling_entropy(scalars), factor), TRACE, "left")
     lock, emerged = F.col("lock_step"), F.col("emergence_step")
+    # The words for a check's result.
     result = (F.when(F.col("correct") != 0, "not_applicable").when(lock.isNull(), "no_lock")
               .when(emerged.isNull(), "no_emergence").when(lock < emerged, "pass").otherwise("suspicious"))
     return joined.select(*TRACE, "correct", "emergence_step", "lock_step", "divergence", result.alias("check_result"))

@@ -39,6 +39,7 @@ def has_signal(core: DataFrame) -> bool:
 def verdict_of(auc: Column, core_error: Column, control_error: Column, significant: Column, delta: Column,
                precedence: Column, min_margin: float = 0.05) -> Column:
     """The decision rule. An undefined AUC is no signal, so it can never lead to GO."""
+    # The verdict words.
     beats = F.coalesce(significant & (delta >= min_margin), F.lit(False))
     return (F.when(core_error.isNotNull() | auc.isNull() | F.isnan(auc) | (auc <= 0.5), "NO-GO")
             .when(control_error.isNotNull(), "BLOCKED")

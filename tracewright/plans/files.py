@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import curation as C, labels as L, states as S
+from ..operators import curation as C, features as FE, labels as L, states as S
 from ..sources import blobs, responses as R, sinks, tables
 from ..session import fresh_path
 from . import bindings as B
@@ -138,6 +138,14 @@ def missing_strong_half(spark, sf_dir):
     return L.missing_strong_questions(B.w_single(spark, sf_dir).drop("hidden_all_layers"), stats)
 
 
+@query("unusable_feature_rows", """
+SELECT count(*) AS n, count(*) FILTER (WHERE label IN (2, 5)) AS n_unusable FROM embeddings""")
+def unusable_feature_rows(spark, sf_dir):
+    """Rows without a matrix, or with an empty one, are left out of features; this counts them."""
+    layers = F.when(F.col("label") == 2, F.array().cast("array<array<float>>")).when(F.col("label") != 5, F.array("embedding"))
+    return FE.unusable_rows(B.table(spark, sf_dir, "embeddings").select(layers.alias("hidden_all_layers")))
+
+
 def _stored_decode(spark, sf_dir):
     """Nested generation traces in two files; the second repeats every third trace with other step numbers."""
     steps = B.decode_steps(spark, sf_dir).groupBy("qid", "n_new_tokens").agg(
