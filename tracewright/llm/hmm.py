@@ -35,6 +35,7 @@ STATES = 8
 CLASSES = 4096
 ITERATIONS = 5
 RUN = 256
+TOGETHER = 1 << 17  # words trained on in lock step, which bounds a task's memory
 STEP = 1 << 20  # expected counts are summed in these parts of one
 END = b" "  # no word contains a blank
 SEED = 42
@@ -190,12 +191,14 @@ def iterate(table: DataFrame, model: Model, share: np.ndarray) -> Model:
                 if not len(sizes):
                     continue
                 sizes, heads = _runs(sizes)
-                steps = Lockstep(symbols, sizes)
-                heads = heads[steps.order]
-                begin = np.where(heads[:, None], m.start, m.resume)
-                found = np.empty_like(begin)
-                steps.expected(begin, m.move, m.emit, found, moves, emits)
-                begins += [found[heads].sum(axis=0), found[~heads].sum(axis=0)]
+                ends = np.cumsum(sizes)
+                for some in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(ends // TOGETHER)) + 1):
+                    steps = Lockstep(symbols[ends[some[0]] - sizes[some[0]]:ends[some[-1]]], sizes[some])
+                    first = heads[some][steps.order]
+                    begin = np.where(first[:, None], m.start, m.resume)
+                    found = np.empty_like(begin)
+                    steps.expected(begin, m.move, m.emit, found, moves, emits)
+                    begins += [found[first].sum(axis=0), found[~first].sum(axis=0)]
         full = np.concatenate([begins, moves * m.move, emits])
         at = np.flatnonzero(full)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(np.round(full.ravel()[at] * STEP).astype(np.int64))], ["i", "n"])
