@@ -12,7 +12,7 @@ from pyspark.sql.types import StructField, StructType
 
 from ..session import cut_lineage
 
-BLOCK_BYTES = 4 << 20  # text bytes that a task works on at a time; a longer text is a block of its own
+BLOCK_BYTES = 1 << 20  # text bytes that a task works on at a time; a longer text is a block of its own
 
 
 def doc_hash_remainder(parts: int) -> Column:

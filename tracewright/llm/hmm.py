@@ -35,6 +35,7 @@ STATES = 8
 CLASSES = 4096
 ITERATIONS = 5
 RUN = 256
+BLOCK = 4 << 20  # larger blocks repeat fewer words
 TOGETHER = 1 << 17  # words trained on in lock step, which bounds a task's memory
 STEP = 1 << 20  # expected counts are summed in these parts of one
 END = b" "  # no word contains a blank
@@ -74,7 +75,7 @@ def word_blocks(docs: DataFrame, classes: int = CLASSES, parts: int = 5, left_ou
 
     def run(batches):
         part, n = TaskContext.get().partitionId(), 0
-        for block in blocks(batches):
+        for block in blocks(batches, limit=BLOCK):
             words: dict[bytes, int] = {END: 0}
             number = words.setdefault
             ids, sizes = [], []

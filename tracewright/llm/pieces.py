@@ -72,15 +72,16 @@ class Encoder:
 
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(model)
-        self.spec = proto.normalizer_spec
+        # Plain flags: a part of the message would keep all of it in memory.
+        self.prefix, self.escape = proto.normalizer_spec.add_dummy_prefix, proto.normalizer_spec.escape_whitespaces
+        self.trim = proto.normalizer_spec.remove_extra_whitespaces
         self.suffix = proto.trainer_spec.treat_whitespace_as_suffix
-        self.map = CharacterMap(self.spec.precompiled_charsmap)
+        self.map = CharacterMap(proto.normalizer_spec.precompiled_charsmap)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.byte_piece = [p.type == p.BYTE for p in proto.pieces]
         self.unknown = [p.type == p.UNKNOWN for p in proto.pieces]
         self.size = [1 if b else len(p.piece.encode()) for p, b in zip(proto.pieces, self.byte_piece)]
-        self.by_word = (not self.map.units and self.spec.add_dummy_prefix and self.spec.escape_whitespaces
-                        and not self.spec.remove_extra_whitespaces and not self.suffix
+        self.by_word = (not self.map.units and self.prefix and self.escape and not self.trim and not self.suffix
                         and proto.trainer_spec.byte_fallback and any(p.piece == SPACE for p in proto.pieces)
                         and not any(SPACE in p.piece.lstrip(SPACE) or " " in p.piece or p.type == p.USER_DEFINED
                                     for p in proto.pieces))
@@ -89,8 +90,8 @@ class Encoder:
 
     def normalise(self, text: str) -> tuple[bytes, list[int]]:
         """Normalised bytes, and for each of them (and the end) the place in the source where it begins."""
-        source, trim = text.encode(), self.spec.remove_extra_whitespaces
-        blank = _BLANK if self.spec.escape_whitespaces else b" "
+        source, trim = text.encode(), self.trim
+        blank = _BLANK if self.escape else b" "
         out, align, at = bytearray(), [], 0
 
         def step(at: int) -> tuple[int, bytes]:
@@ -111,7 +112,7 @@ class Encoder:
             out.extend(new)
             align.extend([start] * len(new))
 
-        if at < len(source) and self.spec.add_dummy_prefix and not self.suffix:
+        if at < len(source) and self.prefix and not self.suffix:
             put(blank, at)
         was_blank = trim
         while at < len(source):
@@ -128,7 +129,7 @@ class Encoder:
             at += n
         while trim and out.endswith(blank):
             del out[-len(blank):], align[-len(blank):]
-        if out and self.spec.add_dummy_prefix and self.suffix:
+        if out and self.prefix and self.suffix:
             put(blank, len(source))
         return bytes(out), [*align, len(source)]
 

@@ -40,7 +40,7 @@ from .common import blocks
 
 LENGTH = 100
 GRAM = 24
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 HOT = 2_000  # contexts of one anchor that a task may get
 ROWS = 256  # texts unpacked at a time
 NO_ID = -(1 << 63)
