@@ -300,6 +300,23 @@ def test_suffixes_adversarial(spark, monkeypatch, hot):
         spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
+def test_suffixes_of_null_and_repeated_ids(spark):
+    """Every row is a document: spans of one null-id text don't reach others, and repeats at equal places are found."""
+    rng = np.random.default_rng(9)
+    word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    passage, own = word(150), [word(400) for _ in range(6)]
+    same, twice = word(300), word(200)
+    rows = [(None, own[0]), (None, own[1][:20] + passage + own[1][20:]), (None, own[2][:20] + passage + own[2][20:]), (None, None),
+            (None, same), (None, same), (None, same), (5, own[3] + passage), (5, own[4]), (5, own[5]), (6, twice), (6, twice)]
+    got = suffixes.cut(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), ["doc_id", "text"]).collect()
+    removed = Counter((r.doc_id, r.text, r.n_removed) for r in got)
+    shifted = sorted((len(r.text) - r.n_removed) for r in got if r.doc_id is None and r.text and passage in r.text)
+    assert len(got) == len(rows) and shifted[1] == 550 and 395 <= shifted[0] <= 400
+    assert all(removed[i, t, 0] == 1 for i, t in [(None, own[0]), (None, None), (5, own[4]), (5, own[5])])
+    assert (removed[None, same, 0], removed[None, same, 300]) == (1, 2) and (removed[6, twice, 0], removed[6, twice, 200]) == (1, 1)
+    assert all(150 <= r.n_removed <= 155 and r.kept_text.startswith(own[3][:390]) for r in got if r.text == own[3] + passage)
+
+
 # --- 9 -----------------------------------------------------------------------------------------------------------
 
 def slow_mix(rows):

@@ -1,7 +1,8 @@
 """Removal of repeated byte strings with sorted suffixes.
 
-A byte goes if a string of `length` bytes over it also starts earlier (a smaller doc_id, or earlier in the same
-document). Sorting a suffix for every byte would shuffle a hundred times the text, so the array is a sparse one: of
+A byte goes if a string of `length` bytes over it also starts earlier (in a row before, or earlier in the same text).
+Rows are ordered by doc_id, then by a hash of the text; `numbered` writes them once, each with its own number in that
+order, and all steps know a row by its number. Sorting a suffix for every byte would shuffle a hundred times the text, so the array is a sparse one: of
 the 24-byte grams in a window of `length` bytes the one with the least hash is the window's anchor. Windows with equal
 bytes have equal anchors at equal places, so nothing is lost, and about one suffix in forty is left.
 
@@ -19,8 +20,8 @@ Whole texts are read; windows never reach over documents. Spark's local sort sta
 the key's columns (leading bytes with the gram, covered bytes, place) are compared one after the other.
 
 Defined cases: a null text is empty; a text shorter than `length` bytes loses nothing; a null doc_id counts as the
-smallest; rows that repeat a doc_id are the same document (they should have the same text; repeated rows are not
-copies of each other, and spans found for any of them apply to all, cut to their length).
+smallest; every row is a document of its own, whether its doc_id is null, repeated or neither (of repeated rows one is
+first, and the others are copies of it).
 """
 
 from __future__ import annotations
@@ -43,15 +44,10 @@ GRAM = 24
 BLOCK = 1 << 19
 HOT = 2_000  # contexts of one anchor that a task may get
 ROWS = 256  # texts unpacked at a time
-NO_ID = -(1 << 63)
 _BYTES = np.random.default_rng(20).integers(1, 1 << 64, (2, 256), np.uint64, endpoint=False) | np.uint64(1)
 _FACTORS = np.random.default_rng(21).integers(1, 1 << 64, (2, 64), np.uint64, endpoint=False) | np.uint64(1)
 
 
-def _id():
-    return F.coalesce(F.col("doc_id"), F.lit(NO_ID))
-
-
 def rolling(data: np.ndarray, width: int, family: int = 0) -> np.ndarray:
     """A 64-bit hash of every `width` bytes, put together from hashes of 1, 2, 4, ... bytes."""
     part, size, out, done, bit = _BYTES[family][data], 1, None, 0, 0
@@ -88,14 +84,8 @@ def least_places(h: np.ndarray, width: int) -> np.ndarray:
     return (out & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def _joined(block: pa.RecordBatch) -> tuple[bytes, np.ndarray]:
-    """The texts of a block one after the other, and where they begin (and the end)."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in block.column("text").to_pylist()]
-    return b"".join(raw), np.cumsum([0, *map(len, raw)])
-
-
-def _anchor_rows(block: pa.RecordBatch, length: int, gram: int):
-    data, bounds = _joined(block)
+def _anchor_rows(ids: list[int], raw: list[bytes], length: int, gram: int):
+    data, bounds = b"".join(raw), np.cumsum([0, *map(len, raw)])
     if len(data) < length:
         return None
     codes = np.frombuffer(data, np.uint8)
@@ -114,22 +104,34 @@ def _anchor_rows(block: pa.RecordBatch, length: int, gram: int):
     covered = np.fromiter((digest(view[a:b]) for a, b in zip(s.tolist(), (s + n - 1 + length).tolist())), np.uint64, len(s))
     key = codes[at].astype(np.uint64) << np.uint64(56) | codes[at + 1].astype(np.uint64) << np.uint64(48) | h[at] >> np.uint64(16)
     key ^= np.uint64(1 << 63)  # the order of signed numbers is then that of the bytes
-    return [key.view(np.int64), covered.view(np.int64), block.column("id").to_numpy()[doc], (s - bounds[doc]).astype(np.int32),
+    return [key.view(np.int64), covered.view(np.int64), np.array(ids, np.int64)[doc], (s - bounds[doc]).astype(np.int32),
             n.astype(np.int32)]
 
 
 PLACES = ["key", "covered", "id", "s", "n"]
 
 
-def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """One row per anchor: keys, document, first window and number of windows."""
+def anchors(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """One row per anchor of the numbered `rows`: keys, row, first window and number of windows."""
+    def pieces(batches):
+        unpack, ids, raw, size = zstandard.ZstdDecompressor().decompress, [], [], 0
+        for batch in batches:
+            for i, zipped in zip(batch.column("_id").to_pylist(), batch.column("_zip")):
+                if zipped.is_valid:
+                    ids.append(i)
+                    raw.append(unpack(zipped.as_py()))
+                    size += len(raw[-1])
+                if size >= BLOCK:
+                    yield ids, raw
+                    ids, raw, size = [], [], 0
+        yield ids, raw
+
     def run(batches):
-        for block in blocks(batches, limit=BLOCK):
-            rows = _anchor_rows(block, length, gram)
-            if rows is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], PLACES)
-    return docs.select(_id().alias("id"), "text").mapInArrow(
-        run, "key long, covered long, id long, s int, n int")
+        for ids, raw in pieces(batches):
+            found = _anchor_rows(ids, raw, length, gram)
+            if found is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(r) for r in found], PLACES)
+    return rows.select("_id", "_zip").mapInArrow(run, "key long, covered long, id long, s int, n int")
 
 
 def _sorted_rows(rows: DataFrame, *keys: str) -> DataFrame:
@@ -180,9 +182,8 @@ def compared(rows: DataFrame) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """The rows with `_id`, and with `_zip`, the compressed bytes, in place of `text`."""
-    read = docs.withColumn("_id", _id())
-    schema = StructType([*(f for f in read.schema if f.name != "text"), StructField("_zip", BinaryType())])
+    """The rows with `_zip`, the compressed bytes, in place of `text`."""
+    schema = StructType([*(f for f in docs.schema if f.name != "text"), StructField("_zip", BinaryType())])
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
@@ -190,11 +191,23 @@ def packed(docs: DataFrame) -> DataFrame:
             zipped = [None if t is None else pack(t.encode("utf-8", "surrogatepass")) for t in block.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*(block.column(c) for c in schema.names[:-1]), pa.array(zipped, pa.binary())], names=schema.names)
-    return read.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The packed rows, written once, with `_id`: every row's own number, in the order of doc_id and the text's hash.
+
+    The row's place in the input is the last part of the range key, so that any number of equal rows is spread.
+    """
+    read = packed(docs.withColumn("_hash", F.xxhash64("text")).withColumn("_at", F.monotonically_increasing_id()))
+    order = [F.asc_nulls_first("doc_id"), F.col("_hash"), F.col("_at")]
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = read.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    return cut_lineage(rows.withColumn("_id", F.monotonically_increasing_id()).drop("_hash", "_at"))
 
 
-def contexts(docs: DataFrame, rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(key, id, s, bytes): what the windows of `rows` cover."""
+def contexts(packs: DataFrame, rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(key, id, s, bytes): what the windows of `rows` cover, read from the numbered `packs`."""
     wanted = rows.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("key", "s", "n")).alias("_spans"))
 
     def run(batches):
@@ -208,7 +221,7 @@ def contexts(docs: DataFrame, rows: DataFrame, length: int = LENGTH) -> DataFram
                 cut_ = [data[a:a + m - 1 + length] for a, m in zip(s.tolist(), n.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(s), i)), pa.array(s), pa.array(cut_, pa.binary())],
                                                  ["key", "id", "s", "bytes"])
-    return packed(docs.select("doc_id", "text")).join(wanted, "_id").select("_id", "_zip", "_spans").mapInArrow(
+    return packs.join(wanted, "_id").select("_id", "_zip", "_spans").mapInArrow(
         run, "key long, id long, s int, bytes binary")
 
 
@@ -307,12 +320,12 @@ def _marked(part, edge, a, b, ids, s):
          pa.array(s, pa.int32())], ["part", "edge", "a", "b", "id", "s"])
 
 
-def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(id, s, n): runs of window starts whose bytes start earlier; id is doc_id, or the smallest long for null."""
-    found = cut_lineage(compared(anchors(docs, length)))
+def repeated(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(id, s, n): runs of window starts whose bytes start earlier; id is the number of one of the numbered `rows`."""
+    found = cut_lineage(compared(anchors(rows, length)))
     unsure = found.where("not repeats")
     hot = cut_lineage(unsure.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"))
-    covered = cut_lineage(contexts(docs, unsure, length))
+    covered = cut_lineage(contexts(rows, unsure, length))
     by_anchor = repeats_by_anchor(covered.join(hot, "key", "left_anti"), length)
     by_window = repeated_windows(windows(covered.join(hot, "key", "left_semi"), length))
     return found.where("repeats").select("id", "s", "n").union(by_anchor).union(by_window)
@@ -329,7 +342,8 @@ def cut(docs: DataFrame, keep: list[str] | None = None, length: int = LENGTH) ->
     names = {f.name for f in fields}
     keep = [c for c in dict.fromkeys(keep) if c not in names]
     read = docs.select(*dict.fromkeys([*keep, "doc_id", "text"]))
-    spans = repeated(docs, length).groupBy(F.col("id").alias("_id")).agg(
+    rows = numbered(read)
+    spans = repeated(rows, length).groupBy(F.col("id").alias("_id")).agg(
         F.collect_list(F.shiftleft(F.col("s").cast("long"), 32) + F.col("n")).alias("_spans"))
     schema = StructType([*(read.schema[c] for c in keep), *fields])
 
@@ -360,4 +374,4 @@ def cut(docs: DataFrame, keep: list[str] | None = None, length: int = LENGTH) ->
         kept = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in keep]
         return pa.RecordBatch.from_arrays([*kept, *made], names=schema.names)
     columns = [c for c in keep if c != "text"]
-    return packed(read).join(spans, "_id", "left").select(*columns, "_zip", "_spans").mapInArrow(run, schema)
+    return rows.join(spans, "_id", "left").select(*columns, "_zip", "_spans").mapInArrow(run, schema)
