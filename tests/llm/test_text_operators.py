@@ -109,6 +109,45 @@ def test_one_of_each(odd):
     assert ids.count(1) == 1 and 2 not in ids and ids.count(None) == 2 and ids.count(3) == 1
 
 
+def slow_copies(rows, n=5):
+    """The smallest id of every text's group of similarity 4/5, by comparing all pairs."""
+    words = {i: lower(t).split() for i, t in rows}
+    sets = {i: {" ".join(w[k:k + n]) for k in range(max(1, len(w) - n + 1))} for i, w in words.items()}
+    root = {i: i for i in sets}
+
+    def find(c):
+        while root[c] != c:
+            c = root[c]
+        return c
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if j < i and 5 * len(a & b) >= 4 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("small", [32, 3])
+def test_copies_of_similarity(spark, monkeypatch, small):
+    """Copies with changed words, a common passage, exact copies; with and without shingles that many texts share."""
+    from tracewright.llm import copies
+    monkeypatch.setattr(copies, "SMALL", small)
+    rng = np.random.default_rng(4)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    passage, rows = word(60), []
+    for g in range(12):
+        base = word(int(rng.integers(30, 200)))
+        for _ in range(6):
+            t = list(base)
+            for k in rng.integers(0, len(t), int(rng.integers(0, 1 + len(t) // 25))):
+                t[k] = "changed"
+            rows.append((len(rows), " ".join(t if g % 3 else t + passage)))
+    rows += [(len(rows) + k, " ".join(passage + word(int(rng.integers(2, 60))))) for k in range(20)] + [(500, rows[0][1].upper())]
+    want = slow_copies(rows)
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(want.values()) and 12 < len(kept) < 80
+
+
 # --- 3 -----------------------------------------------------------------------------------------------------------
 
 def test_licenses(docs):

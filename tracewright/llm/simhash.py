@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField
 
 from ..session import cut_lineage
+from . import copies
 from .common import add_columns, components, sorted_groups
 
 WORDS = 4
@@ -177,12 +178,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """The rows of `docs` without near copies: of each component the document with its id stays, once.
+def one_of_each(docs: DataFrame, words: int = copies.WORDS) -> DataFrame:
+    """The rows of `docs` without near copies (`copies`: similarity 4/5 of shingles): the smallest doc_id of each group stays.
 
-    Components without any id are kept whole, as nothing names the one to keep.
+    Rows without an id are kept whole, as nothing names the one to keep.
     """
-    found = near_duplicates(docs, words, radius)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    nameless = docs.where("doc_id is null")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(nameless)
+    rows, marks = copies.named(docs, words)
+    label = F.coalesce("root", "_set", "_row")
+    rows = rows.join(copies.similar(rows, marks, words), F.col("_set") == F.col("node"), "left").withColumn("_of", label)
+    kept = rows.groupBy("_of").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    nameless = rows.where("doc_id is null")
+    return rows.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(nameless.select(*docs.columns))
