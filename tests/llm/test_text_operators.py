@@ -148,6 +148,16 @@ def test_copies_of_similarity(spark, monkeypatch, small):
     assert kept == set(want.values()) and 12 < len(kept) < 80
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    """Null ids are copies like others; a document with another text stays if its id is a kept one's."""
+    word = lambda seed: " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 5000, 80))
+    a, b, c, d = map(word, range(4))
+    rows = [(1, a), (None, a), (None, a + " more"), (1, b), (2, b), (None, c), (None, c.upper()), (3, d), (3, d), (None, None), (None, None)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = Counter((r.doc_id, r.text and r.text.lower()) for r in kept)
+    assert got == Counter([(1, a), (1, b), (None, c), (3, d), (None, None), (None, None)])
+
+
 # --- 3 -----------------------------------------------------------------------------------------------------------
 
 def test_licenses(docs):

@@ -179,13 +179,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
 
 
 def one_of_each(docs: DataFrame, words: int = copies.WORDS) -> DataFrame:
-    """The rows of `docs` without near copies (`copies`: similarity 4/5 of shingles): the smallest doc_id of each group stays.
+    """The rows of `docs` without near copies (`copies`: similarity 4/5 of shingles): of each group one row stays.
 
-    Rows without an id are kept whole, as nothing names the one to keep.
+    That is the first by doc_id (nulls last), then by the text's hash, then by its place, so null and repeated ids follow
+    the same rule as others. Rows without a word are nobody's copy and stay.
     """
     rows, marks = copies.named(docs, words)
-    label = F.coalesce("root", "_set", "_row")
-    rows = rows.join(copies.similar(rows, marks, words), F.col("_set") == F.col("node"), "left").withColumn("_of", label)
-    kept = rows.groupBy("_of").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    nameless = rows.where("doc_id is null")
-    return rows.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(nameless.select(*docs.columns))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row")
+    grouped = rows.where("_set is not null").select("_set", "_row", order.alias("_order")).join(
+        copies.similar(rows, marks, words), F.col("_set") == F.col("node"), "left")
+    first = cut_lineage(grouped.groupBy(F.coalesce("root", "_set")).agg(F.min("_order").alias("_order")).select("_order._row"))
+    kept = rows.join(first, "_row", "left_semi").unionByName(rows.where("_set is null"))
+    return kept.select(*docs.columns)
