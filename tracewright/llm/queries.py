@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import digest, hamming, hmm, langid, licenses, mixing, pieces, quality, simhash, suffixes
+from . import digest, hamming, hmm, langid, licenses, mixing, pieces, quality, runs, simhash, suffixes
 from .common import doc_hash_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,14 @@ def op5_hmm_score(spark, sf_dir):
 @query()
 def op1_quality(spark, sf_dir):
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query()
+def op13_periodic_runs(spark, sf_dir):
+    found = runs.collapse(runs.with_planted_runs(documents(spark, sf_dir)), ["doc_id"])
+    best = runs.longest(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *(best[c].alias(c) for c in ("start", "length", "period")),
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
