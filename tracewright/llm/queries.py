@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import digest, hamming, hmm, langid, licenses, mixing, pieces, quality, runs, simhash, suffixes
+from . import digest, hamming, hmm, langid, lexical, licenses, mixing, pieces, quality, rules, runs, simhash, suffixes
 from .common import doc_hash_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,18 @@ def op1_quality(spark, sf_dir):
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@query(lexical.ORACLE)
+def op11_lexical_search(spark, sf_dir):
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query()
+def op12_quality_rules(spark, sf_dir):
+    found = rules.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                        "anomaly", "threshold")
+
+
 @query()
 def op13_periodic_runs(spark, sf_dir):
     found = runs.collapse(runs.with_planted_runs(documents(spark, sf_dir)), ["doc_id"])
