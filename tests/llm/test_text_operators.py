@@ -102,60 +102,37 @@ def test_links_of_dense_codes(spark, monkeypatch):
         assert groups(simhash.components(simhash.links(df))) == expected
 
 
-def test_one_of_each(odd):
-    kept = simhash.one_of_each(odd)
-    assert kept.columns == odd.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert ids.count(1) == 1 and 2 not in ids and ids.count(None) == 2 and ids.count(3) == 1
-
-
-def slow_copies(rows, n=5):
-    """The smallest id of every text's group of similarity 4/5, by comparing all pairs."""
-    words = {i: lower(t).split() for i, t in rows}
-    sets = {i: {" ".join(w[k:k + n]) for k in range(max(1, len(w) - n + 1))} for i, w in words.items()}
-    root = {i: i for i in sets}
-
-    def find(c):
-        while root[c] != c:
-            c = root[c]
-        return c
-    for i, a in sets.items():
-        for j, b in sets.items():
-            if j < i and 5 * len(a & b) >= 4 * len(a | b):
-                x, y = find(i), find(j)
-                root[max(x, y)] = min(x, y)
-    return {i: find(i) for i in sets}
-
-
-@pytest.mark.parametrize("small", [32, 3])
-def test_copies_of_similarity(spark, monkeypatch, small):
-    """Copies with changed words, a common passage, exact copies; with and without shingles that many texts share."""
-    from tracewright.llm import copies
-    monkeypatch.setattr(copies, "SMALL", small)
-    rng = np.random.default_rng(4)
-    word = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
-    passage, rows = word(60), []
-    for g in range(12):
-        base = word(int(rng.integers(30, 200)))
-        for _ in range(6):
-            t = list(base)
-            for k in rng.integers(0, len(t), int(rng.integers(0, 1 + len(t) // 25))):
-                t[k] = "changed"
-            rows.append((len(rows), " ".join(t if g % 3 else t + passage)))
-    rows += [(len(rows) + k, " ".join(passage + word(int(rng.integers(2, 60))))) for k in range(20)] + [(500, rows[0][1].upper())]
-    want = slow_copies(rows)
-    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert kept == set(want.values()) and 12 < len(kept) < 80
+def slow_one_of_each(rows):
+    """(doc_id, text) of the first row by doc_id, nulls last, of every component; texts tell the rows of an id apart."""
+    of, best = slow_components([slow_fingerprint(t) for _, t in rows]), {}
+    for i, t in rows:
+        c = of[slow_fingerprint(t)]
+        best.setdefault(c, []).append((i is None, i or 0, t))
+    return {c: [x for x in found if x[:2] == min(y[:2] for y in found)] for c, found in best.items()}
+
+
+def test_one_of_each(docs, nothing):
+    """One row of each group stays, with all its columns, whatever their names; of ties any one."""
+    renamed = docs.withColumnsRenamed({"lang": "a", "n_chars": "_b"})
+    kept = simhash.one_of_each(renamed)
+    assert kept.columns == renamed.columns and kept.schema == renamed.schema
+    want, of = slow_one_of_each(texts(docs)), slow_components([slow_fingerprint(t) for _, t in texts(docs)])
+    got = defaultdict(list)
+    for r in kept.collect():
+        got[of[slow_fingerprint(r.text)]].append((r.doc_id is None, r.doc_id or 0, r.text))
+    assert got.keys() == want.keys() and all(len(x) == 1 and x[0] in want[c] for c, x in got.items())
+    rows = Counter(tuple(r) for r in renamed.collect())
+    assert all(rows[tuple(r)] for r in kept.collect()) and simhash.one_of_each(nothing).count() == 0
 
 
 def test_one_of_each_with_null_and_repeated_ids(spark):
     """Null ids are copies like others; a document with another text stays if its id is a kept one's."""
     word = lambda seed: " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 5000, 80))
     a, b, c, d = map(word, range(4))
-    rows = [(1, a), (None, a), (None, a + " more"), (1, b), (2, b), (None, c), (None, c.upper()), (3, d), (3, d), (None, None), (None, None)]
+    rows = [(1, a), (None, a), (1, b), (2, b), (None, c), (None, c.upper()), (3, d), (3, d), (None, None), (None, None), (7, "")]
     kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     got = Counter((r.doc_id, r.text and r.text.lower()) for r in kept)
-    assert got == Counter([(1, a), (1, b), (None, c), (3, d), (None, None), (None, None)])
+    assert got == Counter([(1, a), (1, b), (None, c), (3, d), (7, "")])
 
 
 # --- 3 -----------------------------------------------------------------------------------------------------------

@@ -15,6 +15,22 @@ from ..session import cut_lineage
 BLOCK_BYTES = 1 << 20  # text bytes that a task works on at a time; a longer text is a block of its own
 
 
+def quoted(name: str) -> Column:
+    """The column of this very name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it none of the frame's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def doc_hash_remainder(parts: int) -> Column:
     """crc32 of the id as text, modulo `parts`; a null id counts as the empty text (remainder 0)."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % parts

@@ -13,7 +13,8 @@ Components over shards come from joins (`common.components`). Exact copies are o
 
 Defined cases: null and blank texts have fingerprint zero, linked like any other; fewer words than a shingle are one
 shingle; repeated rows share fingerprint and component; a component id is the smallest non-null doc_id in it (null if
-there is none); texts of any length are read whole.
+there is none); texts of any length are read whole; an empty table gives no rows; `near_duplicates` returns its own
+columns only, and `one_of_each` those of its input, whatever they are called.
 """
 
 from __future__ import annotations
@@ -23,12 +24,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField
 
 from ..session import cut_lineage
-from . import copies
-from .common import add_columns, components, sorted_groups
+from .common import add_columns, components, quoted, sorted_groups, unused
 
 WORDS = 4
 RADIUS = 4
@@ -166,28 +166,33 @@ def links(codes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return keyed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
+def groups(rows: DataFrame, first: Column, radius: int = RADIUS) -> DataFrame:
+    """(fp, root, first) of every distinct `fp` of `rows`: its component, and the least `first` of its rows."""
+    codes = cut_lineage(rows.groupBy("fp").agg(F.min(first).alias("first")))
+    linked = cut_lineage(components(links(codes.select("fp"), radius)))
+    return codes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     rows = cut_lineage(fingerprints(docs, ["doc_id"], words))
-    codes = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    linked = cut_lineage(components(links(codes, radius)))
-    grouped = codes.join(linked, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
+    grouped = groups(rows, F.col("doc_id"), radius)
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     named = grouped.join(smallest, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = copies.WORDS) -> DataFrame:
-    """The rows of `docs` without near copies (`copies`: similarity 4/5 of shingles): of each group one row stays.
+def one_of_each(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """The rows of `docs` without near copies: of each component one row stays.
 
-    That is the first by doc_id (nulls last), then by the text's hash, then by its place, so null and repeated ids follow
-    the same rule as others. Rows without a word are nobody's copy and stay.
+    That is the first by doc_id (nulls last), then by a hash of all columns, so null and repeated ids follow the same
+    rule as others; of rows that are equal in every column one stays. The groups are found on narrow rows; the texts are
+    shuffled once, by that hash, to meet the rows that stay.
     """
-    rows, marks = copies.named(docs, words)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row")
-    grouped = rows.where("_set is not null").select("_set", "_row", order.alias("_order")).join(
-        copies.similar(rows, marks, words), F.col("_set") == F.col("node"), "left")
-    first = cut_lineage(grouped.groupBy(F.coalesce("root", "_set")).agg(F.min("_order").alias("_order")).select("_order._row"))
-    kept = rows.join(first, "_row", "left_semi").unionByName(rows.where("_set is null"))
-    return kept.select(*docs.columns)
+    names = unused(docs, "a", "b")
+    cells = [F.struct(c.isNull(), c) for c in map(quoted, docs.columns)]
+    marked = docs.withColumns({n: F.xxhash64(F.lit(seed), *cells) for seed, n in enumerate(names)})
+    rows = cut_lineage(fingerprints(marked, ["doc_id", *names], words))
+    grouped = groups(rows, F.struct(F.col("doc_id").isNull(), "doc_id", *(F.col(n) for n in names)), radius)
+    first = cut_lineage(grouped.groupBy("root").agg(F.min("first").alias("first")).select(*(f"first.{n}" for n in names)))
+    return marked.join(first, names, "left_semi").dropDuplicates(names).select(*map(quoted, docs.columns))
