@@ -27,32 +27,43 @@ def test_registered(spark, name):
 def slow_top_k(rows, queries, k):
     out = []
     for q, c in queries:
-        near = sorted((((c ^ x) % (1 << 64)).bit_count(), v) for v, x in rows)[:k]
+        near = sorted((sum(((x ^ y) % (1 << 64)).bit_count() for x, y in zip(c, d)), v) for v, d in rows)[:k]
         out += [(q, n + 1, v, d) for n, (d, v) in enumerate(near)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("n,k", [(3, 10), (60, 5), (400, 10)])
-def test_top_k(spark, n, k):
-    """Clusters, copies in their hundreds, ties, negative codes; fewer rows than k."""
+@pytest.mark.parametrize("n,k,words", [(3, 10, 1), (60, 5, 2), (400, 10, 1), (150, 3, 3)])
+def test_top_k(spark, n, k, words):
+    """Clusters, copies in their hundreds, ties, negative codes; fewer rows than k; codes of several words."""
     rng = np.random.default_rng(n)
-    centres = rng.integers(-(1 << 63), (1 << 63) - 1, 5)
-    codes = [int(centres[i % 5]) ^ int(sum(1 << int(b) for b in set(rng.integers(0, 62, rng.integers(0, 6))))) for i in range(n)]
-    codes += [int(centres[0])] * (n // 2) + [int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, n // 3)]
+    number = lambda: [int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, words)]
+    centres = [number() for _ in range(5)]
+    codes = [[c ^ int(sum(1 << int(b) for b in set(rng.integers(0, 62, rng.integers(0, 6))))) for c in centres[i % 5]] for i in range(n)]
+    codes += [centres[0]] * (n // 2) + [number() for _ in range(n // 3)]
     rows = list(enumerate(codes))
-    df = spark.createDataFrame(rows, "vec_id long, code long")
+    df = spark.createDataFrame(rows, "vec_id long, code array<long>").selectExpr("*", "1 as first", "2 as w0", "3 as q0", "4 as seg")
     got = sorted(tuple(r) for r in hamming.top_k(df, df.where("vec_id % 7 = 0"), k).collect())
     assert got == slow_top_k(rows, [r for r in rows if r[0] % 7 == 0], k)
 
 
 def test_codes(spark):
-    rows = [(1, [1.0, -1.0, 0.0, 2.0]), (2, None), (3, []), (4, [float(i % 2) for i in range(70)]), (5, [1.0] * 64)]
+    wide = [1.0 if i in (0, 64, 129) else -1.0 for i in range(130)]
+    rows = [(1, [1.0, -1.0, 0.0, 2.0]), (2, None), (3, []), (4, [float(i % 2) for i in range(70)]), (5, [1.0] * 64), (6, wide)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    assert {r.vec_id: r.code for r in hamming.codes(df).collect()} == {1: 0b1001, 4: -6148914691236517206, 5: -1}
+    assert {r.vec_id: r.code for r in hamming.codes(df).collect()} == {
+        1: [0b1001], 4: [-6148914691236517206, 0b101010], 5: [-1], 6: [1, 1, 2]}
     none = hamming.codes(df.limit(0))
     assert hamming.top_k(none, none).count() == 0
 
 
+def test_every_element_counts(spark):
+    """Vectors that differ beyond their first 64 elements only, and narrower ones, which end in zeros."""
+    vectors = [[1.0] * 64 + [1.0 if j < i else -1.0 for j in range(64)] for i in (0, 3, 40)] + [[1.0] * 64]
+    df = hamming.codes(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>"))
+    got = sorted((r.query_id, r.vec_id, r.distance) for r in hamming.top_k(df, df.where("vec_id in (0, 1)")).collect())
+    assert got == [(0, 0, 0), (0, 1, 3), (0, 2, 40), (0, 3, 0), (1, 0, 3), (1, 1, 0), (1, 2, 37), (1, 3, 3)]
+
+
 def slow_kept(rows, length=100):
     """Texts of what suffix removal leaves."""
     seen, out = set(), []
