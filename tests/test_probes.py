@@ -47,6 +47,49 @@ def test_pair_out(spark, n, d):
     assert got["a"] == pytest.approx(brute_pair_out(x, y), abs=1e-9) and got["a"] == got["b"] and got["one"] is None
 
 
+def refit_gaps(x, y, pairs, c):
+    """Decision value of the positive minus the negative of every pair, refitted from scratch."""
+    out = []
+    for i, j in pairs:
+        keep = np.ones(len(x), bool)
+        keep[[i, j]] = False
+        w = fit(scaled(x[keep], x[keep]), y[keep], c)
+        si, sj = scaled(x[keep], x[[i, j]]) @ w[:-1]
+        out.append(si - sj)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("n,d,c,steps", [(16, 40, 0.01, 60), (24, 90, 0.1, 60), (20, 33, 1.0, 60), (18, 50, 0.1, 2)])
+def test_pair_out_gaps(n, d, c, steps, monkeypatch):
+    """Every decision value, dense and sparse, by mixed steps and (where they are cut short) by Newton's method."""
+    monkeypatch.setattr(pairout, "STEPS", steps)
+    monkeypatch.setattr(pairout, "BATCH_BYTES", 60_000)  # several batches of pairs
+    rng = np.random.default_rng(d)
+    x = rng.normal(size=(n, d)) * rng.uniform(0.1, 5, d) + rng.normal(size=d)
+    x[rng.random((n, d)) < 0.4] = 0.0
+    x[:, 0], x[3:, 1] = 1.5, 0.0  # constant, and constant but for rows that may go
+    y = np.r_[np.ones(n // 2), np.zeros(n - n // 2)]
+    pairs = np.array([(i, j) for i in np.flatnonzero(y == 1) for j in np.flatnonzero(y == 0)])
+    want = refit_gaps(x, y, pairs, c)
+    row, column = np.nonzero(x)
+    sparse = pairout.SparseRows(row, 1_000_000_007 * column, x[row, column], n)
+    for rows in (pairout.DenseRows(x), sparse):
+        np.testing.assert_allclose(pairout._dual_gaps(rows, y, pairs, c), want, atol=1e-8)
+
+
+def test_pair_out_of_sparse_rows(spark):
+    """Sparse and dense rows win the same pairs; rows without an entry, and a token of one row only."""
+    rng = np.random.default_rng(2)
+    x = rng.poisson(0.3, (13, 60)).astype(float)
+    x[4] = 0.0
+    y = np.array([1, 0] * 6 + [1])
+    dense = spark.createDataFrame([("c", i, int(y[i]), v.tolist()) for i, v in enumerate(x)], "cell string, id int, label int, vec array<double>")
+    rows = [("c", i, int(y[i]), (np.flatnonzero(v).tolist(), v[v > 0].tolist())) for i, v in enumerate(x)]
+    sparse = spark.createDataFrame(rows, "cell string, id int, label int, vec struct<idx:array<long>,val:array<double>>")
+    got = [pairout.pair_out_auc(df, ["cell"], ["id"], pairs_per_task=11).first()["auc"] for df in (dense, sparse)]
+    assert got[0] == got[1] == pytest.approx(brute_pair_out(x, y), abs=1e-9)
+
+
 def test_pair_out_refuses_huge_cells(spark, monkeypatch):
     df = spark.createDataFrame([("a", i, i % 2, [0.0] * 3) for i in range(6)], "cell string, id int, label int, vec array<double>")
     with pytest.raises(Exception, match="use the k-fold sweep"):
@@ -142,11 +185,11 @@ def test_bag_of_words(spark):
     counts = bow.token_counts(bow.explode_tokens(df))
     vocab = bow.vocabulary(counts, 2)
     assert [(r["token"], r["df"], r["idx"]) for r in vocab.orderBy("idx").collect()] == [(1, 3, 0), (2, 2, 1)]
-    dense = bow.dense_rows(df.select("qid"), bow.log_counts(counts, vocab), 2)
-    got = {r["qid"]: r["vec"] for r in dense.collect()}
+    rows = {r["qid"]: r["vec"] for r in bow.sparse_rows(df.select("qid"), bow.log_counts(counts, vocab)).collect()}
     for q, tokens in docs.items():
         v = np.log1p([tokens.count(1), tokens.count(2)])
-        np.testing.assert_allclose(got[q], v / (np.linalg.norm(v) or 1), atol=1e-12)
+        got = dict(zip(rows[q]["idx"], rows[q]["val"]))
+        assert got == pytest.approx({k: x / np.linalg.norm(v) for k, x in enumerate(v) if x}, abs=1e-12)
 
 
 def test_cohorts(spark):

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .ranking import ordered_index
 
 
-MAX_WIDTH = 1 << 20
-
-
 def token_counts(tokens: DataFrame) -> DataFrame:
     """(qid, token) -> count."""
     return tokens.groupBy("qid", "token").agg(F.count(F.lit(1)).alias("n"))
@@ -43,24 +38,9 @@ def log_counts(counts: DataFrame, kept: DataFrame) -> DataFrame:
         "qid", "token", *extra, F.coalesce(F.try_divide("raw", "norm"), F.lit(0.0)).alias("weight"))
 
 
-def _densify(width: int):
-    @F.pandas_udf("array<double>")
-    def dense(idx: pd.Series, weight: pd.Series) -> pd.Series:
-        rows = []
-        for i, w in zip(idx, weight):
-            v = np.zeros(width)
-            if i is not None and len(i):
-                v[np.asarray(i, dtype=int)] = w
-            rows.append(v)
-        return pd.Series(rows)
-    return dense
-
-
-def dense_rows(questions: DataFrame, weights: DataFrame, width: int) -> DataFrame:
-    """One vocabulary-wide vector per question; a question without vocabulary tokens gets zeros."""
-    if width > MAX_WIDTH:
-        raise ValueError(f"{width} tokens are too many for dense rows: raise the minimum document frequency")
-    sparse = weights.groupBy("qid").agg(F.collect_list(F.struct("idx", "weight")).alias("_e"))
+def sparse_rows(questions: DataFrame, weights: DataFrame) -> DataFrame:
+    """One sparse vector `vec` (struct of `idx` and `val`) per question; none of its tokens in the vocabulary: no entries."""
+    own = weights.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("_e"))
     none: Column = F.array().cast("array<struct<idx:bigint,weight:double>>")
-    joined = questions.join(sparse, "qid", "left").withColumn("_e", F.coalesce("_e", none))
-    return joined.withColumn("vec", _densify(width)(F.col("_e.idx"), F.col("_e.weight"))).drop("_e")
+    joined = questions.join(own, "qid", "left").withColumn("_e", F.coalesce("_e", none))
+    return joined.withColumn("vec", F.struct(F.col("_e.idx").alias("idx"), F.col("_e.weight").alias("val"))).drop("_e")

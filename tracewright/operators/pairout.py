@@ -1,4 +1,15 @@
-"""Leave-pair-out AUC: every (positive, negative) pair held out once, the probe refitted on the rest."""
+"""Leave-pair-out AUC: every (positive, negative) pair held out once, the probe refitted on the rest.
+
+Each refit scales the features by the rows it keeps and minimises |w|^2 / 2 + c * logloss with a free intercept. All
+refits of a cell start from the fit to all its rows. Where rows are wide a fit is solved in one number per row: a step
+then needs products with Z Z' only, Z being the scaled rows. Those of many pairs are two matrix products with the cell's
+unscaled rows, as what a pair changes (mean, scale, two rows less) goes around them. Steps use the inverse matrix of the
+fit to all rows, less the pair's two rows (a rank-two downdate), and the next point is mixed from the last ones
+(Anderson). Pairs for which that is too slow go to Newton's method, whose steps conjugate gradients find, preconditioned
+by the same matrix.
+Rows may be sparse (a struct of `idx` and `val`): nothing in the vocabulary's width is made of them but one number per
+token that the cell has, and pair.
+"""
 
 from __future__ import annotations
 
@@ -14,13 +25,261 @@ from .states import spread
 MAX_ROWS = 4096
 PAIRS_PER_TASK = 128
 BATCH_BYTES = 64 << 20
+NARROW = 32  # features up to which a fit is solved in its weights
+TOLERANCE = 1e-10
+STEPS, DEPTH = 60, 8  # of the mixed iteration
+
+
+class DenseRows:
+    """A cell's rows around their mean."""
+
+    def __init__(self, x: np.ndarray):
+        self.x = x - x.mean(axis=0)
+        self.n, self.d = x.shape
+        self.total = self.x.sum(axis=0)
+        self.squares = (self.x * self.x).sum(axis=0)
+        self.entries = self.n + self.d
+
+    def times(self, u: np.ndarray) -> np.ndarray:
+        return self.x @ u
+
+    def back(self, v: np.ndarray) -> np.ndarray:
+        return self.x.T @ v
+
+    def pick(self, i: np.ndarray) -> np.ndarray:
+        return self.x[i].T
+
+
+class SparseRows:
+    """A cell's rows as entries; columns without an entry in any row are left out, for no fit can see them."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, n: int):
+        names, column = np.unique(column, return_inverse=True)
+        order = np.lexsort((column, row))
+        self.row, self.column, self.value = row[order], column[order], value[order]
+        self.n, self.d = n, max(1, len(names))
+        self.ends = np.searchsorted(self.row, np.arange(n + 1))
+        self.by_column = np.argsort(self.column, kind="stable")
+        self.total = np.bincount(self.column, self.value, self.d)
+        self.squares = np.bincount(self.column, self.value ** 2, self.d)
+        self.entries = len(value) + self.n + self.d
+
+    def times(self, u: np.ndarray) -> np.ndarray:
+        return _sums(u[self.column] * self.value[:, None], self.row, self.n)
+
+    def back(self, v: np.ndarray) -> np.ndarray:
+        at = self.by_column
+        return _sums(v[self.row[at]] * self.value[at][:, None], self.column[at], self.d)
+
+    def pick(self, i: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.d, len(i)))
+        for k, r in enumerate(i.tolist()):
+            own = slice(self.ends[r], self.ends[r + 1])
+            out[self.column[own], k] = self.value[own]
+        return out
+
+
+def _sums(parts: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+    """Sums of consecutive rows with the same key."""
+    out = np.zeros((n, parts.shape[1]))
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+    if len(first):
+        out[key[first]] = np.add.reduceat(parts, first, axis=0)
+    return out
 
 
-def _newton(a: np.ndarray, y: np.ndarray, keep: np.ndarray, c: float) -> np.ndarray:
-    """Weights of many ridge-logistic problems: a (m, n, p) with a last column of ones, keep (m, n) 0/1."""
-    m, _, p = a.shape
-    ridge = np.r_[np.ones(p - 1), 0.0]
-    w = np.zeros((m, p))
+class Scaled:
+    """The products Z Z' v of many fits at once: fit p keeps all rows but a[p] and b[p], and scales by those it keeps."""
+
+    def __init__(self, rows, a: np.ndarray, b: np.ndarray):
+        self.rows, m = rows, max(1, len(a))
+        left = rows.n - 2 if len(a) else rows.n
+        xa, xb = (rows.pick(a), rows.pick(b)) if len(a) else (np.zeros((rows.d, 1)), np.zeros((rows.d, 1)))
+        self.gap = xa - xb
+        self.mean = (rows.total[:, None] - xa - xb) / left
+        var = (rows.squares[:, None] - xa * xa - xb * xb) / left - self.mean ** 2
+        spread_ = rows.squares / rows.n - (rows.total / rows.n) ** 2
+        self.inverse = 1.0 / np.where(var > 1e-12 * spread_[:, None], var, 1.0)
+        self.keep = np.ones((rows.n, m))
+        if len(a):
+            self.keep[a, np.arange(m)] = 0.0
+            self.keep[b, np.arange(m)] = 0.0
+
+    def weights(self, v: np.ndarray) -> np.ndarray:
+        """What Z' v gives for unscaled features."""
+        return self.inverse * (self.rows.back(v) - self.mean * v.sum(axis=0))
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        h = self.weights(v)
+        return self.rows.times(h) - (self.mean * h).sum(axis=0)
+
+
+def _conjugate(product, condition, rhs: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Solutions of many symmetric systems, column by column; `condition` does about what the inverse of each would."""
+    r = rhs - product(x)
+    z = condition(r)
+    p, rz = z, (r * z).sum(axis=0)
+    goal = TOLERANCE * np.maximum(np.sqrt((rhs * rhs).sum(axis=0)), 1e-300)
+    for _ in range(4 * len(rhs) + 50):
+        if (np.sqrt((r * r).sum(axis=0)) <= goal).all():
+            break
+        q = product(p)
+        pq = (p * q).sum(axis=0)
+        step = np.divide(rz, pq, out=np.zeros_like(rz), where=pq > 0)
+        x, r = x + step * p, r - step * q
+        z = condition(r)
+        after = (r * z).sum(axis=0)
+        p = z + np.divide(after, rz, out=np.zeros_like(rz), where=rz > 0) * p
+        rz = after
+    return x
+
+
+def _loss(eta, y, keep, alpha, product, c):
+    return c * (keep * (np.logaddexp(0.0, eta) - y * eta)).sum(axis=0) + 0.5 * (alpha * product).sum(axis=0)
+
+
+def _curvature(eta: np.ndarray, y: np.ndarray, keep: np.ndarray, c: float) -> tuple[np.ndarray, np.ndarray]:
+    mu = 0.5 * (1.0 + np.tanh(0.5 * eta))
+    return c * keep * np.maximum(mu * (1.0 - mu), 1e-300), c * keep * (y - mu)
+
+
+def _fits(scaled: Scaled, y: np.ndarray, c: float, alpha: np.ndarray, offset: np.ndarray, condition) -> tuple[np.ndarray, np.ndarray]:
+    """Newton's method on many fits; w = Z' alpha, and alpha is zero for rows that a fit leaves out.
+
+    `condition(root)` gives what does about the same as the inverse of I + root Z Z' root for each fit.
+    """
+    keep, y = scaled.keep, y[:, None]
+    alpha = alpha * keep
+    product = scaled.times(alpha)
+    eta = product + offset
+    current = _loss(eta, y, keep, alpha, product, c)
+    ones = np.zeros_like(eta)
+    for _ in range(60):
+        curve, residual = _curvature(eta, y, keep, c)
+        root = np.sqrt(curve)
+        inverse = condition(root)
+
+        def system(v, root=root):
+            return v + root * scaled.times(root * v)
+        safe = np.where(root > 0, root, 1.0)
+        ones = _conjugate(system, inverse, root, ones)
+        target = _conjugate(system, inverse, root * eta + residual / safe, alpha / safe)
+        new_offset = (root * target).sum(axis=0) / (root * ones).sum(axis=0)
+        new = root * (target - new_offset * ones)
+        new_product = scaled.times(new)
+        size = np.ones(eta.shape[1])
+        for _ in range(30):
+            mixed = [old + size * (fresh - old) for old, fresh in ((alpha, new), (product, new_product), (offset, new_offset))]
+            trial = _loss(mixed[1] + mixed[2], y, keep, mixed[0], mixed[1], c)
+            worse = trial > current + 1e-12 * np.abs(current)
+            if not worse.any():
+                break
+            size[worse] *= 0.5
+        moved = np.abs(keep * (mixed[1] + mixed[2] - eta)).max()
+        alpha, product, offset = mixed
+        eta, current = product + offset, trial
+        if moved < 1e-9:
+            break
+    return alpha, offset
+
+
+def _dual_gaps(rows, y: np.ndarray, pairs: np.ndarray, c: float) -> np.ndarray:
+    """Decision value of the positive minus that of the negative, for every pair."""
+    whole = Scaled(rows, np.zeros(0, int), np.zeros(0, int))
+    gram = np.empty((rows.n, rows.n))
+    step = max(1, int(BATCH_BYTES // (8 * (rows.entries + rows.d))))
+    for i in range(0, rows.n, step):
+        at = np.arange(i, min(i + step, rows.n))
+        u = whole.inverse * (rows.pick(at) - whole.mean)
+        gram[:, at] = rows.times(u) - (whole.mean * u).sum(axis=0)
+    base = {}
+
+    def of_all(root):
+        base["inverse"] = np.linalg.inv(np.eye(rows.n) + root * gram * root[:, 0])
+        return lambda v: base["inverse"] @ v
+    alpha, offset = _fits(whole, y, c, np.zeros((rows.n, 1)), np.zeros(1), of_all)
+    root = np.sqrt(_curvature(gram @ alpha + offset, y[:, None], np.ones((rows.n, 1)), c)[0])
+    of_all(root)
+    gaps = np.empty(len(pairs))
+    step = max(1, int(BATCH_BYTES // (8 * (rows.entries + 4 * rows.d + 8 * rows.n))))
+    for i in range(0, len(pairs), step):
+        gaps[i:i + step] = _batch_gaps(rows, y, *pairs[i:i + step].T, c, base["inverse"], root, alpha, offset)
+    return gaps
+
+
+class Downdated:
+    """Inverse matrices of I + root Z Z' root without the rows a[p] and b[p], from the one with all rows."""
+
+    def __init__(self, inverse: np.ndarray, a: np.ndarray, b: np.ndarray, keep: np.ndarray):
+        self.inverse, self.a, self.b, self.keep, self.at = inverse, a, b, keep, np.arange(len(a))
+        self.of_a, self.of_b = inverse[:, a], inverse[:, b]
+        self.aa, self.bb, self.ab = inverse[a, a], inverse[b, b], inverse[a, b]
+
+    def __call__(self, v: np.ndarray) -> np.ndarray:
+        out = self.inverse @ v
+        at_a, at_b = out[self.a, self.at], out[self.b, self.at]
+        det = self.aa * self.bb - self.ab * self.ab
+        out -= self.of_a * ((self.bb * at_a - self.ab * at_b) / det) + self.of_b * ((self.aa * at_b - self.ab * at_a) / det)
+        return out * self.keep
+
+
+class Mixed:
+    """Anderson's mixing of a fixed-point iteration, for many at once: the next point from the last few and their steps."""
+
+    def __init__(self, depth: int = DEPTH):
+        self.depth = depth
+        self.last, self.points, self.steps = None, [], []
+
+    def next(self, point: np.ndarray, step: np.ndarray) -> np.ndarray:
+        if self.last is not None:
+            self.points = [*self.points, point - self.last[0]][-self.depth:]
+            self.steps = [*self.steps, step - self.last[1]][-self.depth:]
+        self.last = point, step
+        if not self.steps:
+            return point + step
+        moved = np.stack(self.steps)
+        square = np.einsum("inm,jnm->mij", moved, moved)
+        square += 1e-14 * np.trace(square, axis1=1, axis2=2)[:, None, None] * np.eye(len(moved)) + 1e-300 * np.eye(len(moved))
+        share = np.linalg.solve(square, np.einsum("inm,nm->mi", moved, step)[:, :, None])[:, :, 0]
+        return point + step - np.einsum("mi,inm->nm", share, np.stack(self.points) + moved)
+
+
+def _batch_gaps(rows, y, a, b, c, inverse, root, alpha, offset) -> np.ndarray:
+    scaled = Scaled(rows, a, b)
+    keep, truth, m = scaled.keep, y[:, None], len(a)
+    near = Downdated(inverse, a, b, keep)
+    mine = keep * root
+    ones = near(mine)
+    share = (mine * ones).sum(axis=0)
+    start = np.repeat(offset, m)
+    point = np.concatenate([np.repeat(alpha, m, axis=1) * keep / root, start[None]])  # alpha in units of its root, and offset
+    mixed, eta = Mixed(), None
+    for _ in range(STEPS):
+        found, base = mine * point[:-1], point[-1]
+        fresh = scaled.times(found) + base
+        moved = np.full(m, np.inf) if eta is None else np.abs(keep * (fresh - eta)).max(axis=0)
+        eta = fresh
+        residual = _curvature(eta, truth, keep, c)[1] - found
+        u = near(residual / root)
+        shift = ((mine * u).sum(axis=0) + found.sum(axis=0)) / share
+        step = np.concatenate([u - shift * ones, shift[None]])
+        if (moved < TOLERANCE).all() or not np.isfinite(step).all():
+            break
+        point = mixed.next(point, step)
+    open_ = ~(moved < TOLERANCE)
+    gaps = (scaled.gap * scaled.weights(found)).sum(axis=0)
+    if open_.any():
+        a, b = a[open_], b[open_]
+        scaled = Scaled(rows, a, b)
+        near = Downdated(inverse, a, b, scaled.keep)
+        found, _ = _fits(scaled, y, c, np.repeat(alpha, len(a), axis=1), np.repeat(offset, len(a)), lambda _: near)
+        gaps[open_] = (scaled.gap * scaled.weights(found)).sum(axis=0)
+    return gaps
+
+
+def _newton(a: np.ndarray, y: np.ndarray, keep: np.ndarray, c: float, w: np.ndarray) -> np.ndarray:
+    """Weights of many ridge-logistic problems: a (m, n, p) with a last column of ones, keep (m, n) 0/1, from `w` on."""
+    ridge = np.r_[np.ones(a.shape[2] - 1), 0.0]
 
     def value(v):
         eta = np.einsum("mnp,mp->mn", a, v)
@@ -33,7 +292,7 @@ def _newton(a: np.ndarray, y: np.ndarray, keep: np.ndarray, c: float) -> np.ndar
         weighted = a * (keep * mu * (1.0 - mu))[:, :, None]
         hess = c * np.matmul(weighted.transpose(0, 2, 1), a) + np.diag(ridge)
         step = -np.linalg.solve(hess, grad[:, :, None])[:, :, 0]
-        size = np.ones((m, 1))
+        size = np.ones((len(w), 1))
         for _ in range(30):
             trial = value(w + size * step)
             worse = trial > current + 1e-12 * np.abs(current)
@@ -47,42 +306,54 @@ def _newton(a: np.ndarray, y: np.ndarray, keep: np.ndarray, c: float) -> np.ndar
     return w
 
 
-def pair_out_wins(x: np.ndarray, y: np.ndarray, pairs: np.ndarray, c: float) -> float:
-    """Won pairs among `pairs` (row numbers of a positive and a negative)."""
-    n, d = x.shape
-    x = x - x.mean(axis=0)
-    squares = (x * x).sum(axis=0)
-    spread = squares / n
-    wins = 0.0
-    per_batch = max(1, int(BATCH_BYTES // (8 * n * max(d, min(n, d) + 1))))
-    for start in range(0, len(pairs), per_batch):
-        part = pairs[start:start + per_batch]
-        m = len(part)
-        keep = np.ones((m, n))
-        keep[np.arange(m), part[:, 0]] = 0.0
-        keep[np.arange(m), part[:, 1]] = 0.0
+def _primal_gaps(rows: DenseRows, y: np.ndarray, pairs: np.ndarray, c: float) -> np.ndarray:
+    x, n, d = rows.x, rows.n, rows.d
+    spread_ = rows.squares / n
+    scale = np.sqrt(np.where(spread_ > 0, spread_, 1.0))
+    whole = np.concatenate([x / scale, np.ones((n, 1))], axis=1)
+    start = _newton(whole[None], y[None, :], np.ones((1, n)), c, np.zeros((1, d + 1)))
+    gaps = np.empty(len(pairs))
+    per_batch = max(1, int(BATCH_BYTES // (8 * n * (d + 1))))
+    for i in range(0, len(pairs), per_batch):
+        part = pairs[i:i + per_batch]
+        at = np.arange(len(part))
+        keep = np.ones((len(part), n))
+        keep[at, part[:, 0]] = 0.0
+        keep[at, part[:, 1]] = 0.0
         out = x[part]
         mean = -out.sum(axis=1) / (n - 2)
-        var = (squares - (out * out).sum(axis=1)) / (n - 2) - mean * mean
-        scale = np.sqrt(np.where(var > 1e-12 * spread, var, 1.0))
-        z = (x[None] - mean[:, None, :]) / scale[:, None, :]
-        if d > n:
-            # the penalty only sees inner products, so n coordinates per row suffice
-            values, basis = np.linalg.eigh(np.matmul(z, z.transpose(0, 2, 1)))
-            z = basis * np.sqrt(np.maximum(values, 0.0))[:, None, :]
-        a = np.concatenate([z, np.ones((m, n, 1))], axis=2)
-        w = _newton(a, y[None, :], keep, c)
-        rows = np.arange(m)
-        gap = (np.einsum("mp,mp->m", a[rows, part[:, 0]], w) - np.einsum("mp,mp->m", a[rows, part[:, 1]], w))
-        tie = np.abs(gap) <= 1e-12
-        wins += float(((gap > 0) & ~tie).sum() + 0.5 * tie.sum())
-    return wins
+        var = (rows.squares - (out * out).sum(axis=1)) / (n - 2) - mean * mean
+        scale = np.sqrt(np.where(var > 1e-12 * spread_, var, 1.0))
+        a = np.concatenate([(x[None] - mean[:, None, :]) / scale[:, None, :], np.ones((len(part), n, 1))], axis=2)
+        w = _newton(a, y[None, :], keep, c, np.repeat(start, len(part), axis=0))
+        gaps[i:i + per_batch] = ((out[:, 0] - out[:, 1]) / scale * w[:, :-1]).sum(axis=1)
+    return gaps
+
+
+def pair_out_wins(rows: DenseRows | SparseRows, y: np.ndarray, pairs: np.ndarray, c: float) -> float:
+    """Won pairs among `pairs` (row numbers of a positive and a negative); a tie is half a win."""
+    if not len(pairs):
+        return 0.0
+    narrow = isinstance(rows, DenseRows) and rows.d <= NARROW
+    gap = (_primal_gaps if narrow else _dual_gaps)(rows, y, pairs, c)
+    tie = np.abs(gap) <= 1e-12
+    return float(((gap > 0) & ~tie).sum() + 0.5 * tie.sum())
+
+
+def _cell_rows(column: pa.ChunkedArray) -> DenseRows | SparseRows:
+    if not pa.types.is_struct(column.type):
+        return DenseRows(matrix(column))
+    whole = column.combine_chunks()
+    idx, val = whole.field("idx"), whole.field("val")
+    row = np.repeat(np.arange(len(whole)), idx.value_lengths().to_numpy(zero_copy_only=False))
+    return SparseRows(row, idx.flatten().to_numpy(), val.flatten().to_numpy(), len(whole))
 
 
 def pair_out_auc(rows: DataFrame, cells: list[str], row_keys: list[str], label: str = "label", c: float = 0.01,
                  pairs_per_task: int = PAIRS_PER_TASK, max_rows: int = MAX_ROWS) -> DataFrame:
     """AUC per cell over rows (cells, row_keys, label, vec); NULL unless each class has two rows.
 
+    `vec` is an array, or for sparse rows a struct of `idx` (whole numbers) and `val` (arrays of equal length).
     The pairs of a cell are shared by at most twice as many tasks as there are cores for a cell, each with a copy of the
     cell's rows and one stretch of its pairs. `max_rows` bounds the labelled rows of a cell; a larger cell is refused,
     not shortened.
@@ -106,7 +377,7 @@ def pair_out_auc(rows: DataFrame, cells: list[str], row_keys: list[str], label:
 
     def block_wins(key: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by([(k, "ascending") for k in row_keys])
-        x, y = matrix(group.column("vec")), group.column("label").to_numpy().astype(float)
+        x, y = _cell_rows(group.column("vec")), group.column("label").to_numpy().astype(float)
         pos, neg = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
         share, n_pairs = group.column("_tasks")[0].as_py(), len(pos) * len(neg)
         first, last = (n_pairs * (key[-1].as_py() + i) // share for i in (0, 1))

@@ -11,7 +11,7 @@ from ..params import DEFAULTS
 from . import bindings as B
 from .registry import query, rounded
 from .sql_parts import (AUC_VALUE, DECODE_LABELS, ELEMS, NORMS, SINGLE_LABELS, STEPS, W_DECODE, W_LAYERS, W_SINGLE, auc_sql,
-                        s_rate, with_)
+                        newton_sql, s_rate, with_)
 from .trajectories import _decode_labels, _wrong_states
 
 KEYS = ["qid", "sample_idx"]
@@ -215,19 +215,22 @@ def bow_vs_layer0(spark, sf_dir):
     labels = _decode_labels(spark, sf_dir).select("qid", "label")
     tokens = B.decode_tokens(spark, sf_dir).join(labels.select("qid"), "qid", "left_semi")
     counts = bow.token_counts(tokens)
-    vocab = bow.vocabulary(counts)
-    words = bow.dense_rows(labels, bow.log_counts(counts, vocab), vocab.count()).select(
+    words = bow.sparse_rows(labels, bow.log_counts(counts, bow.vocabulary(counts))).select(
         F.lit("bag_of_words").alias("features"), "qid", "label", "vec")
     layer0 = FE.mean_pool(_wrong_states(spark, sf_dir).where("layer = 0"), ["qid"]).join(labels, "qid").select(
         F.lit("layer_0").alias("features"), "qid", "label", "vec")
-    fitted = pairout.pair_out_auc(words.unionByName(layer0), ["features"], ["qid"], c=DEFAULTS.pair_out_c, max_rows=DEFAULTS.pair_out_rows)
+    fitted = None
+    for rows in (words, layer0):
+        part = pairout.pair_out_auc(rows, ["features"], ["qid"], c=DEFAULTS.pair_out_c, max_rows=DEFAULTS.pair_out_rows)
+        fitted = part if fitted is None else fitted.unionByName(part)
     lengths = counts.groupBy("qid").agg(F.sum("n").alias("length")).join(labels, "qid")
     return rounded(fitted.unionByName(auc(lengths, [], "length", "label").withColumn("features", F.lit("length"))))
 
 
 # -- scalar twins of the fitted operators -----------------------------------------------------------
 # With one number per row a ridge-logistic fit with a free intercept ranks rows by that number, upwards if label and
-# number vary together in the training rows and downwards if not. That is all an AUC sees, and SQL can say it.
+# number vary together in the training rows and downwards if not: these show split, folds, pairs and ties at every size.
+# Weights, penalty, intercept and scaling show in the queries on two features below.
 
 def _scalar(rows):
     return rows.withColumn("vec", F.array("score")).drop("score")
@@ -287,3 +290,75 @@ def lpo_norm(spark, sf_dir):
     labels = _decode_labels(spark, sf_dir).select("qid", "label")
     return rounded(pairout.pair_out_auc(_scalar(rows.join(labels, "qid")), ["layer"], ["qid"], c=DEFAULTS.pair_out_c,
                                         max_rows=DEFAULTS.pair_out_rows))
+
+
+# -- two features: fits that SQL can do in full ------------------------------------------------------
+# A norm and one element of very different spread, so that scaling, penalty and intercept all move the result.
+
+TWO_SINGLE = """two AS (
+  SELECT n.qid, n.sample_idx, n.layer, n.label AS y, n.score AS x1, 30 * w.x AS x2
+  FROM norm_scores n JOIN w_layers w USING (qid, sample_idx, layer) WHERE w.dim = 2)"""
+
+
+def single_pairs(spark, sf_dir):
+    """(norm, 30 times the third element) of every wrong single-position trace and layer."""
+    return S.explode_single(B.w_single(spark, sf_dir)).select(
+        *KEYS, "layer", F.array(norm(F.col("vec")), 30 * F.col("vec")[2]).alias("vec"))
+
+
+@query("probe_two_features", with_(*SINGLE_BASE, GROUP_SPLIT, TWO_SINGLE, """parted AS (
+  SELECT t.*, is_test FROM two t JOIN sides USING (qid) WHERE layer = 3),
+train AS (SELECT x1, x2, y FROM parted WHERE NOT is_test)""", newton_sql("", 1.0), body="""
+SELECT qid, sample_idx, y AS label, round(1 / (1 + exp(-(w1 * x1 + w2 * x2 + b))), 4) AS y_pred_prob
+FROM parted CROSS JOIN fitted WHERE is_test"""))
+def probe_two_features(spark, sf_dir):
+    """Held-out predictions of a probe on two unscaled features: weights and intercept decide every row."""
+    rows = single_pairs(spark, sf_dir).where("layer = 3").withColumnRenamed("vec", "features")
+    found = probes.probe_predictions(rows.join(_single_labels(spark, sf_dir), KEYS), KEYS)
+    return found.select(*KEYS, "label", F.round("y_pred_prob", 4).alias("y_pred_prob"))
+
+
+CV_TWO = """held AS (SELECT t.*, f.fold FROM two t JOIN folds f USING (qid, sample_idx)),
+parts AS (
+  SELECT h.layer, o.fold, h.fold = o.fold AS held_out, h.x1, h.x2, h.y
+  FROM held h, (SELECT DISTINCT fold FROM held) o),
+scales AS (
+  SELECT layer, fold, avg(x1) AS m1, avg(x2) AS m2, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2
+  FROM parts WHERE NOT held_out GROUP BY 1, 2),
+scaled AS (
+  SELECT layer, fold, held_out, y, (x1 - m1) / CASE WHEN s1 > 0 THEN s1 ELSE 1 END AS x1,
+         (x2 - m2) / CASE WHEN s2 > 0 THEN s2 ELSE 1 END AS x2 FROM parts JOIN scales USING (layer, fold)),
+train AS (SELECT layer, fold, x1, x2, y FROM scaled WHERE NOT held_out)"""
+
+
+@query("cv_two_features", with_(*SINGLE_BASE, FOLDS, TWO_SINGLE, CV_TWO, newton_sql("layer, fold", 1.0), """scored AS (
+  SELECT layer, fold, w1 * x1 + w2 * x2 AS score, y AS label FROM scaled JOIN fitted USING (layer, fold) WHERE held_out)""",
+                                auc_sql("layer, fold"), CV_NORM_AUCS, body="SELECT layer, round(auc, 6) AS auc, n_folds FROM sweep"))
+def cv_two_features(spark, sf_dir):
+    """k-fold sweep on two features: scaled by the training folds, rotated to components, fitted, scored."""
+    return rounded(probes.cv_sweep(single_pairs(spark, sf_dir), _single_labels(spark, sf_dir), KEYS))
+
+
+@query("lpo_two_features", with_(W_DECODE, s_rate(25), DECODE_LABELS, STEPS, ELEMS, NORMS, """two AS (
+  SELECT n.layer, n.qid, n.norm AS x1, 30 * e.x AS x2, l.label AS y
+  FROM norms n JOIN elems e USING (layer, qid, pos) JOIN labelled l USING (qid) WHERE n.pos = 0 AND e.dim = 2),
+classes AS (SELECT layer, CAST(sum(y) AS BIGINT) AS n_pos, CAST(sum(1 - y) AS BIGINT) AS n_neg FROM two GROUP BY layer),
+pairs AS (
+  SELECT layer, p.qid AS pos_id, q.qid AS neg_id, p.x1 - q.x1 AS gap1, p.x2 - q.x2 AS gap2
+  FROM two p JOIN two q USING (layer) JOIN classes USING (layer) WHERE p.y = 1 AND q.y = 0 AND n_pos >= 2 AND n_neg >= 2),
+parts AS (SELECT p.layer, p.pos_id, p.neg_id, t.x1, t.x2, t.y FROM pairs p JOIN two t ON p.layer = t.layer AND t.qid <> p.pos_id AND t.qid <> p.neg_id),
+scales AS (
+  SELECT layer, pos_id, neg_id, avg(x1) AS m1, avg(x2) AS m2, CASE WHEN stddev_pop(x1) > 0 THEN stddev_pop(x1) ELSE 1 END AS s1,
+         CASE WHEN stddev_pop(x2) > 0 THEN stddev_pop(x2) ELSE 1 END AS s2 FROM parts GROUP BY 1, 2, 3),
+train AS (SELECT layer, pos_id, neg_id, (x1 - m1) / s1 AS x1, (x2 - m2) / s2 AS x2, y FROM parts JOIN scales USING (layer, pos_id, neg_id))""",
+                                 newton_sql("layer, pos_id, neg_id", 0.01, 12), """gaps AS (
+  SELECT layer, w1 * gap1 / s1 + w2 * gap2 / s2 AS gap
+  FROM pairs JOIN scales USING (layer, pos_id, neg_id) JOIN fitted USING (layer, pos_id, neg_id))""", body="""
+SELECT c.layer, n_pos, n_neg, round(avg(CASE WHEN abs(gap) <= 1e-12 THEN 0.5 WHEN gap > 0 THEN 1.0 WHEN gap < 0 THEN 0.0 END), 6) AS auc
+FROM classes c LEFT JOIN gaps USING (layer) GROUP BY c.layer, n_pos, n_neg"""))
+def lpo_two_features(spark, sf_dir):
+    """Every pair left out once on two features: scaled by the rows kept, penalised, refitted."""
+    rows = _wrong_states(spark, sf_dir).where("pos = 0").select(
+        "qid", "layer", F.array(norm(F.col("vec")), 30 * F.col("vec")[2]).alias("vec"))
+    labels = _decode_labels(spark, sf_dir).select("qid", "label")
+    return rounded(pairout.pair_out_auc(rows.join(labels, "qid"), ["layer"], ["qid"], c=DEFAULTS.pair_out_c, max_rows=DEFAULTS.pair_out_rows))

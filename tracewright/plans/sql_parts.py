@@ -2,7 +2,8 @@
 
 
 def with_(*parts: str, body: str) -> str:
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    recursive = "RECURSIVE " if any("UNION ALL" in p and p.startswith("newton(") for p in parts) else ""
+    return f"WITH {recursive}" + ",\n".join(parts) + "\n" + body
 
 
 W_SINGLE = """w_single AS (
@@ -63,3 +64,31 @@ sums AS (
 
 
 AUC_VALUE = "CASE WHEN n_pos > 0 AND n_neg > 0 THEN (r1 - n_pos * (n_pos + 1) / 2.0) / (n_pos * n_neg) END"
+
+
+def newton_sql(cells: str, c: float, steps: int = 25) -> str:
+    """fitted(<cells>, w1, w2, b): |w|^2 / 2 + c * logloss minimised over train(<cells>, x1, x2, y), by Newton's method.
+
+    The 3 x 3 system of a step is solved by cofactors.
+    """
+    lead = f"{cells}, " if cells else ""
+    on = " AND ".join(f"n.{k.strip()} = t.{k.strip()}" for k in cells.split(",")) if cells else "true"
+    own = "".join(f"n.{k.strip()}, " for k in cells.split(",")) if cells else ""
+    first = f"SELECT DISTINCT {lead}" if cells else "SELECT "
+    source = " FROM train" if cells else ""
+    return f"""newton({lead}step, w1, w2, b) AS (
+  {first}0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE{source}
+  UNION ALL
+  SELECT {lead}step + 1,
+         w1 - (g1 * (h22 * h33 - h23 * h23) + g2 * (h13 * h23 - h12 * h33) + g3 * (h12 * h23 - h13 * h22)) / det,
+         w2 - (g1 * (h13 * h23 - h12 * h33) + g2 * (h11 * h33 - h13 * h13) + g3 * (h12 * h13 - h11 * h23)) / det,
+         b - (g1 * (h12 * h23 - h13 * h22) + g2 * (h12 * h13 - h11 * h23) + g3 * (h11 * h22 - h12 * h12)) / det
+  FROM (
+    SELECT *, h11 * (h22 * h33 - h23 * h23) - h12 * (h12 * h33 - h13 * h23) + h13 * (h12 * h23 - h13 * h22) AS det FROM (
+      SELECT {lead}step, w1, w2, b,
+             {c} * sum((m - y) * x1) + w1 AS g1, {c} * sum((m - y) * x2) + w2 AS g2, {c} * sum(m - y) AS g3,
+             {c} * sum(m * (1 - m) * x1 * x1) + 1 AS h11, {c} * sum(m * (1 - m) * x2 * x2) + 1 AS h22, {c} * sum(m * (1 - m)) AS h33,
+             {c} * sum(m * (1 - m) * x1 * x2) AS h12, {c} * sum(m * (1 - m) * x1) AS h13, {c} * sum(m * (1 - m) * x2) AS h23
+      FROM (SELECT {own}n.step, n.w1, n.w2, n.b, t.x1, t.x2, t.y, 1 / (1 + exp(-(n.w1 * t.x1 + n.w2 * t.x2 + n.b))) AS m
+            FROM newton n JOIN train t ON {on} WHERE n.step < {steps}) GROUP BY {lead}step, w1, w2, b))),
+fitted AS (SELECT {lead}w1, w2, b FROM newton WHERE step = {steps})"""
