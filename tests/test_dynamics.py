@@ -86,6 +86,66 @@ def test_pairwise_repeated_points(spark, rows):
     check(PW.pairwise_metrics(states, rows=rows).collect(), {0: x}, ["nearest_revisit", "intrinsic_dim"])
 
 
+def clustered(n, seed=5, width=6):
+    """Steps that jump between eight far centres."""
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(8, width))[rng.integers(0, 8, n)] * 40 + rng.normal(size=(n, width))
+
+
+def one_trajectory(spark, x):
+    return spark.createDataFrame([(0, 0, 0, i, i, len(x), len(x), v.tolist()) for i, v in enumerate(x)], make_states(spark, [1])[0].schema)
+
+
+def test_pairwise_tiles(spark):
+    """Bounds hold, every far pair is in one tile, and every tile that is not read could not have changed a neighbour."""
+    x, theiler = clustered(300), 5
+    states = one_trajectory(spark, x)
+    placed = PW._placed(states, PW._ids(states), 20)
+    tiles = PW._tiles(placed, theiler)
+    block = {r["pos"]: r["block"] for r in placed.collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    inside = {}
+    for i in range(300):
+        for j in range(i + theiler + 1, 300):
+            inside.setdefault(tuple(sorted((block[i], block[j]))), []).append(d[i, j])
+    found = {(r["ta"], r["tb"]): r for r in tiles.collect()}
+    assert {k: len(v) for k, v in inside.items()} == {k: r["pairs"] for k, r in found.items()}
+    assert all(found[k]["low"] <= min(v) and max(v) <= found[k]["high"] for k, v in inside.items())
+    two = [sorted(d[i, j] for j in range(300) if abs(i - j) > theiler)[:2] for i in range(300)]
+    own = {}
+    for i in range(300):
+        near = sorted(d[i, j] for j in range(300) if block[j] == block[i] and abs(i - j) > theiler)[:2]
+        own[block[i]] = max(own.get(block[i], 0.0), near[1] if len(near) > 1 else np.inf)
+    reach = spark.createDataFrame([(0, 0, 0, b, float(r)) for b, r in own.items()],
+                                  states.select("qid", "sample_idx", "layer").schema.add("block", "integer").add("reach", "double"))
+    read = {(r["ta"], r["tb"]) for r in PW.needed(tiles, reach).collect()}
+    apart = [k for k in found if k[0] < k[1]]
+    assert len(read) < len(apart) / 2
+    for a, b in set(apart) - read:
+        worst = max(two[i][1] for i in range(300) if block[i] in (a, b))
+        assert min(inside[a, b]) > worst
+    check(PW.pairwise_metrics(states, theiler, rows=20).collect(), {0: x}, ["nearest_revisit", "intrinsic_dim"])
+
+
+@pytest.mark.parametrize("n", [60, 500])
+def test_pairwise_passes(spark, monkeypatch, n):
+    """Four reads of tiles, two for neighbours and two for the median, whatever the length; coarse sketches."""
+    reads, read = [], PW._read
+    monkeypatch.setattr(PW, "_read", lambda *a: reads.append(1) or read(*a))
+    monkeypatch.setattr(PW, "SLICES", 7)
+    monkeypatch.setattr(PW, "BINS", 5)
+    x = np.round(clustered(n, n), 0) if n == 60 else clustered(n, n)
+    check(PW.pairwise_metrics(one_trajectory(spark, x), rows=25).collect(), {0: x}, ["nearest_revisit", "intrinsic_dim"])
+    assert len(reads) == 4
+
+
+def test_pairwise_equal_steps(spark):
+    """Blocks of equal radii are dealt to parts; all distances are zero but for one step."""
+    x = np.zeros((90, 3))
+    x[40] = 2.0
+    check(PW.pairwise_metrics(one_trajectory(spark, x), rows=10).collect(), {0: x}, ["nearest_revisit", "intrinsic_dim"])
+
+
 def test_degenerate(spark):
     schema = make_states(spark, [1])[0].schema
     constant = np.ones((8, 2))

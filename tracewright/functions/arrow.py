@@ -27,8 +27,8 @@ def one_row(key: tuple, names: list[str], types: pa.Schema | list[pa.DataType],
     return pa.Table.from_arrays(arrays, names=names)
 
 
-def keyed_rows(key: tuple, key_names: list[str], columns: dict[str, np.ndarray]) -> pa.Table:
+def keyed_rows(key: tuple, key_names: list[str], columns: dict[str, np.ndarray | pa.Array]) -> pa.Table:
     """Result columns with the group's key repeated on every row."""
     n = len(next(iter(columns.values())))
-    arrays = [pa.repeat(k, n) for k in key] + [pa.array(c) for c in columns.values()]
+    arrays = [pa.repeat(k, n) for k in key] + [c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()]
     return pa.Table.from_arrays(arrays, names=[*key_names, *columns])
