@@ -129,6 +129,66 @@ def test_usable_answer_wins_within_a_batch(spark, tmp_path):
     assert [r["qid"] for r in spark.read.json(I.side_car(out)).collect()] == ["q1"]
 
 
+def test_state_knows_what_is_done(spark, tmp_path):
+    """Twenty batches; the query that goes on from them has another, empty output, and still repeats nothing."""
+    src, state = str(tmp_path / "in"), str(tmp_path / "c")
+    questions = spark.createDataFrame([(f"q{i}", "", "B") for i in range(4)], schemas.QUESTIONS)
+    for k in range(20):
+        schema = answers(spark, src, [(f"q{k % 4}", k // 8, 200 if k % 3 else 503, "(B)"), ("q0", 0, 200, "(B)")])
+
+    def run(out):
+        stream = I.response_stream(spark, src, schema, files_per_trigger=1)
+        query = I.scored_stream(stream, questions, str(tmp_path / out), state)
+        query.awaitTermination()
+        return query
+    first = run("a")
+    assert first.lastProgress["batchId"] >= 19
+    done = {(r["qid"], r["sample_idx"]) for r in spark.read.parquet(str(tmp_path / "a")).collect()}
+    assert done == {(f"q{k % 4}", k // 8) for k in range(20) if k % 3} | {("q0", 0)}
+    assert spark.read.parquet(str(tmp_path / "a")).count() == len(done)
+    answers(spark, src, [("q1", 0, 200, "(B)"), ("q2", 2, 200, "(B)"), ("new", 0, 200, "(B)"), ("q0", 0, 503, "")])
+    run("b")
+    added = {(r["qid"], r["sample_idx"]) for r in spark.read.parquet(str(tmp_path / "b")).collect()}
+    assert added == {("q2", 2), ("new", 0)} - done
+    assert spark.read.schema(schemas.ERRORS).json(I.side_car(str(tmp_path / "b"))).count() == 0
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    assert "HDFS" in provider  # as it was before
+
+
+def test_snapshots_of_counters(spark, tmp_path, monkeypatch):
+    """One snapshot and a tail are read, also after a failure between a snapshot and its manifest."""
+    path = str(tmp_path / "counts")
+
+    def put(n):
+        rows = [("all", n + 1, n), (f"m{n % 3}", n, 0)]
+        spark.createDataFrame(rows, "model string, n long, n_correct long").coalesce(1).write.mode("overwrite").parquet(f"{path}/batch_id={n}")
+
+    def now():
+        return {r["model"]: (r["n"], r["n_correct"]) for r in I.current_counts(spark, path).collect()}
+    for n in range(12):
+        put(n)
+        if n % 4 == 3:
+            I.compact(spark, path, n)
+    want = {"all": (12, 11), "m0": (9, 0), "m1": (10, 0), "m2": (11, 0)}
+    assert now() == want
+    assert I._numbers(spark, path, "batch_id=") == [8, 9, 10, 11] and I._numbers(spark, f"{path}/_manifest", "upto=") == [7, 11]
+    assert len(I._stored_counts(spark, path).inputFiles()) == len(spark.read.parquet(f"{path}/_snapshot/upto=11").inputFiles())
+    put(12)
+
+    def fail(*_):
+        raise OSError("lost")
+    with monkeypatch.context() as m:
+        m.setattr(I, "_commit", fail)
+        with pytest.raises(OSError):
+            I.compact(spark, path, 12)
+    want |= {"all": (13, 12), "m0": (12, 0)}
+    assert now() == want and I._numbers(spark, f"{path}/_manifest", "upto=") == [7, 11]
+    I.compact(spark, path, 12)
+    I.compact(spark, path, 12)
+    put(12)  # a repeated batch after its snapshot
+    assert now() == want and I._numbers(spark, f"{path}/_manifest", "upto=") == [11, 12]
+
+
 def test_late_repeats(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.sql("select 'q' qid, 0 sample_idx, timestamp'2024-01-01 00:00:00' ts union all "
@@ -146,7 +206,7 @@ def test_running_rates(spark, tmp_path):
     for rows in ([("a", 1), ("b", 0)], [("a", 0), ("a", 1)]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
     stream = I.response_stream(spark, src, spark.read.parquet(src).schema, files_per_trigger=1)
-    I.update_counts(I.running_pass_rates(stream), str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
+    I.update_counts(I.running_pass_rates(stream), str(tmp_path / "o"), str(tmp_path / "c"), every=1).awaitTermination()
     got = {r["model"]: (r["n"], r["n_correct"]) for r in I.current_counts(spark, str(tmp_path / "o")).collect()}
     assert got == {"a": (3, 2), "b": (1, 0)}
 
