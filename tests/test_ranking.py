@@ -72,6 +72,33 @@ def test_folds(spark):
     assert counts == {(1, f): 1 for f in range(4)} | {(0, f): 9 for f in range(4)}
 
 
+def plain_draw(rep, i, n, seed):
+    m = (1 << 32) - 1
+
+    def mix(x):
+        x = ((x ^ x >> 16) * 0x21F0AAAD) & m
+        x = ((x ^ x >> 15) * 0x735A2D97) & m
+        return x ^ x >> 15
+    first = mix((rep + seed * 1_000_003) & m)
+    second = mix((first + rep + 1) & m)
+    low = mix(mix((i + first) & m) ^ ((second + (i >> 32)) & m))
+    return (((mix((low + 0x9E3779B9) & m) & (1 << 30) - 1) << 32) | low) % n
+
+
+def test_draws(spark):
+    """Tasks, SQL functions and plain numbers draw the same rows; all rows come up about equally often."""
+    for n, reps, seed in ((7, 5, 0), (1000, 30, 7), (3, 400, 123_456)):
+        want = [(r, plain_draw(r, i, n, seed)) for r in range(reps) for i in range(n)]
+        at = np.repeat(np.arange(reps), n), np.tile(np.arange(n), reps)
+        assert bootstrap.draw_rows(*at, n, seed).tolist() == [w for _, w in want]
+        assert sorted(tuple(r) for r in bootstrap.draws(spark, n, reps, seed).collect()) == sorted(want)
+    far = np.array([0, 1, 2, 3]) + (5 << 32)
+    assert bootstrap.draw_rows(np.zeros(4, int), far, 10 ** 6, 1).tolist() == [plain_draw(0, int(i), 10 ** 6, 1) for i in far]
+    rep, i = np.repeat(np.arange(2000), 50), np.tile(np.arange(50), 2000)
+    counts = np.bincount(bootstrap.draw_rows(rep, i, 50, 3), minlength=50)
+    assert ((counts - 2000) ** 2 / 2000).sum() < 90  # chi square, 49 degrees of freedom
+
+
 def test_bootstrap_matches_plain_resampling(spark):
     rng = np.random.default_rng(2)
     y = rng.integers(0, 2, 40)

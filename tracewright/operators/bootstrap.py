@@ -2,32 +2,56 @@
 
 from __future__ import annotations
 
-from hashlib import md5
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
 from .ranking import bucket_of, hash_row_number, score_counts, score_edges, wins_from_buckets
 
-# One md5 yields two 60-bit draws.
-PER_HASH, DIGITS = 2, 15
 # Four small columns per row: at most about 40 MB travel to each executor.
 BROADCAST_ROWS = 1 << 20
+BLOCK = 1 << 20  # draws made at a time
+MASK = (1 << 32) - 1
+# Rounds of a 32-bit mixer (shift, then multiplier below 2^31, so that no product leaves 63 bits).
+ROUNDS, LAST_SHIFT = ((16, 0x21F0AAAD), (15, 0x735A2D97)), 15
+STEP = 0x9E3779B9
+
+
+def _mixed(x):
+    """Mixes numbers below 2^32, as a column or as unsigned 64-bit numbers of numpy."""
+    if isinstance(x, Column):
+        for shift, factor in ROUNDS:
+            x = (x.bitwiseXOR(F.shiftright(x, shift)) * F.lit(factor)).bitwiseAND(F.lit(MASK))
+        return x.bitwiseXOR(F.shiftright(x, LAST_SHIFT))
+    for shift, factor in ROUNDS:
+        x = ((x ^ (x >> np.uint64(shift))) * np.uint64(factor)) & np.uint64(MASK)
+    return x ^ (x >> np.uint64(LAST_SHIFT))
+
+
+def draw_rows(rep: np.ndarray, i: np.ndarray, n_rows: int, seed: int) -> np.ndarray:
+    """Row numbers drawn: each depends on replicate, place and seed alone, so any task can make any of them."""
+    mask, rep, i = np.uint64(MASK), rep.astype(np.uint64), i.astype(np.uint64)
+    first = _mixed((rep + np.uint64(seed * 1_000_003 & MASK)) & mask)
+    second = _mixed((first + rep + np.uint64(1)) & mask)
+    low = _mixed(_mixed(((i & mask) + first) & mask) ^ ((second + (i >> np.uint64(32))) & mask))
+    high = _mixed((low + np.uint64(STEP)) & mask) & np.uint64((1 << 30) - 1)
+    return ((high << np.uint64(32) | low) % np.uint64(n_rows)).astype(np.int64)
 
 
 def draws(spark, n_rows: int, replicates: int, seed: int = 0) -> DataFrame:
-    """(rep, row_no): n_rows draws with replacement for every replicate, generated where they are used."""
-    hashes = -(-n_rows // PER_HASH)
-    base = spark.range(replicates * hashes).select(
-        F.expr(f"id div {hashes}").alias("rep"), (F.col("id") % hashes).alias("_q"))
-    digest = F.md5(F.concat_ws(":", F.col("rep").cast("string"), F.col("_q").cast("string"), F.lit(str(seed))))
-    pieces = F.array(*[F.conv(F.substring(F.col("_d"), 1 + DIGITS * i, DIGITS), 16, 10).cast("long")
-                       for i in range(PER_HASH)])
-    return base.withColumn("_d", digest).select(
-        "rep", "_q", F.posexplode(pieces).alias("_i", "_v")).where(
-        F.col("_q") * PER_HASH + F.col("_i") < n_rows).select("rep", (F.col("_v") % n_rows).alias("row_no"))
+    """(rep, row_no): n_rows draws with replacement for every replicate, generated where they are used; as `draw_rows`."""
+    def cut(x):
+        return x.bitwiseAND(F.lit(MASK))
+    out = spark.range(replicates * n_rows).select(F.expr(f"id div {n_rows}").alias("rep"), (F.col("id") % n_rows).alias("i"))
+    # a column at a time: each number is used twice, and one expression of all would repeat what it is made of
+    out = out.withColumn("first", _mixed(cut(F.col("rep") + F.lit(seed * 1_000_003 & MASK))))
+    out = out.withColumn("second", _mixed(cut(F.col("first") + F.col("rep") + 1)))
+    out = out.withColumn("low", _mixed(cut(cut(F.col("i")) + F.col("first"))))
+    out = out.withColumn("low", _mixed(F.col("low").bitwiseXOR(cut(F.col("second") + F.shiftright("i", 32)))))
+    out = out.withColumn("high", _mixed(cut(F.col("low") + F.lit(STEP))))
+    high = F.shiftleft(F.col("high").bitwiseAND(F.lit((1 << 30) - 1)), 32)
+    return out.select("rep", (high.bitwiseOR(F.col("low")) % n_rows).alias("row_no"))
 
 
 def _replicates_in_tasks(numbered: DataFrame, n_rows: int, replicates: int, seed: int) -> DataFrame:
@@ -40,18 +64,23 @@ def _replicates_in_tasks(numbered: DataFrame, n_rows: int, replicates: int, seed
     starts = np.flatnonzero(np.concatenate([[True], score[1:] != score[:-1]])[:len(score)])
     shared = spark.sparkContext.broadcast((row, label, starts))
 
+    def some(reps, row, label, starts):
+        drawn = draw_rows(np.repeat(reps, n_rows), np.tile(np.arange(n_rows), len(reps)), n_rows, seed)
+        drawn += np.repeat(np.arange(len(reps)), n_rows) * n_rows
+        times = np.bincount(drawn, minlength=n_rows * len(reps)).reshape(len(reps), n_rows)[:, row]
+        pos, neg = (np.add.reduceat(times * side, starts, axis=1).astype(float) for side in (label, ~label))
+        both = pos.sum(axis=1) * neg.sum(axis=1)
+        wins = (pos * (np.cumsum(neg, axis=1) - neg / 2)).sum(axis=1)
+        drew_both = both > 0
+        return pa.RecordBatch.from_arrays([pa.array(reps[drew_both]), pa.array(wins[drew_both] / both[drew_both])], ["rep", "auc"])
+
     def run(batches):
         row, label, starts = shared.value
         for batch in batches:
-            out = []
-            for rep in batch.column("id").to_pylist() if len(starts) else []:
-                digests = (md5(f"{rep}:{q}:{seed}".encode()).hexdigest() for q in range(-(-n_rows // PER_HASH)))
-                values = [int(d[i * DIGITS:(i + 1) * DIGITS], 16) % n_rows for d in digests for i in range(PER_HASH)]
-                times = np.bincount(values[:n_rows], minlength=n_rows)[row]
-                pos, neg = (np.add.reduceat(times * side, starts).astype(float) for side in (label, ~label))
-                if pos.sum() and neg.sum():
-                    out.append((rep, float((pos * (np.cumsum(neg) - neg / 2)).sum() / (pos.sum() * neg.sum()))))
-            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([a for _, a in out], pa.float64())], ["rep", "auc"])
+            reps = batch.column("id").to_numpy()
+            step = max(1, BLOCK // max(1, n_rows))
+            for at in range(0, len(reps) if len(starts) else 0, step):
+                yield some(reps[at:at + step], row, label, starts)
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return spark.range(0, replicates, 1, parts).mapInArrow(run, "rep long, auc double")
 

@@ -11,7 +11,7 @@ from ..params import DEFAULTS
 from . import bindings as B
 from .registry import query, rounded
 from .sql_parts import (AUC_VALUE, DECODE_LABELS, ELEMS, NORMS, SINGLE_LABELS, STEPS, W_DECODE, W_LAYERS, W_SINGLE, auc_sql,
-                        newton_sql, s_rate, with_)
+                        draws_sql, newton_sql, s_rate, with_)
 from .trajectories import _decode_labels, _wrong_states
 
 KEYS = ["qid", "sample_idx"]
@@ -97,13 +97,7 @@ def stratified_folds(spark, sf_dir):
 @query("bootstrap_auc_ci", with_(*SINGLE_BASE, GROUP_SPLIT, """base AS (
   SELECT score, label, count(*) OVER () AS n,
          row_number() OVER (ORDER BY ('0x' || substr(md5(concat_ws(':', qid, sample_idx, '7')), 1, 8))::BIGINT, qid, sample_idx) - 1 AS row_no
-  FROM norm_scores JOIN sides USING (qid) WHERE layer = 1 AND is_test),
-hashes AS (
-  SELECT r AS rep, q, n, md5(concat_ws(':', r, q, '7')) AS d
-  FROM range(10000) a(r), (SELECT any_value(n) AS n FROM base) m, range(CAST(ceil(n / 2.0) AS BIGINT)) b(q)),
-draws AS (
-  SELECT rep, ('0x' || substr(d, CAST(1 + 15 * i AS INTEGER), 15))::BIGINT % n AS row_no FROM hashes, range(2) t(i) WHERE 2 * q + i < n),
-counted AS (
+  FROM norm_scores JOIN sides USING (qid) WHERE layer = 1 AND is_test)""", draws_sql(10_000, "SELECT any_value(n) FROM base", 7), """counted AS (
   SELECT rep, score, sum(label)::DOUBLE AS pos, sum(1 - label)::DOUBLE AS neg FROM draws JOIN base USING (row_no) GROUP BY 1, 2),
 won AS (
   SELECT rep, pos, neg, pos * (coalesce(sum(neg) OVER (PARTITION BY rep ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)

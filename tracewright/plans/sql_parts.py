@@ -92,3 +92,20 @@ def newton_sql(cells: str, c: float, steps: int = 25) -> str:
       FROM (SELECT {own}n.step, n.w1, n.w2, n.b, t.x1, t.x2, t.y, 1 / (1 + exp(-(n.w1 * t.x1 + n.w2 * t.x2 + n.b))) AS m
             FROM newton n JOIN train t ON {on} WHERE n.step < {steps}) GROUP BY {lead}step, w1, w2, b))),
 fitted AS (SELECT {lead}w1, w2, b FROM newton WHERE step = {steps})"""
+
+
+def mix_sql(source: str, keep: str) -> str:
+    """`source` yields the columns `keep` and x, a number below 2^32; the same with x mixed."""
+    for step in ("xor(x, x >> 16)", f"(x * {0x21F0AAAD}) % 4294967296", "xor(x, x >> 15)", f"(x * {0x735A2D97}) % 4294967296", "xor(x, x >> 15)"):
+        source = f"SELECT {keep}, {step} AS x FROM ({source})"
+    return source
+
+
+def draws_sql(replicates: int, n: str, seed: int) -> str:
+    """draws(rep, row_no): `n` (a query of one number) draws with replacement below it for every replicate."""
+    first = mix_sql(f"SELECT rep, (rep + {seed * 1_000_003}) % 4294967296 AS x FROM range({replicates}) r(rep)", "rep")
+    second = mix_sql(f"SELECT rep, x AS first, (x + rep + 1) % 4294967296 AS x FROM ({first})", "rep, first")
+    low = mix_sql(f"SELECT rep, x AS second, i, (i + first) % 4294967296 AS x FROM ({second}), range(({n})) t(i)", "rep, second, i")
+    low = mix_sql(f"SELECT rep, xor(x, second) AS x FROM ({low})", "rep")
+    high = mix_sql(f"SELECT rep, x AS low, (x + {0x9E3779B9}) % 4294967296 AS x FROM ({low})", "rep, low")
+    return f"draws AS (SELECT rep, ((x % 1073741824) * 4294967296 + low) % ({n}) AS row_no FROM ({high}))"
