@@ -179,6 +179,29 @@ def test_pca(spark, tmp_path):
     np.testing.assert_allclose([r["p"] for r in got], (x - x.mean(0)) @ np.array(basis["components"]).T, atol=1e-9)
 
 
+@pytest.mark.parametrize("width,rank,k", [(60, 60, 4), (60, 6, 5), (300, 300, 3), (14, 14, 14)])
+def test_leading_directions(width, rank, k):
+    """Close values, values of zero, spaces that start again."""
+    rng = np.random.default_rng(width + rank)
+    q = np.linalg.qr(rng.normal(size=(width, width)))[0]
+    values = np.concatenate([np.sort(1 + rng.random(rank))[::-1] ** 3, np.zeros(width - rank)])
+    m = q @ np.diag(values) @ q.T
+    got, columns = pca.leading_directions(lambda x: m @ x, width, k)
+    np.testing.assert_allclose(got, values[:k], rtol=1e-9, atol=1e-9)
+    np.testing.assert_allclose(np.abs((columns * q[:, :k]).sum(axis=0)), 1.0, atol=1e-6)
+
+
+def test_pca_of_wide_vectors(spark):
+    """Wider than a pass's block and than a chunk, fewer rows than elements; one spread over tasks."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 5000)) + rng.normal(size=(40, 3)) @ rng.normal(size=(3, 5000)) * 3 + 7
+    states = spark.createDataFrame([(1, v.tolist()) for v in x], "layer int, vec array<double>").repartition(4)
+    basis = pca.fit_basis(states, 1, 4)
+    _, s, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    np.testing.assert_allclose(basis["explained_variance_ratio"], (s ** 2 / (s ** 2).sum())[:4], rtol=1e-9)
+    np.testing.assert_allclose(np.abs((np.array(basis["components"]) * vt[:4]).sum(axis=1)), 1.0, atol=1e-6)
+
+
 def test_bag_of_words(spark):
     docs = {"a": [1, 1, 2, 9], "b": [1, 3], "c": [1, 2, 2], "d": [8]}
     df = spark.createDataFrame([(q, t) for q, t in docs.items()], "qid string, tokens array<int>")

@@ -303,16 +303,56 @@ def dynamics_chance_summary(spark, sf_dir):
 
 # -- principal components ------------------------------------------------------------------------
 
-@query("pca_variance")
+def components_sql(k: int, squarings: int = 16) -> list[str]:
+    """vectors(k, dim, v) and ratios(k, ratio) of the layer's covariance, one after the other.
+
+    A matrix squared often enough is the projection on its leading direction, which is then taken out.
+    """
+    parts = ["""xs AS (SELECT qid, pos, step_index, n_steps, correct, dim, x FROM elems WHERE layer = 7),
+middle AS (SELECT dim, avg(x) AS m FROM xs GROUP BY dim),
+c0 AS MATERIALIZED (
+  SELECT a.dim AS i, b.dim AS j, sum((a.x - ma.m) * (b.x - mb.m)) / (count(*) - 1) AS v
+  FROM xs a JOIN xs b USING (qid, pos) JOIN middle ma ON ma.dim = a.dim JOIN middle mb ON mb.dim = b.dim GROUP BY 1, 2)"""]
+    for t in range(k):
+        parts.append(f"p{t}_0 AS MATERIALIZED (SELECT i, j, v / sum(CASE WHEN i = j THEN v END) OVER () AS v FROM c{t})")
+        for m in range(squarings):
+            parts.append(f"""p{t}_{m + 1} AS MATERIALIZED (
+  SELECT i, j, v / sum(CASE WHEN i = j THEN v END) OVER () AS v FROM (
+    SELECT a.i, b.j, sum(a.v * b.v) AS v FROM p{t}_{m} a JOIN p{t}_{m} b ON a.j = b.i GROUP BY 1, 2))""")
+        last = f"p{t}_{squarings}"
+        parts.append(f"""raw{t} AS (
+  SELECT i AS dim, v / sqrt((SELECT max(v) FROM {last} WHERE i = j)) AS v FROM {last}
+  WHERE j = (SELECT arg_max(i, v) FROM {last} WHERE i = j)),
+v{t} AS MATERIALIZED (SELECT dim, v * sign((SELECT arg_max(v, abs(v)) FROM raw{t})) / sqrt((SELECT sum(v * v) FROM raw{t})) AS v FROM raw{t}),
+l{t} AS MATERIALIZED (SELECT sum(c.v * a.v * b.v) AS value FROM c{t} c JOIN v{t} a ON a.dim = c.i JOIN v{t} b ON b.dim = c.j),
+c{t + 1} AS MATERIALIZED (
+  SELECT c.i, c.j, c.v - l.value * a.v * b.v AS v FROM c{t} c JOIN v{t} a ON a.dim = c.i JOIN v{t} b ON b.dim = c.j CROSS JOIN l{t} l)""")
+    parts.append("vectors AS (" + " UNION ALL ".join(f"SELECT {t} AS k, dim, v FROM v{t}" for t in range(k)) + ")")
+    parts.append("ratios AS (" + " UNION ALL ".join(
+        f"SELECT {t} AS k, value / (SELECT sum(v) FROM c0 WHERE i = j) AS ratio FROM l{t}" for t in range(k)) + ")")
+    return parts
+
+
+@query("pca_variance", with_(W_DECODE, STEPS, ELEMS, *components_sql(3), body="""
+SELECT k AS component, round(any_value(ratio), 6) AS ratio, list(round(v, 5) + 0.0 ORDER BY dim) AS loadings
+FROM vectors JOIN ratios USING (k) GROUP BY k"""))
 def pca_variance(spark, sf_dir):
-    """Explained variance of the last layer's states, all traces taken together."""
-    basis = pca.fit_basis(B.decode_states(spark, sf_dir), layer=7, n_components=5, source="decode")
-    return pca.basis_frame(spark, basis)
-
-
-@query("pca_projection")
+    """Components of the last layer's states and the variance they explain, all traces taken together."""
+    basis = pca.fit_basis(B.decode_states(spark, sf_dir), layer=7, n_components=3, source="decode")
+    each = pca.basis_frame(spark, basis).select(F.posexplode(F.arrays_zip("components", "explained_variance_ratio")).alias("component", "b"))
+    return each.select("component", F.round("b.explained_variance_ratio", 6).alias("ratio"),
+                       F.transform("b.components", lambda v: F.round(v, 5) + 0.0).alias("loadings"))
+
+
+@query("pca_projection", with_(W_DECODE, s_rate(25), DECODE_LABELS, STEPS, ELEMS, *components_sql(2), """norms AS (
+  SELECT qid, k AS layer, pos, any_value(step_index) AS step_index, any_value(n_steps) AS n_steps, any_value(correct) AS correct,
+         sum((x - m) * v) AS norm FROM xs JOIN middle USING (dim) JOIN vectors USING (dim) GROUP BY 1, 2, 3)""", RESAMPLED, body="""
+SELECT 7 AS layer, 'component_' || c.layer AS series, l.label, c.point, round(avg(c.value), 5) + 0.0 AS mean,
+       round(stddev_pop(c.value), 5) AS std, count(*) AS n
+FROM curves c JOIN labelled l USING (qid) GROUP BY c.layer, l.label, c.point"""))
 def pca_projection(spark, sf_dir):
     """Group curves of the first two components; the basis is fitted on right and wrong traces alike."""
     basis = pca.fit_basis(B.decode_states(spark, sf_dir), layer=7, n_components=2, source="decode")
     series = T.component_series(_wrong_states(spark, sf_dir).where("layer = 7"), basis, 2)
-    return T.group_curves(T.resample(series, 20, axis="step"), _decode_labels(spark, sf_dir))
+    curves = T.group_curves(T.resample(series, 20, axis="step"), _decode_labels(spark, sf_dir))
+    return curves.withColumns({"mean": F.round("mean", 5) + 0.0, "std": F.round("std", 5)})
