@@ -1,12 +1,15 @@
 import pytest
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-# Columns that clash with those that operators make.
+# Columns that clash with those that operators make, in results and on the way there.
+INNER = ["_id", "_zip", "_hash", "_at", "_spans", "_row", "_set", "lang_pred", "lang_score", "_lang_pred", "_lang_score",
+         "mix_source", "mix_copies", "mix_below", "mix_again", "_mix_time", "a", "b", "_a", "node", "root", "first", "kept0", "item",
+         "terms", "tf", "norm", "n", "place", "anomaly", "n_words", "runs", "words", "collapsed", "batch", "with blank"]
 SCHEMA = StructType([
     StructField("doc_id", LongType()), StructField("text", StringType()), StructField("lang", StringType()),
     StructField("source", StringType()), StructField("n_chars", LongType()), StructField("score", StringType()),
     StructField("spans", StringType()), StructField("id", LongType()), StructField("size", LongType()),
-    StructField("fp", LongType()), StructField("h", LongType())])
+    StructField("fp", LongType()), StructField("h", LongType()), *(StructField(c, LongType()) for c in INNER)])
 
 
 def odd_rows():
@@ -20,7 +23,7 @@ def odd_rows():
         (8, "é" * 400 + base, "fr", "c", 500), (9, (base + "Und mehr. ") * 700, "en", "d", 0), (10, "▁ a  b ", "en", "d", 7),
         (11, base.upper(), "en", "d", 5), (12, "Kelvin K ſ İ 日本語 😀 \u0000 end", "ja", "e", 3),
         (0, "apache license apache license, general public license! mit", "en", "e", 9)]
-    return [(*r, "clash", "clash", 7, 7, 7, 7) for r in rows]
+    return [(*r, "clash", "clash", 7, 7, 7, 7, *range(len(INNER))) for r in rows]
 
 
 @pytest.fixture(scope="session")

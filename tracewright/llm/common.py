@@ -17,7 +17,7 @@ BLOCK_BYTES = 1 << 20  # text bytes that a task works on at a time; a longer tex
 
 def quoted(name: str) -> Column:
     """The column of this very name."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(f"`{name}`")
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
@@ -60,7 +60,7 @@ def add_columns(docs: DataFrame, keep: list[str], fields: list[StructField],
     """
     names = {f.name for f in fields}
     keep = [c for c in dict.fromkeys(keep) if c not in names]
-    read = docs.select(*dict.fromkeys([*keep, "text"]))
+    read = docs.select(*map(quoted, dict.fromkeys([*keep, "text"])))
     schema = StructType([*(read.schema[c] for c in keep), *fields])
 
     def run(batches):

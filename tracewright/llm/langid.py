@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField
 
-from .common import add_columns, blocks, texts_of
+from .common import add_columns, blocks, quoted, texts_of, unused
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
@@ -117,5 +117,6 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
 
 def accepted(docs: DataFrame, model: LanguageModel, min_score: float = 0.5) -> DataFrame:
     """The rows of `docs` that have a language: some letter, and a posterior of at least `min_score`."""
-    found = identify(docs, model, names=("_lang_pred", "_lang_score"))
-    return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= min_score)).select(*docs.columns)
+    lang, score = unused(docs, "lang_pred", "lang_score")
+    found = identify(docs, model, names=(lang, score))
+    return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= min_score)).select(*map(quoted, docs.columns))

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut_lineage
+from .common import quoted, unused
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -106,10 +107,11 @@ def mixed(sizes: DataFrame, **shares) -> DataFrame:
 def mix(docs: DataFrame, **shares) -> DataFrame:
     """The rows of the mix with the columns of `docs`; a row that is taken twice comes twice."""
     goal, rows = plan(sized(docs), **shares)
-    goal = goal.select(F.col("source").alias("_mix_source"), F.col("copies").alias("_mix_copies"), F.col("below").alias("_mix_below"))
-    times = (F.col("_mix_copies") + (hash_of(docs["doc_id"], docs["text"]) < F.col("_mix_below")).cast("long")).cast("int")
-    return docs.join(_small(goal, rows), docs["source"].eqNullSafe(goal["_mix_source"])).withColumn(
-        "_mix_time", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    source, copies, below, again = unused(docs, "mix_source", "mix_copies", "mix_below", "mix_again")
+    goal = goal.select(F.col("source").alias(source), F.col("copies").alias(copies), F.col("below").alias(below))
+    times = (F.col(copies) + (hash_of(docs["doc_id"], docs["text"]) < F.col(below)).cast("long")).cast("int")
+    return docs.join(_small(goal, rows), docs["source"].eqNullSafe(goal[source])).withColumn(
+        again, F.explode(F.array_repeat(F.lit(1), times))).select(*map(quoted, docs.columns))
 
 
 ORACLE = """

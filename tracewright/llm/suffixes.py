@@ -21,7 +21,8 @@ the key's columns (leading bytes with the gram, covered bytes, place) are compar
 
 Defined cases: a null text is empty; a text shorter than `length` bytes loses nothing; a null doc_id counts as the
 smallest; every row is a document of its own, whether its doc_id is null, repeated or neither (of repeated rows one is
-first, and the others are copies of it).
+first, and the others are copies of it); an empty table gives no rows; new columns take the place of input columns of
+their names, and no other column is touched, whatever it is called.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from ..session import cut_lineage
-from .common import blocks
+from .common import blocks, quoted
 
 LENGTH = 100
 GRAM = 24
@@ -341,11 +342,13 @@ def cut(docs: DataFrame, keep: list[str] | None = None, length: int = LENGTH) ->
               StructField("kept_sha256", StringType()), StructField("kept_text", StringType())]
     names = {f.name for f in fields}
     keep = [c for c in dict.fromkeys(keep) if c not in names]
-    read = docs.select(*dict.fromkeys([*keep, "doc_id", "text"]))
+    # Kept columns travel under names that no step uses.
+    aliases = {c: "text" if c == "text" else f"kept{i}" for i, c in enumerate(keep)}
+    read = docs.select("doc_id", "text", *(quoted(c).alias(a) for c, a in aliases.items() if c != "text"))
     rows = numbered(read)
     spans = repeated(rows, length).groupBy(F.col("id").alias("_id")).agg(
         F.collect_list(F.shiftleft(F.col("s").cast("long"), 32) + F.col("n")).alias("_spans"))
-    schema = StructType([*(read.schema[c] for c in keep), *fields])
+    schema = StructType([*(read.schema[a] for a in aliases.values()), *fields])
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
@@ -371,7 +374,8 @@ def cut(docs: DataFrame, keep: list[str] | None = None, length: int = LENGTH) ->
                                            left.decode("utf-8", "ignore"))):
                 column.append(value)
         made = [*(pa.array(c, pa.int64()) for c in out[:3]), *(pa.array(c, pa.string()) for c in out[3:])]
-        kept = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in keep]
+        kept = [pa.array(texts, pa.string()) if a == "text" else batch.column(a) for a in aliases.values()]
         return pa.RecordBatch.from_arrays([*kept, *made], names=schema.names)
-    columns = [c for c in keep if c != "text"]
-    return rows.join(spans, "_id", "left").select(*columns, "_zip", "_spans").mapInArrow(run, schema)
+    columns = [a for a in aliases.values() if a != "text"]
+    found = rows.join(spans, "_id", "left").select(*columns, "_zip", "_spans").mapInArrow(run, schema)
+    return found.select(*(F.col(a).alias(c) for c, a in aliases.items()), *(f.name for f in fields))
