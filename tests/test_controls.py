@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewright.operators import difficulty as DI, precedence as P, verdict as V
 from tracewright.params import EvalParams
-from tracewright.plans.evaluate import evaluate
+from tracewright.plans.evaluate import Evaluation, evaluate
 
 
 def test_pass_at_k(spark):
@@ -152,6 +152,31 @@ def test_evaluate_finds_planted_signal(spark):
     assert row["verdict"] == ("GO" if row["control_significant"] and row["control_delta_auc"] >= 0.05 else "NO-GO (difficulty only)")
 
 
+def test_evaluation_is_written_and_read(spark, tmp_path):
+    """Text matrices give what arrays give; broken ones are counted; a run that ended early has no later parts."""
+    traces, samples = planted(spark, 3.0, n=60)
+    params = EvalParams(ci_resamples=50)
+    as_text = traces.withColumn("hidden_all_layers", F.to_json("hidden_all_layers"))
+    more = spark.createDataFrame([(q, 9, 0, t) for q, t in ((0, "[[1, 2"), (1, None), (2, "[]"), (3, "[[1, null]]"))], as_text.schema)
+    runs = [evaluate(t, samples, None, params) for t in (traces, as_text.unionByName(more))]
+    plain, text = (r.core.first() for r in runs)
+    assert text["n_labelled"] == plain["n_labelled"] + 4 and (plain["n_unusable"], text["n_unusable"]) == (0, 4)
+    assert text["auc"] == plain["auc"] and text["n_test"] == plain["n_test"]
+    path = str(tmp_path / "run")
+    runs[1].write(path)
+    back = Evaluation.read(spark, path)
+    for name in ("verdict", "core", "predictions", "bins", "control"):
+        a, b = getattr(runs[1], name), getattr(back, name)
+        assert a.schema.names == b.schema.names and sorted(map(repr, a.collect())) == sorted(map(repr, b.collect())), name
+    assert back.checks is None and not (tmp_path / "run/documents/predictions").exists()
+    assert spark.read.json(f"{path}/documents/core").first()["kind"] == "core"
+    evaluate(traces.limit(10), samples, None, params).write(str(tmp_path / "short"))
+    short = Evaluation.read(spark, str(tmp_path / "short"))
+    assert short.predictions is None and "too few" in short.core.first()["error"]
+    with pytest.raises(FileNotFoundError, match="no evaluation"):
+        Evaluation.read(spark, str(tmp_path / "nowhere"))
+
+
 def test_evaluate_stops_early(spark):
     traces, samples = planted(spark, 0.0, n=12)
     run = evaluate(traces.limit(10), samples, None, EvalParams(ci_resamples=20))

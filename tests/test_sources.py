@@ -76,6 +76,15 @@ def test_tables_and_documents(spark, tmp_path):
     assert tables.model_path("traces_{model}.parquet", "w") == "traces_w.parquet"
 
 
+def test_mixed_layout_is_named(spark, tmp_path):
+    """Folders with files directly inside are models; the others of a mixed level are named in a warning."""
+    for folder in ("m1", "m2", "split/m3"):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "x.json").write_text("{}")
+    with pytest.warns(UserWarning, match="not \\['split'\\]"):
+        assert [m.rsplit("/", 1)[1] for m in blobs.find_model_dirs(spark, str(tmp_path))] == ["m1", "m2"]
+
+
 def answers(spark, path, rows):
     body = lambda t: json.dumps({"choices": [{"message": {"content": t}, "finish_reason": "stop"}]})
     df = spark.createDataFrame([(q, s, "m", st, body(t)) for q, s, st, t in rows],

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.arrow import matrix, one_row
 from ..functions.vectors import cosine, distance, dot, norm, subtract, unit
+from ..params import DEFAULTS, EvalParams
 from ..schemas import TRAJECTORY
 from ..session import cut_lineage
 from .pairwise import pairwise_metrics
@@ -129,11 +130,11 @@ def long_range_similarity(states: DataFrame, lag_fraction: float = 0.25, rows: i
         *TRAJECTORY, F.when(~F.col("z"), F.try_divide("s", "p")).alias("longrange_selfsim"))
 
 
-def trajectory_metrics(states: DataFrame, theiler: int = 5, rows: int = BLOCK_ROWS) -> DataFrame:
+def trajectory_metrics(states: DataFrame, rows: int = BLOCK_ROWS, params: EvalParams = DEFAULTS) -> DataFrame:
     """All eight metrics, one row per trajectory. The input is read by three passes: persist it if costly."""
-    return (linear_metrics(states, rows=rows)
-            .join(long_range_similarity(states, rows=min(rows, GROUP_ROWS)), TRAJECTORY, "left")
-            .join(pairwise_metrics(states, theiler), TRAJECTORY, "left")
+    return (linear_metrics(states, params.settle_cosine, rows)
+            .join(long_range_similarity(states, params.long_range_lag, min(rows, GROUP_ROWS)), TRAJECTORY, "left")
+            .join(pairwise_metrics(states, params.theiler_window), TRAJECTORY, "left")
             .select(*TRAJECTORY, "n_steps", *METRICS))
 
 

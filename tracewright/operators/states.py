@@ -74,7 +74,7 @@ def decode_vectors(df: DataFrame, column: str, out: str = "hidden_all_layers") -
     parsed = F.from_json(F.col(column), "array<array<float>>")
     ok = parsed.isNotNull() & (F.size(parsed) > 0) & F.forall(
         parsed, lambda v: v.isNotNull() & F.forall(v, lambda x: x.isNotNull()))
-    return df.withColumn(out, F.when(ok, parsed)).withColumn("parse_ok", F.coalesce(ok, F.lit(False)))
+    return df.withColumns({out: F.when(ok, parsed), "parse_ok": F.coalesce(ok, F.lit(False))})  # `out` may be `column`
 
 
 def available_positions(requested: Column, seq_len: Column) -> Column:

@@ -136,10 +136,14 @@ def aligned_targets(spark, sf_dir):
     return _encoder_targets(spark, sf_dir)
 
 
+def _sweep(states, labels):
+    return probes.cv_sweep(states, labels, KEYS, folds=DEFAULTS.cv_folds, seed=DEFAULTS.cv_seed, c=DEFAULTS.cv_c)
+
+
 @query("cv_layer_sweep")
 def cv_layer_sweep(spark, sf_dir):
     states = S.explode_single(B.w_single(spark, sf_dir)).select(*KEYS, "layer", "vec")
-    return rounded(probes.cv_sweep(states, _encoder_targets(spark, sf_dir), KEYS))
+    return rounded(_sweep(states, _encoder_targets(spark, sf_dir)))
 
 
 def layer_features(spark, sf_dir, early: bool):
@@ -193,14 +197,14 @@ def _word_counts(spark, sf_dir):
 
 @query("bow_vocab", f"WITH {BOW_SQL} SELECT token, df, row_number() OVER (ORDER BY token COLLATE \"C\") - 1 AS idx FROM vocab")
 def bow_vocab(spark, sf_dir):
-    return bow.vocabulary(_word_counts(spark, sf_dir))
+    return bow.vocabulary(_word_counts(spark, sf_dir), DEFAULTS.min_document_frequency)
 
 
 @query("bow_tfnorm", f"""WITH {BOW_SQL}, raw AS (SELECT qid, token, ln(1 + n) AS raw FROM counts JOIN vocab USING (token))
 SELECT qid, token, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY qid)), 6) AS weight FROM raw""")
 def bow_tfnorm(spark, sf_dir):
     counts = _word_counts(spark, sf_dir)
-    return rounded(bow.log_counts(counts, bow.document_frequency(counts)))
+    return rounded(bow.log_counts(counts, bow.document_frequency(counts, DEFAULTS.min_document_frequency)))
 
 
 @query("bow_vs_layer0")
@@ -252,7 +256,7 @@ sweep AS (SELECT layer, avg(auc) AS auc, count(auc) AS n_folds FROM fold_aucs GR
 
 def _norm_sweep(spark, sf_dir):
     rows = _scalar(single_norms(spark, sf_dir).drop("label"))
-    return probes.cv_sweep(rows, _single_labels(spark, sf_dir), KEYS)
+    return _sweep(rows, _single_labels(spark, sf_dir))
 
 
 @query("cv_norm_sweep", with_(*SINGLE_BASE, FOLDS, CV_NORM, auc_sql("layer, fold"), CV_NORM_AUCS, body="""
@@ -330,7 +334,7 @@ train AS (SELECT layer, fold, x1, x2, y FROM scaled WHERE NOT held_out)"""
                                 auc_sql("layer, fold"), CV_NORM_AUCS, body="SELECT layer, round(auc, 6) AS auc, n_folds FROM sweep"))
 def cv_two_features(spark, sf_dir):
     """k-fold sweep on two features: scaled by the training folds, rotated to components, fitted, scored."""
-    return rounded(probes.cv_sweep(single_pairs(spark, sf_dir), _single_labels(spark, sf_dir), KEYS))
+    return rounded(_sweep(single_pairs(spark, sf_dir), _single_labels(spark, sf_dir)))
 
 
 @query("lpo_two_features", with_(W_DECODE, s_rate(25), DECODE_LABELS, STEPS, ELEMS, NORMS, """two AS (

@@ -10,6 +10,7 @@ from ..sources import blobs, responses as R, sinks, tables
 from ..session import fresh_path
 from . import bindings as B
 from .collection import API_SQL, _done
+from .evaluate import Evaluation, evaluate
 from .registry import query, rounded
 from .sql_parts import SINGLE_LABELS, W_DECODE, W_SINGLE, s_rate, with_
 
@@ -21,8 +22,8 @@ BLOB_SQL = """blob AS (
 latest AS (SELECT model, max(run) AS run FROM blob GROUP BY model)"""
 
 
-def _blobs(spark, sf_dir):
-    """<root>/results/bench/pool/model=<m>/run=<day>/*.json: one document per model and day, scores of every kind."""
+def _documents(spark, sf_dir):
+    """Scores of every kind, one document per model and day."""
     value = F.col("value") / 100
     score = (F.when(F.col("event_id") % 4 == 0, value.cast("string"))
              .when(F.col("event_id") % 4 == 1, F.concat(F.lit('" '), F.round(value, 3).cast("string"), F.lit('"')))
@@ -33,10 +34,14 @@ def _blobs(spark, sf_dir):
         F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("p"), F.col("user_id").cast("string"))).otherwise("").alias("prompt"),
         F.concat(F.lit("q"), F.col("user_id").cast("string")).alias("origin_query"),
         (F.col("user_id") * 3).cast("string").alias("ground_truth"), F.parse_json(score).alias("score"))
-    root = fresh_path(spark, "blobs")
-    documents = B.table(spark, sf_dir, "events").groupBy(
+    return B.table(spark, sf_dir, "events").groupBy(
         F.col("event_type").alias("model"), F.date_format("ts", "yyyyMMdd").alias("run")).agg(F.collect_list(record).alias("records"))
-    documents.write.partitionBy("model", "run").json(f"{root}/results/bench/pool")
+
+
+def _blobs(spark, sf_dir):
+    """<root>/results/bench/pool/model=<m>/run=<day>/*.json: one document per model and day."""
+    root = fresh_path(spark, "blobs")
+    _documents(spark, sf_dir).write.partitionBy("model", "run").json(f"{root}/results/bench/pool")
     found = blobs.find_dataset_dir(spark, root, "pool")
     records = blobs.read_latest_records(spark, blobs.find_model_dirs(spark, found, layout="models"))
     return records.withColumn("model", F.regexp_replace("model", "^model=", ""))
@@ -56,6 +61,20 @@ def files_blob_leftovers(spark, sf_dir):
     return C.unusable_records(_blobs(spark, sf_dir))
 
 
+@query("files_split_records", f"""WITH {BLOB_SQL}
+SELECT model, qid, query, ground_truth, CAST(score > 0.5 AS INTEGER) AS correct
+FROM blob WHERE qid IS NOT NULL AND score IS NOT NULL AND run = (SELECT min(run) FROM blob)""")
+def files_split_records(spark, sf_dir):
+    """<root>/pool/<split>/<model>/*.json, one split per day, the first one read: files lie directly in a model's folder."""
+    root = fresh_path(spark, "blobs")
+    _documents(spark, sf_dir).write.partitionBy("run", "model").json(f"{root}/pool")
+    found = blobs.find_dataset_dir(spark, root, "pool")
+    split = tables.folders(spark, found)[0]
+    models = blobs.find_model_dirs(spark, found, split)
+    records = blobs.read_latest_records(spark, models)
+    return C.pool_records(records.withColumn("model", F.regexp_replace("model", "^model=", "")))
+
+
 @query("files_questions", """
 SELECT 'item_' || item_id AS qid, text AS query, CAST((item_id * 7) % 1000 AS VARCHAR) AS ground_truth FROM benchmark""")
 def files_questions(spark, sf_dir):
@@ -138,6 +157,35 @@ def missing_strong_half(spark, sf_dir):
     return L.missing_strong_questions(B.w_single(spark, sf_dir).drop("hidden_all_layers"), stats)
 
 
+@query("files_evaluation", with_(W_SINGLE, s_rate(), SINGLE_LABELS, """stored AS (
+  SELECT l.qid, l.sample_idx, l.label, e.label IN (2, 5) AS unusable
+  FROM labelled l JOIN embeddings e ON e.vec_id = 5 * l.qid + l.sample_idx),
+groups AS (SELECT DISTINCT qid FROM stored WHERE NOT unusable),
+numbered AS (
+  SELECT qid, row_number() OVER (ORDER BY ('0x' || substr(md5(concat_ws(':', qid, '42')), 1, 8))::BIGINT, qid) - 1 AS rn,
+         count(*) OVER () AS total FROM groups),
+tested AS (SELECT s.* FROM stored s JOIN numbered n USING (qid) WHERE NOT unusable AND rn < ceil(0.2 * total))""", body="""
+SELECT count(*) AS n_labelled, count(*) FILTER (WHERE unusable) AS n_unusable, (SELECT count(*) FROM tested) AS n_test,
+       (SELECT CAST(sum(label) AS BIGINT) FROM tested) AS n_shared_test, 'ok' AS gate, (SELECT count(*) FROM tested) AS n_predictions,
+       1::BIGINT AS n_verdicts, 'core verdict' AS documents FROM stored"""))
+def files_evaluation(spark, sf_dir):
+    """A whole run on matrices stored as text, some of them broken, written as tables and documents and read back."""
+    broken = B.table(spark, sf_dir, "embeddings").where("label in (2, 5)").select(
+        F.expr("vec_id div 5").alias("qid"), (F.col("vec_id") % 5).cast("int").alias("sample_idx"), F.lit(True).alias("broken"))
+    text = F.to_json(F.col("hidden_all_layers"))
+    cut = F.when(F.col("sample_idx") % 2 == 0, F.substring(text, F.lit(1), F.length(text) - 3))  # cut off, or missing
+    traces = B.w_single(spark, sf_dir).join(broken, ["qid", "sample_idx"], "left").withColumn(
+        "hidden_all_layers", F.when(F.col("broken"), cut).otherwise(text)).drop("broken")
+    path = fresh_path(spark, "evaluation")
+    evaluate(traces, B.s_samples(spark, sf_dir), interval=False).write(path)
+    run = Evaluation.read(spark, path)
+    named = spark.read.json([f"{path}/documents/core", f"{path}/documents/verdict"])
+    more = run.predictions.agg(F.count(F.lit(1)).alias("n_predictions")).crossJoin(
+        run.verdict.agg(F.count(F.lit(1)).alias("n_verdicts"))).crossJoin(
+        named.agg(F.array_join(F.sort_array(F.collect_set("kind")), " ").alias("documents")))
+    return run.core.select("n_labelled", "n_unusable", "n_test", "n_shared_test", "gate").crossJoin(more)
+
+
 @query("unusable_feature_rows", """
 SELECT count(*) AS n, count(*) FILTER (WHERE label IN (2, 5)) AS n_unusable FROM embeddings""")
 def unusable_feature_rows(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles, norm
 from ..operators import dynamics as D, features as FE, labels as L, pca, states as S, trajectory as T
+from ..params import DEFAULTS
 from . import bindings as B
 from .registry import query, rounded
 from .sql_parts import DECODE_LABELS, ELEMS, NORMS, SINGLE_LABELS, STEPS, W_DECODE, W_LAYERS, W_SINGLE, s_rate, with_
@@ -129,6 +130,19 @@ def last_position(spark, sf_dir):
     return rounded(last.select("qid", "layer", "step_index", F.col("vec")[0].alias("head")))
 
 
+@query("position_modes", with_(W_DECODE, STEPS, """picked AS (
+  SELECT 'first' AS mode, * FROM steps WHERE step_index = 0 UNION ALL SELECT 'last', * FROM steps WHERE pos = n_steps - 1
+  UNION ALL SELECT 'list', * FROM steps WHERE step_index IN (3, 12, 57, 100) UNION ALL SELECT 'all', * FROM steps)""", body="""
+SELECT mode, qid, CAST(l AS INTEGER) AS layer, step_index, round(embedding[8 * l + 1]::DOUBLE, 6) AS head FROM picked, range(8) r(l)"""))
+def position_modes(spark, sf_dir):
+    """First, last, listed (one of them in no trace) and all stored positions."""
+    states, found = B.decode_states(spark, sf_dir), None
+    for mode in ("first", "last", "list", "all"):
+        part = S.pick_position(states, mode, [57, 3, 100, 12]).withColumn("mode", F.lit(mode))
+        found = part if found is None else found.unionByName(part)
+    return rounded(found.select("mode", "qid", "layer", "step_index", F.col("vec")[0].alias("head")))
+
+
 @query("parsed_vectors", """
 SELECT qid, count(*) AS n, count(*) FILTER (WHERE ok) AS n_ok, round(sum(CASE WHEN ok THEN x END), 4) + 0.0 AS total
 FROM (SELECT vec_id // 5 AS qid, vec_id % 7 <> 0 AS ok, embedding[1]::DOUBLE AS x FROM embeddings) GROUP BY qid""")
@@ -177,7 +191,7 @@ SELECT qid, layer, n_steps, round(mean_step_norm, 6) AS mean_step_norm, round(to
        round(mean_consec_cos, 6) + 0.0 AS mean_consec_cos, round(settle_frac, 6) AS settle_frac, round(spread, 6) AS spread
 FROM metrics"""))
 def dyn_linear(spark, sf_dir):
-    return rounded(D.linear_metrics(B.decode_states(spark, sf_dir)).drop("sample_idx"))
+    return rounded(D.linear_metrics(B.decode_states(spark, sf_dir), DEFAULTS.settle_cosine).drop("sample_idx"))
 
 
 DYN_PAIRS = """dist AS (
@@ -198,7 +212,7 @@ pairwise AS (
 @query("dyn_pairwise", with_(W_DECODE, STEPS, ELEMS, DYN_PAIRS, body="""
 SELECT qid, layer, round(nearest_revisit, 6) AS nearest_revisit, round(intrinsic_dim, 6) AS intrinsic_dim FROM pairwise"""))
 def dyn_pairwise(spark, sf_dir):
-    return rounded(D.pairwise_metrics(B.decode_states(spark, sf_dir)).drop("sample_idx"))
+    return rounded(D.pairwise_metrics(B.decode_states(spark, sf_dir), DEFAULTS.theiler_window).drop("sample_idx"))
 
 
 SELFSIM = """sims AS (
@@ -213,7 +227,7 @@ selfsim AS (
 @query("dyn_selfsim", with_(W_DECODE, STEPS, ELEMS, NORMS, SELFSIM, body="""
 SELECT qid, layer, round(longrange_selfsim, 6) + 0.0 AS longrange_selfsim FROM selfsim"""))
 def dyn_selfsim(spark, sf_dir):
-    return rounded(D.long_range_similarity(B.decode_states(spark, sf_dir)).drop("sample_idx"))
+    return rounded(D.long_range_similarity(B.decode_states(spark, sf_dir), DEFAULTS.long_range_lag).drop("sample_idx"))
 
 
 ALL_METRICS = """all_metrics AS (
@@ -276,7 +290,7 @@ SELECT layer, metric, n1 AS n_shared_hard, n0 AS n_salvageable, CASE WHEN define
        CASE WHEN defined THEN round(m0, 6) + 0.0 END AS salvageable_median
 FROM tests"""))
 def mwu_by_metric(spark, sf_dir):
-    metrics = D.trajectory_metrics(_wrong_states(spark, sf_dir))
+    metrics = D.trajectory_metrics(_wrong_states(spark, sf_dir), params=DEFAULTS)
     tests = D.group_tests(D.metrics_long(metrics), _decode_labels(spark, sf_dir))
     return rounded(tests.drop("tie_term"))
 
@@ -287,7 +301,7 @@ SELECT layer, metric, n1 AS n_shared_hard, n0 AS n_salvageable, CASE WHEN define
        CASE WHEN defined THEN round(m0, 6) + 0.0 END AS salvageable_median, round(p_value, 6) AS p_value FROM p_values""")))
 def dynamics_tests(spark, sf_dir):
     """All eight metrics per layer with p-values."""
-    metrics = D.trajectory_metrics(_wrong_states(spark, sf_dir))
+    metrics = D.trajectory_metrics(_wrong_states(spark, sf_dir), params=DEFAULTS)
     tests = D.group_tests(D.metrics_long(metrics), _decode_labels(spark, sf_dir))
     return rounded(D.with_p_values(tests).drop("z"))
 
@@ -296,7 +310,7 @@ def dynamics_tests(spark, sf_dir):
 SELECT count(*) FILTER (WHERE p_value < 0.05) AS n_significant, count(*) AS n_tests, count(*) * 0.05::DOUBLE AS expected_by_chance
 FROM p_values""")))
 def dynamics_chance_summary(spark, sf_dir):
-    metrics = D.trajectory_metrics(_wrong_states(spark, sf_dir))
+    metrics = D.trajectory_metrics(_wrong_states(spark, sf_dir), params=DEFAULTS)
     tests = D.group_tests(D.metrics_long(metrics), _decode_labels(spark, sf_dir))
     return D.chance_summary(D.with_p_values(tests))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -36,7 +37,8 @@ def find_model_dirs(spark: SparkSession, dataset_dir: str, split: str | None = N
     """Model folders of a dataset, with or without a split level. Lists folders only, never data.
 
     Layout "auto": folders with JSON files directly inside are models, else the level is one of splits. "models": every
-    folder is a model, whose files may lie in folders of their own (one per run).
+    folder is a model, whose files may lie in folders of their own (one per run). In a mixed level the folders with files
+    are models and the others are named in a warning.
     """
     if layout not in ("auto", "models"):
         raise ValueError(f"unknown layout {layout!r}")
@@ -49,6 +51,9 @@ def find_model_dirs(spark: SparkSession, dataset_dir: str, split: str | None = N
 
     models = [name for name in folders if holds_json(name)]
     if models:
+        if others := [name for name in folders if name not in models]:
+            warnings.warn(f"folders with and without JSON files below {dataset_dir}: only those with some are models, "
+                          f"not {others}", stacklevel=2)
         return [f"{dataset_dir}/{m}" for m in models]
     if not folders:
         return []

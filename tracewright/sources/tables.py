@@ -47,3 +47,10 @@ def read_key_list(spark: SparkSession, path: str) -> DataFrame:
 def done_keys(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Only the key columns of what an earlier run wrote."""
     return spark.read.parquet(path).select(*keys).distinct()
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly below a path; none if there is no such path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
