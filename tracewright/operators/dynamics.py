@@ -9,7 +9,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.arrow import matrix, one_row
-from ..functions.vectors import cosine, distance, dot, norm, subtract, unit
+from ..functions.vectors import distance, unit
 from ..params import DEFAULTS, EvalParams
 from ..schemas import TRAJECTORY
 from ..session import cut_lineage
@@ -22,51 +22,103 @@ METRICS = ["mean_step_norm", "tortuosity", "mean_consec_cos", "longrange_selfsim
            "nearest_revisit", "intrinsic_dim"]
 
 
+def _lengths(x: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", x, x))
+
+
+def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a / b, NaN where b is zero."""
+    return np.divide(a, b, out=np.full(len(a), np.nan), where=b != 0)
+
+
+def _walked(x: np.ndarray, home: int, last: np.ndarray, centroid: np.ndarray, settle_cosine: float) -> tuple:
+    """Over the first `home` of consecutive samples (those after them are the next block's first two): number and sum of the
+    steps' lengths, number and sum of the turns' cosines, the last place without the direction of `last`, and the sum of the
+    distances from the centroid."""
+    step = np.diff(x[:home + 2], axis=0)
+    length = _lengths(step)
+    turn = _ratio(np.einsum("ij,ij->i", step[:-1], step[1:]), length[:-1] * length[1:])[:home]
+    turn, length = turn[~np.isnan(turn)], length[:home]
+    own = x[:home]
+    towards = _ratio(own @ last, _lengths(own) * np.sqrt(last @ last))
+    unsettled = np.flatnonzero(~(towards > settle_cosine))
+    return (len(length), float(length.sum()), len(turn), float(turn.sum()), int(unsettled[-1]) if len(unsettled) else None,
+            float(_lengths(own - centroid).sum()))
+
+
+WALK = ["steps", "path", "turns", "turn", "unsettled", "off"]
+WALK_TYPES = [pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64(), pa.float64()]
+WALK_SCHEMA = "steps long, path double, turns long, turn double, unsettled long, off double"
+
+
+def _by_position(group: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Table]:
+    group = group.sort_by("pos")
+    return group.column("pos").to_numpy(), matrix(group.column("vec")), group
+
+
 def linear_metrics(states: DataFrame, settle_cosine: float = 0.9, rows: int = BLOCK_ROWS) -> DataFrame:
     """The metrics that need neighbours, end points and the centroid of a trajectory.
 
-    Pass 1 reduces each trajectory to its ends and centroid. Pass 2 walks blocks of at most `rows` samples
-    (plus two from the next block), so a trajectory of any length is shared by many tasks. Trajectories of
-    fewer than three samples get NULLs.
+    A trajectory of up to `rows` samples is walked by one task. A longer one is reduced block by block to its ends and
+    centroid first, which then meet each block of `rows` samples (and two of the next), so many tasks share its walk.
+    Trajectories of fewer than three samples get NULLs.
     """
-    with_norm = states.select(*TRAJECTORY, "pos", "n_steps", "vec", norm(F.col("vec")).alias("norm"))
-    ends = with_norm.groupBy(*TRAJECTORY).agg(
-        F.max("n_steps").alias("n"), F.avg("norm").alias("mean_norm"),
-        F.min_by("vec", "pos").alias("first"), F.max_by("vec", "pos").alias("last"),
-        Summarizer.mean(array_to_vector(F.col("vec"))).alias("_c"))
-    ends = ends.select(*TRAJECTORY, "n", "mean_norm", "last", vector_to_array("_c").alias("centroid"),
-                       distance(F.col("first"), F.col("last")).alias("net"))
-    anchored = with_halo(with_norm.drop("norm"), 2, rows).join(
-        spread_over_blocks(ends, "n", rows), [*TRAJECTORY, "block"])
-    slim = anchored.select(
-        *TRAJECTORY, "block", "home", "pos", "vec", "n", "mean_norm", "net",
-        cosine(F.col("vec"), F.col("last")).alias("cos_last"),
-        distance(F.col("vec"), F.col("centroid")).alias("off_centre"))
-    ahead = Window.partitionBy(*TRAJECTORY, "block").orderBy("pos")
-    walked = slim.select(
-        "*", F.lead("vec", 1).over(ahead).alias("next"), F.lead("vec", 2).over(ahead).alias("after"),
-    ).where("home").select(
-        *TRAJECTORY, "pos", "n", "mean_norm", "net", "cos_last", "off_centre",
-        subtract(F.col("next"), F.col("vec")).alias("step"),
-        subtract(F.col("after"), F.col("next")).alias("step2"))
-    walked = walked.select(
-        *TRAJECTORY, "pos", "n", "mean_norm", "net", "cos_last", "off_centre",
-        norm(F.col("step")).alias("step_norm"),
-        F.try_divide(dot(F.col("step"), F.col("step2")), norm(F.col("step")) * norm(F.col("step2"))).alias("turn"))
-    unsettled = ~F.coalesce(F.col("cos_last") > settle_cosine, F.lit(False))
-    folded = walked.groupBy(*TRAJECTORY).agg(
-        F.max("n").alias("n"), F.max("mean_norm").alias("mean_norm"), F.max("net").alias("net"),
-        F.avg("step_norm").alias("step_mean"), F.sum("step_norm").alias("path"), F.avg("turn").alias("turn"),
-        F.max(F.when(unsettled, F.col("pos"))).alias("last_unsettled"), F.avg("off_centre").alias("off"))
+    ids = ", ".join(f"{c} {states.schema[c].dataType.simpleString()}" for c in TRAJECTORY)
+    needed = states.select(*TRAJECTORY, "pos", "n_steps", "vec")
+    head = ["n", "norms", "net"]
+    head_types = [pa.int64(), pa.float64(), pa.float64()]
+    schema = f"{ids}, n long, norms double, net double, {WALK_SCHEMA}"
+
+    def whole(key: tuple, group: pa.Table) -> pa.Table:
+        _, x, group = _by_position(group)
+        net = float(np.sqrt(((x[-1] - x[0]) ** 2).sum()))
+        parts = [group.column("n_steps")[0].as_py(), float(_lengths(x).sum()), net]
+        return one_row(key, [*TRAJECTORY, *head, *WALK], [*head_types, *WALK_TYPES],
+                       [*parts, *_walked(x, len(x), x[-1], x.mean(axis=0), settle_cosine)])
+
+    def reduced(key: tuple, group: pa.Table) -> pa.Table:
+        _, x, group = _by_position(group)
+        vector = pa.list_(pa.float64())
+        return one_row(key, [*TRAJECTORY, "block", "n", "norms", "first", "last", "total"],
+                       [pa.int64(), pa.float64(), vector, vector, vector],
+                       [group.column("n_steps")[0].as_py(), float(_lengths(x).sum()), x[0].tolist(), x[-1].tolist(), x.sum(axis=0).tolist()])
+
+    def part(key: tuple, group: pa.Table, ends: pa.Table) -> pa.Table:
+        pos, x, group = _by_position(group)
+        home = int(group.column("home").to_numpy(zero_copy_only=False).sum())
+        last, centroid = (matrix(ends.column(c))[0] for c in ("last", "centroid"))
+        found = list(_walked(x, home, last, centroid, settle_cosine))
+        found[4] = None if found[4] is None else int(pos[found[4]])
+        return one_row(key[:-1], [*TRAJECTORY, *head, *WALK], [*head_types, *WALK_TYPES],
+                       [ends.column("n")[0].as_py(), ends.column("norms")[0].as_py(), ends.column("net")[0].as_py(), *found])
+
+    short = spread(needed.where(F.col("n_steps") <= rows), TRAJECTORY).groupBy(*TRAJECTORY).applyInArrow(whole, schema)
+    # planned in any case, as looking for long trajectories would read the input once more
+    long = needed.where(F.col("n_steps") > rows)
+    keys = [*TRAJECTORY, "block"]
+    blocks = spread(long.withColumn("block", block_of(rows=rows)), keys).groupBy(*keys).applyInArrow(
+        reduced, f"{ids}, block int, n long, norms double, first array<double>, last array<double>, total array<double>")
+    ends = blocks.groupBy(*TRAJECTORY).agg(
+        F.max("n").alias("n"), F.sum("norms").alias("norms"), F.min_by("first", "block").alias("first"),
+        F.max_by("last", "block").alias("last"), Summarizer.sum(array_to_vector(F.col("total"))).alias("total"))
+    ends = ends.select(*TRAJECTORY, "n", "norms", "last", distance(F.col("first"), F.col("last")).alias("net"),
+                       F.transform(vector_to_array("total"), lambda v: v / F.col("n")).alias("centroid"))
+    walked = spread(with_halo(long, 2, rows), keys).groupBy(*keys).cogroup(
+        spread(spread_over_blocks(ends, "n", rows), keys).groupBy(*keys)).applyInArrow(part, schema)
+    folded = short.unionByName(walked).groupBy(*TRAJECTORY).agg(
+        F.max("n").cast("int").alias("n"), F.max("norms").alias("norms"), F.max("net").alias("net"),
+        F.sum("steps").alias("steps"), F.sum("path").alias("path"), F.sum("turns").alias("turns"), F.sum("turn").alias("turn"),
+        F.max("unsettled").alias("unsettled"), F.sum("off").alias("off"))
     long_enough = F.col("n") >= 3
-    settle = F.least(F.col("n") - 1, F.coalesce(F.col("last_unsettled") + 1, F.lit(0)))
+    settle = F.least(F.col("n") - 1, F.coalesce(F.col("unsettled") + 1, F.lit(0)))
+    mean_norm = F.col("norms") / F.col("n")
     return folded.select(
         *TRAJECTORY, F.col("n").alias("n_steps"),
-        F.when(long_enough, F.try_divide("step_mean", "mean_norm")).alias("mean_step_norm"),
+        F.when(long_enough, F.try_divide(F.try_divide("path", "steps"), mean_norm)).alias("mean_step_norm"),
         F.when(long_enough, F.try_divide("path", "net")).alias("tortuosity"),
-        F.when(long_enough, F.col("turn")).alias("mean_consec_cos"),
+        F.when(long_enough, F.try_divide("turn", "turns")).alias("mean_consec_cos"),
         F.when(long_enough, F.try_divide(settle.cast("double"), (F.col("n") - 1).cast("double"))).alias("settle_frac"),
-        F.when(long_enough, F.try_divide("off", "mean_norm")).alias("spread"))
+        F.when(long_enough, F.try_divide(F.col("off") / F.col("n"), mean_norm)).alias("spread"))
 
 
 def _lagged_sums(at: np.ndarray, is_target: np.ndarray, unit: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from ..functions.vectors import let
+from ..functions.arrow import matrix
 from .states import prefix
 
 
@@ -22,28 +23,25 @@ def early_trace_features(traces: DataFrame, fraction: float = 0.25, pca_slots: i
     """Mean, population std and max over the first layers of each row's matrix, as one vector.
 
     The last `pca_slots` entries are zero: the mean of centred component scores vanishes, the slots only
-    keep the feature width. Row-local, hence no shuffle.
+    keep the feature width. Row-local, hence no shuffle; only the first layers travel to the matrix kernel.
     """
     rows = traces.where(F.size("hidden_all_layers") > 0)
     keep = F.greatest(F.lit(1), F.floor(F.size("hidden_all_layers") * F.lit(float(fraction)))).cast("int")
-    first = F.slice(F.col("hidden_all_layers"), F.lit(1), keep).cast("array<array<double>>")
-
-    def per_element(early: Column, fn: Callable[[Column], Column]) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(early[0]) - 1), fn)
-
-    def total(early: Column, term: Callable[[Column], Column]) -> Column:
-        return F.aggregate(early, F.lit(0.0), lambda s, v: s + term(v))
-
-    def features(early: Column) -> Column:
-        n = F.size(early)
-        mean = per_element(early, lambda j: total(early, lambda v: v[j]) / n)
-        return let(mean, lambda m: F.concat(
-            m,
-            per_element(early, lambda j: F.sqrt(total(early, lambda v: (v[j] - m[j]) * (v[j] - m[j])) / n)),
-            per_element(early, lambda j: F.array_max(F.transform(early, lambda v: v[j]))),
-            F.array_repeat(F.lit(0.0), pca_slots)))
-
-    return rows.withColumn("features", let(first, features)).drop("hidden_all_layers")
+    first = rows.withColumn("features", F.slice(F.col("hidden_all_layers"), F.lit(1), keep).cast("array<array<double>>")).drop(
+        "hidden_all_layers")
+    place = first.columns.index("features")
+    schema = StructType([*first.schema[:place], StructField("features", ArrayType(DoubleType())), *first.schema[place + 1:]])
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for layers in batch.column(place):
+                x = matrix(layers.values)
+                out.append(np.concatenate([x.mean(axis=0), x.std(axis=0), x.max(axis=0), np.zeros(pca_slots)]))
+            ends = np.concatenate([[0], np.cumsum([len(v) for v in out])]).astype(np.int32)
+            made = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.zeros(0)))
+            yield pa.RecordBatch.from_arrays([made if i == place else c for i, c in enumerate(batch.columns)], names=schema.names)
+    return first.mapInArrow(run, schema)
 
 
 def mean_pool(states: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
