@@ -6,7 +6,9 @@ ratios of the quartiles. Two digests are compared by a bounded difference score,
 
 Defined cases: a null text is the empty text; texts under five bytes have empty buckets and differ by length only;
 equal texts have equal digests, and likeness 1. Rows of equal id follow each other by the hash of their text; null ids
-come last; with one row the next document is the row itself.
+come last; with one row the next document is the row itself; which of rows with equal id and text comes first makes no difference.
+Texts of any length are read whole, in pieces; an empty table gives no rows; only doc_id and text are read, whatever other
+columns there are.
 """
 
 from __future__ import annotations

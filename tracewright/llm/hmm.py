@@ -15,7 +15,8 @@ a text is the scaled forward recursion over its classes times the words' shares
 
 Defined cases: a null or blank text is one end token; rows with a null id are held out or not by crc32 of the empty
 text (not held out); equal texts get equal scores; texts of any length are scored whole; without training rows all
-words are unknown and the states keep their first guess.
+words are unknown and the states keep their first guess; an empty table gives no rows; words of equal count are ordered by
+themselves; only doc_id and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations

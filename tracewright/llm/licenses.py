@@ -9,7 +9,9 @@ A phrase is a short template that has to be covered in full on one diagonal, so
 Template hashes are a fixed small table (under 2,000 rows); only word pairs that occur in it leave a row.
 
 Defined cases: a null or blank text has no words and no labels; rows with equal id and text give equal rows; long
-texts are read whole; without any hit `first_word` and `last_word` are null, labels empty and the score 0.
+texts are read whole; without any hit `first_word` and `last_word` are null, labels empty and the score 0; of
+templates with equal votes each has its own spans and label, so ties need no choice; an empty table gives no rows; only
+doc_id and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ encoded once. It allows it if it has no character map, keeps all blanks, and has
 then no merge can reach over such a cut, and the ids are the same as those of the whole text (tests compare both).
 
 Defined cases: a null text is the empty text (no pieces, decoded to the empty text); texts of any length are encoded
-whole; repeated rows give equal rows. New columns take the place of input columns of the same name.
+whole; repeated rows give equal rows; an empty table gives no rows; of two
+rules of the character map the longer prefix counts, so ties cannot arise. New columns take the place of input columns of the same name.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ language that were not trained on (of all languages if its own has none; with no
 
 Defined cases: null and empty texts have no characters, a perplexity of null, and are not kept once there is a
 threshold; repeated rows give repeated rows; null is a language of its own; characters beyond the `SYMBOLS` most
-frequent ones share a symbol; texts of any length are read whole.
+frequent ones share a symbol; texts of any length are read whole; equal perplexities share a verdict; an empty table
+gives no rows, and one without labels keeps all; only doc_id, text and lang are read, whatever other columns there are.
 """
 
 from __future__ import annotations
