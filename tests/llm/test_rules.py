@@ -71,6 +71,18 @@ def test_forest(spark):
         assert len(np.unique(rules.forest(spark, few, 3).scores(rows))) == 1
 
 
+def test_pool(spark):
+    """The rows with the least hashes, by sorting all; rows that fail the base rules are not among them."""
+    rows = spark.range(5000).selectExpr(
+        "id as doc_id", "id % 60 as n_words", "id % 60 * 5 as word_chars", "id % 7 as n_symbols", "0L as n_dup_lines",
+        "0L as n_repeat_words", "id % 11 as n_upper", "id % 13 as n_marks")
+    keyed = rows.where("n_words >= 20").selectExpr(f"xxhash64({rules.SEED}, doc_id, {', '.join(rules.COUNTS)}) as key", *rules.COUNTS)
+    for size in (10, 200, 3000, 9000):
+        least = keyed.orderBy("key").limit(size).toPandas()
+        want = rules.features({c: least[c].to_numpy() for c in rules.COUNTS})
+        assert np.array_equal(rules.pool_of(rows, size), want) and len(want) == min(size, 3320)
+
+
 def test_path_lengths_of_leaves():
     rows = np.random.default_rng(3).normal(size=(256, rules.FEATURES))
     feature, cut, path = rules.grow(rows, np.random.default_rng(4))

@@ -176,9 +176,15 @@ class Forest:
 
 
 def pool_of(rows: DataFrame, size: int = POOL) -> np.ndarray:
-    """Features of the `size` rows with the least hashes that pass the base rules; only these reach the driver."""
-    key = F.xxhash64(F.lit(SEED), "doc_id", *COUNTS)
-    found = rows.where(~base_failed()).select(*COUNTS, key.alias("key")).orderBy("key", *COUNTS).limit(size).toArrow()
+    """Features of the `size` rows with the least hashes that pass the base rules; only these reach the driver.
+
+    Hashes above a bound that about `2 * size` rows stay below are left out first, so few rows of each task are ordered.
+    """
+    passed = rows.where(~base_failed()).select(*COUNTS, F.xxhash64(F.lit(SEED), "doc_id", *COUNTS).alias("key"))
+    n = passed.count()
+    if n > 4 * size:
+        passed = passed.where(F.col("key") < int(2 ** 64 * (2 * size / n)) - 2 ** 63)
+    found = passed.orderBy("key", *COUNTS).limit(size).toArrow()
     return features({c: found[c].to_numpy() for c in COUNTS})
 
 
