@@ -4,6 +4,7 @@ import pytest
 
 from tracewright import schemas
 from tracewright.operators import curation as C
+from tracewright.plans.registry import QUERIES
 from tracewright.sources import blobs, sinks, tables
 from tracewright.streaming import incremental as I
 
@@ -236,3 +237,15 @@ def test_scores_of_every_kind(spark, tmp_path):
 def test_last_file_of_repeated_keys(spark):
     rows = spark.createDataFrame([("a", 0, [1.0]), ("a", 1, [2.0]), ("a", 1, [2.0]), ("b", 0, [3.0])], "qid string, file_rank int, v array<double>")
     assert {r["qid"]: r["v"] for r in tables.last_per_key(rows, ["qid"]).collect()} == {"a": [2.0], "b": [3.0]}
+
+
+def test_streams_of_tables_in_part_files(spark, tmp_path):
+    """A table may be one file or a folder of files; both arrive whole."""
+    few = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").where("conv_id < 12")
+    few.repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    want = few.where("turn % 4 = 0 and role in ('assistant', 'user') and trim(text) <> ''").count()
+    got = QUERIES["stream_scored"](spark, str(tmp_path))
+    assert want > 0 and got.count() == want == got.select("qid", "sample_idx").distinct().count()
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    assert QUERIES["stream_pass_rate"](spark, str(tmp_path)).agg({"n": "sum"}).first()[0] == events.count()

@@ -14,7 +14,7 @@ LETTER = r"nullif(regexp_extract(raw_generation, '(^|[^\pL\pN_])([A-HJ])($|[^\pL
 
 
 def _stream(spark, sf_dir, name):
-    return I.response_stream(spark, sf_dir, B.table(spark, sf_dir, name).schema, f"{name}.parquet")
+    return I.table_stream(spark, f"{sf_dir}/{name}.parquet", B.table(spark, sf_dir, name).schema)
 
 
 @query("stream_scored", f"""WITH {API_SQL}

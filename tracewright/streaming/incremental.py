@@ -24,6 +24,14 @@ def response_stream(spark, path: str, schema: StructType, pattern: str = "*.parq
     return reader.parquet(path)
 
 
+def table_stream(spark, path: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
+    """The rows of a parquet table that is one file, or a folder of part files."""
+    p, fs = _path(spark, path)
+    if fs.getFileStatus(p).isDirectory():
+        return response_stream(spark, path, schema, files_per_trigger=files_per_trigger)
+    return response_stream(spark, p.getParent().toString(), schema, p.getName(), files_per_trigger)
+
+
 def first_arrivals(stream: DataFrame, time: str, delay: str = "1 hour", keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Drop repeats of a key that arrive within `delay`; state older than that is forgotten."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
