@@ -90,6 +90,42 @@ def test_pair_out_of_sparse_rows(spark):
     assert got[0] == got[1] == pytest.approx(brute_pair_out(x, y), abs=1e-9)
 
 
+@pytest.mark.parametrize("n,d,c,few", [(40, 3, 0.01, 20), (60, 5, 1.0, 9), (50, 4, 20.0, 25), (45, 2, 0.01, 2), (50, 30, 0.1, 20)])
+def test_screened_pairs(n, d, c, few):
+    """Every gap lies within its bound, and the signs are those of refits; copies across the classes tie."""
+    rng = np.random.default_rng(n + d)
+    x = rng.normal(size=(n, d)) * rng.uniform(0.1, 5, d) + rng.normal(size=d)
+    y = np.r_[np.ones(few), np.zeros(n - few)]
+    x[0], x[1, 0] = x[-1], 80.0  # a copy, and a row that makes most of a spread
+    pairs = np.array([(i, j) for i in np.flatnonzero(y == 1) for j in np.flatnonzero(y == 0)])
+    want = refit_gaps(x, y, pairs, c)
+    fits = pairout.Screened(x, y, c)
+    for i in np.flatnonzero(y == 1):
+        gap, error = fits.gaps(i, np.flatnonzero(y == 0))
+        assert (np.abs(gap - want[pairs[:, 0] == i]) <= error + 1e-8).all()
+    got = pairout._screened_gaps(pairout.DenseRows(x), y, pairs, c)
+    clear = np.abs(want) > 1e-9
+    assert clear.sum() == len(pairs) - 1 and (np.sign(got) == np.sign(want))[clear].all() and got[~clear] == 0
+    row, column = np.nonzero(x)
+    sparse = pairout.SparseRows(row, 7 * column, x[row, column], n)
+    np.testing.assert_allclose(pairout._free_gaps(sparse, y, pairs[::9], c), want[::9], atol=1e-7)
+
+
+def test_pair_out_of_large_cells(spark):
+    """More rows than a matrix of rows by rows is made for; with one number a row the pairs' order is known."""
+    n, few = pairout.MAX_ROWS + 200, 3
+    x = np.random.default_rng(1).permutation(n).astype(float)
+    x[:few] = [n - 1.5, n - 2.5, n / 2]
+    rows = spark.createDataFrame([(i, int(i < few), [float(v)]) for i, v in enumerate(x)], "id int, label int, vec array<double>")
+    got = pairout.pair_out_auc(rows.selectExpr("'c' as cell", "*"), ["cell"], ["id"]).first()
+    wins = 0.0
+    for i in range(few):
+        kept = np.delete(x[:few], i).sum()
+        way = np.sign(kept - (x.sum() - x[i] - x[few:]) * (few - 1) / (n - 2))
+        wins += (way * (x[i] - x[few:]) > 0).sum() + 0.5 * (x[i] == x[few:]).sum()
+    assert got["n_pos"] == few and got["auc"] == pytest.approx(wins / (few * (n - few)), abs=1e-12)
+
+
 def test_pair_out_refuses_huge_cells(spark, monkeypatch):
     df = spark.createDataFrame([("a", i, i % 2, [0.0] * 3) for i in range(6)], "cell string, id int, label int, vec array<double>")
     with pytest.raises(Exception, match="use the k-fold sweep"):

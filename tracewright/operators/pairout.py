@@ -9,6 +9,10 @@ fit to all rows, less the pair's two rows (a rank-two downdate), and the next po
 by the same matrix.
 Rows may be sparse (a struct of `idx` and `val`): nothing in the vocabulary's width is made of them but one number per
 token that the cell has, and pair.
+
+Where a cell has more rows than features, most pairs need no refit of their own. One fit is made without each row of the
+smaller class; the other row of a pair then moves it by one Newton step and a rest with a proven bound (see `Screened`).
+A pair whose gap is larger than the bound has a sure winner; only the others are refitted.
 """
 
 from __future__ import annotations
@@ -21,10 +25,11 @@ from ..functions.arrow import matrix, one_row
 from ..session import cut_lineage
 from .states import spread
 
-# Labelled rows of a cell: n^2 / 4 fits each, an estimator for small samples. Larger ones: cv_sweep.
-MAX_ROWS = 4096
+MAX_ROWS = 4096  # of a cell for which a matrix of rows by rows is held
 PAIRS_PER_TASK = 128
+PAIRS_AT_ONCE = 1 << 20  # of a task, numbered in memory
 BATCH_BYTES = 64 << 20
+SCREEN_BYTES = 128 << 20  # of a cell's rows as a matrix, for fits in the weights
 NARROW = 32  # features up to which a fit is solved in its weights
 TOLERANCE = 1e-10
 STEPS, DEPTH = 60, 8  # of the mixed iteration
@@ -330,12 +335,139 @@ def _primal_gaps(rows: DenseRows, y: np.ndarray, pairs: np.ndarray, c: float) ->
     return gaps
 
 
+def _free_gaps(rows, y: np.ndarray, pairs: np.ndarray, c: float) -> np.ndarray:
+    """As `_dual_gaps`, by products with the rows alone: for cells whose matrix of rows by rows is too large."""
+    def plain(_):
+        return lambda v: v
+    alpha, offset = _fits(Scaled(rows, np.zeros(0, int), np.zeros(0, int)), y, c, np.zeros((rows.n, 1)), np.zeros(1), plain)
+    gaps = np.empty(len(pairs))
+    step = max(1, int(BATCH_BYTES // (8 * (rows.entries + 4 * rows.d + 8 * rows.n))))
+    for i in range(0, len(pairs), step):
+        a, b = pairs[i:i + step].T
+        scaled = Scaled(rows, a, b)
+        found, _ = _fits(scaled, y, c, np.repeat(alpha, len(a), axis=1), np.repeat(offset, len(a)), plain)
+        gaps[i:i + step] = (scaled.gap * scaled.weights(found)).sum(axis=0)
+    return gaps
+
+
+class Screened:
+    """Gaps of pairs within proven bounds, from one fit for each row of a pair's one side.
+
+    In weights v of unscaled features a fit minimises F(v, b) = sum(s^2 v^2) / 2 + c * logloss, s being the spread of the
+    rows kept: leaving out a row changes the penalty and one term of the loss. Let t minimise F without row i, g and K be
+    the gradient at t without j too and the Hessian there without i. K' without both lies in (1 - low) K .. (1 + high) K.
+    The logistic curvature of a row changes by a factor of at most exp(+-r) where its score moves by r, so the mean Hessian
+    from t to the minimum lies in (1 - exp(-r)) / r .. (exp(r) - 1) / r of K'. With k = |g| |x| / (1 - low), lengths being
+    those of the inverse of K and x the longest row, this gives 1 - exp(-r) <= k: a bound of r, and with it of the way
+    from the step -g / K to the minimum.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, c: float):
+        self.y, self.c, self.n = y, c, len(x)
+        x = x - x.mean(axis=0)
+        self.spread = (x * x).mean(axis=0)
+        self.unit = np.sqrt(np.where(self.spread > 0, self.spread, 1.0))
+        self.x = np.concatenate([x / self.unit, np.ones((self.n, 1))], axis=1)
+        self.total, self.squares = self.x[:, :-1].sum(axis=0), (self.x[:, :-1] ** 2).sum(axis=0)
+        self.start = np.zeros(self.x.shape[1])
+        self.start = self._fit(np.ones(self.n), self._penalty(np.zeros((1, len(self.unit))), np.zeros((1, len(self.unit))), self.n)[0])
+
+    def _penalty(self, out: np.ndarray, out_squares: np.ndarray, left: int) -> np.ndarray:
+        mean = (self.total - out) / left
+        var = (self.squares - out_squares) / left - mean * mean
+        return np.where(var > 1e-12 * (self.spread > 0), var, self.unit ** -2.0)
+
+    def _value(self, w, keep, ridge):
+        eta = self.x @ w
+        return self.c * (keep * (np.logaddexp(0.0, eta) - self.y * eta)).sum() + 0.5 * (ridge * w * w).sum()
+
+    def _slopes(self, w, keep, ridge) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Gradient, Hessian and each row's share of successes."""
+        mu = 0.5 * (1.0 + np.tanh(0.5 * (self.x @ w)))
+        grad = self.c * (self.x.T @ (keep * (mu - self.y))) + ridge * w
+        return grad, self.c * (self.x.T @ (self.x * (keep * mu * (1.0 - mu))[:, None])) + np.diag(ridge), mu
+
+    def _fit(self, keep: np.ndarray, penalty: np.ndarray) -> np.ndarray:
+        w, ridge = self.start, np.r_[penalty, 0.0]
+        current = self._value(w, keep, ridge)
+        for _ in range(60):
+            grad, hess, _ = self._slopes(w, keep, ridge)
+            step = -np.linalg.solve(hess, grad)
+            for _ in range(30):
+                trial = self._value(w + step, keep, ridge)
+                if not trial > current + 1e-12 * abs(current):
+                    break
+                step = step * 0.5
+            w, current = w + step, trial
+            if np.abs(step).max() < 1e-8:
+                break
+        return w
+
+    def gaps(self, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score of row `i` less that of each of the others when both are left out, and bounds of the error."""
+        keep = np.ones(self.n)
+        keep[i] = 0.0
+        own = self.x[i, :-1]
+        penalty = self._penalty(own, own * own, self.n - 1)
+        w = self._fit(keep, penalty)
+        grad, hess, mu = self._slopes(w, keep, np.r_[penalty, 0.0])
+        lower = np.linalg.inv(np.linalg.cholesky(hess))
+        lengths = np.concatenate([((self.x[k:k + 65536] @ lower.T) ** 2).sum(axis=1) for k in range(0, self.n, 65536)])
+        longest = np.sqrt(lengths.max())
+        gap, error = np.empty(len(others)), np.empty(len(others))
+        step = max(1, int(BATCH_BYTES // (64 * self.x.shape[1])))
+        for k in range(0, len(others), step):
+            j = others[k:k + step]
+            theirs = self.x[j, :-1]
+            change = self._penalty(own + theirs, own * own + theirs * theirs, self.n - 2) - penalty
+            g = grad - self.c * (mu[j] - self.y[j])[:, None] * self.x[j]
+            g[:, :-1] += change * w[:-1]
+            share = change / penalty
+            low = self.c * mu[j] * (1.0 - mu[j]) * lengths[j] + np.maximum(-share, 0.0).max(axis=1)
+            high = np.maximum(share, 0.0).max(axis=1)
+            z, u = g @ lower.T, (own - theirs) @ lower[:, :-1].T
+            size, way = np.sqrt((z * z).sum(axis=1)), np.sqrt((u * u).sum(axis=1))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                bound = size * longest / (1.0 - low)
+                r = np.maximum(-np.log1p(-bound), 1e-12)
+                most = np.maximum(r / -np.expm1(-r) / (1.0 - low) - 1.0, 1.0 - r / np.expm1(r) / (1.0 + high))
+                sure = (low < 1.0) & (bound < 1.0)
+            gap[k:k + step] = (own - theirs) @ w[:-1] - (u * z).sum(axis=1)
+            # the last terms are for rounding; equal rows are a tie whatever the fit
+            error[k:k + step] = np.where(way == 0, 0.0, np.where(sure, way * size * (most + 1e-6) + 1e-10, np.inf))
+        return gap, error
+
+
+def _screened_gaps(rows: DenseRows | SparseRows, y: np.ndarray, pairs: np.ndarray, c: float) -> np.ndarray:
+    """Gaps whose signs are right: sure ones by their bounds, the others by refits."""
+    x = rows.x if isinstance(rows, DenseRows) else rows.pick(np.arange(rows.n)).T
+    fits, gaps, error = Screened(x, y, c), np.empty(len(pairs)), np.empty(len(pairs))
+    side = int(len(np.unique(pairs[:, 1])) < len(np.unique(pairs[:, 0])))  # fewer fits
+    order = np.argsort(pairs[:, side], kind="stable")
+    found, first = np.unique(pairs[order, side], return_index=True)
+    for i, at in zip(found.tolist(), np.split(order, first[1:])):
+        gap, error[at] = fits.gaps(i, pairs[at, 1 - side])
+        gaps[at] = -gap if side else gap
+    gaps[error == 0] = 0.0
+    open_ = ~(np.abs(gaps) > error) & (error > 0)
+    if open_.any():
+        gaps[open_] = _primal_gaps(DenseRows(x), y, pairs[open_], c)
+    return gaps
+
+
+def _method(rows: DenseRows | SparseRows):
+    if rows.d < rows.n and 8 * rows.n * (rows.d + 1) <= SCREEN_BYTES:
+        return _screened_gaps
+    if isinstance(rows, DenseRows) and rows.d <= NARROW:
+        return _primal_gaps
+    return _dual_gaps if rows.n <= MAX_ROWS else _free_gaps
+
+
 def pair_out_wins(rows: DenseRows | SparseRows, y: np.ndarray, pairs: np.ndarray, c: float) -> float:
     """Won pairs among `pairs` (row numbers of a positive and a negative); a tie is half a win."""
     if not len(pairs):
         return 0.0
-    narrow = isinstance(rows, DenseRows) and rows.d <= NARROW
-    gap = (_primal_gaps if narrow else _dual_gaps)(rows, y, pairs, c)
+    gap = _method(rows)(rows, y, pairs, c)
     tie = np.abs(gap) <= 1e-12
     return float(((gap > 0) & ~tie).sum() + 0.5 * tie.sum())
 
@@ -350,27 +482,26 @@ def _cell_rows(column: pa.ChunkedArray) -> DenseRows | SparseRows:
 
 
 def pair_out_auc(rows: DataFrame, cells: list[str], row_keys: list[str], label: str = "label", c: float = 0.01,
-                 pairs_per_task: int = PAIRS_PER_TASK, max_rows: int = MAX_ROWS) -> DataFrame:
+                 pairs_per_task: int = PAIRS_PER_TASK, max_rows: int | None = None) -> DataFrame:
     """AUC per cell over rows (cells, row_keys, label, vec); NULL unless each class has two rows.
 
     `vec` is an array, or for sparse rows a struct of `idx` (whole numbers) and `val` (arrays of equal length).
     The pairs of a cell are shared by at most twice as many tasks as there are cores for a cell, each with a copy of the
-    cell's rows and one stretch of its pairs. `max_rows` bounds the labelled rows of a cell; a larger cell is refused,
-    not shortened.
+    cell's rows and one stretch of its pairs. With `max_rows` a cell of more labelled rows is refused, not shortened.
     """
-    # small by the limit below, but usually pooled from a large table that should be read once
+    # usually pooled from a large table that should be read once
     rows = cut_lineage(rows.select(*cells, *row_keys, F.col(label).cast("int").alias("label"), "vec"))
     counts = rows.groupBy(*cells).agg(
         F.count_if(F.col("label") == 1).alias("n_pos"), F.count_if(F.col("label") == 0).alias("n_neg"))
     slots = max(1, -(-2 * rows.sparkSession.sparkContext.defaultParallelism // max(1, counts.count())))
     n_rows = F.col("n_pos") + F.col("n_neg")
     usable = (F.col("n_pos") >= 2) & (F.col("n_neg") >= 2)
-    # refused before any row is copied
-    too_large = F.raise_error(F.concat(
-        F.lit("a cell holds "), n_rows.cast("string"),
-        F.lit(f" rows, more than {max_rows}: use the k-fold sweep"))).cast("int")
-    tasks = F.when(n_rows > max_rows, too_large).otherwise(
-        F.least(F.lit(slots), F.expr(f"cast((n_pos * n_neg - 1) div {int(pairs_per_task)} as int) + 1")))
+    tasks = F.least(F.lit(slots).cast("long"), F.expr(f"(n_pos * n_neg - 1) div {int(pairs_per_task)} + 1")).cast("int")
+    if max_rows is not None:  # refused before any row is copied
+        too_large = F.raise_error(F.concat(
+            F.lit("a cell holds "), n_rows.cast("string"),
+            F.lit(f" rows, more than {max_rows}: use the k-fold sweep"))).cast("int")
+        tasks = F.when(n_rows > max_rows, too_large).otherwise(tasks)
     copies = rows.join(counts.where(usable).withColumn("_tasks", tasks), cells).withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.col("_tasks") - 1))).select(
         *cells, "_block", "_tasks", *row_keys, "label", "vec")
@@ -381,9 +512,13 @@ def pair_out_auc(rows: DataFrame, cells: list[str], row_keys: list[str], label:
         pos, neg = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
         share, n_pairs = group.column("_tasks")[0].as_py(), len(pos) * len(neg)
         first, last = (n_pairs * (key[-1].as_py() + i) // share for i in (0, 1))
-        number = np.arange(first, last)
-        pairs = np.stack([pos[number // len(neg)], neg[number % len(neg)]], axis=1)
-        return one_row(key[:-1], [*cells, "wins"], [pa.float64()], [pair_out_wins(x, y, pairs, c)])
+        few, many = (pos, neg) if len(pos) <= len(neg) else (neg, pos)  # a stretch has few rows of the smaller class
+        won = 0.0
+        for i in range(first, last, PAIRS_AT_ONCE):
+            number = np.arange(i, min(i + PAIRS_AT_ONCE, last))
+            sides = [few[number // len(many)], many[number % len(many)]]
+            won += pair_out_wins(x, y, np.stack(sides if few is pos else sides[::-1], axis=1), c)
+        return one_row(key[:-1], [*cells, "wins"], [pa.float64()], [won])
 
     types = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in cells)
     wins = spread(copies, [*cells, "_block"]).groupBy(*cells, "_block").applyInArrow(

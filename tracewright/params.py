@@ -25,7 +25,7 @@ class EvalParams:
     long_range_lag: float = 0.25
     settle_cosine: float = 0.9
     pair_out_c: float = 0.01
-    pair_out_rows: int = 4096  # labelled rows of a leave-pair-out cell
+    pair_out_rows: int = 4096  # labelled rows of a leave-pair-out cell, for callers that refuse larger ones
     min_document_frequency: int = 3
     cv_folds: int = 5
     cv_seed: int = 3407

@@ -286,8 +286,7 @@ def lpo_norm(spark, sf_dir):
     """Every pair of a shared-hard and a salvageable trace left out once, on the norm of the first step."""
     rows = _wrong_states(spark, sf_dir).where("pos = 0").select("qid", "layer", norm(F.col("vec")).alias("score"))
     labels = _decode_labels(spark, sf_dir).select("qid", "label")
-    return rounded(pairout.pair_out_auc(_scalar(rows.join(labels, "qid")), ["layer"], ["qid"], c=DEFAULTS.pair_out_c,
-                                        max_rows=DEFAULTS.pair_out_rows))
+    return rounded(pairout.pair_out_auc(_scalar(rows.join(labels, "qid")), ["layer"], ["qid"], c=DEFAULTS.pair_out_c))
 
 
 # -- two features: fits that SQL can do in full ------------------------------------------------------
