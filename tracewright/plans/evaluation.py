@@ -219,7 +219,7 @@ def bow_vs_layer0(spark, sf_dir):
         F.lit("layer_0").alias("features"), "qid", "label", "vec")
     fitted = None
     for rows in (words, layer0):
-        part = pairout.pair_out_auc(rows, ["features"], ["qid"], c=DEFAULTS.pair_out_c, max_rows=DEFAULTS.pair_out_rows)
+        part = pairout.pair_out_auc(rows, ["features"], ["qid"], c=DEFAULTS.pair_out_c)
         fitted = part if fitted is None else fitted.unionByName(part)
     lengths = counts.groupBy("qid").agg(F.sum("n").alias("length")).join(labels, "qid")
     return rounded(fitted.unionByName(auc(lengths, [], "length", "label").withColumn("features", F.lit("length"))))
