@@ -157,7 +157,7 @@ def layer_features(spark, sf_dir, early: bool):
 def lpo_layer_scan(spark, sf_dir):
     labels = _decode_labels(spark, sf_dir, "salvageable").select("qid", "label")
     both = layer_features(spark, sf_dir, False).unionByName(layer_features(spark, sf_dir, True))
-    return rounded(pairout.pair_out_auc(both.join(labels, "qid"), ["layer", "pool"], ["qid"], c=DEFAULTS.pair_out_c, max_rows=DEFAULTS.pair_out_rows))
+    return rounded(pairout.pair_out_auc(both.join(labels, "qid"), ["layer", "pool"], ["qid"], c=DEFAULTS.pair_out_c))
 
 
 def position_features(spark, sf_dir, n_positions: int = 20):
