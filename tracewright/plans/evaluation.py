@@ -169,7 +169,7 @@ def position_features(spark, sf_dir, n_positions: int = 20):
 def lpo_position_grid(spark, sf_dir):
     labels = _decode_labels(spark, sf_dir, "salvageable").select("qid", "label")
     rows = position_features(spark, sf_dir).join(labels, "qid")
-    return rounded(pairout.pair_out_auc(rows, ["layer", "grid_pos"], ["qid"], c=DEFAULTS.pair_out_c, max_rows=DEFAULTS.pair_out_rows))
+    return rounded(pairout.pair_out_auc(rows, ["layer", "grid_pos"], ["qid"], c=DEFAULTS.pair_out_c))
 
 
 @query("cohort_confirmation")
