@@ -358,4 +358,4 @@ def lpo_two_features(spark, sf_dir):
     rows = _wrong_states(spark, sf_dir).where("pos = 0").select(
         "qid", "layer", F.array(norm(F.col("vec")), 30 * F.col("vec")[2]).alias("vec"))
     labels = _decode_labels(spark, sf_dir).select("qid", "label")
-    return rounded(pairout.pair_out_auc(rows.join(labels, "qid"), ["layer"], ["qid"], c=DEFAULTS.pair_out_c, max_rows=DEFAULTS.pair_out_rows))
+    return rounded(pairout.pair_out_auc(rows.join(labels, "qid"), ["layer"], ["qid"], c=DEFAULTS.pair_out_c))
