@@ -179,7 +179,7 @@ def cohort_confirmation(spark, sf_dir):
     half = B.w_decode(spark, sf_dir).agg(((F.max("qid") + 1) / 2).alias("h")).scalar()
     rows = layer_features(spark, sf_dir, False).join(labels, "qid").withColumn(
         "cohort", F.when(F.col("qid") < half, "first").otherwise("second"))
-    scan = pairout.pair_out_auc(rows, ["cohort", "layer"], ["qid"], c=DEFAULTS.pair_out_c, max_rows=DEFAULTS.pair_out_rows)
+    scan = pairout.pair_out_auc(rows, ["cohort", "layer"], ["qid"], c=DEFAULTS.pair_out_c)
     return pairout.compare_cohorts(scan.where("cohort = 'first'"), scan.where("cohort = 'second'"), ["layer"])
 
 
