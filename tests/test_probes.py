@@ -1,7 +1,11 @@
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tracewright.functions.arrow import vectors
 from tracewright.operators import bow, pairout, pca, probes, splits
 from tests.test_ranking import brute_auc
 
@@ -161,6 +165,22 @@ def test_cv_sweep(spark, components, monkeypatch):
     assert tuple(best) == (2, 0.9)
 
 
+def test_projected_rows_are_packed():
+    """What every Newton step reads is one row for a batch's rows of a cell, not one for each row and fold."""
+    rng = np.random.default_rng(3)
+    x, fold, label = rng.normal(size=(90, 2)), np.arange(90, dtype=np.int32) % 3, (np.arange(90) % 2).astype(np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(90, np.int32)), pa.array(fold), pa.array(label), vectors(x)],
+                                       ["layer", "fold", "label", "vec"])
+    bases = {(0, f): rng.normal(size=(2, 3)) for f in range(3)}
+    made = list(probes._project(SimpleNamespace(value=bases))(iter([batch])))
+    assert sum(b.num_rows for b in made) == 6
+    for b in made:
+        (key, y, z), = probes._pieces(b)
+        at = (fold == key[1]) == b.column("held_out")[0].as_py()
+        assert (y == label[at]).all()
+        np.testing.assert_allclose(z, np.hstack([np.ones((90, 1)), x])[at] @ bases[key].T)
+
+
 def test_cv_sweep_classes(spark):
     states = spark.createDataFrame([(i, 0, [float(i)]) for i in range(6)], "id int, layer int, vec array<double>")
     one = spark.createDataFrame([(i, 1) for i in range(6)], "id int, label int")

@@ -93,8 +93,14 @@ def _bases(k_max: int):
     return solve
 
 
+Z_SCHEMA = "layer int, fold int, held_out boolean, label array<int>, z array<double>"
+
+
 def _project(broadcast):
-    """Rows once per fold, in the component space of that fold's training part."""
+    """Rows once per fold, in the component space of that fold's training part; one output row for a batch's rows of a cell.
+
+    A cell's rows leave as one flat array: Newton's steps read them often, and would spend their time on single rows.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bases = broadcast.value
         for batch in batches:
@@ -103,32 +109,36 @@ def _project(broadcast):
             x = matrix(batch.column("vec"))
             x = np.hstack([np.ones((len(x), 1)), x])
             layer, fold = batch.column("layer").to_numpy(), batch.column("fold").to_numpy()
+            label = batch.column("label").to_numpy()
             for key in bases:
-                at = np.flatnonzero(layer == key[0])
-                if not len(at):
-                    continue
-                z = x[at] @ bases[key].T
-                pick = pa.array(at)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("label").take(pick), pa.array(layer[at]), pa.array(np.full(len(at), key[1], np.int32)),
-                     pa.array(fold[at] == key[1]), vectors(z)], ["label", "layer", "fold", "held_out", "z"])
+                for held_out in (False, True):
+                    at = np.flatnonzero((layer == key[0]) & ((fold == key[1]) == held_out))
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([held_out]),
+                             pa.array([label[at]], pa.list_(pa.int32())), vectors((x[at] @ bases[key].T).reshape(1, -1))],
+                            ["layer", "fold", "held_out", "label", "z"])
     return run
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], np.ndarray, np.ndarray]]:
+    """(cell, labels, components) of every row that `_project` made."""
+    for i in range(batch.num_rows):
+        y = batch.column("label")[i].values.to_numpy()
+        z = batch.column("z")[i].values.to_numpy()
+        yield (batch.column("layer")[i].as_py(), batch.column("fold")[i].as_py()), y, z.reshape(len(y), -1)
+
+
 def _newton_parts(broadcast):
     """Per task and cell: loss, gradient and Hessian of the training rows, packed into one vector."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = broadcast.value
         sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            layer, fold = batch.column("layer").to_numpy(), batch.column("fold").to_numpy()
-            label = batch.column("label").to_numpy()
-            lists = batch.column("z")
-            for key in {(int(a), int(b)) for a, b in zip(layer, fold)} & set(weights):
-                at = np.flatnonzero((layer == key[0]) & (fold == key[1]))
-                a = matrix(lists.take(pa.array(at)))
+            for key, y, a in _pieces(batch):
+                if key not in weights:
+                    continue
                 a = np.hstack([a, np.ones((len(a), 1))])
-                y = label[at]
                 eta = a @ weights[key]
                 mu = 0.5 * (1.0 + np.tanh(0.5 * eta))
                 loss = float(np.logaddexp(0.0, eta).sum() - (y * eta).sum())
@@ -188,14 +198,10 @@ def _held_out_scores(broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = broadcast.value
         for batch in batches:
-            layer, fold = batch.column("layer").to_numpy(), batch.column("fold").to_numpy()
-            score = np.full(batch.num_rows, np.nan)
-            for key in {(int(a), int(b)) for a, b in zip(layer, fold)}:
-                at = np.flatnonzero((layer == key[0]) & (fold == key[1]))
-                score[at] = matrix(batch.column("z").take(pa.array(at))) @ weights[key][:-1] + weights[key][-1]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("layer"), batch.column("fold"), batch.column("label"), pa.array(score)],
-                ["layer", "fold", "label", "score"])
+            for key, y, a in _pieces(batch):
+                layer, fold = (pa.array(np.full(len(y), k, np.int32)) for k in key)
+                yield pa.RecordBatch.from_arrays(
+                    [layer, fold, pa.array(y), pa.array(a @ weights[key][:-1] + weights[key][-1])], ["layer", "fold", "label", "score"])
     return run
 
 
@@ -209,6 +215,7 @@ def cv_sweep(states: DataFrame, labels: DataFrame, keys: list[str], label: str =
     be unique in `labels`. Labels of one class give NULL.
     """
     spark = states.sparkSession
+    labels = cut_lineage(labels.select(*keys, label))  # counted, numbered and joined below
     classes = [r["count"] for r in labels.groupBy(label).count().limit(3).collect()]
     if len(classes) < 2:
         return states.select("layer").distinct().withColumn("auc", F.lit(None).cast("double")).withColumn(
@@ -216,11 +223,11 @@ def cv_sweep(states: DataFrame, labels: DataFrame, keys: list[str], label: str =
     if min(classes) < 2:
         raise ValueError("every class needs at least two rows")
     assigned = cut_lineage(stratified_folds(labels, keys, label, folds, seed).withColumnRenamed(label, "label"))
-    rows = states.join(assigned, keys).select(
-        "layer", "fold", F.col("label").cast("int").alias("label"), "vec")
+    rows = cut_lineage(states.join(assigned, keys).select(
+        "layer", "fold", F.col("label").cast("int").alias("label"), "vec"))
     # a task gets rows of few cells, so about one matrix leaves it; one cell is shared by several tasks if there are few
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cells = states.select("layer").distinct().count() * folds
+    cells = rows.select("layer").distinct().count() * folds
     salt = F.pmod(F.xxhash64("vec"), F.lit(-(-parts // max(cells, 1))))
     dealt = rows.repartition(parts, "layer", "fold", salt).sortWithinPartitions("layer", "fold")
     moments = dealt.mapInArrow(_moment_parts, "layer int, fold int, i int, g array<double>").groupBy(
@@ -258,8 +265,7 @@ def _sweep_chunk(spark, rows: DataFrame, solved: DataFrame, c: float) -> DataFra
         own = np.flatnonzero((at[:, 0] == layer) & (at[:, 1] == fold))
         bases[int(layer), int(fold)] = np.stack([fetched["p"][int(i)].values.to_numpy() for i in own])
     shared = spark.sparkContext.broadcast(bases)
-    z = rows.mapInArrow(_project(shared),
-                        "label int, layer int, fold int, held_out boolean, z array<double>").persist()
+    z = rows.mapInArrow(_project(shared), Z_SCHEMA).persist()
     try:
         weights = _fit_cells(z.where(~F.col("held_out")), {k: len(v) for k, v in bases.items()}, c)
         fitted = spark.sparkContext.broadcast(weights)
