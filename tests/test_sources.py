@@ -86,6 +86,23 @@ def test_mixed_layout_is_named(spark, tmp_path):
         assert [m.rsplit("/", 1)[1] for m in blobs.find_model_dirs(spark, str(tmp_path))] == ["m1", "m2"]
 
 
+def test_blobs_are_read_once(spark, tmp_path):
+    """Scores of every kind, and no seek in the file for each of them."""
+    kinds = {0.25: 0.25, "0.75": 0.75, True: 1.0, None: None, 12: 12.0, "x": None, 1e-7: 1e-7}
+    odd = [*kinds, {"a": 1}, [0.5]]
+    file = tmp_path / "pool" / "m" / "1.json"
+    write(file, [record(i, odd[i % len(odd)]) for i in range(4500)])
+
+    def bytes_read():
+        return sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+    before = bytes_read()
+    rows = blobs.read_latest_records(spark, [str(tmp_path / "pool" / "m")])
+    assert rows.schema["score"].dataType.simpleString() == "string"
+    got = {r["index"]: r["s"] for r in rows.select("index", C.as_score(rows["score"]).alias("s")).collect()}
+    assert bytes_read() - before < 4 * file.stat().st_size
+    assert got == {f"q{i}": kinds[odd[i % len(odd)]] if i % len(odd) < len(kinds) else None for i in range(4500)}
+
+
 def answers(spark, path, rows):
     body = lambda t: json.dumps({"choices": [{"message": {"content": t}, "finish_reason": "stop"}]})
     df = spark.createDataFrame([(q, s, "m", st, body(t)) for q, s, st, t in rows],

@@ -14,15 +14,22 @@ RAW_QUESTIONS = T.StructType([
     T.StructField("answer", T.StringType()),
 ])
 
-RESULT_BLOB = T.StructType([
-    T.StructField("records", T.ArrayType(T.StructType([
-        T.StructField("index", T.StringType()),
-        T.StructField("prompt", T.StringType()),
-        T.StructField("origin_query", T.StringType()),
-        T.StructField("ground_truth", T.StringType()),
-        T.StructField("score", T.StringType()),  # numbers, numbers as text, and truth values occur
-    ]))),
-])
+
+def _result_blob(score: T.DataType) -> T.StructType:
+    return T.StructType([
+        T.StructField("records", T.ArrayType(T.StructType([
+            T.StructField("index", T.StringType()),
+            T.StructField("prompt", T.StringType()),
+            T.StructField("origin_query", T.StringType()),
+            T.StructField("ground_truth", T.StringType()),
+            T.StructField("score", score),  # numbers, numbers as text, and truth values occur
+        ]))),
+    ])
+
+
+RESULT_BLOB = _result_blob(T.StringType())
+# As files are read: each number or truth value that is read as text costs a seek in the file, a variant costs none.
+RESULT_FILE = _result_blob(T.VariantType())
 
 POOL_LABELS = T.StructType([
     T.StructField("qid", T.StringType()),

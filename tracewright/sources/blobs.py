@@ -7,7 +7,7 @@ import warnings
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..schemas import RESULT_BLOB
+from ..schemas import RESULT_BLOB, RESULT_FILE
 
 
 def _hadoop_path(spark: SparkSession, path: str):
@@ -85,8 +85,8 @@ def read_latest_records(spark: SparkSession, model_dirs: list[str]) -> DataFrame
         "pathGlobFilter", "*.json").load(model_dirs).select("path")
     # one path per model folder; the folders were listed by the driver already
     chosen = [r["path"] for r in latest_per_model(listed.withColumn("model", model)).collect()]
-    blobs = spark.read.schema(RESULT_BLOB).option("multiLine", "true").json(chosen)
+    blobs = spark.read.schema(RESULT_FILE).option("multiLine", "true").json(chosen)
     # the scan reports its files as URIs; a plus sign is no blank in a path
     plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return blobs.select(plain.alias("path"), F.explode("records").alias("r")).select(
-        model.alias("model"), "r.*")
+        model.alias("model"), *[F.col(f"r.{f.name}").cast(f.dataType).alias(f.name) for f in RESULT_BLOB["records"].dataType.elementType])
